@@ -1,0 +1,56 @@
+"""Output and state of micro-batches, as folders named by batch number.
+
+A batch reads the state its predecessor wrote and replaces only folders of its own number. A
+batch that is run again after a failure therefore finds the same state and leaves one copy of
+its output: exactly once, given a replayable source and a checkpoint location.
+"""
+
+from __future__ import annotations
+
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@dataclass(frozen=True)
+class BatchStore:
+    """Tables under ``root``: ``<table>/batch=<n>``."""
+
+    spark: SparkSession
+    root: str
+
+    @property
+    def checkpoint(self) -> str:
+        return f"{self.root}/checkpoint"
+
+    def path(self, table: str) -> str:
+        return f"{self.root}/{table}"
+
+    def write(self, df: DataFrame, table: str, batch: int) -> DataFrame:
+        """Write a batch's part of a table, and read it back."""
+        target = f"{self.path(table)}/batch={batch}"
+        df.write.mode("overwrite").parquet(target)
+        return self.spark.read.schema(df.schema).parquet(target)
+
+    def read(self, table: str, schema: T.StructType) -> DataFrame:
+        """All batches of a table."""
+        return self.spark.read.schema(schema).parquet(f"{self.path(table)}/batch=*")
+
+    def previous(self, table: str, schema: T.StructType, batch: int) -> DataFrame:
+        """The part written by the batch before, empty for the first one."""
+        if batch == 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path(table)}/batch={batch - 1}")
+
+    def write_notes(self, notes: dict, batch: int) -> None:
+        """A few numbers to hand to the next batch (positions, ``k`` loads)."""
+        row = self.spark.range(1).select(F.lit(json.dumps(notes)).alias("notes"))
+        row.coalesce(1).write.mode("overwrite").text(f"{self.path('notes')}/batch={batch}")
+
+    def previous_notes(self, batch: int) -> dict:
+        if batch == 0:
+            return {}
+        return json.loads(self.spark.read.text(f"{self.path('notes')}/batch={batch - 1}").first()[0])

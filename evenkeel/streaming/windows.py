@@ -1,0 +1,43 @@
+"""Count windows over micro-batches: rows wait until their period is complete and due."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from evenkeel.operators import shape
+from evenkeel.streaming.store import BatchStore
+
+
+@dataclass(frozen=True)
+class PeriodBuffer:
+    """Splits arrivals into rows of due periods and rows that wait for the next batch.
+
+    A period is due when all ``s*m`` rows of it, and of every earlier one, have arrived. Rows
+    may arrive in any order: windows go by ``seq``. What waits is written as state.
+    """
+
+    store: BatchStore
+    s: int
+    m: int
+    table: str = "waiting"
+
+    def take(self, arrived: DataFrame, batch: int, last_done: int) -> tuple[DataFrame, int]:
+        """Rows of due periods, and the number of the last due period."""
+        staged = shape.with_period(shape.with_source(arrived, self.s), self.s, self.m)
+        waiting = self.store.previous(self.table, staged.schema, batch)
+        pool = self.store.write(waiting.unionByName(staged), f"{self.table}_pool", batch)
+        full = pool.groupBy("period").agg(F.count("*").alias("rows")).where(F.col("rows") == self.s * self.m)
+        # One row per full period of this batch: its rank tells whether all earlier ones are full.
+        rank = F.row_number().over(Window.orderBy("period"))
+        due = full.withColumn("_rank", rank).where(F.col("period") - last_done == F.col("_rank"))
+        top = due.agg(F.max("period")).first()[0]
+        last = last_done if top is None else int(top)
+        self.store.write(pool.where(F.col("period") > last), self.table, batch)
+        return pool.where(F.col("period") <= last), last
+
+    def rest(self, batch: int, schema) -> DataFrame:
+        """Rows still waiting after batch ``batch``."""
+        return self.store.previous(self.table, schema, batch + 1)
