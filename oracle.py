@@ -68,7 +68,7 @@ def placed(k: int = K, key_type: str = "BIGINT", order: str = "key") -> str:
 ops AS (SELECT period, 0 AS kind, 0 AS rank, CAST(NULL AS {key_type}) AS key, 0 AS cnt, list(cnt ORDER BY bucket) AS adds
         FROM mb GROUP BY period
         UNION ALL SELECT period, 1, {rank}, key, cnt, NULL FROM mh),
-ordered AS (SELECT *, row_number() OVER (ORDER BY period, kind, rank, key) AS i FROM ops),
+ordered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY period, kind, rank, key) AS i FROM ops),
 fold(i, period, kind, key, cnt, worker, loads) AS (
   SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0, CAST(NULL AS {key_type}), CAST(0 AS BIGINT), 0, {zeros}
   UNION ALL
@@ -113,7 +113,7 @@ items AS (SELECT 'heavy' AS kind, key, CAST(NULL AS INTEGER) AS bucket, cnt FROM
   FROM range({buckets}) AS r(b) LEFT JOIN
     (SELECT {hash_of('key', buckets)} AS hb, cnt FROM lc WHERE key NOT IN (SELECT key FROM hv)) c ON c.hb = b
   GROUP BY b),
-ordered AS (SELECT *, row_number() OVER (ORDER BY cnt DESC, kind, bucket DESC, key) AS i FROM items),
+ordered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY cnt DESC, kind, bucket DESC, key) AS i FROM items),
 fold(i, kind, key, bucket, cnt, worker, loads) AS (
   SELECT CAST(0 AS BIGINT), '', CAST(NULL AS {key_type}), CAST(NULL AS INTEGER), CAST(0 AS BIGINT), 0, {zeros}
   UNION ALL
@@ -133,7 +133,7 @@ def two_choice(k=K, s=S, hash_of=h, base=EV) -> str:
     zeros = f"CAST({[0] * k} AS BIGINT[])"
     pick = "CASE WHEN f.loads[o.c1 + 1] < f.loads[o.c2 + 1] THEN o.c1 ELSE o.c2 END"
     return f"""{base},
-cand AS (SELECT seq, key, CAST(seq % {s} AS INTEGER) AS source, seq // {s} AS pos,
+cand AS MATERIALIZED (SELECT seq, key, CAST(seq % {s} AS INTEGER) AS source, seq // {s} AS pos,
          {hash_of('key', k, 0)} AS c1, {hash_of('key', k, 1)} AS c2 FROM ev),
 fold(source, pos, worker, loads) AS (
   SELECT CAST(g AS INTEGER), CAST(-1 AS BIGINT), 0, {zeros} FROM range({s}) AS r(g)
@@ -269,6 +269,7 @@ LEFT JOIN (SELECT * FROM mig WHERE period = (SELECT max(period) FROM mig)) m ON
         "group_online": w(on, select="SELECT seq, key, source, period, worker FROM routed"),
         "group_hash_words": w(WORDS, hash_routed(WK, hs, "ev", "seq, key"), select="SELECT seq, key, worker FROM routed"),
         "group_dkg_words": w(wdkg, select="SELECT seq, key, worker FROM routed"),
+        "group_two_choice_words": w(two_choice(WK, WS, hs, WORDS), select="SELECT seq, key, worker FROM routed"),
         "group_online_words": w(won, select="SELECT seq, key, source, period, worker FROM routed"),
         "custom_grouping": f"SELECT event_id AS seq, user_id AS key, CAST(user_id % {K} AS INTEGER) AS worker FROM events",
         "custom_ordered_grouping": f"""SELECT event_id AS seq, user_id AS key, CAST((row_number() OVER
