@@ -9,6 +9,10 @@ load stays even although a few keys dominate. Tables carry these columns by conv
 ``bucket``  hash bucket of a key
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from evenkeel.plans.groupings import (
     ColumnGrouping,
     Grouping,
@@ -20,6 +24,9 @@ from evenkeel.plans.groupings import (
     compare,
 )
 
+# Functions that run inside tasks travel with the job: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "ColumnGrouping",
     "Grouping",

@@ -26,8 +26,13 @@ def cw_hash(col: Column, k: int, a: int, b: int, p: int = PRIME) -> Column:
     return F.pmod(F.pmod(x * F.lit(a) + F.lit(b), F.lit(p)), F.lit(k)).cast("int")
 
 
+def fold_crc32(col: Column) -> Column:
+    """A string as a non-negative 32-bit integer: its CRC-32, one native call per row."""
+    return F.crc32(col)
+
+
 def fold_md5(col: Column) -> Column:
-    """A string as a non-negative integer: the first eight hex digits of its MD5."""
+    """A string as the first eight hex digits of its MD5: better mixed, many times slower."""
     return F.conv(F.substring(F.md5(col), 1, 8), 16, 10).cast("bigint")
 
 
@@ -45,7 +50,7 @@ def fold_utf16(col: Column) -> Column:
 
 
 def cw_hash_str(
-    col: Column, k: int, a: int, b: int, p: int = PRIME, fold=fold_md5
+    col: Column, k: int, a: int, b: int, p: int = PRIME, fold=fold_crc32
 ) -> Column:
     """Carter-Wegman hash of a string, folded to an integer first."""
     return cw_hash(fold(col), k, a, b, p)

@@ -13,8 +13,6 @@ exact chunks before it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +21,8 @@ from pyspark.sql import types as T
 
 from evenkeel.scratch import pin
 
-Kernel = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray, list]]
+# A choice is packed as (position in chunk) << 32 | (first * k + second).
+_CODE_BITS = 32
 
 _ROOM = T.ArrayType(
     T.StructType(
@@ -36,6 +35,11 @@ _ROOM = T.ArrayType(
 )
 
 
+def pack_choice(offset: Column, first: Column, second: Column, k: int) -> Column:
+    """One number per row: its place in the chunk and its two candidate workers."""
+    return F.shiftleft(offset.cast("bigint"), _CODE_BITS) + first.cast("bigint") * k + second
+
+
 def two_choice_kernel(pairs: np.ndarray, start: np.ndarray, k: int):
     """Each code ``first*k + second`` goes to the less loaded worker, on a tie to the second."""
     first, second = np.divmod(pairs, k)
@@ -62,7 +66,7 @@ def two_choice_kernel(pairs: np.ndarray, start: np.ndarray, k: int):
     return chosen, np.bincount(chosen, minlength=k).astype(np.int64), room
 
 
-def _run(chunks: DataFrame, starts: DataFrame, k: int, kernel: Kernel) -> DataFrame:
+def _run(chunks: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     """Run each chunk from its start: adds ``chosen``, ``added`` and ``room``."""
     schema = T.StructType(
         [
@@ -78,7 +82,8 @@ def _run(chunks: DataFrame, starts: DataFrame, k: int, kernel: Kernel) -> DataFr
     def run_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
         start = np.asarray(row["start"], dtype=np.int64)
-        chosen, added, room = kernel(np.asarray(row["ops"], dtype=np.int64), start, k)
+        in_order = np.sort(np.asarray(row["ops"], dtype=np.int64))
+        chosen, added, room = two_choice_kernel(in_order & ((1 << _CODE_BITS) - 1), start, k)
         return pd.DataFrame(
             {
                 "source": [row["source"]],
@@ -157,29 +162,27 @@ def _guessed(chunks: DataFrame, k: int, initial: DataFrame | None) -> DataFrame:
     )
 
 
-def _run_from_first(chunks: DataFrame, k: int, kernel: Kernel, initial: DataFrame | None) -> DataFrame:
+def _run_from_first(chunks: DataFrame, k: int, initial: DataFrame | None) -> DataFrame:
     starts = _with_first(chunks.select("source", "chunk"), k, initial).withColumnRenamed("_first", "start")
-    return _run(chunks, starts, k, kernel).select("source", "chunk", "chosen", "added")
+    return _run(chunks, starts, k).select("source", "chunk", "chosen", "added")
 
 
-def carry_loads(
-    chunks: DataFrame, k: int, kernel: Kernel, chunk_count: int, initial: DataFrame | None = None
-) -> DataFrame:
-    """Run ``kernel`` over the chunks of every source as if each source were one sequence.
+def carry_loads(chunks: DataFrame, k: int, chunk_count: int, initial: DataFrame | None = None) -> DataFrame:
+    """Make the two-choice decisions of every source as if each source were one sequence.
 
-    ``chunks`` has one row ``(source, chunk, ops)`` per chunk, every op adding 1; ``initial``
-    may give ``(source, loads)`` to start from. Returns ``(source, chunk, chosen, added)``.
+    ``chunks`` has one row ``(source, chunk, ops)`` per chunk, with packed choices in any order;
+    ``initial`` may give ``(source, loads)`` to start from. Returns ``(source, chunk, chosen, added)``.
 
     Where chains are one chunk long the plan stays lazy. Longer ones take as many rounds as
     it needs for all starts to agree: few where loads level out within a chunk, and never
     more than twice the number of chunks.
     """
     if chunk_count <= 1:
-        return _run_from_first(chunks, k, kernel, initial)
+        return _run_from_first(chunks, k, initial)
 
     chunks = pin(chunks, "chunks")
     summary = ["source", "chunk", "start", "added", "room"]
-    runs = pin(_run(chunks, _guessed(chunks, k, initial), k, kernel).select(*summary), "runs")
+    runs = pin(_run(chunks, _guessed(chunks, k, initial), k).select(*summary), "runs")
     while True:
         start = F.col("start")
         linked = _linked(_with_first(runs, k, initial), F.col("_first"))
@@ -196,9 +199,9 @@ def carry_loads(
         if redo.isEmpty():
             break
         kept = runs.join(redo, ["source", "chunk"], "left_anti")
-        again = _run(chunks.join(redo.select("source", "chunk"), ["source", "chunk"], "left_semi"), redo, k, kernel)
+        again = _run(chunks.join(redo.select("source", "chunk"), ["source", "chunk"], "left_semi"), redo, k)
         runs = pin(kept.unionByName(again.select(*summary)), "runs")
-    return _run(chunks, runs.select("source", "chunk", "start"), k, kernel).select(
+    return _run(chunks, runs.select("source", "chunk", "start"), k).select(
         "source", "chunk", "chosen", "added"
     )
 

@@ -134,16 +134,24 @@ def number_within(df: DataFrame, by: Sequence[str], order: Sequence[str], name:
     return placed.select(*df.columns, name)
 
 
+def words(text: str | Column) -> Column:
+    """The whitespace-separated words of a text, as an array."""
+    return F.array_remove(F.split(text, r"\s+"), "")
+
+
 def word_stream(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per whitespace-separated word, numbered densely over the whole table.
+    """One row per word as ``(seq, key, doc_id, pos)``, numbered densely over the whole table.
 
-    Only (document, number of words) is ordered; the words follow by adding their position.
+    Only (document, number of words) is ordered, from a written table, so that the range
+    sampling does not split the texts again; the words follow by adding their position.
     """
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    offsets = running_offset(docs.select(doc_id, F.size(words).alias("_words")), [doc_id], {"_at": F.col("_words")})
+    sizes = pin(docs.select(doc_id, F.size(words(text)).alias("_words")), "sizes")
+    offsets = running_offset(sizes, [doc_id], {"_at": F.col("_words")}).select(doc_id, "_at")
+    # The outer form keeps the planner from adding a filter that splits every text once more.
     return (
-        docs.select(doc_id, words.alias("_list"))
-        .join(offsets.select(doc_id, "_at"), doc_id)
-        .select(doc_id, "_at", F.posexplode("_list").alias("pos", "key"))
+        docs.select(doc_id, text)
+        .join(offsets, doc_id)
+        .select(doc_id, "_at", F.posexplode_outer(words(text)).alias("pos", "key"))
+        .where(F.col("key").isNotNull())
         .select((F.col("_at") + F.col("pos")).alias("seq"), "key", doc_id, "pos")
     )

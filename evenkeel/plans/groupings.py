@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel.functions.hashing import KeyHash, candidates, key_hash, murmur_hash
+from evenkeel.functions.hashing import KeyHash, key_hash, murmur_hash
 from evenkeel.operators import placement, routing, shape, sketches
-from evenkeel.operators.carry import carry_loads, two_choice_kernel
+from evenkeel.operators.carry import carry_loads, pack_choice
 from evenkeel.operators.metrics import balance, worker_load
 
 # Rows of one source that one task replays in order.
@@ -88,15 +88,11 @@ class TwoChoiceGrouping:
         staged = placed.withColumn("chunk", F.floor(place / self.chunk_rows)).withColumn(
             "_offset", F.pmod(place, F.lit(self.chunk_rows)).cast("int")
         )
-        pair = candidates(df, self.k)
-        chunks = (
-            staged.select("source", "chunk", "_offset", (pair[0] * self.k + pair[1]).alias("_code"))
-            .groupBy("source", "chunk")
-            .agg(F.array_sort(F.collect_list(F.struct("_offset", "_code"))).alias("_rows"))
-            .select("source", "chunk", F.col("_rows._code").alias("ops"))
-        )
+        first, second = (key_hash(df, self.k, member=i)("key") for i in range(2))
+        packed = pack_choice(F.col("_offset"), first, second, self.k)
+        chunks = staged.groupBy("source", "chunk").agg(F.collect_list(packed).alias("ops"))
         count = (last_pos - first_pos) // self.chunk_rows + 1
-        return staged, carry_loads(chunks, self.k, two_choice_kernel, count, initial)
+        return staged, carry_loads(chunks, self.k, count, initial)
 
 
 @dataclass(frozen=True)

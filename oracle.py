@@ -20,12 +20,25 @@ def h(x: str, k: int, member: int = 0) -> str:
     return f"CAST((({a} * (({x}) % {P}) + {b}) % {P}) % {k} AS INTEGER)"
 
 
-def fold(x: str) -> str:
+def fold_md5(x: str) -> str:
     return f"CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT)"
 
 
 def hs(x: str, k: int, member: int = 0) -> str:
-    return h(fold(x), k, member)
+    """Hash of a word by its CRC-32, looked up in ``crc``."""
+    return h(f"(SELECT crc.crc FROM crc WHERE crc.word = {x})", k, member)
+
+
+# CRC-32 (reflected, polynomial 0xEDB88320) of every distinct word, by the usual byte table.
+CRC = """
+crct AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY i) AS tab
+  FROM (SELECT CAST(i AS BIGINT) AS i FROM range(256) AS r(i))),
+crcb AS (SELECT word, list_transform(range(len(x) // 2),
+    lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)) AS bytes
+  FROM (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT key AS word FROM ev))),
+crc AS MATERIALIZED (SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
+    lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c // 256)), 4294967295) AS crc FROM crcb, crct)"""
 
 
 EV = "ev AS (SELECT event_id AS seq, user_id AS key FROM events)"
@@ -37,6 +50,8 @@ ev AS (SELECT first + pos - 1 AS seq, l[pos] AS key, doc_id, pos - 1 AS pos
        FROM (SELECT first, l, doc_id, unnest(generate_series(1, len(l))) AS pos FROM docn))
 """
 
+HASHED_WORDS = WORDS.strip() + "," + CRC
+
 
 def staged(s: int = S, m: int = M, tail: str = "drop") -> str:
     where = f"WHERE (seq // {s * m} + 1) * {s * m} <= (SELECT max(seq) + 1 FROM ev)" if tail == "drop" else ""
@@ -188,8 +203,8 @@ def all_sql() -> dict[str, str]:
     hash_stream = (EV, staged(), hash_routed())
     on = online()
     sk = (EV, staged(), sketch())
-    won = online(WK, WS, WM, WTHETA, hs, "VARCHAR", base=WORDS)
-    wdkg = dkg(WK, WTHETA, FACTOR, LEARN, SKIP, hs, "VARCHAR", base=WORDS)
+    won = online(WK, WS, WM, WTHETA, hs, "VARCHAR", base=HASHED_WORDS)
+    wdkg = dkg(WK, WTHETA, FACTOR, LEARN, SKIP, hs, "VARCHAR", base=HASHED_WORDS)
     pm = "SELECT period, imbalance, sigma FROM (" + balance_sql(by="period", src="pt", load="total") + ")"
     tc = two_choice()
     sql = {
@@ -223,7 +238,8 @@ SELECT period FROM (SELECT period, source, count(*) AS n FROM st GROUP BY ALL) W
 HAVING count(*) >= ceil(CAST(0.005 AS DOUBLE) * (SELECT count(*) FROM ev))"""),
         # functions
         "hash_cw_int": f"SELECT event_id AS seq, {h('user_id', K)} AS worker FROM events",
-        "hash_cw_string": w(WORDS, select=f"SELECT key, {hs('key', WK)} AS worker, count(*) AS cnt FROM ev GROUP BY ALL"),
+        "hash_cw_string": w(HASHED_WORDS, select=f"SELECT key, {hs('key', WK)} AS worker, count(*) AS cnt FROM ev GROUP BY ALL"),
+        "hash_md5_string": w(WORDS, select=f"SELECT key, {h(fold_md5('key'), WK)} AS worker FROM (SELECT DISTINCT key FROM ev)"),
         "hash_string_fold": w(WORDS, select="""SELECT key, abs(CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END) AS folded FROM (
 SELECT key, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(split(key, ''), lambda c: CAST(unicode(c) AS BIGINT))),
   lambda a, c: (a * 31 + c) % 4294967296) AS x FROM (SELECT DISTINCT key FROM ev))"""),
@@ -267,9 +283,9 @@ LEFT JOIN (SELECT * FROM mig WHERE period = (SELECT max(period) FROM mig)) m ON
         "group_two_choice": w(tc, select="SELECT seq, key, source, worker FROM routed"),
         "group_dkg": w(dkg(), select="SELECT seq, key, worker FROM routed"),
         "group_online": w(on, select="SELECT seq, key, source, period, worker FROM routed"),
-        "group_hash_words": w(WORDS, hash_routed(WK, hs, "ev", "seq, key"), select="SELECT seq, key, worker FROM routed"),
+        "group_hash_words": w(HASHED_WORDS, hash_routed(WK, hs, "ev", "seq, key"), select="SELECT seq, key, worker FROM routed"),
         "group_dkg_words": w(wdkg, select="SELECT seq, key, worker FROM routed"),
-        "group_two_choice_words": w(two_choice(WK, WS, hs, WORDS), select="SELECT seq, key, worker FROM routed"),
+        "group_two_choice_words": w(two_choice(WK, WS, hs, HASHED_WORDS), select="SELECT seq, key, worker FROM routed"),
         "group_online_words": w(won, select="SELECT seq, key, source, period, worker FROM routed"),
         "custom_grouping": f"SELECT event_id AS seq, user_id AS key, CAST(user_id % {K} AS INTEGER) AS worker FROM events",
         "custom_ordered_grouping": f"""SELECT event_id AS seq, user_id AS key, CAST((row_number() OVER

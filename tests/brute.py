@@ -1,7 +1,7 @@
 """Slow, obvious versions of the operators, for comparison on small inputs."""
 
-import hashlib
 import math
+import zlib
 from collections import Counter, defaultdict
 
 from evenkeel.functions.hashing import COEFFICIENTS, PRIME
@@ -10,7 +10,7 @@ from evenkeel.functions.hashing import COEFFICIENTS, PRIME
 def cw(key, k, member=0):
     a, b = COEFFICIENTS[member]
     if isinstance(key, str):
-        key = int(hashlib.md5(key.encode()).hexdigest()[:8], 16)
+        key = zlib.crc32(key.encode())
     return (a * key + b) % PRIME % k
 
 
