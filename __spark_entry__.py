@@ -98,7 +98,7 @@ def online_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
     """Staged rows, routing tables of all periods (written once), and routed rows."""
     rows = ev(spark, d)
     periods = ONLINE.periods(rows)
-    stage = ONLINE.stage(rows)
+    stage = ONLINE.stage(rows, periods)
     tables = pin(ONLINE.routing(rows), "routing")
     return stage, tables, ONLINE.route(stage, tables, periods)
 
@@ -211,16 +211,18 @@ def least_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 def place_heavy(spark: SparkSession, d: str, order: str = "key") -> DataFrame:
     rows = ev(spark, d)
-    heavy, sparse = ONLINE.sketch(ONLINE.stage(rows))
+    heavy, _, sparse = sketch_of(spark, d)
+    items = placement.placement_items(*sketches.merge_sketches(heavy, sparse), by=["period"])
     bound = ONLINE.heavy_per_period + o.K
-    placed = placement.place_online(heavy, sparse, o.K, order, (1, ONLINE.periods(rows)), bound)
+    placed = placement.place_online(items, o.K, order, (1, ONLINE.periods(rows)), bound)
     return placed.select("period", "key", "worker")
 
 
 def placement_loads(spark: SparkSession, d: str) -> DataFrame:
     rows = ev(spark, d)
-    heavy, sparse = ONLINE.sketch(ONLINE.stage(rows))
-    return placement.placement_loads(ONLINE.place(heavy, sparse, (1, ONLINE.periods(rows))), sparse, o.K)
+    periods = ONLINE.periods(rows)
+    items = pin(ONLINE.items(ONLINE.stage(rows, periods)), "items")
+    return placement.placement_loads(ONLINE.place(items, (1, periods)), sketches.split_items(items)[1], o.K)
 
 
 def learned_items(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +250,8 @@ def compile_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def custom_ordered_grouping(spark: SparkSession, d: str) -> DataFrame:
     """A user's rule that deals the rows of each window out in turn."""
-    turn = PandasGrouping(o.K, o.S, o.M, lambda pdf: [i % o.K for i in range(len(pdf))])
+    k = o.K
+    turn = PandasGrouping(k, o.S, o.M, lambda pdf: [i % k for i in range(len(pdf))])
     return turn.assign(ev(spark, d)).select("seq", "key", "worker")
 
 

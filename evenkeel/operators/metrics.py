@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evenkeel.operators.shape import whole_div
 from evenkeel.operators.sketches import fill_zero
 
 # Steps summed in one window partition; longer series are summed block by block.
@@ -21,7 +22,7 @@ def worker_load(routed: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
 
 def average_load(total: Column, k: int) -> Column:
     """Average rounded down to a whole number."""
-    return F.floor(total / F.lit(k))
+    return whole_div(total, k)
 
 
 def imbalance(top: Column, average: Column) -> Column:
@@ -82,7 +83,7 @@ def running_sum(
     Blocks of steps are summed first and their prefix sums added, so that no window partition
     holds more than ``block`` steps however long the series gets.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(step) / block))
+    blocked = df.withColumn("_block", whole_div(step, block))
     inside = Window.partitionBy(*by, "_block").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

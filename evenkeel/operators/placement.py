@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.operators.metrics import running_sum
+from evenkeel.operators.shape import whole_div
 from evenkeel.operators.sketches import fill_zero
 from evenkeel.scratch import new_folder, pin
 
@@ -121,8 +122,7 @@ def _place_in_order(items: DataFrame, k: int, loads: Sequence[int]) -> DataFrame
 
 
 def place_online(
-    heavy: DataFrame,
-    sparse: DataFrame,
+    items: DataFrame,
     k: int,
     order: str = "key",
     periods: tuple[int, int] | None = None,
@@ -132,9 +132,9 @@ def place_online(
 ) -> DataFrame:
     """Place merged heavy keys of successive periods; loads carry over and never decay.
 
-    Per period the sparse buckets are added to the loads, then each heavy key (in key order,
-    or by count with ``order='load'``) goes to the least loaded worker, which gains its count.
-    Returns ``(period, key, worker, cnt)``. ``periods`` is the first and last period if known,
+    ``items`` is a list as of :func:`placement_items`, by period. Per period the sparse buckets
+    are added to the loads, then each heavy key (in key order, or by count with
+    ``order='load'``) goes to the least loaded worker, which gains its count. Returns ``(period, key, worker, cnt)``. ``periods`` is the first and last period if known,
     ``initial`` the ``k`` loads to start from.
 
     The fold is serial by nature but sees sketches, not rows: at most ``items_per_period``
@@ -144,31 +144,28 @@ def place_online(
     if order not in ("key", "load"):
         raise ValueError("order is 'key' or 'load'")
     loads = [0] * k if initial is None else [int(x) for x in initial]
-    key_type = heavy.schema["key"].dataType
-    no_key = F.lit("" if isinstance(key_type, T.StringType) else 0).cast(key_type)
-    rank = -F.col("cnt") if order == "load" else F.lit(0).cast("bigint")
-    items = sparse.select(
+    is_heavy = F.col("kind") == "heavy"
+    by_load = is_heavy if order == "load" else F.lit(False)
+    ordered = items.select(
         "period",
-        F.lit(0).alias("heavy"),
-        F.lit(0).cast("bigint").alias("rank"),
-        no_key.alias("key"),
-        F.col("bucket").alias("fixed"),
+        is_heavy.cast("int").alias("heavy"),
+        F.when(by_load, -F.col("cnt")).otherwise(0).alias("rank"),
+        _present(items, "key").alias("key"),
+        F.when(is_heavy, -1).otherwise(F.col("bucket")).alias("fixed"),
         "cnt",
-    ).unionByName(
-        heavy.select("period", F.lit(1).alias("heavy"), rank.alias("rank"), "key", F.lit(-1).alias("fixed"), "cnt")
     )
     if periods is None:
-        bounds = items.agg(F.min("period"), F.max("period")).first()
+        bounds = ordered.agg(F.min("period"), F.max("period")).first()
         periods = (int(bounds[0] or 1), int(bounds[1] or 1))
     first, last = periods
     per_chunk = max(1, chunk_items // max(1, items_per_period))
-    chunked = items.withColumn("chunk", F.floor((F.col("period") - first) / per_chunk))
+    chunked = ordered.withColumn("chunk", whole_div(F.col("period") - first, per_chunk))
     placed = ["period", "key", "worker", "cnt"]
     chunk_count = math.ceil((last - first + 1) / per_chunk)
     if chunk_count <= 1:
         return _place_in_order(chunked, k, loads).select(*placed)
 
-    spark = heavy.sparkSession
+    spark = items.sparkSession
     chunked = pin(chunked, "items", "chunk")
     path = new_folder(spark, "placed")
     for chunk in range(chunk_count):

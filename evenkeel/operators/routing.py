@@ -57,7 +57,7 @@ def route_dkg(
     buckets = broadcast_within(bucket_map.select(F.col("bucket").alias("_b"), F.col("worker").alias("_w")), bucket_rows)
     return (
         df.withColumn("_b", bucket_of(key))
-        .join(buckets, "_b")
+        .join(buckets, "_b", "left")
         .join(heavy, key, "left")
         .select(*df.columns, F.coalesce("_h", "_w").alias("worker"))
     )

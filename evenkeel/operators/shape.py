@@ -17,6 +17,11 @@ from evenkeel.scratch import pin
 _ROW_BITS = 33
 
 
+def whole_div(number: Column | str, by: int) -> Column:
+    """Whole-number division, exact for any BIGINT (no detour over DOUBLE)."""
+    return F.call_function("div", F.col(number) if isinstance(number, str) else number, F.lit(by))
+
+
 def with_key(df: DataFrame, key: Column, name: str = "key") -> DataFrame:
     """Key extraction: any Column expression over the record."""
     return df.withColumn(name, key)
@@ -29,13 +34,12 @@ def with_source(df: DataFrame, s: int) -> DataFrame:
 
 def with_period(df: DataFrame, s: int, m: int) -> DataFrame:
     """Count window of round-robin sources: ``m`` rows per source, numbered from 1."""
-    per_period = s * m
-    return df.withColumn("period", F.floor((F.col("seq") - F.pmod("seq", F.lit(per_period))) / per_period) + 1)
+    return df.withColumn("period", whole_div("seq", s * m) + 1)
 
 
 def with_period_by_position(df: DataFrame, m: int) -> DataFrame:
     """Count window where ``pos`` is the row's number within its source."""
-    return df.withColumn("period", F.floor((F.col("pos") - F.pmod("pos", F.lit(m))) / m) + 1)
+    return df.withColumn("period", whole_div("pos", m) + 1)
 
 
 def prefix(df: DataFrame, n: int) -> DataFrame:
@@ -65,19 +69,22 @@ def complete_periods(df: DataFrame, s: int, m: int) -> DataFrame:
     )
 
 
-def complete_only(df: DataFrame, s: int, m: int, tail: str = "drop", dense: bool = True) -> DataFrame:
+def complete_only(
+    df: DataFrame, s: int, m: int, tail: str = "drop", dense: bool = True, rows: int | None = None
+) -> DataFrame:
     """Keep rows of complete periods; ``tail='flush'`` keeps the incomplete end too.
 
-    With a dense ``seq`` only the last period can be incomplete, so the highest row number
-    decides and no row is shuffled. Otherwise periods are counted and kept by semi join.
+    With a dense ``seq`` only the last period can be incomplete, so the number of rows (looked
+    up unless given) decides: a filter on ``seq`` that reaches the scan. Otherwise periods are
+    counted and kept by semi join.
     """
     if tail == "flush":
         return df
     if tail != "drop":
         raise ValueError("tail is 'drop' or 'flush'")
     if dense:
-        rows = df.agg(F.max("seq") + 1).scalar()
-        return df.where(F.col("period") * (s * m) <= rows)
+        total = df.agg(F.max("seq") + 1).scalar() if rows is None else F.lit(rows)
+        return df.where(F.col("seq") < total - F.pmod(total, F.lit(s * m)))
     return df.join(complete_periods(df, s, m), "period", "left_semi")
 
 

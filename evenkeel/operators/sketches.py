@@ -196,9 +196,30 @@ def merge_sketches(heavy: DataFrame, buckets: DataFrame) -> tuple[DataFrame, Dat
     return merge_heavy(heavy), merge_buckets(buckets)
 
 
-def merged_from_rows(
+def items_from_counts(
+    counts: DataFrame, is_heavy: Column, bucket_of: Callable[[str], Column], by: Sequence[str] = (), key: str = "key"
+) -> DataFrame:
+    """Heavy keys and sparse buckets as one item list, in a single aggregation of key counts.
+
+    A heavy key keeps itself as group, every other one falls into the group of its bucket:
+    ``(*by, kind, key, bucket, cnt)``. Buckets without rows are left out.
+    """
+    return (
+        counts.select(
+            *by,
+            F.when(is_heavy, "heavy").otherwise("bucket").alias("kind"),
+            F.when(is_heavy, F.col(key)).alias("key"),
+            F.when(~is_heavy, bucket_of(key)).alias("bucket"),
+            "cnt",
+        )
+        .groupBy(*by, "kind", "key", "bucket")
+        .agg(F.sum("cnt").alias("cnt"))
+    )
+
+
+def items_from_rows(
     df: DataFrame, theta: float, m: int, bucket_of: Callable[[str], Column], key: str = "key"
-) -> tuple[DataFrame, DataFrame]:
+) -> DataFrame:
     """Merged heavy keys and sparse buckets of complete periods in one pass over the rows.
 
     Same result as sketching each source and merging. Rows are shuffled once, by period:
@@ -207,10 +228,13 @@ def merged_from_rows(
     """
     by_period = df.select("period", "source", key).repartition("period")
     counts = key_counts(by_period, ("period", "source"), key)
-    is_heavy = F.col("cnt") >= math.ceil(theta * m)
-    heavy = merge_heavy(counts.where(is_heavy), key=key)
-    light = counts.where(~is_heavy).select("period", bucket_of(key).alias("bucket"), "cnt")
-    return heavy, merge_buckets(light)
+    return items_from_counts(counts, F.col("cnt") >= math.ceil(theta * m), bucket_of, ("period",), key)
+
+
+def split_items(items: DataFrame, by: Sequence[str] = ("period",)) -> tuple[DataFrame, DataFrame]:
+    """Heavy keys ``(*by, key, cnt)`` and sparse buckets ``(*by, bucket, cnt)`` of an item list."""
+    heavy = items.where(F.col("kind") == "heavy").select(*by, "key", "cnt")
+    return heavy, items.where(F.col("kind") == "bucket").select(*by, "bucket", "cnt")
 
 
 def check_conservation(heavy: DataFrame, sparse: DataFrame, m: int, by: Sequence[str] = SKETCH_GROUP) -> DataFrame:

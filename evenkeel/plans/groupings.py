@@ -19,6 +19,7 @@ from evenkeel.functions.hashing import KeyHash, key_hash, murmur_hash
 from evenkeel.operators import placement, routing, shape, sketches
 from evenkeel.operators.carry import carry_loads, pack_choice
 from evenkeel.operators.metrics import balance, worker_load
+from evenkeel.scratch import pin
 
 # Rows of one source that one task replays in order.
 CHUNK_ROWS = 1 << 17
@@ -82,10 +83,10 @@ class TwoChoiceGrouping:
             placed = df
             last_pos = int(df.agg(F.coalesce(F.max("pos"), F.lit(-1))).first()[0])
         else:
-            placed = shape.with_source(df, self.s).withColumn("pos", F.floor(F.col("seq") / self.s))
+            placed = shape.with_source(df, self.s).withColumn("pos", shape.whole_div("seq", self.s))
             last_pos = shape.last_seq(df) // self.s
         place = F.col("pos") - first_pos
-        staged = placed.withColumn("chunk", F.floor(place / self.chunk_rows)).withColumn(
+        staged = placed.withColumn("chunk", shape.whole_div(place, self.chunk_rows)).withColumn(
             "_offset", F.pmod(place, F.lit(self.chunk_rows)).cast("int")
         )
         first, second = (key_hash(df, self.k, member=i)("key") for i in range(2))
@@ -120,17 +121,29 @@ class LearnedGrouping:
         return key_hash(df, self.buckets)
 
     def items(self, learned: DataFrame) -> DataFrame:
-        """Heavy keys and sparse buckets of the learned rows."""
+        """Heavy keys and all sparse buckets, empty ones too, of the learned rows."""
         bucket_of = self.bucket_hash(learned)
-        heavy = sketches.heavy_hitters(
-            learned, self.theta, self.theta / self.eps_factor, (), self.mode, n=self.learn
+        if self.mode == "exact":
+            counts = sketches.key_counts(learned, ())
+            is_heavy = F.col("cnt") >= math.ceil(self.theta * self.learn)
+            found = sketches.items_from_counts(counts, is_heavy, bucket_of)
+        else:
+            eps = self.theta / self.eps_factor
+            heavy = sketches.heavy_hitters(learned, self.theta, eps, (), self.mode, n=self.learn)
+            hist = sketches.bucket_hist(learned, self.buckets, bucket_of, ())
+            found = placement.placement_items(heavy, sketches.sparse_buckets(hist, heavy, bucket_of, ()))
+        every = learned.sparkSession.range(self.buckets).select(
+            F.lit("bucket").alias("kind"),
+            F.lit(None).cast(learned.schema["key"].dataType).alias("key"),
+            F.col("id").cast("int").alias("bucket"),
+            F.lit(0).cast("bigint").alias("cnt"),
         )
-        hist = sketches.bucket_hist(learned, self.buckets, bucket_of, ())
-        return placement.placement_items(heavy, sketches.sparse_buckets(hist, heavy, bucket_of, ()))
+        return found.unionByName(every).groupBy("kind", "key", "bucket").agg(F.sum("cnt").alias("cnt"))
 
     def maps(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The two small maps, from one placement that is written once."""
         learned, _ = shape.split_learning(df, self.learn, self.skip)
-        return placement.split_maps(placement.place_lpt(self.items(learned), self.k))
+        return placement.split_maps(pin(placement.place_lpt(self.items(learned), self.k), "maps"))
 
     def route(self, rows: DataFrame, heavy_map: DataFrame, bucket_map: DataFrame) -> DataFrame:
         # At most 1/theta keys can reach the threshold, so both maps have a known bound.
@@ -167,51 +180,48 @@ class OnlineGrouping:
     def heavy_per_period(self) -> int:
         return math.ceil(self.s / self.theta)
 
-    def stage(self, df: DataFrame) -> DataFrame:
-        """Rows of complete periods with source and period."""
+    def stage(self, df: DataFrame, periods: int | None = None) -> DataFrame:
+        """Rows of complete periods with source and period; pass the number of periods if known."""
         staged = shape.with_period(shape.with_source(df, self.s), self.s, self.m)
-        return shape.complete_only(staged, self.s, self.m, self.tail)
+        rows = None if periods is None else periods * self.s * self.m
+        return shape.complete_only(staged, self.s, self.m, self.tail, rows=rows)
 
     def periods(self, df: DataFrame) -> int:
         rows = shape.last_seq(df) + 1
         per_period = self.s * self.m
         return math.ceil(rows / per_period) if self.tail == "flush" else rows // per_period
 
-    def sketch(self, staged: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Merged heavy keys and sparse buckets per period."""
+    def items(self, staged: DataFrame) -> DataFrame:
+        """Merged heavy keys and sparse buckets per period, as one item list."""
         bucket_of = key_hash(staged, self.k)
         if self.mode == "exact" and self.tail == "drop":
-            return sketches.merged_from_rows(staged, self.theta, self.m, bucket_of)
+            return sketches.items_from_rows(staged, self.theta, self.m, bucket_of)
         # A flushed tail has fewer rows per source, and its threshold follows them.
         n = self.m if self.tail == "drop" else None
         heavy = sketches.heavy_hitters(staged, self.theta, self.eps, mode=self.mode, n=n)
         hist = sketches.bucket_hist(staged, self.k, bucket_of)
-        return sketches.merge_sketches(heavy, sketches.sparse_buckets(hist, heavy, bucket_of))
+        merged = sketches.merge_sketches(heavy, sketches.sparse_buckets(hist, heavy, bucket_of))
+        return placement.placement_items(*merged, by=["period"])
 
     def place(
-        self,
-        heavy: DataFrame,
-        sparse: DataFrame,
-        periods: tuple[int, int],
-        initial: Sequence[int] | None = None,
+        self, items: DataFrame, periods: tuple[int, int], initial: Sequence[int] | None = None
     ) -> DataFrame:
         per_period = self.heavy_per_period + self.k
-        return placement.place_online(
-            heavy, sparse, self.k, self.order, periods, per_period, initial, self.chunk_items
-        )
+        return placement.place_online(items, self.k, self.order, periods, per_period, initial, self.chunk_items)
 
     def routing(self, df: DataFrame) -> DataFrame:
         """The routing tables of all periods: ``(period, key, worker, cnt)``."""
-        return self.place(*self.sketch(self.stage(df)), (1, self.periods(df)))
+        periods = self.periods(df)
+        return self.place(self.items(self.stage(df, periods)), (1, periods))
 
     def route(self, staged: DataFrame, table: DataFrame, periods: int) -> DataFrame:
         rows = periods * self.heavy_per_period
         return routing.route_online(staged, table, key_hash(staged, self.k), rows)
 
     def assign(self, df: DataFrame) -> DataFrame:
-        staged = self.stage(df)
         periods = self.periods(df)
-        return self.route(staged, self.place(*self.sketch(staged), (1, periods)), periods)
+        staged = self.stage(df, periods)
+        return self.route(staged, self.place(self.items(staged), (1, periods)), periods)
 
 
 @dataclass(frozen=True)

@@ -111,9 +111,8 @@ class OnlineStream(_Runner):
         received = notes.get("received", [0] * g.k)
         ready, last = PeriodBuffer(store, g.s, g.m).take(rows, batch, done)
 
-        heavy, sparse = g.sketch(ready)
-        sparse = store.write(sparse, "sparse", batch)
-        table = store.write(g.place(heavy, sparse, (done + 1, max(last, done + 1)), loads), "routing", batch)
+        items = store.write(g.items(ready), "items", batch)
+        table = store.write(g.place(items, (done + 1, max(last, done + 1)), loads), "routing", batch)
         routed = store.write(g.route(ready, table, last - done), "routed", batch)
 
         before = store.previous("current", self._table_schema, batch)
@@ -129,7 +128,7 @@ class OnlineStream(_Runner):
         barrier = period_worker_load(routed, g.k).withColumn("total", F.col("total") + so_far)
         barrier = store.write(barrier, "barrier", batch)
 
-        light = sparse.select(F.col("bucket").alias("worker"), "cnt")
+        light = items.where(F.col("kind") == "bucket").select(F.col("bucket").alias("worker"), "cnt")
         for worker, added in _sums(table.select("worker", "cnt").unionByName(light)):
             loads[worker] += added
         for worker, added in _sums(barrier.select("worker", F.col("load").alias("cnt"))):
@@ -171,7 +170,7 @@ class OnlineStream(_Runner):
         notes = self.store.previous_notes(self.last_batch + 1)
         first = notes["period"] + 1
         last = rest.agg(F.coalesce(F.max("period"), F.lit(first))).first()[0]
-        table = g.place(*g.sketch(rest), (first, int(last)), notes["loads"])
+        table = g.place(g.items(rest), (first, int(last)), notes["loads"])
         return self.result().unionByName(g.route(rest, table, int(last) - first + 1).select(*self.routed.names))
 
 

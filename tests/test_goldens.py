@@ -11,7 +11,8 @@ from evenkeel.operators import metrics, placement, routing, shape, sketches
 def place(spark, items, k, **options):
     heavy = spark.createDataFrame([(1, key, cnt) for key, cnt in items], "period bigint, key bigint, cnt bigint")
     none = spark.createDataFrame([], "period bigint, bucket int, cnt bigint")
-    rows = placement.place_online(heavy, none, k, **options).orderBy("key").collect()
+    listed = placement.placement_items(heavy, none, by=["period"])
+    rows = placement.place_online(listed, k, **options).orderBy("key").collect()
     return [r["worker"] for r in rows]
 
 
@@ -39,7 +40,7 @@ def test_merge_does_not_apply_the_threshold_again(spark):
         keys += [(2 * i, 7 if i < 5 else 100 + i), (2 * i + 1, 7 if i < 2 else 200 + i)]
     rows = shape.with_period(shape.with_source(spark.createDataFrame(keys, "seq bigint, key bigint"), 2), 2, 10)
     bucket_of = hashing.KeyHash(4)
-    heavy, sparse = sketches.merged_from_rows(rows, 0.5, 10, bucket_of)
+    heavy, sparse = sketches.split_items(sketches.items_from_rows(rows, 0.5, 10, bucket_of))
     assert [(r["key"], r["cnt"]) for r in heavy.collect()] == [(7, 5)]
     own = rows.select(bucket_of(F.lit(7)).alias("b")).first()["b"]
     light = rows.where("key <> 7").where(bucket_of("key") == own).count()

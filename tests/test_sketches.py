@@ -71,7 +71,7 @@ def test_one_pass_equals_sketch_and_merge(keyed):
     sparse = sketches.sparse_buckets(hist, heavy, bucket_of)
     assert sketches.check_conservation(heavy, sparse, 50).where("not conserved").count() == 0
     a, b = sketches.merge_sketches(heavy, sparse)
-    c, d = sketches.merged_from_rows(rows, 0.1, 50, bucket_of)
+    c, d = sketches.split_items(sketches.items_from_rows(rows, 0.1, 50, bucket_of))
     assert a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
     some = b.where("cnt > 0").select("period", "bucket", "cnt")
     assert some.exceptAll(d).count() == 0 and d.exceptAll(some).count() == 0
