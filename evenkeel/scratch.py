@@ -8,8 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Above this many rows a derived table is no longer broadcast by hint; Catalyst then
-# decides from the size of the written table, and shuffles both sides if it must.
+# A derived table with more rows than this is not broadcast by hint.
 BROADCAST_ROWS = 500_000
 
 _local_folder: str | None = None
@@ -45,7 +44,11 @@ def pin(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 
 
 def broadcast_within(df: DataFrame, rows: float | None) -> DataFrame:
-    """Broadcast ``df`` if ``rows``, a proven bound on its size, allows it."""
-    if rows is not None and rows <= BROADCAST_ROWS:
-        return F.broadcast(df)
-    return df
+    """Broadcast ``df`` if ``rows``, a proven bound on its size, allows it.
+
+    Beyond the limit the table is written, so that Catalyst decides by its true size; without
+    a bound the decision is left to Catalyst as it is.
+    """
+    if rows is None:
+        return df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else pin(df, "lookup")

@@ -125,3 +125,17 @@ def test_shared_folder_comes_from_the_session(spark):
     if named:
         assert shared_folder(spark) == named.rstrip("/")
     assert os.path.basename(new_folder(spark, "x")).startswith("evenkeel-x-")
+
+
+def test_streaming_readers(spark, tmp_path, folder):
+    (tmp_path / "a.csv").write_text("1,2\n3\n\n")
+    stream = records.stream_key_records(spark, str(tmp_path))
+    out = folder()
+    query = (
+        stream.writeStream.format("parquet").option("path", f"{out}/rows")
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert sorted(r["key"] for r in spark.read.parquet(f"{out}/rows").collect()) == [1, 2, 3]
+    generator = generated.zipf_stream(spark, 10, 100, 2.0)
+    assert generator.isStreaming and generator.columns == ["seq", "key"]
