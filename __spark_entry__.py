@@ -367,6 +367,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "placement_loads": placement_loads,
         "place_lpt": lambda s, d: placement.place_lpt(learned_items(s, d), o.K),
         "heavy_sorted": heavy_sorted,
+        "top_heavy": lambda s, d: placement.top_heavy(sketches.merge_heavy(sketch_of(s, d)[0]), 20),
         "placement_items": learned_items,
         # routing
         "route_lookup": lambda s, d: online_parts(s, d)[2].select("seq", "key", "period", "worker"),

@@ -112,6 +112,9 @@ class OnlineStream(_Runner):
         ready, last = PeriodBuffer(store, g.s, g.m).take(rows, batch, done)
 
         items = store.write(g.items(ready), "items", batch)
+        mass = items.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
+        if mass != (last - done) * g.s * g.m:
+            raise RuntimeError(f"sketches of periods {done + 1}..{last} hold {mass} rows")
         table = store.write(g.place(items, (done + 1, max(last, done + 1)), loads), "routing", batch)
         routed = store.write(g.route(ready, table, last - done), "routed", batch)
 

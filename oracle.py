@@ -267,6 +267,7 @@ FROM events, (VALUES (CAST(1.0 AS DOUBLE)), (2.0), (3.0)) AS v(z) GROUP BY z""",
         "placement_loads": w(on, select="SELECT period, worker, load FROM loads"),
         "place_lpt": w(dkg(), select="SELECT kind, key, bucket, cnt, worker FROM placed"),
         "heavy_sorted": w(*sk, select="SELECT period, key, cnt, row_number() OVER (PARTITION BY period ORDER BY cnt DESC, key) AS place FROM mh"),
+        "top_heavy": w(*sk, select="SELECT period, key, cnt FROM mh ORDER BY cnt DESC, period, key LIMIT 20"),
         "placement_items": w(dkg(), select="SELECT kind, key, bucket, cnt FROM items"),
         # routing
         "route_lookup": w(on, select="SELECT seq, key, period, worker FROM routed"),

@@ -142,3 +142,32 @@ def test_results_do_not_depend_on_partitions(spark, keyed, partitions):
         assert [r["worker"] for r in OnlineGrouping(K, S, M, THETA).assign(rows).orderBy("seq").collect()] == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_planted_mistakes_are_caught(keyed, monkeypatch):
+    keys = skewed(430)
+    want, _ = online(keys, K, S, M, THETA)
+    routed = lambda: tables_of(OnlineGrouping(K, S, M, THETA).routing(keyed(keys)))
+
+    def last_on_ties(fixed, amounts, loads):
+        loads, chosen = list(loads), []
+        for worker, amount in zip(fixed, amounts):
+            if worker < 0:
+                worker = max(w for w, load in enumerate(loads) if load == min(loads))
+            loads[worker] += amount
+            chosen.append(worker)
+        return chosen
+
+    with monkeypatch.context() as patch:
+        patch.setattr(placement, "greedy", last_on_ties)
+        assert routed() != want
+
+    def threshold_again(counts, is_heavy, bucket_of, by=(), key="key"):
+        merged = counts.where(is_heavy).groupBy(*by, key).agg(F.sum("cnt").alias("cnt"))
+        return whole(merged, F.col("cnt") >= THETA * M * S, bucket_of, by, key)
+
+    whole = sketches.items_from_counts
+    with monkeypatch.context() as patch:
+        patch.setattr(sketches, "items_from_counts", threshold_again)
+        assert routed() != want
+    assert routed() == want
