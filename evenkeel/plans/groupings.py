@@ -66,7 +66,9 @@ class TwoChoiceGrouping:
 
     def assign(self, df: DataFrame, initial: DataFrame | None = None, first_pos: int = 0) -> DataFrame:
         staged, chosen = self._run(df, initial, first_pos)
-        routed = staged.join(chosen.select("source", "chunk", "chosen"), ["source", "chunk"])
+        # Four bytes per row on the right: hashed per partition, and the rows need no sort.
+        answers = chosen.select("source", "chunk", "chosen").hint("shuffle_hash")
+        routed = staged.join(answers, ["source", "chunk"])
         given = [c for c in df.columns if c != "source"]
         return routed.select(*given, "source", F.col("chosen")[F.col("_offset")].alias("worker"))
 
@@ -90,8 +92,10 @@ class TwoChoiceGrouping:
             "_offset", F.pmod(place, F.lit(self.chunk_rows)).cast("int")
         )
         first, second = (key_hash(df, self.k, member=i)("key") for i in range(2))
-        packed = pack_choice(F.col("_offset"), first, second, self.k)
-        chunks = staged.groupBy("source", "chunk").agg(F.collect_list(packed).alias("ops"))
+        packed = pack_choice(F.col("_offset"), first, second, self.k).alias("_op")
+        # Lists do not shrink before a shuffle, so single numbers are moved and listed after it.
+        moved = staged.select("source", "chunk", packed).repartition("source", "chunk")
+        chunks = moved.groupBy("source", "chunk").agg(F.collect_list("_op").alias("ops"))
         count = (last_pos - first_pos) // self.chunk_rows + 1
         return staged, carry_loads(chunks, self.k, count, initial)
 

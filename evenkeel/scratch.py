@@ -44,11 +44,12 @@ def pin(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 
 
 def broadcast_within(df: DataFrame, rows: float | None) -> DataFrame:
-    """Broadcast ``df`` if ``rows``, a proven bound on its size, allows it.
+    """Mark the small side of a join by ``rows``, a proven bound on its size.
 
-    Beyond the limit the table is written, so that Catalyst decides by its true size; without
-    a bound the decision is left to Catalyst as it is.
+    Within the limit it is broadcast. Beyond it both sides shuffle and it is the side hashed in
+    memory, a partition at a time, so the large side is at least not sorted. Without a bound
+    the choice is Catalyst's.
     """
     if rows is None:
         return df
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else pin(df, "lookup")
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("shuffle_hash")
