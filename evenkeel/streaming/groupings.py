@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from evenkeel.operators import placement, shape
 from evenkeel.operators.metrics import balance, period_worker_load, worker_load
-from evenkeel.operators.routing import compare_tables, keyed_state
+from evenkeel.operators.routing import compare_tables
 from evenkeel.plans.groupings import Grouping, HashGrouping, LearnedGrouping, OnlineGrouping, TwoChoiceGrouping
 from evenkeel.streaming.store import BatchStore
 from evenkeel.streaming.windows import PeriodBuffer
@@ -302,11 +302,6 @@ def final_balance(routed: DataFrame, grouping: Grouping) -> DataFrame:
     return balance(worker_load(routed, grouping.k), grouping.k)
 
 
-def stream_worker_state(routed: DataFrame) -> DataFrame:
-    """State kept on each worker once the routed rows are in."""
-    return keyed_state(routed)
-
-
 def batch_delays(query: StreamingQuery, spark: SparkSession) -> DataFrame:
     """Durations of a query's recent micro-batches, one source: ``(source, period, delay_us)``."""
     rows = [
