@@ -127,3 +127,14 @@ def test_large_keys_survive_placement(spark):
         ("bucket", 1, 1),
         ("bucket", 0, 1),
     }
+
+
+def test_murmur_workers_are_in_range_repeatable_and_even(spark):
+    rows = spark.range(4000).withColumnRenamed("id", "key")
+    once = HashGrouping(8, murmur=True).assign(rows)
+    counts = {r["worker"]: r["count"] for r in once.groupBy("worker").count().collect()}
+    assert set(counts) == set(range(8)) and all(400 < n < 600 for n in counts.values())
+    assert once.exceptAll(HashGrouping(8, murmur=True).assign(rows.repartition(3))).count() == 0
+    pair = rows.select(hashing.murmur_candidates(F.col("key"), 8).alias("c"))
+    same = pair.where(F.col("c")[0] == F.col("c")[1]).count()
+    assert 350 < same < 650
