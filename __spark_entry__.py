@@ -31,6 +31,13 @@ from evenkeel.scratch import new_folder, pin
 from evenkeel.sources import generated, records, sinks
 from evenkeel.streaming import groupings as streams
 
+# The operators for training data are optional: both may be missing, and only here is that met.
+try:
+    import corpus_pipeline
+    from evenkeel.llm import queries as llm
+except ImportError:
+    corpus_pipeline = llm = None
+
 HASH = HashGrouping(o.K)
 TWO_CHOICE = TwoChoiceGrouping(o.K, o.S)
 DKG = LearnedGrouping(o.K, o.DKG_THETA, o.FACTOR, o.LEARN, skip=o.SKIP)
@@ -296,6 +303,13 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = _grouping_queries()
+    if llm:
+        found |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
+    return found
+
+
+def _grouping_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     rows_of = lambda g, source: lambda s, d: g.assign(source(s, d))
     worker_of = lambda g, source: lambda s, d: g.assign(source(s, d)).select("seq", "key", "worker")
     frequent = lambda mode, eps: lambda s, d: sketches.heavy_hitters(staged(s, d), o.THETA, eps, mode=mode, n=o.M)
@@ -424,4 +438,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return o.all_sql()
+    return o.all_sql() | (llm.SQL if llm else {})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,20 +12,21 @@ from pyspark.sql import functions as F
 # A derived table with more rows than this is not broadcast by hint.
 BROADCAST_ROWS = 500_000
 
-_local_folder: str | None = None
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    """The folder named in ``spark.checkpoint.dir``, which every executor must reach.
+
+    A session with executors of its own (any cluster, ``local-cluster`` too) has to name it. In
+    local mode, where driver and executors are one process, an unset one is set for the session.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    global _local_folder
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="evenkeel-")
-    return _local_folder
+    folder = tempfile.mkdtemp(prefix="evenkeel-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
