@@ -11,7 +11,8 @@ place, whether or not that one stays itself.
   without that word at the same place; a line with a word more has the other among its variants.
   A key's earliest line is the only one that matters to the others, so a key of any size gives
   one candidate per line, never its pairs.
-* **Verification.** The words of line and candidate are compared.
+* **Verification.** The words of line and candidate are compared. Keys have 64 bits; should two
+  different ones ever be equal, a line may be hidden from another, never taken for it.
 
 A line can only have a neighbour if it shares its first or its last half (to the word) with
 another, so before variants are made lines whose halves are nobody else's are put aside.
@@ -34,7 +35,7 @@ _KEY = ["h1", "h2"]
 
 
 def line_words(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(line, "\t\v\f\r", "    "), " "), "")
 
 
 def _hash_pair(*parts: Column) -> list[Column]:
@@ -52,9 +53,6 @@ def _lines(rows: DataFrame) -> DataFrame:
     return exploded.select("doc_id", "version", "line_no", line_words(F.col("line")).alias("words"))
 
 
-_PLACE = ["known", "doc_id", "version", "line_no"]
-
-
 def _place() -> Column:
     """Order of lines: nulls first, then id, place; the text's hash parts rows of one id."""
     return F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line_no", "version")
@@ -79,61 +77,57 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
     rows = _documents(docs, id_col, text_col)
     lines = _lines(rows).where(F.size("words") >= min_words)
     placed = pin(lines.select(*_hash_pair(F.col("words")), _place().alias("place"), _half_keys().alias("halves")), "lines")
-    # Halves are a function of the words, so any of a line's will do.
-    distinct = pin(placed.groupBy(*_KEY).agg(F.min("place").alias("first"), F.first("halves").alias("halves")), "distinct-lines")
 
-    by_half = distinct.select(*_KEY, F.explode("halves").alias("half"))
+    # Halves of two different lines at least; copies of one line do not count.
+    by_half = placed.select(*_KEY, "place", F.explode("halves").alias("half"))
     shared = by_half.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
-    close = by_half.join(within(pin(shared, "shared-halves"), 40), "half", "left_semi").select(*_KEY).distinct()
-    close = pin(distinct.select(*_KEY, "first").join(close, _KEY, "left_semi"), "close-lines")
+    close = by_half.join(within(pin(shared, "shared-halves"), 40), "half", "left_semi").groupBy(*_KEY).agg(F.min("place").alias("first"))
+    # Ranges of first places in ascending order, so that a row's number is its place in that
+    # order; written with it, as reading deals files out anew.
+    ranged = close.repartitionByRange("first").sortWithinPartitions("first")
+    close = pin(ranged.select(*_KEY, F.monotonically_increasing_id().alias("id"), "first.doc_id", "first.version", "first.line_no"), "close-lines")
     near = _shadowed(rows, close)
 
-    rest = distinct.select(*_KEY, "first").join(within(near, 64), _KEY, "left")
-    decided = rest.select(*_KEY, "first", F.coalesce("shadowed", F.lit(False)).alias("shadowed"))
-    # Of lines that occur once and have no neighbour nothing goes.
-    again = placed.select(*_KEY, "place").join(decided, _KEY).where(F.col("shadowed") | (F.col("place") != F.col("first")))
-    return again.select("place.doc_id", "place.version", "place.line_no")
+    # Only lines that occur again or have an earlier neighbour are looked at further.
+    again = placed.groupBy(*_KEY).agg(F.min("place").alias("first"), F.count("*").alias("n")).join(within(near, 64), _KEY, "left")
+    again = again.where("n > 1 OR shadowed").select(*_KEY, "first", F.coalesce("shadowed", F.lit(False)).alias("shadowed"))
+    looked = placed.select(*_KEY, "place").join(within(pin(again, "repeated-lines"), 96), _KEY)
+    return looked.where(F.col("shadowed") | (F.col("place") != F.col("first"))).select("place.doc_id", "place.version", "place.line_no")
 
 
 def _shadowed(rows: DataFrame, close: DataFrame) -> DataFrame:
     """``(h1, h2, shadowed)`` of distinct lines with an earlier line within one word."""
-    # The words of these lines, from the place where each occurs first.
-    wanted = close.select(*_KEY, "first", "first.doc_id", "first.version", "first.line_no")
-    marks = pin(wanted, "wanted-lines")
-    texts = rows.alias("r").join(
-        within(pin(marks.select("doc_id", "version").distinct(), "wanted-docs"), 56).alias("d"),
-        F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.version") == F.col("d.version")), "left_semi",
-    )
-    spoken = _lines(texts).distinct().alias("l")
-    m = within(marks, 96).alias("m")
-    same = F.col("l.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("l.version") == F.col("m.version")) & (F.col("l.line_no") == F.col("m.line_no"))
-    lines = pin(spoken.join(m, same).select("m.h1", "m.h2", "m.first", "l.words"), "close-words")
+    # Their words, from the place where each occurs first.
+    named = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.version") == F.col(f"{b}.version"))
+    wanted = within(pin(close.select("doc_id", "version").distinct(), "wanted-docs"), 56)
+    texts = rows.alias("r").join(wanted.alias("d"), named("r", "d"), "left_semi")
+    spoken, m = _lines(texts).alias("l"), within(close, 96).alias("m")
+    found = spoken.join(m, named("l", "m") & (F.col("l.line_no") == F.col("m.line_no"))).select("m.id", "l.words")
+    lines = pin(found.dropDuplicates(["id"]), "close-words")
 
     n, words = F.size("words"), F.col("words")
-    without = lambda i: F.concat(F.slice(words, 1, i - 1), F.slice(words, i + 1, F.greatest(n - i, F.lit(0))))
-    spread = lines.select("h1", "h2", "first", "words", F.explode(F.sequence(F.lit(0), n)).alias("at"))
-    key = F.when(F.col("at") == 0, words).otherwise(without(F.col("at")))
-    variants = spread.select("h1", "h2", "first", "at", F.xxhash64(key).alias("v1"), F.xxhash64(F.lit(0x5BD1E995), key).alias("v2"))
-    variants = pin(variants, "variants")
-
-    me = F.struct("first", "h1", "h2", "at")
-    by_place = variants.groupBy("v1", "v2", "at").agg(F.min(me).alias("best"))
-    # A whole line against the variants of lines with one word more, and the other way round.
-    by_key = by_place.groupBy("v1", "v2").agg(
-        F.min(F.when(F.col("at") == 0, F.col("best"))).alias("whole"), F.min(F.when(F.col("at") > 0, F.col("best"))).alias("cut")
-    )
-    across = by_key.where("whole IS NOT NULL AND cut IS NOT NULL")
-    exchanged = variants.where("at > 0").join(by_place.where("at > 0"), ["v1", "v2", "at"]).where("best.first < first")
-    moved = variants.join(across, ["v1", "v2"]).withColumn("best", F.when(F.col("at") == 0, F.col("cut")).otherwise(F.col("whole"))).where("best.first < first")
-    names = ["h1", "h2", "at", "best.at AS other_at", "best.h1 AS o1", "best.h2 AS o2"]
-    pairs = exchanged.selectExpr(*names).unionByName(moved.selectExpr(*names)).distinct()
-
-    mine = lines.select("h1", "h2", "words")
-    theirs = lines.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("words").alias("others"))
-    checked = pairs.join(mine, _KEY).join(theirs, ["o1", "o2"])
     left_out = lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.slice(w, 1, F.greatest(i - 1, F.lit(0))), F.slice(w, i + 1, F.greatest(F.size(w) - i, F.lit(0)))))
-    equal = left_out(F.col("words"), F.col("at")) == left_out(F.col("others"), F.col("other_at"))
-    return pin(checked.where(equal).select(*_KEY).distinct().withColumn("shadowed", F.lit(True)), "shadowed")
+    spread = lines.select("id", "words", F.explode(F.sequence(F.lit(0), n)).alias("at"))
+    variants = pin(spread.select("id", "at", F.xxhash64(left_out(words, F.col("at"))).alias("v")), "variants")
+
+    # The earliest line of each key. A key of one line has nothing to say.
+    by_place = variants.groupBy("v", "at").agg(F.min("id").alias("best"), F.max("id").alias("last"))
+    by_place = pin(by_place, "variant-places")
+    exchanged = by_place.where("at > 0 AND best < last").select("v", "at", "best")
+    # A whole line against the variants of lines with one word more, and the other way round.
+    cut = by_place.where("at > 0").groupBy("v").agg(F.min(F.struct("best", "at")).alias("cut"))
+    across = cut.join(by_place.where("at = 0").select("v", F.col("best").alias("whole")), "v")
+    same = variants.join(within(pin(exchanged, "exchanged"), 48), ["v", "at"]).where("best < id").select("id", "at", "best", F.col("at").alias("best_at"))
+    moved = variants.join(within(pin(across, "across"), 64), "v")
+    shorter = moved.where("at > 0 AND whole < id").select("id", "at", F.col("whole").alias("best"), F.lit(0).alias("best_at"))
+    longer = moved.where("at = 0 AND cut.best < id").select("id", "at", F.col("cut.best").alias("best"), F.col("cut.at").alias("best_at"))
+    pairs = same.unionByName(shorter).unionByName(longer).distinct()
+
+    theirs = lines.select(F.col("id").alias("best"), F.col("words").alias("others"))
+    checked = pairs.join(lines, "id").join(theirs, "best")
+    equal = left_out(words, F.col("at")) == left_out(F.col("others"), F.col("best_at"))
+    late = checked.where(equal).select("id").distinct()
+    return pin(close.join(late, "id").select(*_KEY, F.lit(True).alias("shadowed")), "shadowed")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
