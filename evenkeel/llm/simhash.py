@@ -73,7 +73,7 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     lanes = -len(fps) % 64
     padded = np.concatenate([fps, np.zeros(lanes, np.uint64)])
     bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u8")
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
 def near(planes: np.ndarray, n: int, query: int, radius: int) -> np.ndarray:
