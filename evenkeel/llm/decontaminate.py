@@ -57,6 +57,12 @@ def hashed(rows: DataFrame, key: str, width: int) -> DataFrame:
     return words.select(key, F.explode(shingle_hashes(F.col("words"), width)).alias("h"))
 
 
+def spoken(rows: DataFrame, key: str, width: int) -> DataFrame:
+    """``(key, shingle)``: the same with the words themselves. Texts are split once, as a column."""
+    words = rows.select(key, word_list(F.col("text")).alias("words"))
+    return words.select(key, F.explode(shingle_texts(F.col("words"), width)).alias("shingle"))
+
+
 def sketches(items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
     """``(item_id, h)``: of each item the lowest hashes that its size class asks for."""
     sets = hashed(items, "item_id", width).groupBy("item_id").agg(F.array_sort(F.collect_set("h")).alias("hs"))
@@ -78,8 +84,8 @@ def contaminated(
     pairs = pin(found.select("doc_id", "item_id").distinct(), "candidates")
     # Whole shingles, as text, of the candidates alone.
     held = docs.join(within(pin(pairs.select("doc_id").distinct(), "candidate-ids"), 40), "doc_id")
-    theirs = held.select("doc_id", F.explode(shingle_texts(word_list(F.col("text")), width)).alias("shingle"))
-    asked = items.select("item_id", F.explode(shingle_texts(word_list(F.col("text")), width)).alias("shingle")).distinct()
+    theirs = spoken(held, "doc_id", width)
+    asked = spoken(items, "item_id", width).distinct()
     asked = pin(asked, "item-shingles")
     sizes = asked.groupBy("item_id").agg(F.count("*").alias("n_item"))
     shared = theirs.join(within(asked, 200), "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
