@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 from evenkeel.llm.shared import chosen_columns, grouped_by_size, per_process, sample_rows, with_sample
 
 BLOCK_CHARS = 4 << 20
-CACHED = 1_000_000
+CACHED = 400_000
 
 
 class CachedEncoder:
@@ -71,8 +71,8 @@ class CachedEncoder:
         # A comma or full stop after a letter is always a token of its own.
         marked = [p for p in new if p[-1:] in (".", ",") and p[-2:-1].isalpha()]
         plain = list((new.difference(marked) | {p[:-1] for p in marked} | {".", ","}) - cache.keys())
-        for at in range(0, len(plain), 50_000):
-            part = plain[at : at + 50_000]
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
             found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             owner = np.array(found.word_ids, np.int64)
             ends = np.cumsum(np.bincount(owner, minlength=len(part))).tolist()
