@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from evenkeel.llm.shared import chosen_columns, utf8_of
 from evenkeel.scratch import pin
 
-CELLS = 1 << 22
+CELLS = 1 << 21
 ALPHA = 0.4
 LEAST = 2
 _SPACE = np.zeros(256, bool)
@@ -86,11 +86,14 @@ def lm_scores(docs: DataFrame, cells: int = CELLS, alpha: float = ALPHA, least:
     """``(doc_id, n_words, n_backoff, score)``, ``score`` being the mean natural logarithm."""
     spark = docs.sparkSession
     docs = chosen_columns(docs, id_col, text_col).withColumn("text", F.lower("text"))
-    table = docs.mapInArrow(_counted(cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    single = np.zeros(cells, np.float32)  # as logarithms: at most 4 bytes a cell
-    total = float(table["n"].sum())
-    if len(table):
-        single[table["cell"].to_numpy()] = np.log(table["n"].to_numpy())
+    counts = docs.mapInArrow(_counted(cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = pin(counts, "word-cells")
+    total = float(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    # At most 8 bytes for each cell reach the driver, and 4 go to the executors.
+    table = counts.select(F.col("cell").cast("int"), F.ln("n").cast("float").alias("n")).toArrow()
+    single = np.zeros(cells, np.float32)
+    single[table.column("cell").to_numpy()] = table.column("n").to_numpy()
+    del table
     shared = spark.sparkContext.broadcast(single)
     start = float(np.log(alpha) - np.log(max(total, 1.0)))
 
