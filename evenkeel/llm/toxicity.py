@@ -76,10 +76,11 @@ class Model:
         # Only features of several documents can be told from chance, and only upwards: a word
         # is evidence of toxicity or none, so clean sentences all have the bias's probability.
         used, column = np.unique(features, return_inverse=True)
-        column = column.reshape(features.shape)
-        docs = np.unique(np.stack([np.repeat(owner[sentence], features.shape[1]), column.ravel()]), axis=1)[1]
-        open_ = np.bincount(docs, minlength=len(used)) >= min_df
-        w, flat, wide = np.zeros(len(used)), column.ravel(), features.shape[1]
+        column = column.reshape(features.shape).astype(np.int32)
+        once = np.unique(np.repeat(owner[sentence], features.shape[1]) * np.int64(len(used)) + column.ravel())
+        open_ = np.bincount(once % max(len(used), 1), minlength=len(used)) >= min_df
+        del once, features
+        w, flat, wide = np.zeros(len(used)), column.ravel(), column.shape[1]
         m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
         for t in range(1, steps + 1):
             z = np.bincount(sentence, w[column].sum(1), minlength=len(owner)) + self.bias
@@ -108,7 +109,7 @@ class Model:
         before = np.r_[0, np.cumsum(counts)[:-1]]
         return (
             np.concatenate([f for f, _, _ in parts]),
-            np.concatenate([s + b for (_, s, _), b in zip(parts, before)]).astype(np.int64),
+            np.concatenate([s + np.int32(b) for (_, s, _), b in zip(parts, before)]),
             np.repeat(np.arange(len(parts)), counts),
         )
 
@@ -159,7 +160,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1200) -> Model | None:
     """A model from at most ``per_label`` rows of each label, those whose id hashes lowest."""
     known = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", (F.col("label").cast("int") > 0).cast("int").alias("label"))
     kinds = [sample_rows(known.where(F.col("label") == k), per_label) for k in (0, 1)]
@@ -169,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> Model | No
     if pdf["label"].nunique() < 2:
         return None
     wide = 1 + len(PREFIXES)
-    parts = [(np.asarray(f, np.int64).reshape(-1, wide), np.asarray(s, np.int64), n) for f, s, n in zip(pdf["features"], pdf["sentence"], pdf["n"])]
+    parts = [(np.asarray(f, np.int32).reshape(-1, wide), np.asarray(s, np.int32), n) for f, s, n in zip(pdf["features"], pdf["sentence"], pdf["n"])]
     return Model(parts, pdf["label"].to_numpy())
 
 
