@@ -27,8 +27,8 @@ from tokenizers import Tokenizer
 
 from evenkeel.llm.shared import chosen_columns, grouped_by_size, per_process
 
-BLOCK_CHARS = 4 << 20
-CACHED = 300_000
+BLOCK_CHARS = 2 << 20
+CACHED = 100_000
 END = "</w>"
 # The tokenizer file's splitting pattern; it must equal the file's.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -49,9 +49,7 @@ class TrieEncoder:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = [""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
-        for t, i in [*self.vocab.items(), *self.special.items()]:
-            self.tokens[i] = t
+        self.tokens = _tokens(path)
         size = len(self.tokens)
         self.left, self.right, self.born = [-1] * size, [-1] * size, [-1] * size
         self.rank: dict[int, int] = {}
@@ -138,7 +136,7 @@ class TrieEncoder:
                 at -= len(tokens[t])
             out[word] = ids[::-1]
             before = word
-        if len(self.beside) > 1 << 20:
+        if len(self.beside) > 1 << 18:
             self.beside.clear()
         return out
 
@@ -206,11 +204,22 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     return chosen_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def _tokens(path: str) -> list[str]:
+    """The vocabulary's tokens by id; decoding needs no more."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    tokens = [""] * (max(ids.values()) + 1)
+    for t, i in ids.items():
+        tokens[i] = t
+    return tokens
+
+
 def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """``(doc_id, ids, decoded)``: the tokens of the ids with a space between, special ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _encoder(tokenizer).tokens
+        tokens = per_process(("tokens", tokenizer), lambda: _tokens(tokenizer))
         for batch in batches:
             ids = batch.column("ids").fill_null([])
             flat = ids.flatten().to_pylist()
