@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 from evenkeel.llm.shared import chosen_columns, grouped_by_size, per_process
 
 BLOCK_CHARS = 2 << 20
-CACHED = 100_000
+CACHED = 250_000
 END = "</w>"
 # The tokenizer file's splitting pattern; it must equal the file's.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -136,7 +136,7 @@ class TrieEncoder:
                 at -= len(tokens[t])
             out[word] = ids[::-1]
             before = word
-        if len(self.beside) > 1 << 18:
+        if len(self.beside) > 1 << 19:
             self.beside.clear()
         return out
 
@@ -220,12 +220,15 @@ def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = per_process(("tokens", tokenizer), lambda: _tokens(tokenizer))
-        for batch in batches:
-            ids = batch.column("ids").fill_null([])
-            flat = ids.flatten().to_pylist()
-            at = np.r_[0, np.cumsum(ids.value_lengths().to_numpy())].tolist()
-            text = [" ".join(map(tokens.__getitem__, flat[a:b])) for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(text, pa.string())], names=["doc_id", "ids", "decoded"])
+        for whole in batches:
+            # Ids become Python numbers one document at a time, and text leaves some hundred at a time.
+            for first in range(0, whole.num_rows, 500):
+                batch = whole.slice(first, 500)
+                ids = batch.column("ids").fill_null([])
+                flat = ids.flatten().to_numpy()
+                at = np.r_[0, np.cumsum(ids.value_lengths().to_numpy())].tolist()
+                text = [" ".join(map(tokens.__getitem__, flat[a:b].tolist())) for a, b in zip(at, at[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(text, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
