@@ -127,7 +127,7 @@ class Model:
         return self._softmax(total / np.maximum(number, 1)[:, None] / self.temperature)
 
 
-def fit(docs: DataFrame, per_lang: int = 1500, most: int = 6000) -> Model | None:
+def fit(docs: DataFrame, per_lang: int = 500, most: int = 2000) -> Model | None:
     """A model from about ``per_lang`` rows of each language, ``most`` in all, lowest hashes first.
 
     ``docs`` has ``doc_id``, ``text`` and ``lang``; rows without an id or language are left out.
