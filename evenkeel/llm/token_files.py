@@ -18,6 +18,7 @@ rows that repeat an id stand next to each other, ordered by text; extra columns
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,35 +32,44 @@ from tokenizers import Tokenizer
 
 from evenkeel.llm.shared import chosen_columns, grouped_by_size, per_process, sample_rows, with_sample
 
-BLOCK_CHARS = 4 << 20
-CACHED = 400_000
+BLOCK_CHARS = 2 << 20
+CACHED = 500_000
+# Two blanks next to each other, in Python's sense, which includes the tokenizer's.
+_BLANKS = re.compile(r"\s\s")
+_MARKS = ".,;:!?&#*$%"
 
 
 class CachedEncoder:
-    """A tokenizer of the byte-level kind, asked once for each piece of text between spaces.
+    """A tokenizer of the byte-level kind, asked once for each piece of text between blanks.
 
     Its splitting rule ends a token before every space that another sort of character follows,
-    so such pieces, each with its leading space, are encoded independently of their neighbours.
+    and before and after a lone line break, so the pieces between are encoded independently of
+    their neighbours. A piece is kept under a key: what follows a space without that space, what
+    follows a line break with it, anything else in a tuple.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str | tuple[str], bytes] = {}
+        # A break in front makes a text's first word like any other line's.
+        self.front = len(self.tokenizer.encode("\n", add_special_tokens=False).ids) * self.dtype.itemsize
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The text cut at spaces, joined again where no other character follows the space."""
+    def pieces(text: str) -> list[str | tuple[str]]:
+        """Keys of a text with a line break put before it."""
+        broken = "\n" + text
+        if not _BLANKS.search(broken):
+            return broken.replace("\n", " \n")[1:].split(" ")
         parts = text.split(" ")
-        if "" not in parts and not any(p[0].isspace() for p in parts):
-            return [parts[0], *(" " + p for p in parts[1:])]
         out = [parts[0]]
         for p in parts[1:]:
-            if p and not p[0].isspace() and p[0] not in "\x1c\x1d\x1e\x1f":
+            # Joined again where no other character follows the space.
+            if p and not p[0].isspace():
                 out.append(" " + p)
             else:
                 out[-1] += " " + p
-        return out
+        return ["\n", *(p[1:] if p[:1] == " " and p[1:2] != "\n" else (p,) for p in out)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Serialized ids of each text."""
@@ -67,22 +77,31 @@ class CachedEncoder:
         if len(self.cache) > CACHED:
             self.cache.clear()
         cache = self.cache
-        new = {p for pieces in cut for p in pieces} - cache.keys()
-        # A comma or full stop after a letter is always a token of its own.
-        marked = [p for p in new if p[-1:] in (".", ",") and p[-2:-1].isalpha()]
-        plain = list((new.difference(marked) | {p[:-1] for p in marked} | {".", ","}) - cache.keys())
+        new = set().union(*cut).difference(cache)
+        # Marks after a letter are tokens of their own.
+        marked = {}
+        for k in new:
+            if type(k) is str and k[-1:] in _MARKS and "<|" not in k:
+                head = k.rstrip(_MARKS)
+                if head[-1:].isalpha():
+                    marked[k] = head, (k[len(head) :],)
+        asked = new.difference(marked)
+        for pair in marked.values():
+            asked.update(pair)
+        plain = list(asked.difference(cache))
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            words = [k[0] if type(k) is tuple else k if k[:1] == "\n" else " " + k for k in part]
+            found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
             owner = np.array(found.word_ids, np.int64)
             ends = np.cumsum(np.bincount(owner, minlength=len(part))).tolist()
             data, width, start = np.array(found.ids, self.dtype).tobytes(), self.dtype.itemsize, 0
-            for p, end in zip(part, ends):
-                cache[p] = data[start * width : end * width]
+            for k, end in zip(part, ends):
+                cache[k] = data[start * width : end * width]
                 start = end
-        for p in marked:
-            cache[p] = cache[p[:-1]] + cache[p[-1]]
-        return [b"".join(map(cache.__getitem__, pieces)) for pieces in cut]
+        for k, (head, tail) in marked.items():
+            cache[k] = cache[head] + cache[tail]
+        return [b"".join(map(cache.__getitem__, c))[self.front :] for c in cut]
 
 
 def _encoder(path: str) -> CachedEncoder:
