@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from evenkeel.llm.bpe import byte_letters
 from evenkeel.llm.shared import chosen_columns, grouped_by_size, per_process, sample_rows, with_sample
 
 BLOCK_CHARS = 2 << 20
@@ -37,6 +39,8 @@ CACHED = 500_000
 # Two blanks next to each other, in Python's sense, which includes the tokenizer's.
 _BLANKS = re.compile(r"\s\s")
 _MARKS = ".,;:!?&#*$%"
+# From here on versions of Unicode may differ on what a letter is; the tokenizer is asked.
+_OTHER = "\u0530"
 
 
 class CachedEncoder:
@@ -53,7 +57,10 @@ class CachedEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str | tuple[str], bytes] = {}
         # A break in front makes a text's first word like any other line's.
-        self.front = len(self.tokenizer.encode("\n", add_special_tokens=False).ids) * self.dtype.itemsize
+        self.broken = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, self.dtype).tobytes()
+        self.front = len(self.broken)
+        self.model, self.code = self.tokenizer.model, "H" if self.dtype.itemsize == 2 else "I"
+        self.letters = dict(enumerate(byte_letters()))
 
     @staticmethod
     def pieces(text: str) -> list[str | tuple[str]]:
@@ -71,36 +78,55 @@ class CachedEncoder:
                 out[-1] += " " + p
         return ["\n", *(p[1:] if p[:1] == " " and p[1:2] != "\n" else (p,) for p in out)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Serialized ids of each text."""
-        cut = [self.pieces(t) for t in texts]
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        cache = self.cache
-        new = set().union(*cut).difference(cache)
-        # Marks after a letter are tokens of their own.
-        marked = {}
-        for k in new:
-            if type(k) is str and k[-1:] in _MARKS and "<|" not in k:
-                head = k.rstrip(_MARKS)
-                if head[-1:].isalpha():
-                    marked[k] = head, (k[len(head) :],)
-        asked = new.difference(marked)
-        for pair in marked.values():
-            asked.update(pair)
-        plain = list(asked.difference(cache))
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
+    def _word(self, word: str, before: str = "Ġ") -> bytes:
+        """Ids of letters alone (after a space), which the splitting rule keeps together."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(before + shown)]).tobytes()
+
+    def _ask(self, keys: list[str | tuple[str]]) -> None:
+        """Put what the tokenizer makes of any keys into the cache."""
+        for at in range(0, len(keys), 20_000):
+            part = keys[at : at + 20_000]
             words = [k[0] if type(k) is tuple else k if k[:1] == "\n" else " " + k for k in part]
             found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
             owner = np.array(found.word_ids, np.int64)
             ends = np.cumsum(np.bincount(owner, minlength=len(part))).tolist()
             data, width, start = np.array(found.ids, self.dtype).tobytes(), self.dtype.itemsize, 0
             for k, end in zip(part, ends):
-                cache[k] = data[start * width : end * width]
+                self.cache[k] = data[start * width : end * width]
                 start = end
-        for k, (head, tail) in marked.items():
-            cache[k] = cache[head] + cache[tail]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Serialized ids of each text."""
+        cut = [self.pieces(t) for t in texts]
+        if len(self.cache) > CACHED:
+            self.cache.clear()
+        cache = self.cache
+        odd, marked = set(), []
+        for k in set().union(*cut).difference(cache):
+            if type(k) is tuple:
+                odd.add(k)
+                continue
+            head = k.rstrip(_MARKS)
+            word = head[1:] if head[:1] == "\n" else head
+            if not (word.isalpha() and (word.isascii() or max(word) < _OTHER)):
+                # Marks after a letter are tokens of their own.
+                if len(head) < len(k) and head[-1:].isalpha() and "<|" not in k:
+                    odd.update((head, (k[len(head) :],)))
+                    marked.append((k, head))
+                else:
+                    odd.add(k)
+                continue
+            if head not in cache:
+                cache[head] = self._word(word) if word is head else self.broken + self._word(word, "")
+            if len(head) < len(k):
+                tail = (k[len(head) :],)
+                if tail not in cache:
+                    self._ask([tail])
+                cache[k] = cache[head] + cache[tail]
+        self._ask([k for k in odd if k not in cache])
+        for k, head in marked:
+            cache[k] = cache[head] + cache[k[len(head) :],]
         return [b"".join(map(cache.__getitem__, c))[self.front :] for c in cut]
 
 
