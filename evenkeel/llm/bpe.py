@@ -168,6 +168,11 @@ class TrieEncoder:
             at = m.end()
         return [*out, *self.split(piece[at:])]
 
+    def forget(self) -> None:
+        """Give up what was kept of earlier texts; the vocabulary stays."""
+        self.pieces = {"": b""}
+        self.beside.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 4-byte integers."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
@@ -200,6 +205,8 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 values = pa.array(np.frombuffer(b"".join(found), "<i4"))
                 ids = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), values).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), ids], names=["doc_id", "ids"])
+        # The worker process may wait idle while other stages need its executor's memory.
+        encoder.forget()
 
     return chosen_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
