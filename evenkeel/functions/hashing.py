@@ -63,7 +63,7 @@ def murmur_hash(col: Column, k: int, seed: int = MURMUR_SEED) -> Column:
 
 @dataclass(frozen=True)
 class KeyHash:
-    """A member of the hash family for one key type: call it on a column."""
+    """A member of the hash family for one key type: call it on a column. A NULL key falls into bucket 0."""
 
     k: int
     a: int = COEFFICIENTS[0][0]
@@ -74,7 +74,7 @@ class KeyHash:
     def __call__(self, col: Column | str) -> Column:
         col = F.col(col) if isinstance(col, str) else col
         make = cw_hash_str if self.strings else cw_hash
-        return make(col, self.k, self.a, self.b, self.p)
+        return F.coalesce(make(col, self.k, self.a, self.b, self.p), F.lit(0))
 
 
 def key_hash(df: DataFrame, k: int, key: str = "key", member: int = 0) -> KeyHash:

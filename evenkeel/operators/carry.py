@@ -83,13 +83,17 @@ def _run(chunks: DataFrame, starts: DataFrame, k: int) -> DataFrame:
         row = pdf.iloc[0]
         start = np.asarray(row["start"], dtype=np.int64)
         in_order = np.sort(np.asarray(row["ops"], dtype=np.int64))
-        chosen, added, room = two_choice_kernel(in_order & ((1 << _CODE_BITS) - 1), start, k)
+        found, added, room = two_choice_kernel(in_order & ((1 << _CODE_BITS) - 1), start, k)
+        # By place, not by rank: numbers may be missing.
+        place = in_order >> _CODE_BITS
+        chosen = np.full(int(place[-1]) + 1 if len(place) else 0, -1, np.int32)
+        chosen[place] = found
         return pd.DataFrame(
             {
                 "source": [row["source"]],
                 "chunk": [row["chunk"]],
                 "start": [start],
-                "chosen": [chosen.astype(np.int32)],
+                "chosen": [chosen],
                 "added": [added],
                 "room": [room],
             }

@@ -15,9 +15,14 @@ BLOCK_STEPS = 100_000
 
 
 def worker_load(routed: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """Rows per worker, workers without rows included: ``(*by, worker, load)``."""
+    """Rows per worker, workers without rows included: ``(*by, worker, load)``.
+
+    The query fails on a worker that is NULL or not in 0..k-1: no row is left out silently.
+    """
     counts = routed.groupBy(*by, "worker").agg(F.count("*").alias("load"))
-    return fill_zero(counts, "worker", k, by, "load")
+    wrong = F.raise_error(F.concat(F.lit(f"worker not in 0..{k - 1}: "), F.coalesce(F.col("worker").cast("string"), F.lit("NULL"))))
+    known = F.when(F.col("worker").between(0, k - 1), F.col("worker")).otherwise(wrong)
+    return fill_zero(counts.withColumn("worker", known), "worker", k, by, "load")
 
 
 def average_load(total: Column, k: int) -> Column:

@@ -47,11 +47,6 @@ def least_loaded(loads: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return loads.groupBy(*by).agg(F.min_by("worker", F.struct("load", "worker")).alias("worker"))
 
 
-def least_loaded_slot(loads: Column) -> Column:
-    """Index of the least element of a load array, the first one on ties."""
-    return (F.array_position(loads, F.array_min(loads)) - 1).cast("int")
-
-
 def top_heavy(merged: DataFrame, n: int | None = None) -> DataFrame:
     """Merged heavy keys by count, largest first; with ``n`` a distributed top-n."""
     ordered = merged.orderBy(F.desc("cnt"), *[c for c in merged.columns if c != "cnt"])
@@ -80,22 +75,23 @@ def place_lpt(items: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     """Longest processing time first: items by count, each to the least loaded worker.
 
     Ties: buckets before heavy keys, buckets by falling number, keys rising; of equally loaded
-    workers the lowest. Adds ``worker``.
+    workers the lowest; a NULL key is the last. Adds ``worker``.
     """
-    whole = items.withColumns({c: _present(items, c) for c in ("key", "bucket")})
+    whole = items.withColumns({"_null": F.col("key").isNull(), **{c: _present(items, c) for c in ("key", "bucket")}})
     schema = T.StructType([*whole.schema.fields, T.StructField("worker", T.IntegerType())])
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > MAX_ITEMS:
             raise ValueError(f"{len(pdf)} items in one placement: raise theta")
-        pdf = pdf.sort_values(["cnt", "kind", "bucket", "key"], ascending=[False, True, False, True])
+        pdf = pdf.sort_values(["cnt", "kind", "bucket", "_null", "key"], ascending=[False, True, False, True, True])
         return pdf.assign(worker=greedy([-1] * len(pdf), pdf["cnt"].tolist(), [0] * k))
 
     is_heavy = F.col("kind") == "heavy"
     return (
         whole.groupBy(*by).applyInPandas(place, schema)
-        .withColumn("key", F.when(is_heavy, F.col("key")))
+        .withColumn("key", F.when(~F.col("_null"), F.col("key")))
         .withColumn("bucket", F.when(~is_heavy, F.col("bucket")))
+        .drop("_null")
     )
 
 
@@ -109,16 +105,17 @@ def split_maps(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _place_in_order(items: DataFrame, k: int, loads: Sequence[int]) -> DataFrame:
     """Fold the items of one chunk of periods, in order, onto ``loads``."""
     schema = T.StructType(
-        [items.schema[c] for c in ("period", "key", "cnt")] + [T.StructField("worker", T.IntegerType())]
+        [items.schema[c] for c in ("period", "key", "null_key", "cnt")] + [T.StructField("worker", T.IntegerType())]
     )
     start = list(loads)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["period", "heavy", "rank", "key"])
+        pdf = pdf.sort_values(["period", "heavy", "rank", "null_key", "key"])
         pdf = pdf.assign(worker=greedy(pdf["fixed"].tolist(), pdf["cnt"].tolist(), start))
-        return pdf.loc[pdf["heavy"] == 1, ["period", "key", "cnt", "worker"]]
+        return pdf.loc[pdf["heavy"] == 1, ["period", "key", "null_key", "cnt", "worker"]]
 
-    return items.groupBy("chunk").applyInPandas(fold, schema)
+    placed = items.groupBy("chunk").applyInPandas(fold, schema)
+    return placed.withColumn("key", F.when(~F.col("null_key"), F.col("key"))).drop("null_key")
 
 
 def place_online(
@@ -150,6 +147,7 @@ def place_online(
         "period",
         is_heavy.cast("int").alias("heavy"),
         F.when(by_load, -F.col("cnt")).otherwise(0).alias("rank"),
+        (is_heavy & F.col("key").isNull()).alias("null_key"),
         _present(items, "key").alias("key"),
         F.when(is_heavy, -1).otherwise(F.col("bucket")).alias("fixed"),
         "cnt",

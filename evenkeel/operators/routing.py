@@ -36,10 +36,11 @@ def route_online(
 
     ``routing_rows`` is a bound on the table's size; within the broadcast limit no row of the
     stream moves. Beyond it both sides shuffle on period and key, and such a group never
-    exceeds one period.
+    exceeds one period. A NULL key matches the table's NULL key.
     """
-    table = broadcast_within(routing.select(*by, key, F.col("worker").alias("_worker")), routing_rows)
-    routed = df.join(table, [*by, key], "left")
+    table = routing.select(*[F.col(c).alias(f"_{c}") for c in (*by, key)], F.col("worker").alias("_worker"))
+    same = [F.col(c) == F.col(f"_{c}") for c in by] + [F.col(key).eqNullSafe(F.col(f"_{key}"))]
+    routed = df.join(broadcast_within(table, routing_rows), same, "left")
     return routed.select(*df.columns, F.coalesce("_worker", hash_of(key)).alias("worker"))
 
 
@@ -53,12 +54,12 @@ def route_dkg(
     key: str = "key",
 ) -> DataFrame:
     """Worker of the key itself if it was placed, else of its hash bucket."""
-    heavy = broadcast_within(heavy_map.select(key, F.col("worker").alias("_h")), heavy_rows)
+    heavy = broadcast_within(heavy_map.select(F.col(key).alias("_key"), F.col("worker").alias("_h")), heavy_rows)
     buckets = broadcast_within(bucket_map.select(F.col("bucket").alias("_b"), F.col("worker").alias("_w")), bucket_rows)
     return (
         df.withColumn("_b", bucket_of(key))
         .join(buckets, "_b", "left")
-        .join(heavy, key, "left")
+        .join(heavy, F.col(key).eqNullSafe(F.col("_key")), "left")
         .select(*df.columns, F.coalesce("_h", "_w").alias("worker"))
     )
 
