@@ -6,9 +6,13 @@ logarithms. Words are lower-cased and counted in one of ``cells`` cells by hash,
 single words has a proven size, whatever the corpus; a pair of cells is one exact number, and
 pairs are counted without bound.
 
-* Pairs are exploded, made distinct within their document, and dealt out by hash once. That one
-  exchange serves the table of counts and the join with it: a pair stands once for a document,
-  so no pair holds more rows than there are documents.
+* A cell is frequent if it holds one word in ``frequent`` or more, so there are at most
+  ``frequent`` of them. Pairs of two frequent cells are counted in a table of their own, whose
+  size has that bound squared, and every task looks them up in place. This takes what is common
+  out of the exchange, and leaves no pair in it with more than one word in ``frequent``.
+* All other pairs are exploded, made distinct within their document, and dealt out by hash once.
+  That one exchange serves the table of counts and the join with it: a pair stands once for a
+  document, so no pair holds more rows than there are documents.
 * Backoff is taken for every word first, from the table of single words. Pairs that occur often
   enough then add what they change, and both are summed by document.
 
@@ -19,6 +23,7 @@ document, as are all rows with a null id; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -26,98 +31,169 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.shared import chosen_columns, utf8_of
+from evenkeel.llm.shared import chosen_columns, give_back, utf8_of
 from evenkeel.scratch import pin
 
 CELLS = 1 << 21
 ALPHA = 0.4
 LEAST = 2
+FREQUENT = 1024
+BLOCK_BYTES = 1 << 20
+PRIME = 0x100000001B3
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the prime and of its inverse, modulo 2^64."""
+    out = []
+    for base in (PRIME, pow(PRIME, -1, 1 << 64)):
+        powers = np.full(n, base, np.uint64)
+        powers[0] = 1
+        out.append(np.cumprod(powers))
+    return out[0], out[1]
+
+
 def word_cells(data: np.ndarray, at: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     """Cell of each word of a byte buffer of texts, and the text it is in."""
     space = _SPACE[data]
-    # A text's first byte starts a word even if the text before ends in one.
-    head = np.zeros(len(data) + 1, bool)
-    head[at[:-1]] = True
-    starts = np.flatnonzero(~space & (head[:-1] | np.r_[True, space[:-1]]))
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    letters = data[~space].astype(np.uint64)
-    first = (np.cumsum(~space) - 1)[starts]
-    lengths = np.diff(np.r_[first, len(letters)])
-    place = np.arange(len(letters)) - np.repeat(first, lengths)
-    powers = np.full(int(lengths.max()), 0x100000001B3, np.uint64)
-    powers[0] = 1
-    h = np.add.reduceat((letters + np.uint64(1)) * np.cumprod(powers)[place], first)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) % np.uint64(cells)
-    return h.astype(np.int64), np.searchsorted(at, starts, "right") - 1
+    # Texts stand end to end, so a word also starts and ends where its text does.
+    edge = np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    starts = np.flatnonzero(~space & (edge[:-1] | np.r_[True, space[:-1]]))
+    ends = np.flatnonzero(~space & (edge[1:] | np.r_[space[1:], True])) + 1
+    out = np.zeros(len(starts), np.int64)
+    i = 0
+    while i < len(starts):
+        # Sums over bytes times powers; a difference of two, shifted back to power 0, hashes a word.
+        j = max(int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, "right")), i + 1)
+        first, stop = starts[i], ends[j - 1]
+        power, inverse = _powers(BLOCK_BYTES) if stop - first <= BLOCK_BYTES else _powers.__wrapped__(int(stop - first))
+        sums = np.zeros(stop - first + 1, np.uint64)
+        np.cumsum((data[first:stop].astype(np.uint64) + np.uint64(1)) * power[: stop - first], out=sums[1:])
+        a, b = starts[i:j] - first, ends[i:j] - first
+        h = (sums[b] - sums[a]) * inverse[a]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out[i:j] = (h ^ (h >> np.uint64(32))) % np.uint64(cells)
+        i = j
+    return out, np.searchsorted(at, starts, "right") - 1
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Ids, cells and text numbers of neighbouring texts of about a block, one text at least."""
+    for batch in batches:
+        data, at = utf8_of(batch.column("text"))
+        i = 0
+        while i < batch.num_rows:
+            j = max(int(np.searchsorted(at, at[i] + BLOCK_BYTES, "right")) - 1, i + 1)
+            yield batch.column("doc_id").slice(i, j - i), *word_cells(data[at[i] : at[j]], at[i : j + 1] - at[i], cells)
+            i = j
+    give_back()
+
+
+def _table(counts: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
+    """The counts that are not zero, some at a time."""
+    some = np.flatnonzero(counts)
+    for a in range(0, len(some), 1 << 16):
+        part = some[a : a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=[name, "n"])
 
 
 def _counted(cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell, n = np.unique(word_cells(*utf8_of(batch.column("text")), cells)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
+        counts = np.zeros(cells, np.int64)
+        for _, cell, _ in _blocks(batches, cells):
+            counts += np.bincount(cell, minlength=cells)
+        yield from _table(counts, "cell")
 
     return run
 
 
-def _paired(cells: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell, text = word_cells(*utf8_of(batch.column("text")), cells)
-            together = text[1:] == text[:-1]
-            pair, text = (cell[:-1] * cells + cell[1:])[together], text[1:][together]
-            order = np.lexsort((pair, text))
-            pair, text = pair[order], text[order]
-            new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])]) if len(pair) else np.zeros(0, np.int64)
-            times = np.diff(np.r_[new, len(pair)])
-            ids = batch.column("doc_id").take(pa.array(text[new]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(pair[new]), pa.array(times, pa.int64())], names=["doc_id", "pair", "times"])
-
-    return run
+def _common(cell: np.ndarray, text: np.ndarray, rank: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each two words in a row: number of their pair of frequent cells, else -1; whether they share a text."""
+    a, b = rank[cell[:-1]].astype(np.int64), rank[cell[1:]].astype(np.int64)
+    return np.where((a < 0) | (b < 0), -1, a * frequent + b), text[1:] == text[:-1]
 
 
-def lm_scores(docs: DataFrame, cells: int = CELLS, alpha: float = ALPHA, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(
+    docs: DataFrame,
+    cells: int = CELLS,
+    alpha: float = ALPHA,
+    least: int = LEAST,
+    frequent: int = FREQUENT,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """``(doc_id, n_words, n_backoff, score)``, ``score`` being the mean natural logarithm."""
-    spark = docs.sparkSession
+    send = docs.sparkSession.sparkContext.broadcast
     docs = chosen_columns(docs, id_col, text_col).withColumn("text", F.lower("text"))
-    counts = docs.mapInArrow(_counted(cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = pin(counts, "word-cells")
-    total = float(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    # At most 8 bytes for each cell reach the driver, and 4 go to the executors.
-    table = counts.select(F.col("cell").cast("int"), F.ln("n").cast("float").alias("n")).toArrow()
-    single = np.zeros(cells, np.float32)
-    single[table.column("cell").to_numpy()] = table.column("n").to_numpy()
+    # At most ``cells`` counts reach the driver, and 4 bytes for each go to the executors.
+    table = docs.mapInArrow(_counted(cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    at, counts = table.column("cell").to_numpy(), table.column("n").to_numpy()
+    total = int(counts.sum())
+    single, rank = np.zeros(cells, np.float32), np.full(cells, -1, np.int32)
+    single[at] = np.log(counts)
+    often_cells = np.sort(at[counts * frequent >= total]) if total else at[:0]
+    rank[often_cells] = np.arange(len(often_cells))
     del table
-    shared = spark.sparkContext.broadcast(single)
-    start = float(np.log(alpha) - np.log(max(total, 1.0)))
-
-    def backed_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell, text = word_cells(*utf8_of(batch.column("text")), cells)
-            n = np.bincount(text, minlength=batch.num_rows)
-            value = np.bincount(text, shared.value[cell].astype(np.float64) + start, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(value, pa.float64())], names=["doc_id", "n_words", "value"])
+    single_of, rank_of = send(single), send(rank)
+    start = float(np.log(alpha) - np.log(max(total, 1)))
+
+    def common_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(frequent * frequent, np.int64)
+        for _, cell, text in _blocks(batches, cells):
+            pair, together = _common(cell, text, rank_of.value, frequent)
+            counts += np.bincount(pair[together & (pair >= 0)], minlength=len(counts))
+        yield from _table(counts, "pair")
+
+    table = docs.mapInArrow(common_counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    pair = table.column("pair").to_numpy()
+    a, b = (often_cells[x] for x in np.divmod(pair, frequent))
+    # What a pair of frequent cells adds to backoff; not a number if it occurs too rarely.
+    gain = np.full(frequent * frequent, np.nan)
+    gain[pair] = np.log(table.column("n").to_numpy()) - single[a].astype(np.float64) - single[b] - start
+    gain_of = send(gain)
+
+    def scored_in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, cell, text in _blocks(batches, cells):
+            n = np.bincount(text, minlength=len(ids))
+            # Without a word numpy counts in whole numbers.
+            value = np.bincount(text, single_of.value[cell].astype(np.float64) + start, minlength=len(ids)).astype(np.float64)
+            pair, together = _common(cell, text, rank_of.value, frequent)
+            gain = gain_of.value[pair]
+            known = together & (pair >= 0) & ~np.isnan(gain)
+            value += np.bincount(text[1:][known], gain[known], minlength=len(ids))
+            found = np.bincount(text[1:][known], minlength=len(ids))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(value), pa.array(found)], names=["doc_id", "n_words", "value", "found"])
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, cell, text in _blocks(batches, cells):
+            common, together = _common(cell, text, rank_of.value, frequent)
+            rest = together & (common < 0)
+            pair, text = (cell[:-1] * cells + cell[1:])[rest], text[1:][rest]
+            order = np.lexsort((pair, text))
+            pair, text = pair[order], text[order]
+            new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])]) if len(pair) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[new, len(pair)])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[new])), pa.array(pair[new]), pa.array(times, pa.int64())], names=["doc_id", "pair", "times"])
 
     @F.pandas_udf("double")
     def known(pair: pd.Series) -> pd.Series:
         """What backoff gives the second word, and the logarithm of the first word's count."""
         a, b = np.divmod(pair.to_numpy(), cells)
-        return pd.Series(shared.value[a].astype(np.float64) + shared.value[b] + start)
+        return pd.Series(single_of.value[a].astype(np.float64) + single_of.value[b] + start)
 
-    pairs = docs.mapInArrow(_paired(cells), "doc_id long, pair long, times long").repartition("pair")
+    pairs = docs.mapInArrow(exploded, "doc_id long, pair long, times long").repartition("pair")
     often = pairs.groupBy("pair").agg(F.sum("times").alias("n")).where(F.col("n") >= least)
     gain = often.select("pair", (F.ln("n") - known("pair")).alias("gain"))
     gained = pairs.join(gain.hint("shuffle_hash"), "pair").groupBy("doc_id").agg(
-        F.sum(F.col("times") * F.col("gain")).alias("gained"), F.sum("times").alias("found")
+        F.sum(F.col("times") * F.col("gain")).alias("gained"), F.sum("times").alias("joined")
     )
     gained = pin(gained, "gained")
-    base = docs.mapInArrow(backed_off, "doc_id long, n_words long, value double").groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("value").alias("value"))
+    base = docs.mapInArrow(scored_in_place, "doc_id long, n_words long, value double, found long")
+    base = base.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_words", "value", "found")))
     joined = base.alias("b").join(gained.alias("g"), F.col("b.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
     score = (F.col("value") + F.coalesce("gained", F.lit(0.0))) / F.when(F.col("n_words") > 0, F.col("n_words"))
-    return joined.select("b.doc_id", "n_words", (F.col("n_words") - F.coalesce("found", F.lit(0))).alias("n_backoff"), F.round(score, 6).alias("score"))
+    backoff = F.col("n_words") - F.col("found") - F.coalesce("joined", F.lit(0))
+    return joined.select("b.doc_id", "n_words", backoff.alias("n_backoff"), F.round(score, 6).alias("score"))

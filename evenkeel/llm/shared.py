@@ -74,6 +74,18 @@ def per_process(key: tuple, make):
     return kept.__dict__[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker process waits idle between its tasks."""
+    import ctypes
+    import ctypes.util
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+    if trim:
+        trim(0)
+
+
 def grouped_by_size(texts: list[str], chars: int) -> list[tuple[int, int]]:
     """Ranges of neighbouring texts with about ``chars`` characters each, one text at least."""
     out, start, size = [], 0, 0

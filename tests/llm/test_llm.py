@@ -184,9 +184,24 @@ def test_held_out_accuracy(spark):
     assert good.get((1, False), 0) <= 0.005 * good[1, True] and good[0, False] > 0.9 * (good[0, False] + good.get((0, True), 0))
 
 
-def test_lm_scores_by_brute_force(spark, texts):
+def test_word_cells_hang_on_the_word_alone(monkeypatch):
+    words = ["a", "bb", "a" * 50, "é", "bb", "a", "x" * 9]
+    for block in (1 << 20, 16):
+        monkeypatch.setattr(lm_score, "BLOCK_BYTES", block)
+        texts = ["", " ".join(words), "", "a", "bb\t", "\n", "a" * 50]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+        cell, text = lm_score.word_cells(data, at, 1 << 40)
+        assert text.tolist() == [1] * 7 + [3, 4, 6]
+        seen = dict(zip(words, cell.tolist()))
+        assert len(set(seen.values())) == len(set(words))
+        assert cell.tolist() == [seen[w] for w in [*words, "a", "bb", "a" * 50]]
+
+
+@pytest.mark.parametrize("frequent", [1, 40, 1024])
+def test_lm_scores_by_brute_force(spark, texts, frequent):
     cells = 1 << 14
-    got = {r.doc_id: r for r in lm_score.lm_scores(spark.read.parquet(f"{SF}/documents.parquet"), cells=cells).collect()}
+    got = {r.doc_id: r for r in lm_score.lm_scores(spark.read.parquet(f"{SF}/documents.parquet"), cells=cells, frequent=frequent).collect()}
     from collections import Counter
 
     cut = {}
@@ -198,6 +213,7 @@ def test_lm_scores_by_brute_force(spark, texts):
     for d, c in cut.items():
         value = sum(np.log(two[a, b] / one[a]) if two.get((a, b), 0) >= 2 else np.log(0.4 * one[b] / total) for a, b in zip([None, *c], c))
         assert got[d].n_words == len(c)
+        assert got[d].n_backoff == len(c) - sum(two[p] >= 2 for p in zip(c, c[1:]))
         assert (got[d].score is None) if not c else abs(got[d].score - value / len(c)) < 1e-4
 
 
