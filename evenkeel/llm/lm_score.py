@@ -185,7 +185,9 @@ def lm_scores(
         return pd.Series(single_of.value[a].astype(np.float64) + single_of.value[b] + start)
 
     pairs = docs.mapInArrow(exploded, "doc_id long, pair long, times long").repartition("pair")
-    often = pairs.groupBy("pair").agg(F.sum("times").alias("n")).where(F.col("n") >= least)
+    # The count of documents, which always holds, keeps ``doc_id`` among the columns read here: the
+    # exchange is then the same as that of the join, and Spark runs it once.
+    often = pairs.groupBy("pair").agg(F.sum("times").alias("n"), F.count("doc_id").alias("docs")).where((F.col("n") >= least) & (F.col("docs") >= 0))
     gain = often.select("pair", (F.ln("n") - known("pair")).alias("gain"))
     gained = pairs.join(gain.hint("shuffle_hash"), "pair").groupBy("doc_id").agg(
         F.sum(F.col("times") * F.col("gain")).alias("gained"), F.sum("times").alias("joined")
