@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evenkeel.llm.shared import chosen_columns, grouped_by_size, per_process
+from evenkeel.llm.shared import chosen_columns, give_back, grouped_by_size, per_process
 
 BLOCK_CHARS = 2 << 20
 CACHED = 250_000
@@ -207,6 +207,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), ids], names=["doc_id", "ids"])
         # The worker process may wait idle while other stages need its executor's memory.
         encoder.forget()
+        give_back()
 
     return chosen_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -236,6 +237,7 @@ def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
                 at = np.r_[0, np.cumsum(ids.value_lengths().to_numpy())].tolist()
                 text = [" ".join(map(tokens.__getitem__, flat[a:b].tolist())) for a, b in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(text, pa.string())], names=["doc_id", "ids", "decoded"])
+        give_back()
 
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

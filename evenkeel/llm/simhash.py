@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm.components import connected_components
-from evenkeel.llm.shared import chosen_columns, within
+from evenkeel.llm.shared import chosen_columns, give_back, within
 from evenkeel.scratch import pin
 
 BITS = 64
@@ -48,12 +48,12 @@ def fingerprint(text: str, width: int) -> int:
         return 0
     spans = max(len(words) - width + 1, 1)
     digest = xxhash.xxh64_intdigest
-    parts = zip(*(words[k : k + spans] for k in range(min(width, len(words)))))
-    h = np.fromiter((digest(b" ".join(p), SEED) for p in parts), np.uint64, spans)
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, spans, 1 << 16):
-        block = h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(block, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for at in range(0, spans, 1 << 14):
+        n = min(spans - at, 1 << 14)
+        parts = zip(*(words[at + k : at + k + n] for k in range(min(width, len(words)))))
+        h = np.fromiter((digest(b" ".join(p), SEED) for p in parts), "<u8", n)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > spans, bitorder="little").tobytes(), "little")
 
 
@@ -62,8 +62,10 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t or "", width) for t in batch.column("text").to_pylist()], np.uint64)
+            # One text at a time becomes a Python string, however many a batch has.
+            fp = np.fromiter((fingerprint(t.as_py() or "", width) for t in batch.column("text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        give_back()
 
     return chosen_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
@@ -148,7 +150,7 @@ def near_links(fps: DataFrame, radius: int = 3, chunk: int = 4096) -> DataFrame:
         for cols in _whole_groups(batches, names, ["right", "fp"]):
             group, right, fp = cols
             fp = fp.view(np.uint64)
-            links: list[tuple[int, int]] = []
+            links = [np.zeros((0, 2), np.uint64)]
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             ends = np.r_[starts[1:], len(group)]
             for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
@@ -158,9 +160,11 @@ def near_links(fps: DataFrame, radius: int = 3, chunk: int = 4096) -> DataFrame:
                     f = np.concatenate([f[~r], f[r]])
                 else:
                     found = stars(f, None, radius)
-                links += [(f[a], f[b]) for a, b in found]
-            out = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
+                if found:
+                    links.append(f[np.array(found)])
+            out = np.concatenate(links).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+        give_back()
 
     dealt = work.repartition(*names).sortWithinPartitions(*names)
     return dealt.mapInArrow(compare, "a long, b long").distinct()
