@@ -12,6 +12,7 @@ WS, WK, WM, WTHETA = 4, 32, 1000, 0.01
 P = 10000019
 AB = ((3141593, 2718282), (5772157, 1618034))
 BUCKETS = 16
+MURMUR = 13
 ZIPF_N, ZIPF_Z, ZIPF_SEED = 1000, 1.0, 1000
 
 
@@ -20,6 +21,42 @@ def h(x: str, k: int, member: int = 0) -> str:
     return f"CAST((({a} * (({x}) % {P}) + {b}) % {P}) % {k} AS INTEGER)"
 
 
+def murmur(base: str, k: int, seed: int) -> str:
+    """CTEs ``mm0`` to ``mm3``: Murmur3-x86-32 of ``seed`` (4 bytes, itself seeded with 42), then of ``key`` (8 bytes)."""
+    # Fixed values of Murmur3.
+    c1, c2, add, f1, f2 = 3432918353, 461845907, 3864292196, 2246822507, 3266489909
+    low = "4294967295::UBIGINT"
+    times = lambda x, c: f"(({x}) * {c}::UBIGINT) & {low}"
+    turn = lambda x, r: f"((({x}) << {r}) | (({x}) >> {32 - r})) & {low}"
+
+    def step(fields: list[tuple[str, str]]) -> str:
+        """Fields one after another, each built from those before it."""
+        out = "SELECT * FROM src"
+        for name, value in fields:
+            out = f"SELECT * EXCLUDE ({name}), {value} AS {name} FROM ({out})"
+        return out
+
+    def mixed(block: str) -> list[tuple[str, str]]:
+        return [
+            ("x", times(block, c1)), ("x", turn("x", 15)), ("x", times("x", c2)),
+            ("hash", "xor(hash, x)"), ("hash", turn("hash", 13)), ("hash", f"(hash * 5::UBIGINT + {add}::UBIGINT) & {low}"),
+        ]
+
+    def ended(n: int) -> list[tuple[str, str]]:
+        return [
+            ("hash", f"xor(hash, {n}::UBIGINT)"), ("hash", "xor(hash, hash >> 16)"), ("hash", times("hash", f1)),
+            ("hash", "xor(hash, hash >> 13)"), ("hash", times("hash", f2)), ("hash", "xor(hash, hash >> 16)"),
+        ]
+
+    fields = [*mixed(f"{seed}::UBIGINT"), *ended(4), *mixed("lo"), *mixed("hi"), *ended(8)]
+    words = "CAST(key & 4294967295 AS UBIGINT) AS lo, CAST((key >> 32) & 4294967295 AS UBIGINT) AS hi"
+    signed = "CASE WHEN hash >= 2147483648 THEN CAST(hash AS BIGINT) - 4294967296 ELSE CAST(hash AS BIGINT) END"
+    return (
+        f"WITH src AS (SELECT seq, {words}, 42::UBIGINT AS hash, 0::UBIGINT AS x FROM ({base}) AS b) "
+        f"SELECT seq, CAST((({signed}) % {k} + {k}) % {k} AS INTEGER) AS worker FROM ({step(fields)})"
+    )
+
+
 def fold_md5(x: str) -> str:
     return f"CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT)"
 
@@ -237,6 +274,7 @@ SELECT period FROM (SELECT period, source, count(*) AS n FROM st GROUP BY ALL) W
         "heavy_hitter_filter": w(WORDS, select="""SELECT key, count(*) AS cnt FROM ev GROUP BY key
 HAVING count(*) >= ceil(CAST(0.005 AS DOUBLE) * (SELECT count(*) FROM ev))"""),
         # functions
+        "hash_murmur": murmur("SELECT event_id AS seq, user_id AS key FROM events", K, MURMUR),
         "hash_cw_int": f"SELECT event_id AS seq, {h('user_id', K)} AS worker FROM events",
         "hash_cw_string": w(HASHED_WORDS, select=f"SELECT key, {hs('key', WK)} AS worker, count(*) AS cnt FROM ev GROUP BY ALL"),
         "hash_md5_string": w(WORDS, select=f"SELECT key, {h(fold_md5('key'), WK)} AS worker FROM (SELECT DISTINCT key FROM ev)"),
