@@ -84,7 +84,7 @@ _FIELD = {k: re.compile(rb"(?:^|\r\n)" + k.encode() + rb":[ \t]*([^\r\n]*)", re.
 
 def parse(line: bytes) -> tuple[dict[str, str], int, int] | None:
     """Fields of a header, where the block starts after it, and the block's length; null if it is none."""
-    end = line.find(GAP, 0, 1 << 16)
+    end = line.find(GAP)
     if end < 0:
         return None
     found = {k: m.group(1).decode("utf-8", "replace").strip() for k, r in _FIELD.items() if (m := r.search(line, 0, end))}

@@ -137,6 +137,14 @@ def test_warc_with_records_inside_payloads(spark, folder):
     assert all(r.intact for r in got)
 
 
+def test_warc_with_a_long_url_in_the_middle(spark, folder):
+    rows = [(i, "http://x/" + "u" * (100_000 if i == 5 else 20), f"page {i}") for i in range(12)]
+    path = folder("warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    got = warc.read_warc(spark, path).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.intact) for r in got) == [(i, len(h), True) for i, _, h in rows]
+
+
 def test_line_dedup_by_brute_force(spark):
     rng = random.Random(5)
     base = [[rng.choice("abcdefgh") for _ in range(rng.randint(8, 11))] for _ in range(12)]
