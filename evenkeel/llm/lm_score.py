@@ -2,19 +2,19 @@
 
 The score of a word after another is ``c(a b) / c(a)`` if the pair occurs ``least`` times or
 more in all documents, else ``alpha * c(b) / N``; a document's score is the mean of its words'
-logarithms. Words are lower-cased and counted in one of ``cells`` cells by hash, so the table of
-single words has a proven size, whatever the corpus; a pair of cells is one exact number, and
-pairs are counted without bound.
+logarithms. Words are lower-cased and stand for themselves by a hash of 63 bits; words and pairs
+are counted without bound, in tables dealt out by hash. ``cells`` other than zero takes words
+into so many cells instead, for tests.
 
-* A cell is frequent if it holds one word in ``frequent`` or more, so there are at most
-  ``frequent`` of them. Pairs of two frequent cells are counted in a table of their own, whose
+* A word is frequent if it makes up one word in ``frequent`` or more, so there are at most
+  ``frequent`` of them. They and the pairs of two of them are counted in tables of their own, whose
   size has that bound squared, and every task looks them up in place. This takes what is common
-  out of the exchange, and leaves no pair in it with more than one word in ``frequent``.
-* All other pairs are exploded, made distinct within their document, and dealt out by hash once.
-  That one exchange serves the table of counts and the join with it: a pair stands once for a
-  document, so no pair holds more rows than there are documents.
-* Backoff is taken for every word first, from the table of single words. Pairs that occur often
-  enough then add what they change, and both are summed by document.
+  out of the exchange, and leaves no word or pair in it with more than one word in ``frequent``.
+* All other words and pairs are exploded, made distinct within their document, and dealt out by
+  hash once. That one exchange serves the table of counts and the join with it: each stands once
+  for a document, so none holds more rows than there are documents.
+* A word adds what backoff gives it. Pairs that occur often enter the sum with what they change;
+  the counts of their two words are joined to the counted pairs, which are distinct.
 
 Defined cases: a null or blank text has no words and score null; rows that repeat an id are one
 document, as are all rows with a null id; extra columns are ignored.
@@ -34,12 +34,14 @@ from pyspark.sql import functions as F
 from evenkeel.llm.shared import chosen_columns, give_back, utf8_of
 from evenkeel.scratch import pin
 
-CELLS = 1 << 21
+CELLS = 0
 ALPHA = 0.4
 LEAST = 2
 FREQUENT = 1024
 BLOCK_BYTES = 1 << 20
-PRIME = 0x100000001B3
+PRIME = 0x9E3779B97F4A7C15
+# Stands for the second word where a row is about one word.
+ALONE = 1 << 40
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -56,7 +58,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_cells(data: np.ndarray, at: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell of each word of a byte buffer of texts, and the text it is in."""
+    """Hash of each word of a byte buffer of texts, in ``cells`` if that is not zero, and the text it is in."""
     space = _SPACE[data]
     # Texts stand end to end, so a word also starts and ends where its text does.
     edge = np.zeros(len(data) + 1, bool)
@@ -75,7 +77,8 @@ def word_cells(data: np.ndarray, at: np.ndarray, cells: int) -> tuple[np.ndarray
         a, b = starts[i:j] - first, ends[i:j] - first
         h = (sums[b] - sums[a]) * inverse[a]
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        out[i:j] = (h ^ (h >> np.uint64(32))) % np.uint64(cells)
+        h = h ^ (h >> np.uint64(32))
+        out[i:j] = h % np.uint64(cells) if cells else h >> np.uint64(1)
         i = j
     return out, np.searchsorted(at, starts, "right") - 1
 
@@ -102,18 +105,36 @@ def _table(counts: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
 
 def _counted(cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(cells, np.int64)
-        for _, cell, _ in _blocks(batches, cells):
-            counts += np.bincount(cell, minlength=cells)
-        yield from _table(counts, "cell")
+        for _, word, _ in _blocks(batches, cells):
+            word, n = np.unique(word, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n, pa.int64())], names=["word", "n"])
 
     return run
 
 
-def _common(cell: np.ndarray, text: np.ndarray, rank: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each two words in a row: number of their pair of frequent cells, else -1; whether they share a text."""
-    a, b = rank[cell[:-1]].astype(np.int64), rank[cell[1:]].astype(np.int64)
-    return np.where((a < 0) | (b < 0), -1, a * frequent + b), text[1:] == text[:-1]
+def _codes(word: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """A frequent word's place in ``often``, which is sorted; below zero for any other word."""
+    if not len(often):
+        return -1 - word
+    at = np.minimum(np.searchsorted(often, word), len(often) - 1)
+    return np.where(often[at] == word, at, -1 - word)
+
+
+def _common(code: np.ndarray, text: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each two words in a row: number of their pair of frequent words, else -1; whether they share a text."""
+    a, b = code[:-1], code[1:]
+    both = (a >= 0) & (b >= 0)
+    return np.where(both, np.where(both, a, 0) * frequent + np.where(both, b, 0), -1), text[1:] == text[:-1]
+
+
+def _distinct(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each ``(text, a, b)`` once, and how often it occurs."""
+    order = np.lexsort((b, a, text))
+    text, a, b = text[order], a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (text[1:] != text[:-1])
+    new = np.flatnonzero(new)
+    return text[new], a[new], b[new], np.diff(np.r_[new, len(a)])
 
 
 def lm_scores(
@@ -128,39 +149,37 @@ def lm_scores(
     """``(doc_id, n_words, n_backoff, score)``, ``score`` being the mean natural logarithm."""
     send = docs.sparkSession.sparkContext.broadcast
     docs = chosen_columns(docs, id_col, text_col).withColumn("text", F.lower("text"))
-    # At most ``cells`` counts reach the driver, and 4 bytes for each go to the executors.
-    table = docs.mapInArrow(_counted(cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    at, counts = table.column("cell").to_numpy(), table.column("n").to_numpy()
-    total = int(counts.sum())
-    single, rank = np.zeros(cells, np.float32), np.full(cells, -1, np.int32)
-    single[at] = np.log(counts)
-    often_cells = np.sort(at[counts * frequent >= total]) if total else at[:0]
-    rank[often_cells] = np.arange(len(often_cells))
-    del table
-    single_of, rank_of = send(single), send(rank)
+    words = docs.mapInArrow(_counted(cells), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = pin(words, "words")
+    total = int(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    # At most ``frequent`` words reach the driver.
+    common = words.where(F.col("n") * frequent >= total).orderBy("word").toArrow()
+    often, ln_often = common.column("word").to_numpy(), np.log(common.column("n").to_numpy().astype(np.float64))
+    often_of, ln_of = send(often), send(ln_often)
     start = float(np.log(alpha) - np.log(max(total, 1)))
 
     def common_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(frequent * frequent, np.int64)
-        for _, cell, text in _blocks(batches, cells):
-            pair, together = _common(cell, text, rank_of.value, frequent)
+        for _, word, text in _blocks(batches, cells):
+            pair, together = _common(_codes(word, often_of.value), text, frequent)
             counts += np.bincount(pair[together & (pair >= 0)], minlength=len(counts))
         yield from _table(counts, "pair")
 
     table = docs.mapInArrow(common_counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
     pair = table.column("pair").to_numpy()
-    a, b = (often_cells[x] for x in np.divmod(pair, frequent))
-    # What a pair of frequent cells adds to backoff; not a number if it occurs too rarely.
+    a, b = np.divmod(pair, frequent)
+    # What a pair of frequent words adds to backoff; not a number if it occurs too rarely.
     gain = np.full(frequent * frequent, np.nan)
-    gain[pair] = np.log(table.column("n").to_numpy()) - single[a].astype(np.float64) - single[b] - start
+    gain[pair] = np.log(table.column("n").to_numpy()) - ln_often[a] - ln_often[b] - start
     gain_of = send(gain)
 
     def scored_in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, cell, text in _blocks(batches, cells):
-            n = np.bincount(text, minlength=len(ids))
+        for ids, word, text in _blocks(batches, cells):
+            code = _codes(word, often_of.value)
+            n, known = np.bincount(text, minlength=len(ids)), code >= 0
             # Without a word numpy counts in whole numbers.
-            value = np.bincount(text, single_of.value[cell].astype(np.float64) + start, minlength=len(ids)).astype(np.float64)
-            pair, together = _common(cell, text, rank_of.value, frequent)
+            value = np.bincount(text[known], ln_of.value[code[known]] + start, minlength=len(ids)).astype(np.float64)
+            pair, together = _common(code, text, frequent)
             gain = gain_of.value[pair]
             known = together & (pair >= 0) & ~np.isnan(gain)
             value += np.bincount(text[1:][known], gain[known], minlength=len(ids))
@@ -168,29 +187,39 @@ def lm_scores(
             yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(value), pa.array(found)], names=["doc_id", "n_words", "value", "found"])
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, cell, text in _blocks(batches, cells):
-            common, together = _common(cell, text, rank_of.value, frequent)
-            rest = together & (common < 0)
-            pair, text = (cell[:-1] * cells + cell[1:])[rest], text[1:][rest]
-            order = np.lexsort((pair, text))
-            pair, text = pair[order], text[order]
-            new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])]) if len(pair) else np.zeros(0, np.int64)
-            times = np.diff(np.r_[new, len(pair)])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[new])), pa.array(pair[new]), pa.array(times, pa.int64())], names=["doc_id", "pair", "times"])
+        for ids, word, text in _blocks(batches, cells):
+            code = _codes(word, often_of.value)
+            pair, together = _common(code, text, frequent)
+            rest, rare = together & (pair < 0), code < 0
+            alone = np.full(int(rare.sum()), ALONE, np.int64)
+            for where, a, b in ((text[rare], code[rare], alone), (text[1:][rest], code[:-1][rest], code[1:][rest])):
+                where, a, b, times = _distinct(where, a, b)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(where)), pa.array(a), pa.array(b), pa.array(times, pa.int64())], names=["doc_id", "a", "b", "times"])
 
     @F.pandas_udf("double")
-    def known(pair: pd.Series) -> pd.Series:
-        """What backoff gives the second word, and the logarithm of the first word's count."""
-        a, b = np.divmod(pair.to_numpy(), cells)
-        return pd.Series(single_of.value[a].astype(np.float64) + single_of.value[b] + start)
+    def ln_frequent(code: pd.Series) -> pd.Series:
+        """Logarithm of a frequent word's count, zero for any other word."""
+        code, found = code.to_numpy(), np.zeros(len(code))
+        found[code >= 0] = ln_of.value[code[code >= 0]]
+        return pd.Series(found)
 
-    pairs = docs.mapInArrow(exploded, "doc_id long, pair long, times long").repartition("pair")
+    grams = docs.mapInArrow(exploded, "doc_id long, a long, b long, times long").repartition("a", "b")
     # The count of documents, which always holds, keeps ``doc_id`` among the columns read here: the
     # exchange is then the same as that of the join, and Spark runs it once.
-    often = pairs.groupBy("pair").agg(F.sum("times").alias("n"), F.count("doc_id").alias("docs")).where((F.col("n") >= least) & (F.col("docs") >= 0))
-    gain = often.select("pair", (F.ln("n") - known("pair")).alias("gain"))
-    gained = pairs.join(gain.hint("shuffle_hash"), "pair").groupBy("doc_id").agg(
-        F.sum(F.col("times") * F.col("gain")).alias("gained"), F.sum("times").alias("joined")
+    counted = grams.groupBy("a", "b").agg(F.sum("times").alias("n"), F.count("doc_id").alias("docs"))
+    counted = counted.where(((F.col("n") >= least) | (F.col("b") == ALONE)) & (F.col("docs") >= 0)).select("a", "b", "n")
+    logs = words.where(F.col("n") * frequent < total).select((-1 - F.col("word")).alias("code"), F.ln("n").alias("ln"))
+    # Rows that need no count of a rare word get a key of their own above zero, which meets none.
+    away = F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 63) - 1))
+    alone = F.col("b") == ALONE
+    for end in ("a", "b"):
+        key = F.when((F.col(end) < 0) & ~alone, F.col(end)).otherwise(away)
+        side = logs.select(F.col("code").alias(f"key_{end}"), F.col("ln").alias(f"ln_{end}"))
+        counted = counted.withColumn(f"key_{end}", key).join(side, f"key_{end}", "left").drop(f"key_{end}")
+    ln = lambda end: F.coalesce(f"ln_{end}", ln_frequent(F.when(F.col("b") == ALONE, -1).otherwise(F.col(end))))
+    gain = counted.select("a", "b", F.when(alone, F.ln("n") + start).otherwise(F.ln("n") - ln("a") - ln("b") - start).alias("gain"))
+    gained = grams.join(gain.hint("shuffle_hash"), ["a", "b"]).groupBy("doc_id").agg(
+        F.sum(F.col("times") * F.col("gain")).alias("gained"), F.sum(F.when(alone, 0).otherwise(F.col("times"))).alias("joined")
     )
     gained = pin(gained, "gained")
     base = docs.mapInArrow(scored_in_place, "doc_id long, n_words long, value double, found long")

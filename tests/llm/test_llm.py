@@ -225,6 +225,22 @@ def test_lm_scores_by_brute_force(spark, texts, frequent):
         assert (got[d].score is None) if not c else abs(got[d].score - value / len(c)) < 1e-4
 
 
+def test_lm_scores_count_true_words(spark):
+    from collections import Counter
+
+    # More distinct words than a table of 2^21 cells holds apart, half of them twice.
+    docs = [(d, " ".join(f"{'wx'[i % 2]}{d * 300 + i // 2 * (i % 2)}y{i % 7}" for i in range(3000))) for d in range(40)]
+    docs += [(100, " ".join(f"z{i}" for i in range(60_000))), (101, "z5 z6 z7 " * 3 + "w0y0")]
+    got = {r.doc_id: r for r in lm_score.lm_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    cut = {d: t.split() for d, t in docs}
+    one, two = Counter(w for c in cut.values() for w in c), Counter(p for c in cut.values() for p in zip(c, c[1:]))
+    total = sum(one.values())
+    for d, c in cut.items():
+        value = sum(np.log(two[a, b] / one[a]) if two.get((a, b), 0) >= 2 else np.log(0.4 * one[b] / total) for a, b in zip([None, *c], c))
+        assert (got[d].n_words, got[d].n_backoff) == (len(c), len(c) - sum(two[p] >= 2 for p in zip(c, c[1:])))
+        assert abs(got[d].score - value / len(c)) < 1e-5
+
+
 def test_pipeline_keeps_clean_documents(spark, texts):
     out = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
     assert out and out <= set(texts)
