@@ -17,6 +17,11 @@ place, whether or not that one stays itself.
 A line can only have a neighbour if it shares its first or its last half (to the word) with
 another, so before variants are made lines whose halves are nobody else's are put aside.
 
+* **Short lines in context**, on request. A short line goes with its neighbour: if the nearest
+  long line before or after it repeats an earlier one that has the same short line on the same side.
+  A long line counts here as itself and as each earlier line found within its bound, so the short
+  lines of a near copy meet those of the original too.
+
 All of it is Columns and joins. Defined cases: null texts are empty and have no line; a null
 id is earlier than all others; rows that repeat id and text are one document, and rows that
 repeat an id with other text are told apart by their text; extra columns are ignored.
@@ -24,7 +29,7 @@ repeat an id with other text are told apart by their text; extra columns are ign
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm.shared import within
@@ -74,7 +79,11 @@ def _half_keys() -> Column:
 
 def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, version, line_no)`` of every line that goes; ``version`` is its text's hash."""
-    rows = _documents(docs, id_col, text_col)
+    return _found(_documents(docs, id_col, text_col), min_words)[0]
+
+
+def _found(rows: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """The long lines that go, and ``(h1, h2, n1, n2)``: keys of lines and of an earlier one near each."""
     lines = _lines(rows).where(F.size("words") >= min_words)
     placed = pin(lines.select(*_hash_pair(F.col("words")), _place().alias("place"), _half_keys().alias("halves")), "lines")
 
@@ -86,17 +95,46 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
     # order; written with it, as reading deals files out anew.
     ranged = close.repartitionByRange("first").sortWithinPartitions("first")
     close = pin(ranged.select(*_KEY, F.monotonically_increasing_id().alias("id"), "first.doc_id", "first.version", "first.line_no"), "close-lines")
-    near = _shadowed(rows, close)
+    pairs = _shadowed(rows, close)
+    near = pin(pairs.select(*_KEY, F.lit(True).alias("shadowed")).distinct(), "shadowed")
 
     # Only lines that occur again or have an earlier neighbour are looked at further.
     again = placed.groupBy(*_KEY).agg(F.min("place").alias("first"), F.count("*").alias("n")).join(within(near, 64), _KEY, "left")
     again = again.where("n > 1 OR shadowed").select(*_KEY, "first", F.coalesce("shadowed", F.lit(False)).alias("shadowed"))
     looked = placed.select(*_KEY, "place").join(within(pin(again, "repeated-lines"), 96), _KEY)
-    return looked.where(F.col("shadowed") | (F.col("place") != F.col("first"))).select("place.doc_id", "place.version", "place.line_no")
+    return looked.where(F.col("shadowed") | (F.col("place") != F.col("first"))).select("place.doc_id", "place.version", "place.line_no"), pairs
+
+
+def _in_context(rows: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
+    """``(doc_id, version, line_no)`` of short lines that go with a long neighbour."""
+    spoken = _lines(rows).where(F.size("words") > 0)
+    # Hashes alone are dealt out. A document's lines are as many as it has.
+    lines = spoken.select("doc_id", "version", "line_no", (F.size("words") >= min_words).alias("long"), *_hash_pair(F.col("words")))
+    own = F.when(F.col("long"), F.struct(*_KEY, "line_no"))
+    order = Window.partitionBy("doc_id", "version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    around = lines.select(
+        "*",
+        F.last(own, ignorenulls=True).over(order.orderBy("line_no")).alias("before"),
+        F.last(own, ignorenulls=True).over(order.orderBy(F.desc("line_no"))).alias("after"),
+    ).where("NOT long")
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("long")) for k, c in enumerate(("before", "after"))])
+    beside = around.select("doc_id", "version", "line_no", F.struct(*_KEY).alias("short"), F.explode(sides).alias("s")).where("s.long IS NOT NULL")
+    beside = beside.select("doc_id", "version", "line_no", "short", "s.side", F.col("s.long.line_no").alias("at"), F.col("s.long.h1").alias("h1"), F.col("s.long.h2").alias("h2"))
+    like = pairs.groupBy(*_KEY).agg(F.collect_set(F.struct(F.col("n1").alias("h1"), F.col("n2").alias("h2"))).alias("like"))
+    like = within(pin(like, "near-lines"), 256)
+    met = beside.join(like, _KEY, "left").withColumn("own", F.array(F.struct(*_KEY)))
+    met = met.withColumn("to", F.explode(F.concat("own", F.coalesce("like", F.array().cast("array<struct<h1:bigint,h2:bigint>>")))))
+    # The place of the long line counts: short lines beside one and the same do not repeat each other.
+    long = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.col("at").alias("line_no"), "version").alias("place")
+    keyed = met.select("doc_id", "version", "line_no", long, *[h.alias(f"k{i}") for i, h in enumerate(_hash_pair(F.col("short"), F.col("side"), F.col("to")))])
+    keyed = pin(keyed, "short-lines")
+    first = keyed.groupBy("k0", "k1").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last")
+    again = keyed.join(within(pin(first.select("k0", "k1", "first"), "short-firsts"), 96), ["k0", "k1"])
+    return again.where("place <> first").select("doc_id", "version", "line_no").distinct()
 
 
 def _shadowed(rows: DataFrame, close: DataFrame) -> DataFrame:
-    """``(h1, h2, shadowed)`` of distinct lines with an earlier line within one word."""
+    """``(h1, h2, n1, n2)`` of distinct lines with an earlier line within one word, and of such a line."""
     # Their words, from the place where each occurs first.
     named = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.version") == F.col(f"{b}.version"))
     wanted = within(pin(close.select("doc_id", "version").distinct(), "wanted-docs"), 56)
@@ -126,16 +164,20 @@ def _shadowed(rows: DataFrame, close: DataFrame) -> DataFrame:
     theirs = lines.select(F.col("id").alias("best"), F.col("words").alias("others"))
     checked = pairs.join(lines, "id").join(theirs, "best")
     equal = left_out(words, F.col("at")) == left_out(F.col("others"), F.col("best_at"))
-    late = checked.where(equal).select("id").distinct()
-    return pin(close.join(late, "id").select(*_KEY, F.lit(True).alias("shadowed")), "shadowed")
+    late = pin(checked.where(equal).select("id", "best").distinct(), "near-pairs")
+    theirs = close.select(F.col("id").alias("best"), F.col("h1").alias("n1"), F.col("h2").alias("n2"))
+    return pin(close.join(late, "id").join(theirs, "best").select(*_KEY, "n1", "n2"), "near-keys")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", context: bool = False) -> DataFrame:
     """All columns of ``docs``, the text without the lines that go, and ``n_lines`` and ``n_removed``.
 
-    Null texts stay null.
+    Null texts stay null. With ``context`` short lines go with their long neighbours.
     """
-    gone = duplicate_lines(docs, min_words, id_col, text_col)
+    rows = _documents(docs, id_col, text_col)
+    gone, pairs = _found(rows, min_words)
+    if context:
+        gone = gone.unionByName(_in_context(rows, pairs, min_words))
     lists = pin(gone.groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone")), "gone-lines")
     # A document's own line numbers: as large as the document at most. Sized as they are written.
     size = lists.agg(F.coalesce(F.sum(F.size("gone") * 4 + 48), F.lit(0))).first()[0]

@@ -241,6 +241,22 @@ def test_lm_scores_count_true_words(spark):
         assert abs(got[d].score - value / len(c)) < 1e-5
 
 
+def test_copies_with_short_lines_leave_no_husk(spark):
+    rng = random.Random(3)
+    long = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(12))
+    docs, planted = [], set()
+    for d in range(20):
+        lines = [f"Title {d % 3}", long(), "read more", "read more", "", long(), f"by {d}"]
+        docs.append((d, "\n".join(lines)))
+        near = [x if i not in (1, 5) else " ".join(["new", *x.split()[1:]]) for i, x in enumerate(lines)]
+        for k, copy in ((100, lines), (200, near), (300, lines[:2]), (400, near[5:])):
+            docs.append((d + k, "\n".join(copy)))
+            planted.add(d + k)
+    rows = [(d, t, None, None, len(t)) for d, t in docs]
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()}
+    assert out == {d: t for d, t in docs if d not in planted}
+
+
 def test_pipeline_keeps_clean_documents(spark, texts):
     out = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
     assert out and out <= set(texts)
