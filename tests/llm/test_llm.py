@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from evenkeel.llm import bpe, components, decontaminate, langid, line_dedup, lm_score, quality, queries, simhash, token_files, toxicity, warc
+from evenkeel.llm import bpe, components, copies, decontaminate, langid, line_dedup, lm_score, quality, queries, simhash, token_files, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, version string"
@@ -257,6 +257,40 @@ def test_copies_with_short_lines_leave_no_husk(spark):
     assert out == {d: t for d, t in docs if d not in planted}
 
 
+@pytest.mark.parametrize("small", [2, 32])
+def test_copies_of_given_similarity_are_found(spark, small):
+    rng = random.Random(8)
+    docs, pairs = {}, {}
+    for k in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 300]))]
+        for share in (0.8, 0.85, 0.9, 0.7):
+            base, copy = [f"s{share}k{k}", *words], [f"s{share}k{k}", *words]
+            of = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+            near = lambda c: len(of(base) & of(c)) / len(of(base) | of(c))
+            # New words from the end on, as long as the similarity allows.
+            while near(copy + ["end"]) >= share:
+                copy.append(f"n{rng.randrange(10**6)}")
+            base = [f"{w}x{share}" for w in base]
+            copy = [f"{w}x{share}" for w in copy]
+            docs[len(docs)] = " ".join(base)
+            pairs[len(docs)] = share if near(copy) >= share else None
+            docs[len(docs)] = " ".join(copy)
+    long = " ".join(f"l{i}" for i in range(5000))
+    docs[4000], docs[4001] = long, long + " end"
+    # A large group, each one word away from the first.
+    many = [f"m{i}" for i in range(200)]
+    for i in range(80):
+        docs[5000 + i] = " ".join([*many[:i], "z" * (i > 0), *many[i + 1 :]])
+    rows = spark.createDataFrame([(*r, None) for r in docs.items()] + [(None, docs[0], None), (0, "its id is repeated but the text is another", None)], "doc_id long, text string, lang string")
+    out = {(r.doc_id, r.text) for r in copies.keep_first(rows, small=small).collect()}
+    for share in (0.8, 0.85, 0.9):
+        later = [d for d, s in pairs.items() if s == share]
+        assert len(later) > 100 and sum((d, docs[d]) in out for d in later) <= 1
+    assert all((d, docs[d]) in out for d, s in pairs.items() if s == 0.7)
+    assert sorted(d for d, _ in out if d is not None and d >= 4000) == [4000, 5000]
+    assert (None, docs[0]) not in out and {(0, docs[0]), (0, "its id is repeated but the text is another")} <= out
+
+
 def test_pipeline_keeps_clean_documents(spark, texts):
     out = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
     assert out and out <= set(texts)
