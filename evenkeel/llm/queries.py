@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, decontaminate, langid, line_dedup, lm_score, quality, simhash, token_files, toxicity, warc
+from evenkeel.llm import (
+    bpe,
+    decontaminate,
+    langid,
+    license_scan,
+    line_dedup,
+    lm_score,
+    periodic,
+    quality,
+    resample,
+    simhash,
+    token_files,
+    toxicity,
+    warc,
+)
 from evenkeel.scratch import new_folder
 
 TOKENIZERS = "/opt/tokenizers"
@@ -73,12 +87,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), quality.quality_labels(spark, sf_dir))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.label_report(license_scan.license_spans(table(spark, sf_dir, "documents")))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = resample.resample_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), periodic.with_planted_tail)
+    return periodic.run_report(periodic.collapsed(*found))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_token_files, op3_simhash, op4_warc, op5_bpe,
         op6_line_dedup, op7_langid, op8_toxicity, op9_lm_score, op10_quality,
+        op11_licenses, op12_resample, op13_periodic,
     )
 }
 
-SQL = {"op1_decontaminate": decontaminate.SQL, "op4_warc": warc.SQL, "op6_line_dedup": line_dedup.SQL}
+SQL = {"op1_decontaminate": decontaminate.SQL, "op4_warc": warc.SQL, "op6_line_dedup": line_dedup.SQL, "op12_resample": resample.SQL}
