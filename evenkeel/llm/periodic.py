@@ -50,7 +50,9 @@ def numbered(text: bytes) -> tuple[list[bytes], np.ndarray]:
     parts = [np.zeros(0, np.int32)]
     for piece in pieces(text, PIECE_BYTES):
         words = piece.split()
-        parts.append(np.fromiter((code.setdefault(w, len(code)) for w in words), np.int32, len(words)))
+        for w in dict.fromkeys(words):
+            code.setdefault(w, len(code))
+        parts.append(np.fromiter(map(code.__getitem__, words), np.int32, len(words)))
     return list(code), np.concatenate(parts)
 
 
@@ -96,8 +98,11 @@ def tiles_of(ids: np.ndarray, least: int, times: int, tile_words: int) -> Iterat
             cuts = np.arange(low, min(low + step, len(grams) - octave), octave)
             # Row by row, the grams one octave further on.
             ahead = grams[low + octave : low + octave * (len(cuts) + 1)]
-            ahead = np.r_[ahead, np.zeros(len(cuts) * octave - len(ahead), np.uint64)].reshape(-1, octave)
-            cuts = cuts[(ahead == grams[cuts][:, None]).any(axis=1)]
+            missing = len(cuts) * octave - len(ahead)
+            if missing:
+                ahead = np.concatenate([ahead, np.zeros(missing, np.uint64)])
+            found = ahead.reshape(-1, octave) == grams[low : low + step : octave][: len(cuts), None]
+            cuts = cuts[found.any(axis=1)]
             if len(cuts):
                 first = max(int(cuts[0]) - octave, 0)
                 yield octave, first, cuts, ids[first : int(cuts[-1]) + 4 * octave + gram]
