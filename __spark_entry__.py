@@ -41,6 +41,7 @@ except ImportError:
 HASH = HashGrouping(o.K)
 TWO_CHOICE = TwoChoiceGrouping(o.K, o.S)
 DKG = LearnedGrouping(o.K, o.DKG_THETA, o.FACTOR, o.LEARN, skip=o.SKIP)
+TWO_CHOICE_HOT = TwoChoiceGrouping(o.HOT_K, o.S, chunk_rows=o.HOT_CHUNK)
 ONLINE = OnlineGrouping(o.K, o.S, o.M, o.THETA, o.EPS)
 WORD_HASH = HashGrouping(o.WK)
 WORD_TWO_CHOICE = TwoChoiceGrouping(o.WK, o.WS)
@@ -60,6 +61,11 @@ def ev(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"))
 
 
+def hot_ev(spark: SparkSession, d: str) -> DataFrame:
+    """The events with one key that holds three rows in ten."""
+    return ev(spark, d).withColumn("key", F.when(F.col("seq") % 10 < 3, o.HOT_KEY).otherwise(F.col("key")).cast("bigint"))
+
+
 def wd(spark: SparkSession, d: str) -> DataFrame:
     """String keys: every word of every document, naturally skewed."""
     return shape.word_stream(table(spark, d, "documents"))
@@ -396,6 +402,7 @@ def _grouping_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # strategies
         "group_hash": rows_of(HASH, ev),
         "group_two_choice": lambda s, d: TWO_CHOICE.assign(ev(s, d)).select("seq", "key", "source", "worker"),
+        "group_two_choice_hot": lambda s, d: TWO_CHOICE_HOT.assign(hot_ev(s, d)).select("seq", "key", "source", "worker"),
         "group_dkg": rows_of(DKG, ev),
         "group_online": lambda s, d: ONLINE.assign(ev(s, d)).select(*full),
         "group_hash_words": worker_of(WORD_HASH, wd),

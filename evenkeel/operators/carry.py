@@ -4,18 +4,33 @@ Choosing the less loaded worker depends on every earlier choice of the same sour
 source is one long chain. It is cut into chunks, and only ``k`` loads pass between them; work
 is never gathered beyond a chunk, whatever share of the rows one source holds.
 
-:func:`carry_loads` runs all chunks at once from guessed start loads. Each reports what it
-added and how much room its choices had. Chunk starts are then recomputed as prefix sums, and
-only chunks whose choices could change under the new start run again. When none is left the
-result is the sequential one: the first start is given, and each later start is the sum of
-exact chunks before it.
+:func:`carry_loads` replays every chunk at once from a guess, and mends the result:
+
+1. How often each pair of candidates occurs in a chunk says about where loads will stand after it.
+   These counts are folded once along each source, from the true end of its first chunk, which
+   gives every chunk a start also where a few keys hold much of the rows and loads drift apart.
+2. Each chunk is replayed from its guess. Its choices are kept, and with each the gap between its two
+   candidates, which tells whether the choice would hold from another start.
+3. Workers that are chosen over each other are level, and forget how they started; but the rows that
+   a level group gets in all are carried on for good. So a chunk is moved to where the one before it
+   ended, with the sum of every group corrected to what all chunks before added. Where gaps leave room
+   for the move nothing changes; else rows are replayed until the rest has room.
+4. Prefix sums of what chunks added give the true starts, and a chunk whose gaps have room for the
+   difference is exact. If one is not, the chunks from there on are walked in order, a source as one
+   stream. A chunk that was replayed twice by then is mended by visiting only rows whose choice flips; if
+   those are many, as after a jump of the stream, the rest of it is replayed.
+
+Keys that hold any share of the rows need no walk while that share lasts: their chunks are replayed
+twice at most, all at the same time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,16 +38,13 @@ from evenkeel.scratch import pin
 
 # A choice is packed as (position in chunk) << 32 | (first * k + second).
 _CODE_BITS = 32
-
-_ROOM = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("chosen", T.IntegerType()),
-            T.StructField("other", T.IntegerType()),
-            T.StructField("slack", T.LongType()),
-        ]
-    )
-)
+_CODE = (1 << _CODE_BITS) - 1
+# Cells of pair counts that a guess works through per chunk, over all its steps.
+_GUESS_CELLS = 1 << 18
+# Rows after a flip that are looked at first, and rows replayed first; doubled each time.
+_LOOK, _REPLAY = 64, 1024
+# Visiting a row whose choice flips takes as long as replaying some tens; beyond one flip in so many rows the rest is replayed.
+_FLIP_SHARE = 64
 
 
 def pack_choice(offset: Column, first: Column, second: Column, k: int) -> Column:
@@ -40,9 +52,9 @@ def pack_choice(offset: Column, first: Column, second: Column, k: int) -> Column
     return F.shiftleft(offset.cast("bigint"), _CODE_BITS) + first.cast("bigint") * k + second
 
 
-def two_choice_kernel(pairs: np.ndarray, start: np.ndarray, k: int):
-    """Each code ``first*k + second`` goes to the less loaded worker, on a tie to the second."""
-    first, second = np.divmod(pairs, k)
+def two_choice_kernel(codes: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+    """Gap of each code ``first*k + second`` when its turn comes: the less loaded worker is chosen, on a tie the second."""
+    first, second = np.divmod(codes, k)
     loads = start.tolist()
     gaps = []
     keep = gaps.append
@@ -50,162 +62,346 @@ def two_choice_kernel(pairs: np.ndarray, start: np.ndarray, k: int):
         gap = loads[a] - loads[b]
         keep(gap)
         loads[a if gap < 0 else b] += 1
-    gap = np.asarray(gaps, dtype=np.int64)
-    chosen = np.where(gap < 0, first, second)
-    other = np.where(gap < 0, second, first)
-    slack = np.where(gap < 0, -gap - 1, gap)
-    # Smallest room of each (chosen, other) pair: by how much loads may shift before a choice flips.
-    cell = chosen.astype(np.int64) * k + other
-    order = np.lexsort((slack, cell))
-    firsts = order[np.unique(cell[order], return_index=True)[1]] if len(order) else order
-    room = [
-        {"chosen": int(c), "other": int(o), "slack": int(x)}
-        for c, o, x in zip(chosen[firsts], other[firsts], slack[firsts])
-        if c != o
-    ]
-    return chosen, np.bincount(chosen, minlength=k).astype(np.int64), room
-
-
-def _run(chunks: DataFrame, starts: DataFrame, k: int) -> DataFrame:
-    """Run each chunk from its start: adds ``chosen``, ``added`` and ``room``."""
-    schema = T.StructType(
-        [
-            chunks.schema["source"],
-            chunks.schema["chunk"],
-            T.StructField("start", T.ArrayType(T.LongType())),
-            T.StructField("chosen", T.ArrayType(T.IntegerType())),
-            T.StructField("added", T.ArrayType(T.LongType())),
-            T.StructField("room", _ROOM),
-        ]
-    )
-
-    def run_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        start = np.asarray(row["start"], dtype=np.int64)
-        in_order = np.sort(np.asarray(row["ops"], dtype=np.int64))
-        found, added, room = two_choice_kernel(in_order & ((1 << _CODE_BITS) - 1), start, k)
-        # By place, not by rank: numbers may be missing.
-        place = in_order >> _CODE_BITS
-        chosen = np.full(int(place[-1]) + 1 if len(place) else 0, -1, np.int32)
-        chosen[place] = found
-        return pd.DataFrame(
-            {
-                "source": [row["source"]],
-                "chunk": [row["chunk"]],
-                "start": [start],
-                "chosen": [chosen],
-                "added": [added],
-                "room": [room],
-            }
-        )
-
-    # Grouped by the join key: one chunk per call, and no exchange beyond the join's own.
-    joined = chunks.join(starts, ["source", "chunk"]).select("source", "chunk", "start", "ops")
-    return joined.groupBy("source", "chunk").applyInPandas(run_chunk, schema)
+    return np.asarray(gaps, dtype=np.int64)
+
+
+def chosen_of(codes: np.ndarray, gaps: np.ndarray, k: int) -> np.ndarray:
+    first, second = np.divmod(codes, k)
+    return np.where(gaps < 0, first, second).astype(np.int32)
+
+
+def room_of(codes: np.ndarray, gaps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far loads may shift before a choice flips: cells ``chosen*k + other``, and the least slack of each."""
+    first, second = np.divmod(codes.astype(np.int64), k)
+    cell = np.where(gaps < 0, first * k + second, second * k + first)
+    slack = np.where(gaps < 0, -gaps - 1, gaps)
+    apart = first != second
+    cells, at = np.unique(cell[apart], return_inverse=True)
+    least = np.full(len(cells), np.iinfo(np.int64).max)
+    np.minimum.at(least, at, slack[apart])
+    return cells, least
+
+
+def has_room(cells: np.ndarray, slack: np.ndarray, shift: np.ndarray, k: int) -> bool:
+    """Whether no choice changes when the start loads shift."""
+    chosen, other = np.divmod(cells, k)
+    return bool((slack + shift[other] - shift[chosen] >= 0).all())
+
+
+def flips_of(codes: np.ndarray, gaps: np.ndarray, shift: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gaps moved by ``shift``, and the rows whose choice that changes."""
+    first, second = np.divmod(codes, k)
+    new = gaps + shift[first] - shift[second]
+    return new, np.flatnonzero((new < 0) != (gaps < 0))
+
+
+def shifted(codes: np.ndarray, gaps: np.ndarray, start: np.ndarray, to: np.ndarray, k: int) -> tuple[np.ndarray, bool]:
+    """The gaps from ``to`` instead of ``start``, visiting only rows whose choice flips; and whether those were too many."""
+    gaps, shift = gaps.copy(), to - start
+    at, look, left = 0, _LOOK, len(gaps) // _FLIP_SHARE
+    while at < len(gaps) and shift.any() and left >= 0:
+        part = slice(at, at + look)
+        new, flips = flips_of(codes[part], gaps[part], shift, k)
+        if not len(flips):
+            gaps[part] = new
+            at, look = at + look, look * 2
+            continue
+        row = at + int(flips[0])
+        gaps[at : row + 1] = new[: flips[0] + 1]
+        pair = divmod(int(codes[row]), k)
+        gains, loses = pair if gaps[row] < 0 else pair[::-1]
+        shift[gains] += 1
+        shift[loses] -= 1
+        at, look, left = row + 1, _LOOK, left - 1
+    if left < 0:
+        loads = to + np.bincount(chosen_of(codes[:at], gaps[:at], k), minlength=k)
+        gaps[at:] = two_choice_kernel(codes[at:], loads, k)
+    return gaps, left < 0
+
+
+def replayed(codes: np.ndarray, gaps: np.ndarray, start: np.ndarray, to: np.ndarray, k: int) -> np.ndarray:
+    """The gaps from ``to`` instead of ``start``, replaying rows until no later choice flips."""
+    loads, shift, at, look, out = to, to - start, 0, _REPLAY, []
+    while True:
+        new, flips = flips_of(codes[at:], gaps[at:], shift, k)
+        if not len(flips):
+            return np.concatenate([*out, new])
+        part = slice(at, at + look)
+        out.append(two_choice_kernel(codes[part], loads, k))
+        gained = np.bincount(chosen_of(codes[part], out[-1], k), minlength=k)
+        shift = shift + gained - np.bincount(chosen_of(codes[part], gaps[part], k), minlength=k)
+        loads, at, look = loads + gained, at + look, look * 2
+
+
+def level_groups(codes: np.ndarray, gaps: np.ndarray, k: int) -> np.ndarray:
+    """Group of each worker, as its lowest member: of two that were chosen over each other in the last half."""
+    cells, _ = room_of(codes[len(codes) // 2 :], gaps[len(codes) // 2 :], k)
+    chosen, other = np.divmod(cells, k)
+    both = np.isin(other * k + chosen, cells)
+    group, a, b = np.arange(k), chosen[both], other[both]
+    while (group[a] != group[b]).any():
+        low = np.minimum(group[a], group[b])
+        np.minimum.at(group, a, low)
+        np.minimum.at(group, b, low)
+        group = group[group]
+    return group
+
+
+def with_group_sums(loads: np.ndarray, sums_of: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """``loads`` with the total of each group as in ``sums_of``, the difference spread over its members."""
+    out = loads.copy()
+    missing = np.bincount(group, sums_of - loads, len(group)).astype(np.int64)
+    for g in np.flatnonzero(missing):
+        members = np.flatnonzero(group == g)
+        each, more = divmod(int(missing[g]), len(members))
+        out[members] += each
+        out[members[:more]] += 1
+    return out
+
+
+def foreseen(loads: np.ndarray, cells: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """About where loads stand after a chunk, from how often each pair of candidates occurs in it.
+
+    The counts flow in at even rates, a part of all pairs at each step to the less loaded worker. Parts are
+    whole numbers, so groups of workers that are far apart get exactly their rows.
+    """
+    first, second = np.divmod(cells, k)
+    steps = int(np.clip(_GUESS_CELLS // max(len(cells), 1), 8, 256))
+    loads, given = loads.copy(), np.zeros_like(counts)
+    # Cells do not all round at the same step.
+    lead = (cells * 7919) % steps
+    for step in range(1, steps + 1):
+        until = np.minimum((counts * step + lead) // steps, counts) if step < steps else counts
+        loads += np.bincount(np.where(loads[first] < loads[second], first, second), until - given, k).astype(np.int64)
+        given = until
+    return loads
+
+
+# ---------------------------------------------------------------- tables
+
+_LONGS = T.ArrayType(T.LongType())
+# Columns that hold arrays of 4-byte numbers.
+_INTS = ("place", "code", "chosen")
+
+
+def _fields(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([df.schema["source"], df.schema["chunk"], *(T.StructField(n, t) for n, t in more)])
+
 
+def _arrays(batch: pa.RecordBatch, row: int, *names: str) -> list[np.ndarray | None]:
+    """Array columns of one row, null as None."""
+    values = (batch.column(name)[row].values for name in names)
+    return [None if v is None else v.to_numpy(zero_copy_only=False) for v in values]
 
-def _plus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
 
+def _one(batch: pa.RecordBatch, row: int, names: list[str], values: list) -> pa.RecordBatch:
+    """A row with the source and chunk of ``row``; a numpy array becomes a list, None a null list."""
+    columns = [batch.column(c).slice(row, 1) for c in ("source", "chunk")]
+    columns += [pa.array([v], pa.list_(pa.int32() if name in _INTS else pa.int64())) for name, v in zip(names, values)]
+    return pa.RecordBatch.from_arrays(columns, names=["source", "chunk", *names])
 
-def _minus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)
 
+def _by_row(df: DataFrame, schema: T.StructType, work: Callable[[pa.RecordBatch, int], pa.RecordBatch]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield work(batch, row)
 
-def _fits(room: Column, shift: Column) -> Column:
-    """Whether no choice of a chunk changes when its start loads shift."""
-    return F.forall(room, lambda r: r["slack"] + shift[r["other"]] - shift[r["chosen"]] >= 0)
+    return df.mapInArrow(run, schema)
 
 
-def _linked(runs: DataFrame, first: Column) -> DataFrame:
-    """Adds ``exact``, the sum of all earlier chunks, and ``lagged``, where the previous run ended."""
-    chain = Window.partitionBy("source").orderBy("chunk")
-    slot_chain = Window.partitionBy("source", "_slot").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = (
-        runs.select("source", "chunk", F.posexplode("added").alias("_slot", "_x"))
-        .withColumn("_sum", F.coalesce(F.sum("_x").over(slot_chain), F.lit(0)))
-        .groupBy("source", "chunk")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_slot", "_sum"))), lambda e: e["_sum"]).alias("_before"))
-    )
-    return (
-        runs.withColumn("lagged", F.lag(_plus(F.col("start"), F.col("added"))).over(chain))
-        .join(sums, ["source", "chunk"])
-        .withColumn("exact", _plus(first, F.col("_before")))
-        .drop("_before")
-    )
+def _in_order(df: DataFrame, schema: T.StructType, step: Callable) -> DataFrame:
+    """Walk the chunks of each source in order: ``step(state, batch, row) -> (state, row or None)``.
 
+    A source streams through one task, which holds a batch (64 MB unless configured) and the state.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, state = None, None
+        for batch in batches:
+            for row, this in enumerate(batch.column("source").to_pylist()):
+                if (this,) != source:
+                    source, state = (this,), None
+                state, out = step(state, batch, row)
+                if out is not None:
+                    yield out
 
-def _zeros(k: int) -> Column:
-    return F.array_repeat(F.lit(0).cast("bigint"), k)
+    return df.repartition("source").sortWithinPartitions("source", "chunk").mapInArrow(run, schema)
 
 
 def _with_first(df: DataFrame, k: int, initial: DataFrame | None) -> DataFrame:
     """Adds ``_first``, the loads each source starts from."""
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), k)
     if initial is None:
-        return df.withColumn("_first", _zeros(k))
+        return df.withColumn("_first", zeros)
     given = initial.select("source", F.col("loads").alias("_first"))
-    return df.join(given, "source", "left").withColumn("_first", F.coalesce("_first", _zeros(k)))
+    return df.join(given, "source", "left").withColumn("_first", F.coalesce("_first", zeros))
 
 
 def _guessed(chunks: DataFrame, k: int, initial: DataFrame | None) -> DataFrame:
-    """Start of each chunk for the first round: all rows before it, spread evenly.
+    """``(source, chunk, start)``: pair counts of all chunks, folded once along each source.
 
-    The total is exact, which lets a levelled chunk end in the state of the true sequence.
+    The first chunk of a source goes along whole, and the fold starts where it truly ends.
     """
-    chain = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sized = _with_first(chunks.select("source", "chunk", F.size("ops").alias("_rows")), k, initial)
-    before = F.aggregate("_first", F.lit(0).cast("bigint"), lambda x, y: x + y) + F.coalesce(
-        F.sum("_rows").over(chain), F.lit(0)
-    )
-    even = F.transform(
-        F.sequence(F.lit(0), F.lit(k - 1)),
-        lambda w: F.floor(F.col("_before") / k) + F.when(w < F.pmod("_before", F.lit(k)), 1).otherwise(0),
-    )
-    return sized.withColumn("_before", before).select(
-        "source", "chunk", F.when(F.col("chunk") == 0, F.col("_first")).otherwise(even).alias("start")
-    )
 
+    def count(batch: pa.RecordBatch, row: int) -> pa.RecordBatch:
+        (ops,) = _arrays(batch, row, "ops")
+        first = batch.column("chunk")[row].as_py() == 0
+        cells, counts = np.unique(ops & _CODE, return_counts=True)
+        return _one(batch, row, ["cells", "counts", "ops"], [cells, counts, np.sort(ops) if first else None])
+
+    def step(loads, batch: pa.RecordBatch, row: int):
+        cells, counts, ops, first = _arrays(batch, row, "cells", "counts", "ops", "_first")
+        loads = first if loads is None else loads
+        out = _one(batch, row, ["start"], [loads])
+        if ops is None:
+            return foreseen(loads, cells, counts, k), out
+        codes = ops & _CODE
+        return loads + np.bincount(chosen_of(codes, two_choice_kernel(codes, loads, k), k), minlength=k), out
+
+    fields = _fields(chunks, ("cells", _LONGS), ("counts", _LONGS), ("ops", _LONGS))
+    counted = _by_row(chunks.select("source", "chunk", "ops"), fields, count)
+    return _in_order(_with_first(counted, k, initial), _fields(chunks, ("start", _LONGS)), step)
+
+
+_RUN = (
+    ("start", _LONGS),
+    ("place", T.ArrayType(T.IntegerType())),
+    ("code", T.ArrayType(T.IntegerType())),
+    ("gap", _LONGS),
+    ("added", _LONGS),
+    ("cells", _LONGS),
+    ("slack", _LONGS),
+    ("level", _LONGS),
+    ("replays", _LONGS),
+)
+_NAMES = [name for name, _ in _RUN]
+
+
+def _row_of(batch, row, start, place, code, gap, replays, k) -> pa.RecordBatch:
+    added = np.bincount(chosen_of(code, gap, k), minlength=k).astype(np.int64)
+    return _one(batch, row, _NAMES, [start, place, code, gap, added, *room_of(code, gap, k), level_groups(code, gap, k), np.array([replays])])
+
+
+def _replayed(chunks: DataFrame, starts: DataFrame, k: int) -> DataFrame:
+    """Each chunk from its start; ``place`` is null where rows have the places 0, 1, 2, ..."""
+
+    def work(batch: pa.RecordBatch, row: int) -> pa.RecordBatch:
+        ops, start = _arrays(batch, row, "ops", "start")
+        ops = np.sort(ops)
+        place, code = (ops >> _CODE_BITS).astype(np.int32), (ops & _CODE).astype(np.int32)
+        dense = len(place) == 0 or place[-1] == len(place) - 1
+        return _row_of(batch, row, start, None if dense else place, code, two_choice_kernel(code, start, k), 1, k)
+
+    joined = chunks.join(starts, ["source", "chunk"]).select("source", "chunk", "start", "ops")
+    return _by_row(joined, _fields(chunks, *_RUN), work)
+
+
+def _as_found(batch: pa.RecordBatch, row: int) -> pa.RecordBatch:
+    return batch.slice(row, 1).select(["source", "chunk", *_NAMES])
 
-def _run_from_first(chunks: DataFrame, k: int, initial: DataFrame | None) -> DataFrame:
-    starts = _with_first(chunks.select("source", "chunk"), k, initial).withColumnRenamed("_first", "start")
-    return _run(chunks, starts, k).select("source", "chunk", "chosen", "added")
+
+def _targets(runs: DataFrame, k: int, initial: DataFrame | None) -> DataFrame:
+    """``(source, chunk, to)``: where the chunk before ended, with the sums of its level groups made right."""
+
+    def step(state, batch: pa.RecordBatch, row: int):
+        start, added, level, first = _arrays(batch, row, "start", "added", "level", "_first")
+        sums, to = (first, first) if state is None else state
+        sums = sums + added
+        return (sums, with_group_sums(start + added, sums, level)), _one(batch, row, ["to"], [to])
+
+    summary = runs.select("source", "chunk", "start", "added", "level")
+    return _in_order(_with_first(summary, k, initial), _fields(runs, ("to", _LONGS)), step)
+
+
+def _moved(runs: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """Each chunk moved to its target, replayed as far as that changes choices."""
+
+    def work(batch: pa.RecordBatch, row: int) -> pa.RecordBatch:
+        to, start, place, code, gap, cells, slack, replays = _arrays(batch, row, "to", "start", "place", "code", "gap", "cells", "slack", "replays")
+        if has_room(cells, slack, to - start, k):
+            return _as_found(batch, row)
+        return _row_of(batch, row, to, place, code, replayed(code, gap, start, to, k), int(replays[0]) + 1, k)
+
+    return _by_row(runs.join(targets, ["source", "chunk"]), _fields(runs, *_RUN), work)
+
+
+def _exact_until(runs: DataFrame, k: int, initial: DataFrame | None) -> DataFrame:
+    """``(source, chunk, exact)`` of chunks that are right as they are, and of the first that is not.
+
+    ``exact`` is the true start; it has one number more, 1 if the chunk has room for it. Later chunks are left out.
+    """
+
+    def step(state, batch: pa.RecordBatch, row: int):
+        start, added, cells, slack, first = _arrays(batch, row, "start", "added", "cells", "slack", "_first")
+        exact, fine = (first, True) if state is None else state
+        if not fine:
+            return state, None
+        fine = has_room(cells, slack, exact - start, k)
+        return (exact + added, fine), _one(batch, row, ["exact"], [np.r_[exact, int(fine)]])
+
+    summary = runs.select("source", "chunk", "start", "added", "cells", "slack")
+    return _in_order(_with_first(summary, k, initial), _fields(runs, ("exact", _LONGS)), step)
+
+
+def _walked(runs: DataFrame, k: int) -> DataFrame:
+    """Chunks from a source's first wrong one on, which has ``exact``, each moved to its true start."""
+
+    def step(loads, batch: pa.RecordBatch, row: int):
+        names = ("exact", "start", "place", "code", "gap", "added", "cells", "slack", "replays")
+        exact, start, place, code, gap, added, cells, slack, replays = _arrays(batch, row, *names)
+        loads = exact[:k] if loads is None else loads
+        if has_room(cells, slack, loads - start, k):
+            return loads + added, _as_found(batch, row)
+        if replays[0] < 2:
+            gap, again = replayed(code, gap, start, loads, k), True
+        else:
+            gap, again = shifted(code, gap, start, loads, k)
+        out = _row_of(batch, row, loads, place, code, gap, int(replays[0]) + again, k)
+        return loads + np.bincount(chosen_of(code, gap, k), minlength=k), out
+
+    return _in_order(runs, _fields(runs, *_RUN), step)
+
+
+def _answers(runs: DataFrame, k: int) -> DataFrame:
+    """``(source, chunk, chosen, added, replays)``; ``chosen`` goes by place, -1 where a number is missing."""
+    schema = _fields(runs, ("chosen", T.ArrayType(T.IntegerType())), ("added", _LONGS), ("replays", _LONGS))
+
+    def work(batch: pa.RecordBatch, row: int) -> pa.RecordBatch:
+        place, code, gap, added, replays = _arrays(batch, row, "place", "code", "gap", "added", "replays")
+        found = chosen_of(code, gap, k)
+        if place is not None:
+            chosen = np.full(int(place[-1]) + 1, -1, np.int32)
+            chosen[place] = found
+            found = chosen
+        return _one(batch, row, ["chosen", "added", "replays"], [found, added, replays])
+
+    return _by_row(runs.select("source", "chunk", "place", "code", "gap", "added", "replays"), schema, work)
 
 
 def carry_loads(chunks: DataFrame, k: int, chunk_count: int, initial: DataFrame | None = None) -> DataFrame:
     """Make the two-choice decisions of every source as if each source were one sequence.
 
     ``chunks`` has one row ``(source, chunk, ops)`` per chunk, with packed choices in any order;
-    ``initial`` may give ``(source, loads)`` to start from. Returns ``(source, chunk, chosen, added)``.
+    ``initial`` may give ``(source, loads)`` to start from. Returns ``(source, chunk, chosen, added,
+    replays)``, the last as an array of one number: how often the chunk was replayed.
 
-    Where chains are one chunk long the plan stays lazy. Longer ones take as many rounds as
-    it needs for all starts to agree: few where loads level out within a chunk, and never
-    more than twice the number of chunks.
+    Where chains are one chunk long the plan stays lazy. Longer ones take the same few jobs
+    whatever their length.
     """
     if chunk_count <= 1:
-        return _run_from_first(chunks, k, initial)
+        starts = _with_first(chunks.select("source", "chunk"), k, initial).withColumnRenamed("_first", "start")
+        return _answers(_replayed(chunks, starts, k), k)
 
     chunks = pin(chunks, "chunks")
-    summary = ["source", "chunk", "start", "added", "room"]
-    runs = pin(_run(chunks, _guessed(chunks, k, initial), k).select(*summary), "runs")
-    while True:
-        start = F.col("start")
-        linked = _linked(_with_first(runs, k, initial), F.col("_first"))
-        fits_exact = _fits(F.col("room"), _minus(F.col("exact"), start))
-        use_lagged = ~_fits(F.col("room"), _minus(F.col("lagged"), start))
-        redo = pin(
-            linked.where(~fits_exact).select(
-                "source",
-                "chunk",
-                F.when(use_lagged, F.col("lagged")).otherwise(F.col("exact")).alias("start"),
-            ),
-            "redo",
-        )
-        if redo.isEmpty():
-            break
-        kept = runs.join(redo, ["source", "chunk"], "left_anti")
-        again = _run(chunks.join(redo.select("source", "chunk"), ["source", "chunk"], "left_semi"), redo, k)
-        runs = pin(kept.unionByName(again.select(*summary)), "runs")
-    return _run(chunks, runs.select("source", "chunk", "start"), k).select(
-        "source", "chunk", "chosen", "added"
-    )
-
+    starts = pin(_guessed(chunks, k, initial), "starts")
+    runs = pin(_replayed(chunks, starts, k), "runs")
+    runs = pin(_moved(runs, pin(_targets(runs, k, initial), "targets"), k), "moved")
+    exact = pin(_exact_until(runs, k, initial), "exact")
+    fine = exact.where(F.element_at("exact", -1) == 1)
+    wrong = exact.where(F.element_at("exact", -1) == 0)
+    if wrong.isEmpty():
+        return _answers(runs, k)
+    on = ["source", "chunk"]
+    late = runs.join(fine.select(*on), on, "left_anti").join(wrong, on, "left")
+    return _answers(runs.join(fine.select(*on), on, "left_semi").unionByName(pin(_walked(late, k), "walked")), k)

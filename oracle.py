@@ -9,6 +9,8 @@ from __future__ import annotations
 S, K, M, THETA, EPS, FACTOR, LEARN, SKIP, DKG_THETA = 4, 8, 125, 0.02, 0.01, 2.0, 2000, 2, 0.009
 # Configuration of the word stream.
 WS, WK, WM, WTHETA = 4, 32, 1000, 0.01
+# Two-choice with a key far above 2/k of the rows, over many chunks.
+HOT_K, HOT_KEY, HOT_CHUNK = 32, 7, 200
 P = 10000019
 AB = ((3141593, 2718282), (5772157, 1618034))
 BUCKETS = 16
@@ -80,6 +82,8 @@ crc AS MATERIALIZED (SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 A
 
 EV = "ev AS (SELECT event_id AS seq, user_id AS key FROM events)"
 
+HOT_EV = f"ev AS (SELECT event_id AS seq, CASE WHEN event_id % 10 < 3 THEN {HOT_KEY} ELSE user_id END AS key FROM events)"
+
 WORDS = r"""
 docw AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS l FROM documents),
 docn AS (SELECT doc_id, l, CAST(sum(len(l)) OVER (ORDER BY doc_id) - len(l) AS BIGINT) AS first FROM docw),
@@ -320,6 +324,7 @@ LEFT JOIN (SELECT * FROM mig WHERE period = (SELECT max(period) FROM mig)) m ON
         # strategies
         "group_hash": w(EV, hash_routed(src="ev", cols="seq, key"), select="SELECT seq, key, worker FROM routed"),
         "group_two_choice": w(tc, select="SELECT seq, key, source, worker FROM routed"),
+        "group_two_choice_hot": w(two_choice(HOT_K, base=HOT_EV), select="SELECT seq, key, source, worker FROM routed"),
         "group_dkg": w(dkg(), select="SELECT seq, key, worker FROM routed"),
         "group_online": w(on, select="SELECT seq, key, source, period, worker FROM routed"),
         "group_hash_words": w(HASHED_WORDS, hash_routed(WK, hs, "ev", "seq, key"), select="SELECT seq, key, worker FROM routed"),

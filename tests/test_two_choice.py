@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from brute import skewed, two_choice
 from evenkeel import TwoChoiceGrouping
 from evenkeel.operators import shape
-from evenkeel.operators.carry import two_choice_kernel
+from evenkeel.operators import carry
 
 
 def workers(df):
@@ -52,19 +52,82 @@ def test_loads_per_source(keyed):
             assert got[(source, worker)] == sum(w == worker for w in want[source::2])
 
 
-def test_room_predicts_when_a_shift_changes_choices():
+def some_codes(rng, k, n):
+    """Codes as hashing gives them: a key always has the same two candidates, and some keys are frequent."""
+    of_key = rng.integers(0, k * k, 60).astype(np.int32)
+    return of_key[np.minimum(rng.zipf(1.5, n) - 1, 59)]
+
+
+def test_room_tells_when_a_shift_changes_choices():
     rng = np.random.default_rng(5)
-    k = 6
-    pairs = rng.integers(0, k * k, 400)
-    start = rng.integers(0, 4, k)
-    chosen, added, room = two_choice_kernel(pairs, start, k)
-    assert added.sum() == 400
-    kept = 0
+    k, kept = 6, 0
     for _ in range(300):
+        codes = some_codes(rng, k, 60)
+        start = rng.integers(0, 4, k)
+        gaps = carry.two_choice_kernel(codes, start, k)
         shift = rng.integers(-1, 2, k) if rng.random() < 0.7 else np.full(k, 3)
-        fits = all(r["slack"] + shift[r["other"]] - shift[r["chosen"]] >= 0 for r in room)
-        again, _, _ = two_choice_kernel(pairs, start + shift, k)
-        same = bool((again == chosen).all())
-        assert fits == same or (not fits and same)
+        fits = carry.has_room(*carry.room_of(codes, gaps, k), shift, k)
+        again = carry.two_choice_kernel(codes, start + shift, k)
+        assert fits == (carry.chosen_of(codes, again, k) == carry.chosen_of(codes, gaps, k))[codes // k != codes % k].all()
         kept += fits
-    assert kept > 0
+    assert 0 < kept < 300
+
+
+@pytest.mark.parametrize("n", [0, 1, 70, 3000])
+def test_moving_a_chunk_equals_a_run_from_there(n, monkeypatch):
+    monkeypatch.setattr(carry, "_REPLAY", 16)
+    rng = np.random.default_rng(n)
+    for k in (2, 5, 9):
+        for far in (1, 3, 200):
+            codes, start = some_codes(rng, k, n), rng.integers(0, 50, k)
+            gaps = carry.two_choice_kernel(codes, start, k)
+            to = start + rng.integers(-far, far + 1, k)
+            want = carry.two_choice_kernel(codes, to, k).tolist()
+            assert carry.replayed(codes, gaps, start, to, k).tolist() == want
+            assert carry.shifted(codes, gaps, start, to, k)[0].tolist() == want
+
+
+def test_groups_and_their_sums():
+    codes = np.array([1, 2 * 4 + 3] * 40, np.int32)
+    gaps = carry.two_choice_kernel(codes, np.array([0, 0, 100, 100]), 4)
+    assert carry.level_groups(codes, gaps, 4).tolist() == [0, 0, 2, 2]
+    moved = carry.with_group_sums(np.array([5, 5, 9, 9]), np.array([12, 1, 0, 17]), np.array([0, 0, 2, 2]))
+    assert moved.tolist() == [7, 6, 9, 8]
+
+
+def test_a_guess_keeps_the_number_of_rows():
+    rng = np.random.default_rng(2)
+    codes = some_codes(rng, 7, 999)
+    cells, counts = np.unique(codes, return_counts=True)
+    assert carry.foreseen(np.arange(7), cells.astype(np.int64), counts, 7).sum() == 21 + 999
+
+
+def chunks_of(spark, codes, k, size):
+    """One source, cut into chunks."""
+    rows = [(0, n, [(i << 32) + int(c) for i, c in enumerate(codes[a : a + size])]) for n, a in enumerate(range(0, len(codes), size))]
+    return spark.createDataFrame(rows, "source int, chunk long, ops array<long>").repartition(4)
+
+
+@pytest.mark.parametrize("k, hot", [(32, 0.3), (8, 0.5), (32, 0.1), (32, 0.0)])
+def test_hot_keys_take_two_replays_of_a_chunk_at_most(spark, k, hot):
+    rng = np.random.default_rng(k)
+    n, size = 48_000, 4_000
+    keys = np.where(rng.random(n) < hot, 7, rng.integers(8, 10**6, n))
+    first, second = (((keys * a + b) % 10000019) % k for a, b in ((3141593, 2718282), (5772157, 1618034)))
+    codes = (first * k + second).astype(np.int32)
+    found = carry.carry_loads(chunks_of(spark, codes, k, size), k, n // size).orderBy("chunk").collect()
+    assert len(found) == 12 and max(r["replays"][0] for r in found) <= 2
+    want = carry.chosen_of(codes, carry.two_choice_kernel(codes, np.zeros(k, np.int64), k), k)
+    assert [w for r in found for w in r["chosen"]] == want.tolist()
+
+
+def test_a_jump_of_the_stream_is_walked_through(spark):
+    rng = np.random.default_rng(3)
+    k, n, size = 16, 24_000, 2_000
+    hot = rng.random(n) < 0.4 * (np.arange(n) > 9_300)
+    codes = np.where(hot, 3 * k + 11, rng.integers(0, k * k, n)).astype(np.int32)
+    codes[15_000:20_000] = 5 * k + 6
+    initial = spark.createDataFrame([(0, [0, 50] * 8)], "source int, loads array<long>")
+    found = carry.carry_loads(chunks_of(spark, codes, k, size), k, n // size, initial).orderBy("chunk").collect()
+    want = carry.chosen_of(codes, carry.two_choice_kernel(codes, np.array([0, 50] * 8), k), k)
+    assert [w for r in found for w in r["chosen"]] == want.tolist()
