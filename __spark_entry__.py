@@ -40,12 +40,15 @@ except ImportError:
 
 HASH = HashGrouping(o.K)
 TWO_CHOICE = TwoChoiceGrouping(o.K, o.S)
-DKG = LearnedGrouping(o.K, o.DKG_THETA, o.FACTOR, o.LEARN, skip=o.SKIP)
+DKG = LearnedGrouping(o.K, o.DKG_THETA, o.FACTOR, o.LEARN)
+DKG_DISCARD = LearnedGrouping(o.K, o.DKG_THETA, o.FACTOR, o.LEARN, learned="discard", skip=o.SKIP)
 TWO_CHOICE_HOT = TwoChoiceGrouping(o.HOT_K, o.S, chunk_rows=o.HOT_CHUNK)
 ONLINE = OnlineGrouping(o.K, o.S, o.M, o.THETA, o.EPS)
+ONLINE_DROP = OnlineGrouping(o.K, o.S, o.M, o.THETA, o.EPS, tail="drop")
+ONLINE_SHORT = OnlineGrouping(o.K, o.S, o.SHORT_M, o.SHORT_THETA)
 WORD_HASH = HashGrouping(o.WK)
 WORD_TWO_CHOICE = TwoChoiceGrouping(o.WK, o.WS)
-WORD_DKG = LearnedGrouping(o.WK, o.WTHETA, o.FACTOR, o.LEARN, skip=o.SKIP)
+WORD_DKG = LearnedGrouping(o.WK, o.WTHETA, o.FACTOR, o.LEARN)
 WORD_ONLINE = OnlineGrouping(o.WK, o.WS, o.WM, o.WTHETA)
 
 
@@ -94,15 +97,14 @@ def staged(spark: SparkSession, d: str) -> DataFrame:
     return ONLINE.stage(ev(spark, d))
 
 
-def tail_staged(spark: SparkSession, d: str) -> DataFrame:
-    return shape.with_period(shape.with_source(ev(spark, d), o.S), o.S, o.M)
+def complete(spark: SparkSession, d: str, dense: bool = True) -> DataFrame:
+    return shape.complete_only(staged(spark, d), o.S, o.M, "drop", dense)
 
 
-def sketch_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def sketch_of(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Heavy keys, histogram and sparse buckets of each source and period."""
-    rows = staged(spark, d)
     bucket_of = hashing.key_hash(rows, o.K)
-    heavy = sketches.heavy_hitters(rows, o.THETA, o.EPS, n=o.M)
+    heavy = sketches.heavy_hitters(rows, o.THETA, o.EPS)
     hist = sketches.bucket_hist(rows, o.K, bucket_of)
     return heavy, hist, sketches.sparse_buckets(hist, heavy, bucket_of)
 
@@ -178,7 +180,7 @@ def period_assign_by_position(spark: SparkSession, d: str) -> DataFrame:
 
 
 def learn_assign_split(spark: SparkSession, d: str) -> DataFrame:
-    learned, rest = shape.split_learning(ev(spark, d), o.LEARN, o.SKIP)
+    learned, rest = shape.split_learning(ev(spark, d), o.LEARN)
     return learned.select(F.lit("learn").alias("phase"), "seq", "key").unionByName(
         rest.select(F.lit("route").alias("phase"), "seq", "key")
     )
@@ -209,7 +211,7 @@ def hash_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def heavy_sorted(spark: SparkSession, d: str) -> DataFrame:
-    heavy, _, _ = sketch_of(spark, d)
+    heavy, _, _ = sketch_of(staged(spark, d))
     place = F.row_number().over(Window.partitionBy("period").orderBy(F.desc("cnt"), "key")).cast("bigint")
     return placement.top_heavy(sketches.merge_heavy(heavy)).withColumn("place", place)
 
@@ -223,24 +225,36 @@ def least_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def place_heavy(spark: SparkSession, d: str, order: str = "key") -> DataFrame:
-    rows = ev(spark, d)
-    heavy, _, sparse = sketch_of(spark, d)
+    heavy, _, sparse = sketch_of(staged(spark, d))
     items = placement.placement_items(*sketches.merge_sketches(heavy, sparse), by=["period"])
-    bound = ONLINE.heavy_per_period + o.K
-    placed = placement.place_online(items, o.K, order, (1, ONLINE.periods(rows)), bound)
-    return placed.select("period", "key", "worker")
+    return placement.place_online(items, o.K, order).select("period", "key", "worker")
 
 
 def placement_loads(spark: SparkSession, d: str) -> DataFrame:
-    rows = ev(spark, d)
-    periods = ONLINE.periods(rows)
-    items = pin(ONLINE.items(ONLINE.stage(rows, periods)), "items")
-    return placement.placement_loads(ONLINE.place(items, (1, periods)), sketches.split_items(items)[1], o.K)
+    items = pin(ONLINE.items(staged(spark, d)), "items")
+    return placement.placement_loads(ONLINE.place(items), sketches.split_items(items)[1], o.K)
 
 
 def learned_items(spark: SparkSession, d: str) -> DataFrame:
-    learned, _ = shape.split_learning(ev(spark, d), o.LEARN, o.SKIP)
-    return DKG.items(learned)
+    return DKG.items(DKG.learning(ev(spark, d)))
+
+
+def route_two_level(spark: SparkSession, d: str) -> DataFrame:
+    rows = ev(spark, d)
+    return DKG.route(DKG.to_route(rows), *DKG.maps(rows))
+
+
+def route_lookup_in_place(spark: SparkSession, d: str) -> DataFrame:
+    """Tables too large to send: rows are dealt out by period once, for sketch and lookup."""
+    return ONLINE.assign_in_place(staged(spark, d)).select("seq", "key", "period", "worker")
+
+
+def distinct_keys_hll(spark: SparkSession, d: str) -> DataFrame:
+    """The exact number, and whether the estimate is within a hundredth of it."""
+    words = bare_words(spark, d)
+    guess = sketches.distinct_keys(words, "hll").scalar()
+    off = F.abs(guess - F.col("distinct_keys")) <= F.col("distinct_keys") / 100
+    return sketches.distinct_keys(words).withColumn("near", off)
 
 
 def migration_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -276,17 +290,16 @@ def _online_stream(spark: SparkSession, d: str) -> streams.OnlineStream:
 
 
 def stream_two_choice(spark: SparkSession, d: str) -> DataFrame:
-    runner = streams.TwoChoiceStream(new_folder(spark, "two-choice"), TWO_CHOICE, window=500)
+    runner = streams.TwoChoiceStream(new_folder(spark, "two-choice"), TWO_CHOICE, window=300)
     return runner.run(ev_stream(spark, d)).drained().select("seq", "key", "source", "worker")
 
 
 def stream_learned(spark: SparkSession, d: str) -> DataFrame:
-    return streams.LearnedStream(new_folder(spark, "learned"), DKG).run(ev_stream(spark, d)).result()
+    return streams.LearnedStream(new_folder(spark, "learned"), DKG).run(ev_stream(spark, d)).drained()
 
 
-def stream_count_window(spark: SparkSession, d: str) -> DataFrame:
-    runner = streams.CountWindows(new_folder(spark, "windows"), o.S, o.M)
-    return runner.run(ev_stream(spark, d)).result()
+def _windows(spark: SparkSession, d: str) -> streams.CountWindows:
+    return streams.CountWindows(new_folder(spark, "windows"), o.S, o.M).run(ev_stream(spark, d))
 
 
 def stream_keyed_state(spark: SparkSession, d: str) -> DataFrame:
@@ -318,7 +331,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _grouping_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     rows_of = lambda g, source: lambda s, d: g.assign(source(s, d))
     worker_of = lambda g, source: lambda s, d: g.assign(source(s, d)).select("seq", "key", "worker")
-    frequent = lambda mode, eps: lambda s, d: sketches.heavy_hitters(staged(s, d), o.THETA, eps, mode=mode, n=o.M)
+    frequent = lambda mode, eps: lambda s, d: sketches.heavy_hitters(staged(s, d), o.THETA, eps, mode=mode)
     full = ["seq", "key", "source", "period", "worker"]
     return {
         # sources and sinks
@@ -337,13 +350,12 @@ def _grouping_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             table(s, d, "pages").select("page_id", "url"), F.parse_url(F.col("url"), F.lit("HOST"))
         ).select("page_id", "key"),
         "source_round_robin": lambda s, d: shape.with_source(ev(s, d), o.S).select("seq", "source"),
-        "period_assign": lambda s, d: tail_staged(s, d).select("seq", "source", "period"),
+        "period_assign": lambda s, d: staged(s, d).select("seq", "source", "period"),
         "period_assign_by_position": period_assign_by_position,
         "learn_assign_split": learn_assign_split,
-        "complete_periods": lambda s, d: staged(s, d).select("seq", "source", "period"),
-        "complete_periods_counted": lambda s, d: shape.complete_only(
-            tail_staged(s, d), o.S, o.M, dense=False
-        ).select("seq", "source", "period"),
+        "complete_periods": lambda s, d: complete(s, d).select("seq", "source", "period"),
+        "complete_periods_flush": lambda s, d: shape.complete_only(staged(s, d), o.S, o.M).select("seq", "source", "period"),
+        "complete_periods_counted": lambda s, d: complete(s, d, dense=False).select("seq", "source", "period"),
         "heavy_hitter_filter": lambda s, d: sketches.heavy_hitter_filter(
             sketches.key_counts(bare_words(s, d), ()), 0.005
         ),
@@ -366,15 +378,15 @@ def _grouping_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # sketches
         "heavy_hitters": frequent("exact", o.EPS),
         "space_saving": frequent("space_saving", 1 / o.M),
-        "space_saving_evicting": lambda s, d: sketches.space_saving(staged(s, d), 0.05),
+        "space_saving_evicting": lambda s, d: sketches.space_saving(staged(s, d), 1 / o.COUNTERS),
         "frequent_sketch": frequent("sketch", 1 / o.M),
-        "bucket_histogram": lambda s, d: sketch_of(s, d)[1],
-        "sparse_residual": lambda s, d: sketch_of(s, d)[2],
-        "sketch_merge": lambda s, d: sketches.merge_heavy(sketch_of(s, d)[0]),
-        "sketch_merge_buckets": lambda s, d: sketches.merge_buckets(sketch_of(s, d)[2]),
-        "sketch_conservation": lambda s, d: sketches.check_conservation(*sketch_of(s, d)[::2], o.M),
+        "bucket_histogram": lambda s, d: sketch_of(staged(s, d))[1],
+        "sparse_residual": lambda s, d: sketch_of(staged(s, d))[2],
+        "sketch_merge": lambda s, d: sketches.merge_heavy(sketch_of(staged(s, d))[0]),
+        "sketch_merge_buckets": lambda s, d: sketches.merge_buckets(sketch_of(staged(s, d))[2]),
+        "sketch_conservation": lambda s, d: sketches.check_conservation(*sketch_of(complete(s, d))[::2], o.M),
         "distinct_keys": lambda s, d: sketches.distinct_keys(bare_words(s, d)),
-        "distinct_keys_hll": lambda s, d: sketches.distinct_keys(bare_words(s, d), "hll"),
+        "distinct_keys_hll": distinct_keys_hll,
         "keyed_count": lambda s, d: routing.keyed_state(HASH.assign(ev(s, d))),
         "keyed_count_merge": lambda s, d: routing.merge_partials(
             routing.keyed_state(TWO_CHOICE.assign(ev(s, d)))
@@ -387,13 +399,12 @@ def _grouping_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "placement_loads": placement_loads,
         "place_lpt": lambda s, d: placement.place_lpt(learned_items(s, d), o.K),
         "heavy_sorted": heavy_sorted,
-        "top_heavy": lambda s, d: placement.top_heavy(sketches.merge_heavy(sketch_of(s, d)[0]), 20),
+        "top_heavy": lambda s, d: placement.top_heavy(sketches.merge_heavy(sketch_of(staged(s, d))[0]), 20),
         "placement_items": learned_items,
         # routing
         "route_lookup": lambda s, d: online_parts(s, d)[2].select("seq", "key", "period", "worker"),
-        "route_two_level": lambda s, d: DKG.route(
-            shape.split_learning(ev(s, d), o.LEARN, o.SKIP)[1], *DKG.maps(ev(s, d))
-        ),
+        "route_lookup_in_place": route_lookup_in_place,
+        "route_two_level": route_two_level,
         "migration_plan": migration_plan,
         "state_relocate": state_relocate,
         "routing_kept": lambda s, d: routing.routing_kept(online_parts(s, d)[1]),
@@ -404,6 +415,9 @@ def _grouping_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "group_two_choice": lambda s, d: TWO_CHOICE.assign(ev(s, d)).select("seq", "key", "source", "worker"),
         "group_two_choice_hot": lambda s, d: TWO_CHOICE_HOT.assign(hot_ev(s, d)).select("seq", "key", "source", "worker"),
         "group_dkg": rows_of(DKG, ev),
+        "group_dkg_discard": rows_of(DKG_DISCARD, ev),
+        "group_online_drop": lambda s, d: ONLINE_DROP.assign(ev(s, d)).select(*full),
+        "group_online_short_periods": lambda s, d: ONLINE_SHORT.assign(ev(s, d)).select(*full),
         "group_online": lambda s, d: ONLINE.assign(ev(s, d)).select(*full),
         "group_hash_words": worker_of(WORD_HASH, wd),
         "group_two_choice_words": worker_of(WORD_TWO_CHOICE, written_words),
@@ -433,10 +447,11 @@ def _grouping_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         # streams
         "stream_hash": lambda s, d: streams.stream_hash(ev_stream(s, d), HASH, new_folder(s, "hash")),
-        "stream_online": lambda s, d: _online_stream(s, d).result().select(*full),
+        "stream_online": lambda s, d: _online_stream(s, d).drained().select(*full),
         "stream_two_choice": stream_two_choice,
         "stream_learned": stream_learned,
-        "stream_count_window": stream_count_window,
+        "stream_count_window": lambda s, d: _windows(s, d).result(),
+        "stream_count_window_flush": lambda s, d: _windows(s, d).drained(),
         "stream_period_barrier": lambda s, d: _online_stream(s, d).barrier(),
         "stream_migration": lambda s, d: _online_stream(s, d).migration(),
         "stream_keyed_state": stream_keyed_state,

@@ -100,6 +100,5 @@ def candidates(df: DataFrame, k: int, key: str = "key", choices: int = 2) -> Col
 
 
 def murmur_candidates(col: Column, k: int, choices: int = 2) -> Column:
-    """Candidates by Murmur3, seeded with successive primes."""
-    text = col.cast("string")
-    return F.array(*[murmur_hash(text, k, seed) for seed in seed_primes(choices)])
+    """Candidates by Murmur3 of the key, seeded with successive primes."""
+    return F.array(*[murmur_hash(col, k, seed) for seed in seed_primes(choices)])

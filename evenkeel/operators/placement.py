@@ -3,41 +3,28 @@
 from __future__ import annotations
 
 import heapq
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.operators.metrics import running_sum
-from evenkeel.operators.shape import whole_div
 from evenkeel.operators.sketches import fill_zero
-from evenkeel.scratch import new_folder, pin
 
-# Items folded by one task. Longer chains of periods are cut into chunks of this size.
-CHUNK_ITEMS = 1_000_000
-# A single placement has at most 1/theta heavy keys and k*factor buckets; far above that it is refused.
-MAX_ITEMS = 5_000_000
 
-
-def greedy(fixed: list[int], amounts: list[int], loads: list[int]) -> list[int]:
-    """Workers of a sequence of items: the fixed one, or (-1) the least loaded, lowest first."""
-    loads = list(loads)
+def greedy(amounts: Sequence[int], loads: list[int]) -> list[int]:
+    """Workers of a sequence of items, each put on the least loaded one (lowest on ties). Changes ``loads``."""
+    queue = [(load, w) for w, load in enumerate(loads)]
+    heapq.heapify(queue)
     chosen = []
-    queue: list[tuple[int, int]] | None = None
-    for worker, amount in zip(fixed, amounts):
-        if worker >= 0:
-            loads[worker] += amount
-            queue = None
-        else:
-            if queue is None:
-                queue = [(load, w) for w, load in enumerate(loads)]
-                heapq.heapify(queue)
-            load, worker = queue[0]
-            loads[worker] = load + amount
-            heapq.heapreplace(queue, (load + amount, worker))
+    for amount in amounts:
+        load, worker = queue[0]
+        loads[worker] = load + amount
+        heapq.heapreplace(queue, (load + amount, worker))
         chosen.append(worker)
     return chosen
 
@@ -75,24 +62,30 @@ def place_lpt(items: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     """Longest processing time first: items by count, each to the least loaded worker.
 
     Ties: buckets before heavy keys, buckets by falling number, keys rising; of equally loaded
-    workers the lowest; a NULL key is the last. Adds ``worker``.
+    workers the lowest; a NULL key is the last. Adds ``worker``. A group streams through one
+    task in that order, which holds ``k`` loads and a batch.
     """
-    whole = items.withColumns({"_null": F.col("key").isNull(), **{c: _present(items, c) for c in ("key", "bucket")}})
-    schema = T.StructType([*whole.schema.fields, T.StructField("worker", T.IntegerType())])
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_ITEMS:
-            raise ValueError(f"{len(pdf)} items in one placement: raise theta")
-        pdf = pdf.sort_values(["cnt", "kind", "bucket", "_null", "key"], ascending=[False, True, False, True, True])
-        return pdf.assign(worker=greedy([-1] * len(pdf), pdf["cnt"].tolist(), [0] * k))
-
-    is_heavy = F.col("kind") == "heavy"
-    return (
-        whole.groupBy(*by).applyInPandas(place, schema)
-        .withColumn("key", F.when(~F.col("_null"), F.col("key")))
-        .withColumn("bucket", F.when(~is_heavy, F.col("bucket")))
-        .drop("_null")
-    )
+    by = list(by)
+    schema = T.StructType([*items.schema.fields, T.StructField("worker", T.IntegerType())])
+    order = [F.col("cnt").desc(), F.col("kind").asc(), F.col("bucket").desc(), F.col("key").asc_nulls_last()]
+    placed = items.repartition(*by) if by else items.repartition(1)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, loads = None, [0] * k
+        for batch in batches:
+            groups = list(zip(*(batch.column(c).to_pylist() for c in by))) if by else [()] * batch.num_rows
+            amounts, workers, at = batch.column("cnt").to_pylist(), [], 0
+            while at < len(groups):
+                end = at
+                while end < len(groups) and groups[end] == groups[at]:
+                    end += 1
+                if groups[at] != group:
+                    group, loads = groups[at], [0] * k
+                workers += greedy(amounts[at:end], loads)
+                at = end
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(workers, pa.int32())], names=[*batch.schema.names, "worker"])
+
+    return placed.sortWithinPartitions(*by, *order).mapInArrow(place, schema)
 
 
 def split_maps(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,82 +95,56 @@ def split_maps(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return heavy, buckets
 
 
-def _place_in_order(items: DataFrame, k: int, loads: Sequence[int]) -> DataFrame:
-    """Fold the items of one chunk of periods, in order, onto ``loads``."""
-    schema = T.StructType(
-        [items.schema[c] for c in ("period", "key", "null_key", "cnt")] + [T.StructField("worker", T.IntegerType())]
-    )
-    start = list(loads)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["period", "heavy", "rank", "null_key", "key"])
-        pdf = pdf.assign(worker=greedy(pdf["fixed"].tolist(), pdf["cnt"].tolist(), start))
-        return pdf.loc[pdf["heavy"] == 1, ["period", "key", "null_key", "cnt", "worker"]]
-
-    placed = items.groupBy("chunk").applyInPandas(fold, schema)
-    return placed.withColumn("key", F.when(~F.col("null_key"), F.col("key"))).drop("null_key")
-
-
-def place_online(
-    items: DataFrame,
-    k: int,
-    order: str = "key",
-    periods: tuple[int, int] | None = None,
-    items_per_period: int = 1000,
-    initial: Sequence[int] | None = None,
-    chunk_items: int = CHUNK_ITEMS,
-) -> DataFrame:
+def _folded(k: int, initial: Sequence[int]):
+    """Fold periods in order: of each the sparse buckets, then the heavy keys as they are listed."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads = list(initial)
+        for batch in batches:
+            light, heavy = batch.column("light"), batch.column("heavy")
+            items = heavy.flatten()
+            fixed, added = (light.flatten().field(c).to_pylist() for c in ("bucket", "cnt"))
+            amounts, sizes = items.field("cnt").to_pylist(), heavy.value_lengths().to_pylist()
+            workers, a, b = [], 0, 0
+            for n_light, n_heavy in zip(light.value_lengths().to_pylist(), sizes):
+                for worker, amount in zip(fixed[a : a + n_light], added[a : a + n_light]):
+                    loads[worker] += amount
+                workers += greedy(amounts[b : b + n_heavy], loads) if n_heavy else []
+                a, b = a + n_light, b + n_heavy
+            period = batch.column("period").take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
+            key = items.field("key")
+            key = pc.if_else(items.field("null_key"), pa.scalar(None, key.type), key)
+            yield pa.RecordBatch.from_arrays([period, key, pa.array(workers, pa.int32()), items.field("cnt")], names=["period", "key", "worker", "cnt"])
+
+    return fold
+
+
+def place_online(items: DataFrame, k: int, order: str = "key", initial: Sequence[int] | None = None) -> DataFrame:
     """Place merged heavy keys of successive periods; loads carry over and never decay.
 
     ``items`` is a list as of :func:`placement_items`, by period. Per period the sparse buckets
     are added to the loads, then each heavy key (in key order, or by count with
-    ``order='load'``) goes to the least loaded worker, which gains its count. Returns ``(period, key, worker, cnt)``. ``periods`` is the first and last period if known,
-    ``initial`` the ``k`` loads to start from.
-
-    The fold is serial by nature but sees sketches, not rows: at most ``items_per_period``
-    (s/theta + k) per period. Periods are cut into chunks of about ``chunk_items``, folded one
-    after another; only ``k`` loads pass between them. One chunk needs no extra job.
+    ``order='load'``) goes to the least loaded worker, which gains its count. Returns
+    ``(period, key, worker, cnt)``. ``initial`` gives the ``k`` loads to start from.
+
+    Each choice depends on all loads before it, down to the last row, and two folds from different
+    loads do not meet again (items have weights, unlike the rows of two-choice), so periods cannot
+    be placed side by side. But the fold sees sketches, not rows: a period is one row with at most
+    ``k`` buckets and its heavy keys. These rows stream through one task in order, which holds the
+    loads and a batch, in one job whatever their number.
     """
     if order not in ("key", "load"):
         raise ValueError("order is 'key' or 'load'")
-    loads = [0] * k if initial is None else [int(x) for x in initial]
     is_heavy = F.col("kind") == "heavy"
-    by_load = is_heavy if order == "load" else F.lit(False)
-    ordered = items.select(
-        "period",
-        is_heavy.cast("int").alias("heavy"),
-        F.when(by_load, -F.col("cnt")).otherwise(0).alias("rank"),
-        (is_heavy & F.col("key").isNull()).alias("null_key"),
-        _present(items, "key").alias("key"),
-        F.when(is_heavy, -1).otherwise(F.col("bucket")).alias("fixed"),
-        "cnt",
+    rank = -F.col("cnt") if order == "load" else F.lit(0).cast("bigint")
+    heavy = F.struct(rank.alias("rank"), F.col("key").isNull().alias("null_key"), _present(items, "key").alias("key"), "cnt")
+    rows = items.groupBy("period").agg(
+        F.array_sort(F.collect_list(F.when(is_heavy, heavy))).alias("heavy"),
+        F.collect_list(F.when(~is_heavy, F.struct("bucket", "cnt"))).alias("light"),
     )
-    if periods is None:
-        bounds = ordered.agg(F.min("period"), F.max("period")).first()
-        periods = (int(bounds[0] or 1), int(bounds[1] or 1))
-    first, last = periods
-    per_chunk = max(1, chunk_items // max(1, items_per_period))
-    chunked = ordered.withColumn("chunk", whole_div(F.col("period") - first, per_chunk))
-    placed = ["period", "key", "worker", "cnt"]
-    chunk_count = math.ceil((last - first + 1) / per_chunk)
-    if chunk_count <= 1:
-        return _place_in_order(chunked, k, loads).select(*placed)
-
-    spark = items.sparkSession
-    chunked = pin(chunked, "items", "chunk")
-    path = new_folder(spark, "placed")
-    for chunk in range(chunk_count):
-        this = chunked.where(F.col("chunk") == chunk)
-        step = f"{path}/step={chunk}"
-        _place_in_order(this, k, loads).write.parquet(step)
-        added = (
-            spark.read.parquet(step).select("worker", "cnt")
-            .unionByName(this.where("heavy = 0").select(F.col("fixed").alias("worker"), "cnt"))
-            .groupBy("worker").agg(F.sum("cnt").alias("cnt"))
-        )
-        for row in added.collect():  # at most k rows
-            loads[row["worker"]] += row["cnt"]
-    return spark.read.parquet(path).select(*placed)
+    schema = T.StructType([items.schema["period"], items.schema["key"], T.StructField("worker", T.IntegerType()), T.StructField("cnt", T.LongType())])
+    start = [0] * k if initial is None else [int(x) for x in initial]
+    return rows.repartition(1).sortWithinPartitions("period").mapInArrow(_folded(k, start), schema)
 
 
 def placement_loads(routing: DataFrame, sparse: DataFrame, k: int) -> DataFrame:

@@ -15,6 +15,7 @@ __all__ = [
     "merge_partials",
     "migration",
     "relocate",
+    "route_by_period",
     "route_dkg",
     "route_online",
     "routing_added",
@@ -34,9 +35,10 @@ def route_online(
 ) -> DataFrame:
     """Worker from the routing table, by hash where the key is not in it.
 
-    ``routing_rows`` is a bound on the table's size; within the broadcast limit no row of the
+    ``routing_rows`` is a bound on the table's rows; within the broadcast limit no row of the
     stream moves. Beyond it both sides shuffle on period and key, and such a group never
-    exceeds one period. A NULL key matches the table's NULL key.
+    exceeds one period; rows that are dealt out by period need no shuffle with :func:`route_by_period`.
+    A NULL key matches the table's NULL key.
     """
     table = routing.select(*[F.col(c).alias(f"_{c}") for c in (*by, key)], F.col("worker").alias("_worker"))
     same = [F.col(c) == F.col(f"_{c}") for c in by] + [F.col(key).eqNullSafe(F.col(f"_{key}"))]
@@ -44,6 +46,31 @@ def route_online(
     return routed.select(*df.columns, F.coalesce("_worker", hash_of(key)).alias("worker"))
 
 
+def route_by_period(
+    df: DataFrame, routing: DataFrame, hash_of: Callable[[str], Column], keys_per_period: int, key: str = "key"
+) -> DataFrame:
+    """:func:`route_online` for rows that are dealt out by period already, and a table of any size.
+
+    The table is folded to one row for each period: slots by hash, each a map of the few keys that
+    fall into it. It joins on the period alone, so the rows stay where they are, and a lookup reads one slot.
+    """
+    slots = max(1, min(256, keys_per_period // 2))
+    slot = F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+    entry = F.when(F.col(key).isNotNull(), F.struct(key, "worker"))
+    found = routing.groupBy("period", slot.alias("_slot")).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("_map"), F.max(F.when(F.col(key).isNull(), F.col("worker"))).alias("_null")
+    )
+    at = lambda i: F.try_element_at("_maps", i)
+    folded = (
+        found.groupBy("period")
+        .agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_map"))).alias("_maps"), F.max("_null").alias("_null"))
+        .select(F.col("period").alias("_period"), F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), at).alias("_slots"), "_null")
+    )
+    routed = df.join(folded.hint("shuffle_hash"), F.col("period") == F.col("_period"), "left")
+    placed = F.when(F.col(key).isNull(), F.col("_null")).otherwise(F.try_element_at(F.get("_slots", slot), F.col(key)))
+    return routed.select(*df.columns, F.coalesce(placed, hash_of(key)).alias("worker"))
+
+
 def route_dkg(
     df: DataFrame,
     heavy_map: DataFrame,

@@ -47,8 +47,8 @@ def prefix(df: DataFrame, n: int) -> DataFrame:
     return df.where(F.col("seq") < n)
 
 
-def split_learning(df: DataFrame, learn: int, skip: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Rows to learn from, and rows to route; ``skip`` rows between them are dropped."""
+def split_learning(df: DataFrame, learn: int, skip: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Rows to learn from, and the rows after them, without the next ``skip``."""
     return prefix(df, learn), df.where(F.col("seq") >= learn + skip)
 
 
@@ -70,9 +70,9 @@ def complete_periods(df: DataFrame, s: int, m: int) -> DataFrame:
 
 
 def complete_only(
-    df: DataFrame, s: int, m: int, tail: str = "drop", dense: bool = True, rows: int | None = None
+    df: DataFrame, s: int, m: int, tail: str = "flush", dense: bool = True, rows: int | None = None
 ) -> DataFrame:
-    """Keep rows of complete periods; ``tail='flush'`` keeps the incomplete end too.
+    """All rows, or with ``tail='drop'`` those of complete periods.
 
     With a dense ``seq`` only the last period can be incomplete, so the number of rows (looked
     up unless given) decides: a filter on ``seq`` that reaches the scan. Otherwise periods are

@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -218,17 +218,36 @@ def items_from_counts(
 
 
 def items_from_rows(
-    df: DataFrame, theta: float, m: int, bucket_of: Callable[[str], Column], key: str = "key"
+    df: DataFrame,
+    theta: float,
+    n: Column | None,
+    bucket_of: Callable[[str], Column],
+    key: str = "key",
+    placed: bool = False,
 ) -> DataFrame:
-    """Merged heavy keys and sparse buckets of complete periods in one pass over the rows.
+    """Merged heavy keys and sparse buckets of periods in one pass over the rows.
 
     Same result as sketching each source and merging. Rows are shuffled once, by period:
     every later grouping contains ``period`` and needs no further exchange. A period holds
-    ``s*m`` rows whatever the keys are, so partitions stay even under any key skew.
+    ``s*m`` rows at most whatever the keys are, so partitions stay even under any key skew.
+
+    ``n`` is the number of rows of a source in a period; without it they are counted. With ``placed`` the
+    rows are dealt out by period already. All their columns are then read here, which makes this
+    the same exchange as that of a later join, and Spark runs it once.
     """
-    by_period = df.select("period", "source", key).repartition("period")
-    counts = key_counts(by_period, ("period", "source"), key)
-    return items_from_counts(counts, F.col("cnt") >= math.ceil(theta * m), bucket_of, ("period",), key)
+    if placed:
+        # The greatest hash of a row always exists, which Catalyst cannot know.
+        read = F.max(F.xxhash64(*df.columns))
+        counts = df.groupBy("period", "source", key).agg(F.count("*").alias("cnt"), read.alias("_read"))
+        counts = counts.where(F.col("_read").isNotNull()).drop("_read")
+    else:
+        counts = key_counts(df.select("period", "source", key).repartition("period"), ("period", "source"), key)
+    if n is None:
+        n = F.sum("cnt").over(Window.partitionBy("period", "source"))
+        counts = counts.withColumn("_n", n)
+        n = F.col("_n")
+    is_heavy = F.col("cnt") >= F.ceil(F.lit(theta) * n)
+    return items_from_counts(counts, is_heavy, bucket_of, ("period",), key)
 
 
 def split_items(items: DataFrame, by: Sequence[str] = ("period",)) -> tuple[DataFrame, DataFrame]:

@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel.functions.hashing import KeyHash, key_hash, murmur_hash
+from evenkeel.functions.hashing import KeyHash, key_hash, murmur_candidates, murmur_hash
 from evenkeel.operators import placement, routing, shape, sketches
 from evenkeel.operators.carry import carry_loads, pack_choice
 from evenkeel.operators.metrics import balance, worker_load
-from evenkeel.scratch import pin
+from evenkeel.scratch import BROADCAST_BYTES, pin
 
 # Rows of one source that one task replays in order.
 CHUNK_ROWS = 1 << 17
@@ -62,8 +62,16 @@ class TwoChoiceGrouping:
     k: int
     s: int | None = 1
     chunk_rows: int = CHUNK_ROWS
+    murmur: bool = False
     name: str = "two_choice"
 
+    def candidates(self, df: DataFrame) -> tuple[Column, Column]:
+        """The two workers of each key, by the 2-universal family or seeded Murmur3."""
+        if self.murmur:
+            pair = murmur_candidates(F.col("key"), self.k)
+            return pair[0], pair[1]
+        return key_hash(df, self.k)("key"), key_hash(df, self.k, member=1)("key")
+
     def assign(self, df: DataFrame, initial: DataFrame | None = None, first_pos: int = 0) -> DataFrame:
         staged, chosen = self._run(df, initial, first_pos)
         # Four bytes per row on the right: hashed per partition, and the rows need no sort.
@@ -91,7 +99,7 @@ class TwoChoiceGrouping:
         staged = placed.withColumn("chunk", shape.whole_div(place, self.chunk_rows)).withColumn(
             "_offset", F.pmod(place, F.lit(self.chunk_rows)).cast("int")
         )
-        first, second = (key_hash(df, self.k, member=i)("key") for i in range(2))
+        first, second = self.candidates(df)
         packed = pack_choice(F.col("_offset"), first, second, self.k).alias("_op")
         # Lists do not shrink before a shuffle, so single numbers are moved and listed after it.
         moved = staged.select("source", "chunk", packed).repartition("source", "chunk")
@@ -102,10 +110,11 @@ class TwoChoiceGrouping:
 
 @dataclass(frozen=True)
 class LearnedGrouping:
-    """Learn the key distribution from the first rows, place once, route the rest.
+    """Learn the key distribution from the first rows, place once, route all rows by that.
 
-    Heavy keys and ``ceil(k*factor)`` hash buckets are placed longest first. The learned rows
-    and ``skip`` more are not routed; with fewer than ``learn`` rows nothing is.
+    Heavy keys and ``ceil(k*factor)`` hash buckets are placed longest first, from the first ``learn``
+    rows, or from all if there are fewer. ``learned='discard'`` does not route the rows it
+    learned from, nor ``skip`` more; with no more rows than that it routes nothing.
     """
 
     k: int
@@ -113,10 +122,15 @@ class LearnedGrouping:
     factor: float = 2.0
     learn: int = 80_000
     eps_factor: float = 2.0
-    skip: int = 2
+    learned: str = "route"
+    skip: int = 0
     mode: str = "exact"
     name: str = "dkg"
 
+    def __post_init__(self) -> None:
+        if self.learned not in ("route", "discard"):
+            raise ValueError("learned is 'route' or 'discard'")
+
     @property
     def buckets(self) -> int:
         return math.ceil(self.k * self.factor)
@@ -124,21 +138,32 @@ class LearnedGrouping:
     def bucket_hash(self, df: DataFrame) -> KeyHash:
         return key_hash(df, self.buckets)
 
+    def learning(self, df: DataFrame) -> DataFrame:
+        """The rows to learn from."""
+        return shape.prefix(df, self.learn)
+
+    def to_route(self, df: DataFrame) -> DataFrame:
+        return df if self.learned == "route" else shape.split_learning(df, self.learn, self.skip)[1]
+
     def items(self, learned: DataFrame) -> DataFrame:
         """Heavy keys and all sparse buckets, empty ones too, of the learned rows."""
-        bucket_of = self.bucket_hash(learned)
         if self.mode == "exact":
-            counts = sketches.key_counts(learned, ())
-            is_heavy = F.col("cnt") >= math.ceil(self.theta * self.learn)
-            found = sketches.items_from_counts(counts, is_heavy, bucket_of)
-        else:
-            eps = self.theta / self.eps_factor
-            heavy = sketches.heavy_hitters(learned, self.theta, eps, (), self.mode, n=self.learn)
-            hist = sketches.bucket_hist(learned, self.buckets, bucket_of, ())
-            found = placement.placement_items(heavy, sketches.sparse_buckets(hist, heavy, bucket_of, ()))
-        every = learned.sparkSession.range(self.buckets).select(
+            return self.items_of_counts(sketches.key_counts(learned, ()))
+        bucket_of = self.bucket_hash(learned)
+        eps = self.theta / self.eps_factor
+        heavy = sketches.heavy_hitters(learned, self.theta, eps, (), self.mode)
+        hist = sketches.bucket_hist(learned, self.buckets, bucket_of, ())
+        return self._with_all_buckets(placement.placement_items(heavy, sketches.sparse_buckets(hist, heavy, bucket_of, ())))
+
+    def items_of_counts(self, counts: DataFrame) -> DataFrame:
+        """The same from the counted rows of each key."""
+        reached = F.col("cnt") >= F.ceil(F.lit(self.theta) * counts.agg(F.sum("cnt")).scalar())
+        return self._with_all_buckets(sketches.items_from_counts(counts, reached, self.bucket_hash(counts)))
+
+    def _with_all_buckets(self, found: DataFrame) -> DataFrame:
+        every = found.sparkSession.range(self.buckets).select(
             F.lit("bucket").alias("kind"),
-            F.lit(None).cast(learned.schema["key"].dataType).alias("key"),
+            F.lit(None).cast(found.schema["key"].dataType).alias("key"),
             F.col("id").cast("int").alias("bucket"),
             F.lit(0).cast("bigint").alias("cnt"),
         )
@@ -146,8 +171,7 @@ class LearnedGrouping:
 
     def maps(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The two small maps, from one placement that is written once."""
-        learned, _ = shape.split_learning(df, self.learn, self.skip)
-        return placement.split_maps(pin(placement.place_lpt(self.items(learned), self.k), "maps"))
+        return placement.split_maps(pin(placement.place_lpt(self.items(self.learning(df)), self.k), "maps"))
 
     def route(self, rows: DataFrame, heavy_map: DataFrame, bucket_map: DataFrame) -> DataFrame:
         # At most 1/theta keys can reach the threshold, so both maps have a known bound.
@@ -156,8 +180,7 @@ class LearnedGrouping:
         )
 
     def assign(self, df: DataFrame) -> DataFrame:
-        _, rest = shape.split_learning(df, self.learn, self.skip)
-        return self.route(rest, *self.maps(df))
+        return self.route(self.to_route(df), *self.maps(df))
 
 
 @dataclass(frozen=True)
@@ -165,8 +188,8 @@ class OnlineGrouping:
     """Re-learn every period: sketch per source, merge, place, route the same rows.
 
     Each of ``s`` round-robin sources has ``m`` rows per period. The result has ``source``,
-    ``period`` and ``worker``; the rows of an incomplete last period are dropped, or routed
-    by what they show with ``tail='flush'``.
+    ``period`` and ``worker``. The rows of an incomplete last period are routed by what they
+    show; ``tail='drop'`` leaves them out.
     """
 
     k: int
@@ -175,57 +198,71 @@ class OnlineGrouping:
     theta: float
     eps: float | None = None
     order: str = "key"
-    tail: str = "drop"
+    tail: str = "flush"
     mode: str = "exact"
-    chunk_items: int = placement.CHUNK_ITEMS
     name: str = "online"
 
     @property
     def heavy_per_period(self) -> int:
         return math.ceil(self.s / self.theta)
 
+    def _dense(self, df: DataFrame) -> tuple[int, Column]:
+        """Number of periods, and of the rows of a source in its period, by the number of rows."""
+        rows = shape.last_seq(df) + 1
+        size = self.s * self.m
+        last = rows // size + 1
+        # Sources take turns, so the first ones have one row more in an incomplete period.
+        short = F.ceil((F.lit(rows % size) - F.col("source")) / self.s)
+        n = F.when(F.col("period") == last, short).otherwise(self.m) if rows % size else F.lit(self.m)
+        return (last if rows % size and self.tail == "flush" else last - 1), n
+
     def stage(self, df: DataFrame, periods: int | None = None) -> DataFrame:
-        """Rows of complete periods with source and period; pass the number of periods if known."""
+        """Rows with source and period; pass the number of periods if it is known."""
         staged = shape.with_period(shape.with_source(df, self.s), self.s, self.m)
         rows = None if periods is None else periods * self.s * self.m
         return shape.complete_only(staged, self.s, self.m, self.tail, rows=rows)
 
     def periods(self, df: DataFrame) -> int:
-        rows = shape.last_seq(df) + 1
-        per_period = self.s * self.m
-        return math.ceil(rows / per_period) if self.tail == "flush" else rows // per_period
+        return self._dense(df)[0]
+
+    def items(self, staged: DataFrame, n: Column | None = None, placed: bool = False) -> DataFrame:
+        """Merged heavy keys and sparse buckets per period, as one item list.
 
-    def items(self, staged: DataFrame) -> DataFrame:
-        """Merged heavy keys and sparse buckets per period, as one item list."""
+        ``n`` is the number of rows of a source in a period, counted if not given.
+        """
         bucket_of = key_hash(staged, self.k)
-        if self.mode == "exact" and self.tail == "drop":
-            return sketches.items_from_rows(staged, self.theta, self.m, bucket_of)
-        # A flushed tail has fewer rows per source, and its threshold follows them.
-        n = self.m if self.tail == "drop" else None
-        heavy = sketches.heavy_hitters(staged, self.theta, self.eps, mode=self.mode, n=n)
+        if self.mode == "exact":
+            return sketches.items_from_rows(staged, self.theta, n, bucket_of, placed=placed)
+        heavy = sketches.heavy_hitters(staged, self.theta, self.eps, mode=self.mode)
         hist = sketches.bucket_hist(staged, self.k, bucket_of)
         merged = sketches.merge_sketches(heavy, sketches.sparse_buckets(hist, heavy, bucket_of))
         return placement.placement_items(*merged, by=["period"])
 
-    def place(
-        self, items: DataFrame, periods: tuple[int, int], initial: Sequence[int] | None = None
-    ) -> DataFrame:
-        per_period = self.heavy_per_period + self.k
-        return placement.place_online(items, self.k, self.order, periods, per_period, initial, self.chunk_items)
+    def place(self, items: DataFrame, initial: Sequence[int] | None = None) -> DataFrame:
+        return placement.place_online(items, self.k, self.order, initial)
 
     def routing(self, df: DataFrame) -> DataFrame:
         """The routing tables of all periods: ``(period, key, worker, cnt)``."""
-        periods = self.periods(df)
-        return self.place(self.items(self.stage(df, periods)), (1, periods))
+        periods, n = self._dense(df)
+        return self.place(self.items(self.stage(df, periods), n))
 
     def route(self, staged: DataFrame, table: DataFrame, periods: int) -> DataFrame:
         rows = periods * self.heavy_per_period
         return routing.route_online(staged, table, key_hash(staged, self.k), rows)
 
     def assign(self, df: DataFrame) -> DataFrame:
-        periods = self.periods(df)
+        periods, n = self._dense(df)
         staged = self.stage(df, periods)
-        return self.route(staged, self.place(self.items(staged), (1, periods)), periods)
+        # Three columns of eight bytes, texts being longer.
+        if periods * self.heavy_per_period * 24 <= BROADCAST_BYTES:
+            return self.route(staged, self.place(self.items(staged, n)), periods)
+        return self.assign_in_place(staged, n)
+
+    def assign_in_place(self, staged: DataFrame, n: Column | None = None) -> DataFrame:
+        """Learn from and route rows that are dealt out by period once, for tables too large to send."""
+        placed = staged.repartition("period")
+        table = self.place(self.items(placed, n, placed=True))
+        return routing.route_by_period(placed, table, key_hash(placed, self.k), self.heavy_per_period)
 
 
 @dataclass(frozen=True)

@@ -8,9 +8,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A derived table with more rows than this is not broadcast by hint.
-BROADCAST_ROWS = 500_000
+# A derived table with more bytes than this is not broadcast by hint.
+BROADCAST_BYTES = 16 << 20
+# Types whose values have a fixed size; it is at most eight bytes.
+_FIXED = (T.IntegralType, T.FractionalType, T.BooleanType, T.DateType, T.TimestampType)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,13 +48,27 @@ def pin(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of all values of a table, counted: eight for a number, their length for texts."""
+    size = F.lit(0)
+    for field in df.schema.fields:
+        fixed = isinstance(field.dataType, _FIXED)
+        size = size + (F.lit(8) if fixed else F.coalesce(F.octet_length(F.col(field.name).cast("string")), F.lit(0)))
+    return int(df.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0])
+
+
 def broadcast_within(df: DataFrame, rows: float | None) -> DataFrame:
-    """Mark the small side of a join by ``rows``, a proven bound on its size.
+    """Mark the small side of a join by its bytes; ``rows`` is a proven bound on its rows.
 
-    Within the limit it is broadcast. Beyond it both sides shuffle and it is the side hashed in
-    memory, a partition at a time, so the large side is at least not sorted. Without a bound
-    the choice is Catalyst's.
+    Numbers have a fixed size, so the bound is enough. Texts may have any, so a table with text is
+    written and its bytes are counted. Within the limit it is broadcast. Beyond it both sides shuffle
+    and it is the side hashed in memory, a partition at a time, so the large side is at least not
+    sorted. Without a bound the choice is Catalyst's.
     """
     if rows is None:
         return df
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("shuffle_hash")
+    fits = rows * 8 * len(df.columns) <= BROADCAST_BYTES
+    if fits and not all(isinstance(f.dataType, _FIXED) for f in df.schema.fields):
+        df = pin(df, "lookup")
+        fits = table_bytes(df) <= BROADCAST_BYTES
+    return F.broadcast(df) if fits else df.hint("shuffle_hash")

@@ -1,65 +1,80 @@
 """The grouping strategies on live streams.
 
-Each runner consumes a streaming DataFrame of ``(seq, key)`` with one ``foreachBatch`` query
-and keeps its tables in a folder. ``run(stream)`` processes what is available and stops;
-``start(stream, trigger)`` keeps going. Results equal the batch strategies on the same rows.
+Each runner consumes a streaming DataFrame of ``(seq, key)`` and more columns if there are any.
+``run(stream)`` processes what is available and stops; run again, on the same folder, it goes on with what
+has come since. ``start(stream, trigger)`` keeps going. Output goes through Spark's file sink and what
+waits is in Spark's state store, so each row is given once whatever fails. ``drained()`` adds what
+still waits when the input has ended. Results equal the batch strategies on the same rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+import time
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
 
-from evenkeel.operators import placement, shape
+from evenkeel.functions.hashing import key_hash
+from evenkeel.operators import placement, routing, shape
 from evenkeel.operators.metrics import balance, period_worker_load, worker_load
-from evenkeel.operators.routing import compare_tables
 from evenkeel.plans.groupings import Grouping, HashGrouping, LearnedGrouping, OnlineGrouping, TwoChoiceGrouping
-from evenkeel.streaming.store import BatchStore
-from evenkeel.streaming.windows import PeriodBuffer
-
-
-def staged_schema(stream: DataFrame) -> T.StructType:
-    """Schema of buffered rows: the stream's, with source and period."""
-    return shape.with_period(shape.with_source(stream, 1), 1, 1).schema
-
-
-def routed_schema(stream: DataFrame) -> T.StructType:
-    return T.StructType([*staged_schema(stream).fields, T.StructField("worker", T.IntegerType())])
+from evenkeel.streaming.state import (
+    Carried,
+    PlacedPeriods,
+    SketchedPeriods,
+    TwoChoiceRows,
+    Windows,
+    has_finished_a_batch,
+    in_state,
+    rocksdb,
+    unfolded,
+)
+from evenkeel.streaming.watch import Watch, batch_delays, watched
+
+
+def table_at(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """What a file sink has written so far, nothing if it has not begun."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
 
 
 @dataclass
 class _Runner:
     root: str
 
-    def start(self, stream: DataFrame, **trigger) -> StreamingQuery:
-        """Start the query; ``trigger`` is passed on, ``availableNow=True`` unless given."""
-        self.store = BatchStore(stream.sparkSession, self.root)
-        self.schema = stream.schema
-        self.staged = staged_schema(stream)
-        self.routed = routed_schema(stream)
-        return (
-            stream.writeStream.foreachBatch(self.process)
-            .option("checkpointLocation", self.store.checkpoint)
-            .trigger(**(trigger or {"availableNow": True}))
-            .start()
-        )
+    def path(self, table: str) -> str:
+        return f"{self.root}/{table}"
 
-    def run(self, stream: DataFrame) -> "_Runner":
-        query = self.start(stream)
-        query.awaitTermination()
-        self.last_batch = query.lastProgress["batchId"] if query.lastProgress else -1
-        return self
+    def _see(self, stream: DataFrame) -> None:
+        self.spark, self.schema = stream.sparkSession, stream.schema
+
+    def _query(self, out: DataFrame, table: str, by: tuple[str, ...] = (), watch: dict | None = None, **trigger) -> Watch:
+        """Write a stream to a folder of files, watched."""
+        follower = watched(self.spark, self.path(f"delays-{table}"), **(watch or {}))
+        with rocksdb(self.spark):
+            writer = out.writeStream.format("parquet").partitionBy(*by).option("path", self.path(table))
+            writer = writer.option("checkpointLocation", self.path(f"checkpoint-{table}"))
+            follower.follow(writer.trigger(**(trigger or {"availableNow": True})).start())
+        return follower
 
-    def process(self, rows: DataFrame, batch: int) -> None:
+    def start(self, stream: DataFrame, **trigger) -> list[Watch]:
+        """Start the queries; ``trigger`` is passed on, ``availableNow=True`` unless given."""
         raise NotImplementedError
 
-    def result(self) -> DataFrame:
-        """Rows routed so far."""
-        return self.store.read("routed", self.routed)
+    def run(self, stream: DataFrame) -> "_Runner":
+        for watch in self.start(stream):
+            watch.finish()
+        return self
+
+    def delays(self) -> DataFrame:
+        """How long each batch took: ``(source, period, delay_us)``."""
+        return batch_delays(self.spark, self.path(f"delays-{self._main}"))
 
 
 def stream_hash(stream: DataFrame, grouping: HashGrouping, root: str) -> DataFrame:
@@ -78,111 +93,149 @@ def stream_hash(stream: DataFrame, grouping: HashGrouping, root: str) -> DataFra
 
 @dataclass
 class CountWindows(_Runner):
-    """Emits the rows of complete count windows, in order of the windows."""
+    """Emits the rows of a count window of a source when all ``m`` have arrived."""
 
     s: int
     m: int
+    _main = "windows"
+
+    def start(self, stream: DataFrame, **trigger) -> list[Watch]:
+        self._see(stream)
+        carried = Carried(stream.schema)
+        staged = shape.with_period(shape.with_source(stream, self.s), self.s, self.m)
+        full = (
+            carried.packed(staged, F.col("source"), F.col("period"))
+            .groupBy("source", "period")
+            .transformWithStateInPandas(
+                statefulProcessor=Windows(self.m, carried, ["source", "period"]),
+                outputStructType=f"source int, period bigint, {carried.flat}",
+                outputMode="Append",
+                timeMode="None",
+            )
+        )
+        return [self._query(full.select(*carried.restored(), "source", "period"), "windows", **trigger)]
 
-    def process(self, rows: DataFrame, batch: int) -> None:
-        done = self.store.previous_notes(batch).get("period", 0)
-        ready, last = PeriodBuffer(self.store, self.s, self.m).take(rows, batch, done)
-        self.store.write(ready, "windows", batch)
-        self.store.write_notes({"period": last}, batch)
+    def _schema(self) -> T.StructType:
+        return T.StructType([*Carried.in_order(self.schema), T.StructField("source", T.IntegerType()), T.StructField("period", T.LongType())])
 
     def result(self) -> DataFrame:
-        return self.store.read("windows", self.staged)
+        """Rows of complete windows."""
+        return table_at(self.spark, self.path("windows"), self._schema())
+
+    def drained(self) -> DataFrame:
+        """After the input has ended: every row, those of incomplete windows too."""
+        carried, waiting = Carried(self.schema), in_state(self.spark, self.path("checkpoint-windows"), "rows")
+        if waiting is None:
+            return self.result()
+        rest = unfolded(waiting, "list_element", [F.col("key.source"), F.col("key.period")], ["seq", *carried.names])
+        return self.result().unionByName(rest.select(*carried.restored(), "source", "period"))
 
 
 @dataclass
 class OnlineStream(_Runner):
     """Learn each period, place, and route the same rows; loads and tables pass between batches.
 
-    Writes ``routed`` rows, ``routing`` tables, ``migration`` plans and ``barrier`` statistics
-    (rows of each worker per period and so far), each period once, after all its rows are in.
+    Two queries. The first gathers periods: when all rows of one have arrived it gives them, with one
+    sketch row. The second takes the sketches in order of their periods and writes routing tables.
+    Routed rows, migration plans and barrier statistics follow from these two tables.
     """
 
     grouping: OnlineGrouping
+    _main = "periods"
+
+    def start(self, stream: DataFrame, **trigger) -> list[Watch]:
+        self._see(stream)
+        g, carried = self.grouping, Carried(stream.schema)
+        staged = shape.with_period(shape.with_source(stream, g.s), g.s, g.m)
+        bucket = key_hash(stream, g.k)("key").alias("bucket")
+        gather = SketchedPeriods(g.s, g.m, g.k, math.ceil(g.theta * g.m), g.order == "load", carried)
+        periods = (
+            carried.packed(staged, F.col("period"), F.col("source"), bucket)
+            .groupBy("period")
+            .transformWithStateInPandas(
+                statefulProcessor=gather, outputStructType=SketchedPeriods.schema(carried), outputMode="Append", timeMode="None"
+            )
+        )
+        # No row may get lost between the rows of a batch and its sketches.
+        whole = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda x, y: x + y)
+        mass = F.sum(F.when(F.col("kind") == "sketch", whole(F.col("light")) + whole(F.col("counts"))))
+        periods = periods.observe("mass", F.count(F.when(F.col("kind") == "row", 1)).alias("rows"), mass.alias("mass"))
+        check = {"metric": "mass", "expect_equal": ("rows", "mass")}
+        first = self._query(periods, "periods", ("kind",), check, **trigger)
+        while not self._begun() and first.query.isActive:
+            time.sleep(0.1)
+        if not self._begun():
+            return [first]
+        if not trigger:
+            # What is available to the second query is what the first one has written.
+            first.query.awaitTermination()
+        sketches = self.spark.readStream.schema(self._periods_schema()).parquet(self.path("periods")).where("kind = 'sketch'")
+        placed = (
+            sketches.select(F.lit(0).alias("all"), "period", "light", "heavy", "counts")
+            .groupBy("all")
+            .transformWithStateInPandas(
+                statefulProcessor=PlacedPeriods(g.k), outputStructType=PlacedPeriods.OUT, outputMode="Append", timeMode="None"
+            )
+        )
+        key = F.col("key").cast(stream.schema["key"].dataType)
+        return [first, self._query(placed.withColumn("key", key), "routing", **trigger)]
 
-    def process(self, rows: DataFrame, batch: int) -> None:
-        g, store = self.grouping, self.store
-        notes = store.previous_notes(batch)
-        done = notes.get("period", 0)
-        loads = notes.get("loads", [0] * g.k)
-        received = notes.get("received", [0] * g.k)
-        ready, last = PeriodBuffer(store, g.s, g.m).take(rows, batch, done)
-
-        items = store.write(g.items(ready), "items", batch)
-        mass = items.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
-        if mass != (last - done) * g.s * g.m:
-            raise RuntimeError(f"sketches of periods {done + 1}..{last} hold {mass} rows")
-        table = store.write(g.place(items, (done + 1, max(last, done + 1)), loads), "routing", batch)
-        routed = store.write(g.route(ready, table, last - done), "routed", batch)
-
-        before = store.previous("current", self._table_schema, batch)
-        current = table.where(F.col("period") == last).select("period", "key", "worker") if last > done else before
-        store.write(current, "current", batch)
-        old = before.unionByName(table.select("period", "key", "worker"))
-        shifted = old.select((F.col("period") + 1).alias("period"), "key", F.col("worker").alias("before"))
-        new = table.select("period", "key", F.col("worker").alias("after"))
-        plan = compare_tables(shifted.where(F.col("period").between(done + 1, last)), new, ["period", "key"])
-        store.write(plan, "migration", batch)
-
-        so_far = F.element_at(F.lit(received).cast("array<bigint>"), F.col("worker") + 1)
-        barrier = period_worker_load(routed, g.k).withColumn("total", F.col("total") + so_far)
-        barrier = store.write(barrier, "barrier", batch)
-
-        light = items.where(F.col("kind") == "bucket").select(F.col("bucket").alias("worker"), "cnt")
-        for worker, added in _sums(table.select("worker", "cnt").unionByName(light)):
-            loads[worker] += added
-        for worker, added in _sums(barrier.select("worker", F.col("load").alias("cnt"))):
-            received[worker] += added
-        store.write_notes({"period": last, "loads": loads, "received": received}, batch)
+    def _begun(self) -> bool:
+        return has_finished_a_batch(self.spark, self.path("checkpoint-periods"))
 
-    def barrier(self) -> DataFrame:
-        """Per period and worker: rows in the period, rows so far."""
-        return self.store.read("barrier", _BARRIER)
+    def _periods_schema(self) -> T.StructType:
+        return T._parse_datatype_string(SketchedPeriods.schema(Carried(self.schema)))
 
-    @property
-    def _table_schema(self) -> T.StructType:
-        return T.StructType(
-            [T.StructField("period", T.LongType()), self.schema["key"], T.StructField("worker", T.IntegerType())]
-        )
+    def _gathered(self) -> DataFrame:
+        """Rows of complete periods."""
+        rows = table_at(self.spark, self.path("periods"), self._periods_schema()).where("kind = 'row'")
+        return rows.select(*Carried(self.schema).restored(), "source", "period")
+
+    def _tables(self) -> DataFrame:
+        fields = [T.StructField("period", T.LongType()), self.schema["key"], T.StructField("worker", T.IntegerType()), T.StructField("cnt", T.LongType())]
+        return table_at(self.spark, self.path("routing"), T.StructType(fields))
+
+    def _done(self) -> DataFrame:
+        return self._tables().where("cnt IS NULL").select("period")
 
     def routing(self) -> DataFrame:
-        return self.store.read("routing", self._table_schema)
+        """Tables of the periods that were placed: ``(period, key, worker, cnt)``."""
+        return self._tables().where("cnt IS NOT NULL")
+
+    def _last(self) -> int:
+        return int(self._done().agg(F.coalesce(F.max("period"), F.lit(0))).first()[0])
+
+    def result(self) -> DataFrame:
+        """Rows of complete periods, all earlier ones of which are complete."""
+        last = self._last()
+        due = self._gathered().where(F.col("period") <= last)
+        return self.grouping.route(due, self.routing(), last)
+
+    def barrier(self) -> DataFrame:
+        """Per period and worker: rows in the period, rows so far."""
+        return period_worker_load(self.result(), self.grouping.k)
 
     def migration(self) -> DataFrame:
-        fields = [
-            T.StructField("period", T.LongType()),
-            self.schema["key"],
-            T.StructField("before", T.IntegerType()),
-            T.StructField("after", T.IntegerType()),
-            T.StructField("moved", T.BooleanType()),
-        ]
-        return self.store.read("migration", T.StructType(fields))
+        return routing.migration(self.routing().select("period", "key", "worker"), self._last())
 
     def drained(self) -> DataFrame:
         """After the input has ended: all routed rows, with ``tail='flush'`` the waiting ones too.
 
-        Waiting rows form incomplete periods; they are learned from and routed like the others.
+        Waiting rows form incomplete periods, or wait behind one; they are learned from and routed like the others.
         """
-        if self.grouping.tail != "flush" or self.last_batch < 0:
+        g, carried = self.grouping, Carried(self.schema)
+        waiting = in_state(self.spark, self.path("checkpoint-periods"), "rows")
+        if g.tail != "flush" or waiting is None:
             return self.result()
-        g = self.grouping
-        rest = PeriodBuffer(self.store, g.s, g.m).rest(self.last_batch, self.staged)
-        notes = self.store.previous_notes(self.last_batch + 1)
-        first = notes["period"] + 1
-        last = rest.agg(F.coalesce(F.max("period"), F.lit(first))).first()[0]
-        table = g.place(g.items(rest), (first, int(last)), notes["loads"])
-        return self.result().unionByName(g.route(rest, table, int(last) - first + 1).select(*self.routed.names))
-
-
-_BARRIER = "period bigint, worker int, load bigint, total bigint"
-
-
-def _sums(df: DataFrame) -> list[tuple[int, int]]:
-    """Sum per worker, at most ``k`` rows."""
-    return [(r["worker"], r["cnt"]) for r in df.groupBy("worker").agg(F.sum("cnt").alias("cnt")).collect()]
+        last = self._last()
+        names = ["seq", *carried.names, "source"]
+        rest = unfolded(waiting, "list_element", [F.col("key.period").alias("period")], names).select(*carried.restored(), "source", "period")
+        rest = rest.unionByName(self._gathered().where(F.col("period") > last))
+        at = in_state(self.spark, self.path("checkpoint-routing"), "at")
+        loads = at.select("value.loads").first() if at is not None else None
+        table = g.place(g.items(rest), list(loads[0]) if loads else None)
+        top = int(rest.agg(F.coalesce(F.max("period"), F.lit(last))).first()[0])
+        return self.result().unionByName(g.route(rest, table, top - last))
 
 
 @dataclass
@@ -190,110 +243,134 @@ class TwoChoiceStream(_Runner):
     """Less loaded of two workers, each source's loads carried from batch to batch.
 
     Rows are replayed in ``seq`` order in windows of ``window`` rows per source; the rows of an
-    unfinished last window are routed when the input has ended.
+    unfinished window, or behind one, are routed when the input has ended.
     """
 
     grouping: TwoChoiceGrouping
     window: int = 1000
-
-    def process(self, rows: DataFrame, batch: int) -> None:
-        g, store = self.grouping, self.store
-        done = store.previous_notes(batch).get("period", 0)
-        ready, last = PeriodBuffer(store, g.s, self.window).take(rows, batch, done)
-        before = store.previous("loads", self._loads_schema, batch)
-        routed = store.write(self._assign(ready, before, done), "routed", batch)
-        gained = routed.groupBy("source", "worker").agg(F.count("*").alias("load"))
-        total = self._exploded(before).unionByName(gained).groupBy("source", "worker").agg(F.sum("load").alias("load"))
-        slots = F.transform(
-            F.sequence(F.lit(0), F.lit(g.k - 1)),
-            lambda w: F.coalesce(F.try_element_at("_m", w), F.lit(0).cast("bigint")),
-        )
-        arrays = total.groupBy("source").agg(
-            F.map_from_entries(F.collect_list(F.struct("worker", "load"))).alias("_m")
+    _main = "routed"
+
+    def _pos(self) -> Column:
+        return shape.whole_div("seq", self.grouping.s)
+
+    def start(self, stream: DataFrame, **trigger) -> list[Watch]:
+        self._see(stream)
+        g, carried = self.grouping, Carried(stream.schema)
+        first, second = g.candidates(stream)
+        code = (first * g.k + second).cast("int").alias("code")
+        routed = (
+            carried.packed(shape.with_source(stream, g.s), F.col("source"), self._pos().alias("pos"), code)
+            .groupBy("source")
+            .transformWithStateInPandas(
+                statefulProcessor=TwoChoiceRows(g.k, self.window, carried),
+                outputStructType=f"{carried.flat}, source int, worker int",
+                outputMode="Append",
+                timeMode="None",
+            )
         )
-        store.write(arrays.select("source", slots.alias("loads")), "loads", batch)
-        store.write_notes({"period": last}, batch)
-
-    _loads_schema = T.StructType(
-        [T.StructField("source", T.IntegerType()), T.StructField("loads", T.ArrayType(T.LongType()))]
-    )
+        return [self._query(routed.select(*carried.restored(), "source", "worker"), "routed", **trigger)]
 
-    @staticmethod
-    def _exploded(loads: DataFrame) -> DataFrame:
-        return loads.select("source", F.posexplode("loads").alias("worker", "load"))
-
-    def _assign(self, rows: DataFrame, loads: DataFrame, done: int) -> DataFrame:
-        given = rows.select(*[c for c in rows.columns if c != "source"])
-        out = self.grouping.assign(given, loads, done * self.window)
-        return out.select(*self.routed.names)
+    def result(self) -> DataFrame:
+        """Rows routed so far."""
+        schema = T.StructType([*Carried.in_order(self.schema), T.StructField("source", T.IntegerType()), T.StructField("worker", T.IntegerType())])
+        return table_at(self.spark, self.path("routed"), schema)
 
     def drained(self) -> DataFrame:
         """After the input has ended: every row routed."""
-        if self.last_batch < 0:
+        g, carried, checkpoint = self.grouping, Carried(self.schema), self.path("checkpoint-routed")
+        waiting, at = (in_state(self.spark, checkpoint, name) for name in ("waiting", "at"))
+        if waiting is None:
             return self.result()
-        rest = PeriodBuffer(self.store, self.grouping.s, self.window).rest(self.last_batch, self.staged)
-        done = self.store.previous_notes(self.last_batch + 1)["period"]
-        loads = self.store.previous("loads", self._loads_schema, self.last_batch + 1)
-        return self.result().unionByName(self._assign(rest, loads, done))
+        rest = unfolded(waiting, "user_map_value", [F.col("key.source").alias("source")], ["seq", *carried.names])
+        at = at.select(F.col("key.source").alias("source"), "value.done", "value.loads")
+        pos = (self._pos() - F.col("done") * self.window).alias("pos")
+        rest = rest.select(*carried.restored(), "source").join(F.broadcast(at.select("source", "done")), "source")
+        rest = rest.select(*self.schema.names, "source", pos)
+        out = replace(g, s=None).assign(rest, at.select("source", "loads"))
+        return self.result().unionByName(out.select(*self.result().columns))
 
 
 @dataclass
 class LearnedStream(_Runner):
-    """Learns from the first rows, then routes; rows wait until the maps exist."""
+    """Learns from the first rows, then routes; rows wait at the source until the maps exist.
+
+    The first query counts keys of the rows to learn from, in Spark's state. When all of them have
+    come the maps are written, and the second query, which starts from the beginning of the input,
+    routes by them.
+    """
 
     grouping: LearnedGrouping
+    _main = "routed"
+
+    def start(self, stream: DataFrame, **trigger) -> list[Watch]:
+        self._see(stream)
+        self.stream = stream
+        if self._maps() is None:
+            self._learn(stream)
+            if self._counted() >= self.grouping.learn:
+                self._write_maps()
+        return [self._route(stream, **trigger)] if self._maps() is not None else []
+
+    def _learn(self, stream: DataFrame) -> None:
+        counts = self.grouping.learning(stream).groupBy("key").agg(F.count("*").alias("cnt"))
+        query = (
+            counts.writeStream.outputMode("complete")
+            .foreachBatch(lambda all_counts, _: all_counts.write.mode("overwrite").parquet(self.path("counts")))
+            .option("checkpointLocation", self.path("checkpoint-counts"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    def _counts(self) -> DataFrame:
+        return table_at(self.spark, self.path("counts"), T.StructType([self.schema["key"], T.StructField("cnt", T.LongType())]))
+
+    def _counted(self) -> int:
+        return int(self._counts().agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0])
 
-    def process(self, rows: DataFrame, batch: int) -> None:
-        g, store = self.grouping, self.store
-        state = store.previous_notes(batch)
-        # The first batch with all rows to learn from writes the maps; later ones read them there.
-        built = state.get("built")
-        waiting = store.previous("waiting", self.schema, batch)
-        pool = rows if built is not None else store.write(waiting.unionByName(rows), "pool", batch)
-        if built is None:
-            learned, _ = shape.split_learning(pool, g.learn, g.skip)
-            if learned.count() == g.learn:
-                store.write(placement.place_lpt(g.items(learned), g.k), "maps", batch)
-                built = batch
-        if built is None:
-            store.write(pool, "waiting", batch)
-            routed = self.spark_empty(self._routed)
-        else:
-            placed = store.spark.read.parquet(f"{store.path('maps')}/batch={built}")
-            _, rest = shape.split_learning(pool, g.learn, g.skip)
-            routed = g.route(rest, *placement.split_maps(placed))
-            store.write(self.spark_empty(self.schema), "waiting", batch)
-        store.write(routed.select(*self._routed.names), "routed", batch)
-        store.write_notes({"built": built}, batch)
-
-    @property
-    def _routed(self) -> T.StructType:
-        return T.StructType([*self.schema.fields, T.StructField("worker", T.IntegerType())])
-
-    def spark_empty(self, schema: T.StructType) -> DataFrame:
-        return self.store.spark.createDataFrame([], schema)
+    def _write_maps(self) -> None:
+        placed = placement.place_lpt(self.grouping.items_of_counts(self._counts()), self.grouping.k)
+        placed.write.mode("overwrite").parquet(self.path("maps"))
+
+    def _maps(self) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(self.path("maps"))
+        except AnalysisException:
+            return None
+
+    def _route(self, stream: DataFrame, **trigger) -> Watch:
+        g = self.grouping
+        routed = g.route(g.to_route(stream), *placement.split_maps(self._maps()))
+        return self._query(routed, "routed", **trigger)
 
     def result(self) -> DataFrame:
-        return self.store.read("routed", self._routed)
+        """Rows routed so far."""
+        return table_at(self.spark, self.path("routed"), T.StructType([*self.schema.fields, T.StructField("worker", T.IntegerType())]))
+
+    def drained(self) -> DataFrame:
+        """After the input has ended: all rows, learned from what there was if that was less than wanted."""
+        if self._maps() is None and self._counted():
+            self._write_maps()
+            self._route(self.stream).finish()
+        return self.result()
 
 
 def stream_keyed_counts(stream: DataFrame, root: str) -> DataFrame:
     """Running count per key in Spark's keyed state; returns the latest count of each key.
 
     State follows the key, so moving a key to another worker only changes its ``worker``
-    column and no state has to travel. Each batch writes the keys it changed.
+    column and no state has to travel. Each batch writes the keys it changed, a repeated one in the same place.
     """
-    store = BatchStore(stream.sparkSession, root)
     counts = stream.groupBy("key").agg(F.count("*").alias("cnt"))
     query = (
         counts.writeStream.outputMode("update")
-        .foreachBatch(lambda changed, batch: store.write(changed, "counts", batch) and None)
-        .option("checkpointLocation", store.checkpoint)
+        .foreachBatch(lambda changed, batch: changed.write.mode("overwrite").parquet(f"{root}/counts/batch={batch}"))
+        .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    changes = store.read("counts", counts.schema)
+    changes = table_at(stream.sparkSession, f"{root}/counts", counts.schema)
     return changes.groupBy("key").agg(F.max("cnt").alias("cnt"))
 
 
@@ -302,9 +379,13 @@ def final_balance(routed: DataFrame, grouping: Grouping) -> DataFrame:
     return balance(worker_load(routed, grouping.k), grouping.k)
 
 
-def batch_delays(query: StreamingQuery, spark: SparkSession) -> DataFrame:
-    """Durations of a query's recent micro-batches, one source: ``(source, period, delay_us)``."""
-    rows = [
-        (0, int(p["batchId"]), int(p["durationMs"].get("triggerExecution", 0)) * 1000) for p in query.recentProgress
-    ]
-    return spark.createDataFrame(rows, "source int, period bigint, delay_us bigint")
+__all__ = [
+    "CountWindows",
+    "LearnedStream",
+    "OnlineStream",
+    "TwoChoiceStream",
+    "batch_delays",
+    "final_balance",
+    "stream_hash",
+    "stream_keyed_counts",
+]

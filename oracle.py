@@ -6,7 +6,12 @@ Order-dependent folds are recursive CTEs that carry a list of loads.
 from __future__ import annotations
 
 # Fixed parameters of the registered queries.
-S, K, M, THETA, EPS, FACTOR, LEARN, SKIP, DKG_THETA = 4, 8, 125, 0.02, 0.01, 2.0, 2000, 2, 0.009
+# The tables do not fill whole periods of S * M rows, so the last one is incomplete.
+S, K, M, THETA, EPS, FACTOR, LEARN, DKG_THETA = 4, 8, 130, 0.02, 0.01, 2.0, 2000, 0.009
+# Rows that a discarding strategy leaves out besides the learned ones; many short periods.
+SKIP, SHORT_M, SHORT_THETA = 2, 25, 0.1
+# Too few counters for the keys of a window.
+COUNTERS = 20
 # Configuration of the word stream.
 WS, WK, WM, WTHETA = 4, 32, 1000, 0.01
 # Two-choice with a key far above 2/k of the rows, over many chunks.
@@ -14,7 +19,7 @@ HOT_K, HOT_KEY, HOT_CHUNK = 32, 7, 200
 P = 10000019
 AB = ((3141593, 2718282), (5772157, 1618034))
 BUCKETS = 16
-MURMUR = 13
+MURMUR, MURMUR_PRIMES = 13, (31, 37)
 ZIPF_N, ZIPF_Z, ZIPF_SEED = 1000, 1.0, 1000
 
 
@@ -94,16 +99,17 @@ ev AS (SELECT first + pos - 1 AS seq, l[pos] AS key, doc_id, pos - 1 AS pos
 HASHED_WORDS = WORDS.strip() + "," + CRC
 
 
-def staged(s: int = S, m: int = M, tail: str = "drop") -> str:
+def staged(s: int = S, m: int = M, tail: str = "flush") -> str:
     where = f"WHERE (seq // {s * m} + 1) * {s * m} <= (SELECT max(seq) + 1 FROM ev)" if tail == "drop" else ""
     return f"""st AS (SELECT seq, key, CAST(seq % {s} AS INTEGER) AS source, seq // {s * m} + 1 AS period
       FROM ev {where})"""
 
 
-def sketch(k: int = K, m: int = M, theta: float = THETA, hash_of=h) -> str:
+def sketch(k: int = K, theta: float = THETA, hash_of=h) -> str:
     return f"""
 kc AS (SELECT source, period, key, count(*) AS cnt FROM st GROUP BY ALL),
-hv AS (SELECT * FROM kc WHERE cnt >= ceil(CAST({theta} AS DOUBLE) * {m})),
+kn AS (SELECT source, period, count(*) AS n FROM st GROUP BY ALL),
+hv AS (SELECT kc.* FROM kc JOIN kn USING (source, period) WHERE cnt >= ceil(CAST({theta} AS DOUBLE) * n)),
 grid AS (SELECT source, period, CAST(b AS INTEGER) AS bucket
          FROM (SELECT DISTINCT source, period FROM st), range({k}) AS r(b)),
 hist AS (SELECT g.source, g.period, g.bucket, CAST(coalesce(sum(c.cnt), 0) AS BIGINT) AS cnt
@@ -147,13 +153,13 @@ def hash_routed(k: int = K, hash_of=h, src: str = "st", cols: str = "seq, key, s
     return f"routed AS (SELECT {cols}, {hash_of('key', k)} AS worker FROM {src})"
 
 
-def online(k=K, s=S, m=M, theta=THETA, hash_of=h, key_type="BIGINT", order="key", base=EV) -> str:
+def online(k=K, s=S, m=M, theta=THETA, hash_of=h, key_type="BIGINT", order="key", base=EV, tail="flush") -> str:
     return ",\n".join(
-        [base, staged(s, m), sketch(k, m, theta, hash_of).strip(), placed(k, key_type, order).strip(), routed(k, hash_of).strip()]
+        [base, staged(s, m, tail), sketch(k, theta, hash_of).strip(), placed(k, key_type, order).strip(), routed(k, hash_of).strip()]
     )
 
 
-def dkg(k=K, theta=DKG_THETA, factor=FACTOR, learn=LEARN, skip=SKIP, hash_of=h, key_type="BIGINT", base=EV) -> str:
+def dkg(k=K, theta=DKG_THETA, factor=FACTOR, learn=LEARN, first=0, hash_of=h, key_type="BIGINT", base=EV) -> str:
     import math
 
     buckets = math.ceil(k * factor)
@@ -162,7 +168,7 @@ def dkg(k=K, theta=DKG_THETA, factor=FACTOR, learn=LEARN, skip=SKIP, hash_of=h,
     return f"""{base},
 lr AS (SELECT * FROM ev WHERE seq < {learn}),
 lc AS (SELECT key, count(*) AS cnt FROM lr GROUP BY ALL),
-hv AS (SELECT * FROM lc WHERE cnt >= ceil(CAST({theta} AS DOUBLE) * {learn})),
+hv AS (SELECT * FROM lc WHERE cnt >= ceil(CAST({theta} AS DOUBLE) * (SELECT count(*) FROM lr))),
 items AS (SELECT 'heavy' AS kind, key, CAST(NULL AS INTEGER) AS bucket, cnt FROM hv
   UNION ALL
   SELECT 'bucket', NULL, CAST(b AS INTEGER), CAST(coalesce(sum(c.cnt), 0) AS BIGINT)
@@ -180,10 +186,28 @@ placed AS (SELECT kind, key, bucket, cnt, worker FROM fold WHERE i > 0),
 hm AS (SELECT key, worker FROM placed WHERE kind = 'heavy'),
 bm AS (SELECT bucket, worker FROM placed WHERE kind = 'bucket'),
 routed AS (SELECT e.seq, e.key, coalesce(hm.worker, bm.worker) AS worker
-  FROM (SELECT *, {hash_of('key', buckets)} AS hb FROM ev WHERE seq >= {learn + skip}) e
+  FROM (SELECT *, {hash_of('key', buckets)} AS hb FROM ev WHERE seq >= {first}) e
   JOIN bm ON bm.bucket = e.hb LEFT JOIN hm ON hm.key = e.key)"""
 
 
+def space_saving(counters: int) -> str:
+    """All windows advance by one row per step; the least (count, key) makes room."""
+    entry = "STRUCT(cnt BIGINT, key BIGINT, err BIGINT)"
+    new = lambda cnt, err: f"CAST({{'cnt': {cnt}, 'key': o.key, 'err': {err}}} AS {entry})"
+    return f"""
+turn AS MATERIALIZED (SELECT source, period, key, row_number() OVER (PARTITION BY source, period ORDER BY seq) AS i FROM st),
+fold(source, period, i, kept) AS (
+  SELECT DISTINCT source, period, CAST(0 AS BIGINT), CAST([] AS {entry}[]) FROM turn
+  UNION ALL
+  SELECT o.source, o.period, o.i,
+    CASE WHEN list_contains(list_transform(f.kept, lambda x: x.key), o.key)
+         THEN list_transform(f.kept, lambda x: CASE WHEN x.key = o.key THEN CAST({{'cnt': x.cnt + 1, 'key': x.key, 'err': x.err}} AS {entry}) ELSE x END)
+         WHEN len(f.kept) < {counters} THEN list_append(f.kept, {new('1', '0')})
+         ELSE list_append(list_filter(f.kept, lambda x: x.key <> list_min(f.kept).key), {new('list_min(f.kept).cnt + 1', 'list_min(f.kept).cnt')}) END
+  FROM fold f JOIN turn o ON o.source = f.source AND o.period = f.period AND o.i = f.i + 1),
+counters AS (SELECT source, period, unnest(kept) AS e FROM (SELECT source, period, arg_max(kept, i) AS kept FROM fold GROUP BY ALL))"""
+
+
 def two_choice(k=K, s=S, hash_of=h, base=EV) -> str:
     """All sources advance by one row per step."""
     zeros = f"CAST({[0] * k} AS BIGINT[])"
@@ -245,7 +269,8 @@ def all_sql() -> dict[str, str]:
     on = online()
     sk = (EV, staged(), sketch())
     won = online(WK, WS, WM, WTHETA, hs, "VARCHAR", base=HASHED_WORDS)
-    wdkg = dkg(WK, WTHETA, FACTOR, LEARN, SKIP, hs, "VARCHAR", base=HASHED_WORDS)
+    wdkg = dkg(WK, WTHETA, FACTOR, LEARN, 0, hs, "VARCHAR", base=HASHED_WORDS)
+    complete = online(tail="drop")
     pm = "SELECT period, imbalance, sigma FROM (" + balance_sql(by="period", src="pt", load="total") + ")"
     tc = two_choice()
     sql = {
@@ -267,13 +292,14 @@ SELECT seq, coalesce(t.i, 0) + 1 AS key FROM u ASOF LEFT JOIN t ON u.x >= t.up""
         # projections and filters
         "key_select": "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS key FROM pages",
         "source_round_robin": f"SELECT event_id AS seq, CAST(event_id % {S} AS INTEGER) AS source FROM events",
-        "period_assign": w(EV, staged(tail="flush"), select="SELECT seq, source, period FROM st"),
+        "period_assign": w(EV, staged(), select="SELECT seq, source, period FROM st"),
         "period_assign_by_position": f"""SELECT event_id AS seq, CAST(user_id % {S} AS INTEGER) AS source,
 (row_number() OVER (PARTITION BY user_id % {S} ORDER BY event_id) - 1) // {M} + 1 AS period FROM events""",
         "learn_assign_split": f"""SELECT 'learn' AS phase, event_id AS seq, user_id AS key FROM events WHERE event_id < {LEARN}
-UNION ALL SELECT 'route', event_id, user_id FROM events WHERE event_id >= {LEARN + SKIP}""",
-        "complete_periods": w(EV, staged(), select="SELECT seq, source, period FROM st"),
-        "complete_periods_counted": w(EV, staged(tail="flush"), select=f"""SELECT seq, source, period FROM st WHERE period IN (
+UNION ALL SELECT 'route', event_id, user_id FROM events WHERE event_id >= {LEARN}""",
+        "complete_periods": w(EV, staged(tail="drop"), select="SELECT seq, source, period FROM st"),
+        "complete_periods_flush": w(EV, staged(), select="SELECT seq, source, period FROM st"),
+        "complete_periods_counted": w(EV, staged(), select=f"""SELECT seq, source, period FROM st WHERE period IN (
 SELECT period FROM (SELECT period, source, count(*) AS n FROM st GROUP BY ALL) WHERE n = {M} GROUP BY period HAVING count(*) = {S})"""),
         "heavy_hitter_filter": w(WORDS, select="""SELECT key, count(*) AS cnt FROM ev GROUP BY key
 HAVING count(*) >= ceil(CAST(0.005 AS DOUBLE) * (SELECT count(*) FROM ev))"""),
@@ -285,6 +311,9 @@ HAVING count(*) >= ceil(CAST(0.005 AS DOUBLE) * (SELECT count(*) FROM ev))"""),
         "hash_string_fold": w(WORDS, select="""SELECT key, abs(CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END) AS folded FROM (
 SELECT key, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(split(key, ''), lambda c: CAST(unicode(c) AS BIGINT))),
   lambda a, c: (a * 31 + c) % 4294967296) AS x FROM (SELECT DISTINCT key FROM ev))"""),
+        "hash_candidates_murmur": " UNION ALL ".join(
+            f"SELECT seq, worker FROM ({murmur('SELECT event_id AS seq, user_id AS key FROM events', K, seed)})" for seed in MURMUR_PRIMES
+        ),
         "hash_candidates": f"SELECT event_id AS seq, {h('user_id', K)} AS first, {h('user_id', K, 1)} AS second FROM events",
         "harmonic_number": """SELECT z, round(sum(pow(event_id + 1, -z)), 9) AS harmonic
 FROM events, (VALUES (CAST(1.0 AS DOUBLE)), (2.0), (3.0)) AS v(z) GROUP BY z""",
@@ -293,11 +322,13 @@ FROM events, (VALUES (CAST(1.0 AS DOUBLE)), (2.0), (3.0)) AS v(z) GROUP BY z""",
         "heavy_hitters": w(*sk, select="SELECT source, period, key, cnt FROM hv"),
         "space_saving": w(*sk, select="SELECT source, period, key, cnt FROM hv"),
         "frequent_sketch": w(*sk, select="SELECT source, period, key, cnt FROM hv"),
+        "space_saving_evicting": w(EV, staged(), space_saving(COUNTERS), select='SELECT source, period, e.key AS key, e.cnt AS "count", e.err AS err FROM counters'),
         "bucket_histogram": w(*sk, select="SELECT source, period, bucket, cnt FROM hist"),
         "sparse_residual": w(*sk, select="SELECT source, period, bucket, cnt FROM sp"),
         "sketch_merge": w(*sk, select="SELECT period, key, cnt FROM mh"),
         "sketch_merge_buckets": w(*sk, select="SELECT period, bucket, cnt FROM mb"),
-        "sketch_conservation": w(EV, staged(), select=f"SELECT source, period, count(*) AS mass, count(*) = {M} AS conserved FROM st GROUP BY ALL"),
+        "sketch_conservation": w(EV, staged(tail="drop"), select=f"SELECT source, period, count(*) AS mass, count(*) = {M} AS conserved FROM st GROUP BY ALL"),
+        "distinct_keys_hll": w(WORDS, select="SELECT count(DISTINCT key) AS distinct_keys, true AS near FROM ev"),
         "distinct_keys": w(WORDS, select="SELECT count(DISTINCT key) AS distinct_keys FROM ev"),
         "keyed_count": w(EV, hash_routed(src="ev", cols="seq, key"), select="SELECT worker, key, count(*) AS cnt FROM routed GROUP BY ALL"),
         "keyed_count_merge": w(tc, select="SELECT key, count(*) AS cnt, count(DISTINCT worker) AS workers FROM routed GROUP BY key"),
@@ -313,6 +344,7 @@ FROM events, (VALUES (CAST(1.0 AS DOUBLE)), (2.0), (3.0)) AS v(z) GROUP BY z""",
         "placement_items": w(dkg(), select="SELECT kind, key, bucket, cnt FROM items"),
         # routing
         "route_lookup": w(on, select="SELECT seq, key, period, worker FROM routed"),
+        "route_lookup_in_place": w(on, select="SELECT seq, key, period, worker FROM routed"),
         "route_two_level": w(dkg(), select="SELECT seq, key, worker FROM routed"),
         "migration_plan": w(on, MIGRATION, select="SELECT period, key, before, after, moved FROM mig"),
         "state_relocate": w(on, MIGRATION, select=f"""SELECT coalesce(m.after, {h('s.key', K)}) AS worker, s.key, CAST(sum(s.cnt) AS BIGINT) AS cnt
@@ -326,6 +358,9 @@ LEFT JOIN (SELECT * FROM mig WHERE period = (SELECT max(period) FROM mig)) m ON
         "group_two_choice": w(tc, select="SELECT seq, key, source, worker FROM routed"),
         "group_two_choice_hot": w(two_choice(HOT_K, base=HOT_EV), select="SELECT seq, key, source, worker FROM routed"),
         "group_dkg": w(dkg(), select="SELECT seq, key, worker FROM routed"),
+        "group_dkg_discard": w(dkg(first=LEARN + SKIP), select="SELECT seq, key, worker FROM routed"),
+        "group_online_drop": w(complete, select="SELECT seq, key, source, period, worker FROM routed"),
+        "group_online_short_periods": w(online(m=SHORT_M, theta=SHORT_THETA), select="SELECT seq, key, source, period, worker FROM routed"),
         "group_online": w(on, select="SELECT seq, key, source, period, worker FROM routed"),
         "group_hash_words": w(HASHED_WORDS, hash_routed(WK, hs, "ev", "seq, key"), select="SELECT seq, key, worker FROM routed"),
         "group_dkg_words": w(wdkg, select="SELECT seq, key, worker FROM routed"),
@@ -342,7 +377,7 @@ LEFT JOIN (SELECT * FROM mig WHERE period = (SELECT max(period) FROM mig)) m ON
         "period_worker_load": w(on, period_totals(), select="SELECT period, worker, load, total FROM pt"),
         "compile_stats": w(on, MIGRATION, select="""SELECT p.period, (SELECT count(*) FROM routing r WHERE r.period = p.period) AS routing_size,
 (SELECT count(*) FROM mig WHERE mig.period = p.period) AS migration_size FROM (SELECT DISTINCT period FROM st) p"""),
-        "source_counts": w(EV, staged(tail="flush"), select="SELECT source, count(*) AS cnt FROM st GROUP BY source"),
+        "source_counts": w(EV, staged(), select="SELECT source, count(*) AS cnt FROM st GROUP BY source"),
         "source_delay": f"""SELECT count(*) AS sources, CAST(sum(mean_us) // count(*) AS BIGINT) AS delay_us FROM (
 SELECT source, sum(d) // count(*) AS mean_us FROM (
 SELECT event_id % {S} AS source, event_id // {S * M} AS period, epoch_us(max(ts)) - epoch_us(min(ts)) AS d FROM events GROUP BY 1, 2) GROUP BY source)""",
@@ -357,9 +392,12 @@ SELECT event_id % {S} AS source, event_id // {S * M} AS period, epoch_us(max(ts)
     sql["stream_online"] = sql["group_online"]
     sql["stream_two_choice"] = sql["group_two_choice"]
     sql["stream_learned"] = sql["group_dkg"]
-    sql["stream_count_window"] = w(EV, staged(), select="SELECT seq, key, source, period FROM st")
-    sql["stream_period_barrier"] = sql["period_worker_load"]
-    sql["stream_migration"] = sql["migration_plan"]
+    sql["stream_count_window"] = w(EV, staged(), select=f"""SELECT seq, key, source, period FROM (
+SELECT *, count(*) OVER (PARTITION BY source, period) AS n FROM st) WHERE n = {M}""")
+    sql["stream_count_window_flush"] = w(EV, staged(), select="SELECT seq, key, source, period FROM st")
+    # Statistics and plans of a live stream are about periods that are complete.
+    sql["stream_period_barrier"] = w(complete, period_totals(), select="SELECT period, worker, load, total FROM pt")
+    sql["stream_migration"] = w(complete, MIGRATION, select="SELECT period, key, before, after, moved FROM mig")
     sql["stream_keyed_state"] = w(on, select=f"""SELECT coalesce(r.worker, {h('k.key', K)}) AS worker, k.key, k.cnt
 FROM (SELECT key, count(*) AS cnt FROM ev GROUP BY key) k
 LEFT JOIN (SELECT * FROM routing WHERE period = (SELECT max(period) FROM st)) r ON r.key = k.key""")

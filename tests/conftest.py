@@ -14,6 +14,7 @@ def spark():
         SparkSession.builder.master("local[8]")
         .appName("evenkeel-tests")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")

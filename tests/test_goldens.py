@@ -66,8 +66,8 @@ def test_migration_into_an_empty_table(spark):
 @pytest.mark.parametrize("dense", [True, False])
 def test_incomplete_tail_is_dropped_or_flushed(keyed, dense):
     rows = shape.with_period(shape.with_source(keyed(list(range(9))), 2), 2, 2)
-    assert shape.complete_only(rows, 2, 2, dense=dense).count() == 8
-    assert shape.complete_only(rows, 2, 2, tail="flush").count() == 9
+    assert shape.complete_only(rows, 2, 2, "drop", dense=dense).count() == 8
+    assert shape.complete_only(rows, 2, 2).count() == 9
 
 
 def test_imbalance_of_the_recorded_first_period(spark):

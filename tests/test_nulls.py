@@ -21,7 +21,7 @@ def rows(spark, n=60, kind="BIGINT"):
         HashGrouping(4),
         HashGrouping(4, murmur=True),
         TwoChoiceGrouping(4, 2),
-        LearnedGrouping(4, 0.1, learn=20, skip=0),
+        LearnedGrouping(4, 0.1, learn=20),
         OnlineGrouping(4, 2, 10, 0.1),
         OnlineGrouping(4, 2, 10, 0.1, order="load", tail="flush"),
     ],
@@ -29,7 +29,7 @@ def rows(spark, n=60, kind="BIGINT"):
 )
 def test_null_keys_keep_their_rows(spark, grouping, kind):
     routed = grouping.assign(rows(spark, kind=kind)).cache()
-    given = 60 - (20 if grouping.name == "dkg" else 0)
+    given = 60
     assert routed.count() == routed.select("seq").distinct().count() == given
     assert metrics.worker_load(routed, 4).agg(F.sum("load")).first()[0] == given
 

@@ -26,12 +26,15 @@ def nonempty(tables):
 
 @pytest.mark.parametrize("order", ["key", "load"])
 @pytest.mark.parametrize("text", [False, True])
-def test_online_equals_brute_force(keyed, order, text):
+@pytest.mark.parametrize("tail", ["drop", "flush"])
+def test_online_equals_brute_force(keyed, order, text, tail):
     keys = [f"k{x}" if text else x for x in skewed(430)]
-    want_tables, want = online(keys, K, S, M, THETA, order)
-    grouping = OnlineGrouping(K, S, M, THETA, order=order)
-    assert tables_of(grouping.routing(keyed(keys))) == nonempty(want_tables)
-    assert [r["worker"] for r in grouping.assign(keyed(keys)).orderBy("seq").collect()] == want
+    want_tables, want = online(keys, K, S, M, THETA, order, tail == "flush")
+    grouping = OnlineGrouping(K, S, M, THETA, order=order, tail=tail)
+    rows = keyed(keys)
+    assert tables_of(grouping.routing(rows)) == nonempty(want_tables)
+    for routed in (grouping.assign(rows), grouping.assign_in_place(grouping.stage(rows))):
+        assert [r["worker"] for r in routed.orderBy("seq").collect()] == want
 
 
 def test_the_two_orders_differ_on_this_stream():
@@ -39,18 +42,33 @@ def test_the_two_orders_differ_on_this_stream():
     assert online(keys, K, S, M, THETA, "key") != online(keys, K, S, M, THETA, "load")
 
 
-def test_flushed_tail_is_learned_and_routed(keyed):
-    keys = skewed(430)
+@pytest.mark.parametrize("rows", [0, 1, 59, 60, 61, 62, 119])
+def test_sizes_of_the_last_period(keyed, rows):
+    keys = skewed(rows) or [1]
+    g = OnlineGrouping(K, S, M, THETA)
     _, want = online(keys, K, S, M, THETA, flush=True)
-    routed = OnlineGrouping(K, S, M, THETA, tail="flush").assign(keyed(keys))
-    assert [r["worker"] for r in routed.orderBy("seq").collect()] == want
+    df = keyed(keys)
+    assert [r["worker"] for r in g.assign(df).orderBy("seq").collect()] == want
+    by_number, counted = (g.items(g.stage(df), n) for n in (g._dense(df)[1], None))
+    assert by_number.exceptAll(counted).count() == 0 and counted.exceptAll(by_number).count() == 0
 
 
-@pytest.mark.parametrize("chunk_items", [1, 150])
-def test_chunks_of_periods_do_not_change_tables(keyed, chunk_items):
+def test_batches_of_periods_do_not_change_tables(spark, keyed):
     rows = keyed(skewed(430))
     whole = tables_of(OnlineGrouping(K, S, M, THETA).routing(rows))
-    assert tables_of(OnlineGrouping(K, S, M, THETA, chunk_items=chunk_items).routing(rows)) == whole
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert tables_of(OnlineGrouping(K, S, M, THETA).routing(rows)) == whole
+        items = OnlineGrouping(K, S, M, THETA).items(OnlineGrouping(K, S, M, THETA).stage(rows))
+        placed = placement.place_lpt(items.drop("period"), K).groupBy("worker").agg(F.sum("cnt").alias("n")).orderBy("worker").collect()
+        assert [r["n"] for r in placed] == lpt([(0, r["cnt"]) for r in items.collect()], K)
+        groups = placement.place_lpt(items, K, ["period"])
+        for p in (1, 8):
+            part = items.where(F.col("period") == p)
+            assert groups.where(F.col("period") == p).exceptAll(placement.place_lpt(part, K).select(*groups.columns)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 @pytest.mark.parametrize("mode", ["sketch", "space_saving"])
@@ -70,20 +88,21 @@ def test_placement_loads_match_the_fold(keyed):
     rows = keyed(skewed(430))
     g = OnlineGrouping(K, S, M, THETA)
     items = g.items(g.stage(rows))
-    loads = placement.placement_loads(g.place(items, (1, 7)), sketches.split_items(items)[1], K)
+    loads = placement.placement_loads(g.place(items), sketches.split_items(items)[1], K)
     # Heavy keys are routed where they were placed, so placed loads count every row.
     assert [r["n"] for r in loads.groupBy("period").agg(F.sum("load").alias("n")).orderBy("period").collect()] == [
-        60 * p for p in range(1, 8)
+        *(60 * p for p in range(1, 8)), 430
     ]
 
 
 def test_learned_grouping(keyed):
     keys = skewed(1000)
-    g = LearnedGrouping(4, 0.1, 2.0, learn=300, skip=2)
+    g = LearnedGrouping(4, 0.1, 2.0, learn=300)
     rows = keyed(keys)
     routed = g.assign(rows)
-    assert routed.count() == 1000 - 302
-    assert routed.agg(F.min("seq")).first()[0] == 302
+    assert routed.count() == 1000
+    discarding = LearnedGrouping(4, 0.1, 2.0, learn=300, learned="discard", skip=2).assign(rows)
+    assert discarding.exceptAll(routed.where("seq >= 302")).count() == 0 and discarding.count() == 698
     assert routed.groupBy("key").agg(F.count_distinct("worker").alias("n")).agg(F.max("n")).first()[0] == 1
     items = g.items(shape.prefix(rows, 300))
     assert items.agg(F.sum("cnt")).first()[0] == 300
@@ -93,8 +112,13 @@ def test_learned_grouping(keyed):
     assert [r["load"] for r in placed.collect()] == want
 
 
-def test_learned_grouping_without_enough_rows_routes_nothing(keyed):
-    assert LearnedGrouping(4, 0.1, learn=300).assign(keyed(skewed(200))).count() == 0
+def test_learned_grouping_with_fewer_rows_learns_from_all(keyed):
+    rows = keyed(skewed(200))
+    few, whole = (LearnedGrouping(4, 0.1, learn=n).assign(rows) for n in (300, 200))
+    assert few.exceptAll(whole).count() == 0 and few.count() == 200
+    assert LearnedGrouping(4, 0.1, learn=300, learned="discard").assign(rows).count() == 0
+    with pytest.raises(ValueError):
+        LearnedGrouping(4, 0.1, learned="drop")
 
 
 def test_makespan_is_within_the_known_bound(spark):
@@ -137,7 +161,7 @@ def test_results_do_not_depend_on_partitions(spark, keyed, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
         keys = skewed(300)
-        _, want = online(keys, K, S, M, THETA)
+        _, want = online(keys, K, S, M, THETA, flush=True)
         rows = keyed(keys).repartition(int(partitions), "key")
         assert [r["worker"] for r in OnlineGrouping(K, S, M, THETA).assign(rows).orderBy("seq").collect()] == want
     finally:
@@ -146,14 +170,13 @@ def test_results_do_not_depend_on_partitions(spark, keyed, partitions):
 
 def test_planted_mistakes_are_caught(keyed, monkeypatch):
     keys = skewed(430)
-    want, _ = online(keys, K, S, M, THETA)
+    want, _ = online(keys, K, S, M, THETA, flush=True)
     routed = lambda: tables_of(OnlineGrouping(K, S, M, THETA).routing(keyed(keys)))
 
-    def last_on_ties(fixed, amounts, loads):
-        loads, chosen = list(loads), []
-        for worker, amount in zip(fixed, amounts):
-            if worker < 0:
-                worker = max(w for w, load in enumerate(loads) if load == min(loads))
+    def last_on_ties(amounts, loads):
+        chosen = []
+        for amount in amounts:
+            worker = max(w for w, load in enumerate(loads) if load == min(loads))
             loads[worker] += amount
             chosen.append(worker)
         return chosen

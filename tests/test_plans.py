@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from evenkeel import ColumnGrouping, Grouping, HashGrouping, compare
 from evenkeel.functions.hashing import KeyHash
 from evenkeel.operators import routing, shape, sketches
-from evenkeel.scratch import pin
+from evenkeel.scratch import broadcast_within, pin
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,12 +38,12 @@ def test_static_hashing_moves_nothing_and_reads_two_columns(spark):
 def test_prefix_and_period_filters_reach_the_scan(spark):
     rows = entry.ev(spark, SF)
     assert "LessThan(event_id,2000)" in plan(shape.prefix(rows, 2000))
-    assert "LessThan(event_id,500)" in plan(entry.ONLINE.stage(rows, 1))
+    assert "LessThan(event_id,520)" in plan(entry.ONLINE_DROP.stage(rows, 1))
 
 
 def test_sketching_shuffles_once_by_period(spark):
     rows = entry.ev(spark, SF)
-    items = sketches.items_from_rows(entry.ONLINE.stage(rows, 2), 0.02, 125, KeyHash(8))
+    items = sketches.items_from_rows(entry.ONLINE.stage(rows, 2), 0.02, F.lit(130), KeyHash(8))
     assert exchanges(items) == 1
     assert "hashpartitioning(period" in plan(items)
 
@@ -63,6 +63,40 @@ def test_routing_broadcasts_only_a_bounded_table(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_sketch_and_lookup_share_one_exchange(spark):
+    rows = pin(entry.ONLINE.stage(entry.ev(spark, SF)).withColumn("payload", F.lit("x")), "staged")
+    keep = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name, None) for name in keep}
+    for name, value in keep.items():
+        spark.conf.set(name, value)
+    try:
+        routed = entry.ONLINE.assign_in_place(rows)
+        assert routed.count() == rows.count()
+        routed.collect()
+        text = plan(routed)
+        text = text[: text.index("Initial Plan")] if "Initial Plan" in text else text
+        # The stream is read once, and its exchange is used twice.
+        assert text.count("FileScan parquet") == 1 and "ReusedExchange" in text
+        assert "BroadcastHashJoin" not in text and "SortMergeJoin" not in text
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    numbers = spark.range(100).selectExpr("id AS key", "CAST(id AS INT) AS worker")
+    texts = numbers.withColumn("key", F.repeat(F.col("key").cast("string"), 400_000))
+    hinted = lambda df, rows: plan(spark.range(5).selectExpr("id AS worker").join(broadcast_within(df, rows), "worker"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in hinted(numbers, 100) and "BroadcastHashJoin" not in hinted(numbers, 2e6)
+        assert "BroadcastHashJoin" not in hinted(texts, 100)
+        assert "BroadcastHashJoin" in hinted(texts.withColumn("key", F.substring("key", 1, 9)), 100)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_user_strategies_follow_the_protocol(spark):
     rows = entry.ev(spark, SF)
     custom = ColumnGrouping(3, lambda key: F.pmod(key, F.lit(3)), "modulo")

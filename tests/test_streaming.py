@@ -7,43 +7,88 @@ from brute import online, skewed, two_choice
 from evenkeel import HashGrouping, LearnedGrouping, OnlineGrouping, TwoChoiceGrouping
 from evenkeel.operators import metrics, routing
 from evenkeel.streaming import groupings as streams
-from evenkeel.streaming.store import BatchStore
+from evenkeel.streaming.state import Carried
+from evenkeel.streaming.watch import watched
 
 K, S, M, THETA = 5, 3, 20, 0.1
 KEYS = skewed(430)
 
 
 @pytest.fixture(scope="module")
-def arrivals(spark):
-    """A file stream of the rows in an order unlike ``seq``, two files per micro-batch."""
+def files(spark):
+    """Folders of the rows in an order unlike ``seq``; one with the first half, which lacks an early row, and a whole one."""
     from evenkeel.scratch import new_folder
 
     path = new_folder(spark, "arrivals")
-    rows = spark.createDataFrame(list(enumerate(KEYS)), "seq bigint, key bigint")
-    for block in (1, 0, 3, 2, 5, 4):
-        rows.where(F.floor(F.col("seq") / 75) == block).coalesce(1).write.mode("append").parquet(path)
-    return lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    rows = spark.createDataFrame([(i, k, f"p{i}") for i, k in enumerate(KEYS)], "seq bigint, key bigint, payload string")
+    late = F.col("seq") == 3
+
+    def write(*blocks, where=~late):
+        for block in blocks:
+            rows.where(F.floor(F.col("seq") / 75) == block).where(where).coalesce(1).write.mode("append").parquet(path)
+
+    def more():
+        write(3, 2, 5, 4)
+        write(0, where=late)
+
+    write(1, 0)
+    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return stream, more
+
+
+@pytest.fixture(scope="module")
+def in_two_parts(files, spark):
+    """Every runner, run on the first part of the input, and again, with a new object, when the rest has come."""
+    from evenkeel.scratch import new_folder
+
+    make = {
+        "windows": lambda root: streams.CountWindows(root, S, M),
+        "online": lambda root: streams.OnlineStream(root, OnlineGrouping(K, S, M, THETA)),
+        "online-drop": lambda root: streams.OnlineStream(root, OnlineGrouping(K, S, M, THETA, tail="drop")),
+        "two-choice": lambda root: streams.TwoChoiceStream(root, TwoChoiceGrouping(K, S, chunk_rows=25), window=40),
+        "learned": lambda root: streams.LearnedStream(root, LearnedGrouping(4, 0.1, 2.0, learn=200)),
+        "discard": lambda root: streams.LearnedStream(root, LearnedGrouping(4, 0.1, 2.0, learn=200, learned="discard", skip=2)),
+    }
+    stream, more = files
+    roots = {name: new_folder(spark, name) for name in make}
+    early = {}
+    for name, runner in make.items():
+        part = runner(roots[name]).run(stream())
+        early[name] = (part.result().count(), part.drained().count() if name in ("windows", "two-choice", "online") else None)
+    more()
+    late = {name: runner(roots[name]).run(stream()) for name, runner in make.items()}
+    # Once more without anything new.
+    return early, {name: late[name].run(stream()) for name in late}
 
 
 def workers(df):
     return [r["worker"] for r in df.orderBy("seq").collect()]
 
 
-def test_hash(arrivals, folder, keyed):
-    got = streams.stream_hash(arrivals(), HashGrouping(K), folder())
+def test_hash(files, in_two_parts, folder, keyed):
+    got = streams.stream_hash(files[0](), HashGrouping(K), folder())
     assert workers(got) == workers(HashGrouping(K).assign(keyed(KEYS)))
 
 
+def test_rows_wait_for_an_early_one(in_two_parts):
+    early, _ = in_two_parts
+    # 149 rows have come, without number 3: source 0 lacks a row, two others have a window of 20 and more.
+    assert early["windows"] == (2 * 20 * 2 + 20, 149)
+    assert early["online"] == (0, 149) and early["two-choice"] == (2 * 40, 149)
+    assert early["learned"][0] == early["discard"][0] == 0
+
+
 @pytest.mark.parametrize("tail", ["drop", "flush"])
-def test_online(arrivals, folder, keyed, tail):
-    grouping = OnlineGrouping(K, S, M, THETA, tail=tail)
-    runner = streams.OnlineStream(folder(), grouping).run(arrivals())
-    assert runner.last_batch >= 2
+def test_online(in_two_parts, keyed, tail):
+    runner = in_two_parts[1]["online" if tail == "flush" else "online-drop"]
+    grouping = runner.grouping
     _, want = online(KEYS, K, S, M, THETA, flush=tail == "flush")
-    assert workers(runner.drained()) == want
+    drained = runner.drained()
+    assert workers(drained) == want
+    assert [r["payload"] for r in drained.orderBy("seq").collect()] == [f"p{i}" for i in range(len(want))]
     assert workers(runner.result()) == want[: 7 * S * M]
 
-    batch = OnlineGrouping(K, S, M, THETA)
+    batch = OnlineGrouping(K, S, M, THETA, tail="drop")
     rows = keyed(KEYS)
     barrier = metrics.period_worker_load(batch.assign(rows), K)
     assert barrier.exceptAll(runner.barrier().select(*barrier.columns)).count() == 0
@@ -51,57 +96,105 @@ def test_online(arrivals, folder, keyed, tail):
     plan = routing.migration(batch.routing(rows), 7)
     got = runner.migration().select(*plan.columns)
     assert plan.exceptAll(got).count() == 0 and got.exceptAll(plan).count() == 0
-    assert streams.final_balance(runner.drained(), grouping).first()["total"] == len(want)
-
-
-def test_a_repeated_batch_leaves_one_copy(spark, arrivals, folder):
-    runner = streams.OnlineStream(folder(), OnlineGrouping(K, S, M, THETA)).run(arrivals())
-    before = workers(runner.result())
-    last = runner.last_batch
-    pool = runner.store.previous("waiting_pool", runner.staged, last + 1)
-    waited = runner.store.previous("waiting", runner.staged, last)
-    again = pool.select("seq", "key").exceptAll(waited.select("seq", "key"))
-    from evenkeel.scratch import pin
-
-    runner.process(pin(again, "again"), last)
-    assert workers(runner.result()) == before
+    assert streams.final_balance(drained, grouping).first()["total"] == len(want)
 
 
-def test_two_choice(arrivals, folder):
-    runner = streams.TwoChoiceStream(folder(), TwoChoiceGrouping(K, S, chunk_rows=25), window=40)
-    assert workers(runner.run(arrivals()).drained()) == two_choice(KEYS, K, lambda i, _: i % S)
+def test_two_choice(in_two_parts):
+    assert workers(in_two_parts[1]["two-choice"].drained()) == two_choice(KEYS, K, lambda i, _: i % S)
 
 
-def test_learned(arrivals, folder, keyed):
-    grouping = LearnedGrouping(4, 0.1, 2.0, learn=200, skip=2)
-    got = streams.LearnedStream(folder(), grouping).run(arrivals()).result()
-    assert workers(got) == workers(grouping.assign(keyed(KEYS)))
+@pytest.mark.parametrize("name", ["learned", "discard"])
+def test_learned(in_two_parts, keyed, name):
+    runner = in_two_parts[1][name]
+    assert workers(runner.result()) == workers(runner.drained()) == workers(runner.grouping.assign(keyed(KEYS)))
 
 
-def test_count_windows(arrivals, folder):
-    got = streams.CountWindows(folder(), S, M).run(arrivals()).result()
+def test_count_windows(in_two_parts):
+    runner = in_two_parts[1]["windows"]
+    got = runner.result()
     assert [r["seq"] for r in got.orderBy("seq").collect()] == list(range(7 * S * M))
     sizes = got.groupBy("source", "period").count()
     assert sizes.where(F.col("count") != M).count() == 0 and sizes.count() == 7 * S
-
-
-def test_keyed_counts(arrivals, folder, keyed):
-    got = streams.stream_keyed_counts(arrivals(), folder())
+    rows = runner.drained().orderBy("seq").collect()
+    assert [(r["seq"], r["key"], r["payload"]) for r in rows] == [(i, k, f"p{i}") for i, k in enumerate(KEYS)]
+
+
+def test_fewer_rows_than_to_learn_from(files, in_two_parts, folder, keyed):
+    grouping = LearnedGrouping(4, 0.1, learn=1000)
+    runner = streams.LearnedStream(folder(), grouping).run(files[0]())
+    assert runner.result().count() == 0
+    assert workers(runner.drained()) == workers(grouping.assign(keyed(KEYS)))
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_null_keys_and_wide_numbers(spark, folder, kind):
+    big = 2**53 + 1
+    keys = [None if i % 3 == 0 else big if i % 3 == 1 else i for i in range(100)]
+    path = folder()
+    rows = spark.createDataFrame(list(enumerate(keys)), "seq bigint, key bigint").withColumn("key", F.col("key").cast(kind))
+    rows.write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    grouping = OnlineGrouping(4, 2, 10, 0.1)
+    got = streams.OnlineStream(folder(), grouping).run(stream).drained()
+    assert got.exceptAll(grouping.assign(rows).select(*got.columns)).count() == 0 and got.count() == 100
+    got = streams.CountWindows(folder(), 2, 10).run(stream).result().select("seq", "key")
+    assert got.exceptAll(rows).count() == 0 and got.count() == 100
+
+
+def test_nothing_has_come(spark, folder):
+    path = folder()
+    rows = spark.createDataFrame([], "seq bigint, key bigint")
+    rows.write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    for runner in (
+        streams.CountWindows(folder(), 2, 10),
+        streams.OnlineStream(folder(), OnlineGrouping(4, 2, 10, 0.1)),
+        streams.TwoChoiceStream(folder(), TwoChoiceGrouping(4, 2)),
+        streams.LearnedStream(folder(), LearnedGrouping(4, 0.1, learn=10)),
+    ):
+        assert runner.run(stream).drained().count() == 0
+
+
+def test_keyed_counts(files, in_two_parts, folder, keyed):
+    got = streams.stream_keyed_counts(files[0](), folder())
     want = keyed(KEYS).groupBy("key").agg(F.count("*").alias("cnt"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_batch_durations(spark, arrivals, folder):
-    runner = streams.CountWindows(folder(), S, M)
-    query = runner.start(arrivals())
-    query.awaitTermination()
-    delays = streams.batch_delays(query, spark)
-    assert delays.count() >= 2
+def ticking(spark, path, files):
+    for i in range(files):
+        spark.range(i, i + 1).selectExpr("id AS seq", "id AS key").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema("seq bigint, key bigint").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_durations_of_more_batches_than_are_remembered(spark, folder):
+    path, out = folder(), folder()
+    stream = ticking(spark, path, 12)
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    try:
+        watch = watched(spark, folder("delays"), every=5)
+        watch.follow(HashGrouping(4).assign(stream).writeStream.format("parquet").option("checkpointLocation", folder()).trigger(availableNow=True).start(out))
+        watch.finish()
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+    assert len(watch.query.recentProgress) <= 3
+    delays = streams.batch_delays(spark, watch.path)
+    assert {r["period"] for r in delays.collect()} >= set(range(12))
+    assert delays.where("delay_us > 0").count() >= 12
     assert metrics.source_delay(delays).first()["sources"] == 1
 
 
-def test_notes_pass_from_batch_to_batch(spark, folder):
-    store = BatchStore(spark, folder())
-    assert store.previous_notes(0) == {}
-    store.write_notes({"period": 3, "loads": [1, 2]}, 0)
-    assert store.previous_notes(1) == {"period": 3, "loads": [1, 2]}
+def test_a_stream_whose_mass_is_wrong_fails(spark, folder, monkeypatch):
+    stream = ticking(spark, folder(), 4)
+    watch = watched(spark, folder(), metric="mass", expect_equal=("rows", "mass"))
+    odd = stream.observe("mass", F.count("*").alias("rows"), F.sum(F.when(F.col("key") != 2, 1)).alias("mass"))
+    watch.follow(odd.writeStream.format("noop").option("checkpointLocation", folder()).trigger(availableNow=True).start())
+    with pytest.raises(RuntimeError, match="rows is 1, mass is 0"):
+        watch.finish()
+
+
+def test_columns_that_cannot_wait_are_refused(spark):
+    schema = spark.createDataFrame([], "seq bigint, key bigint, x array<int>").schema
+    with pytest.raises(ValueError, match="column x"):
+        Carried(schema)
