@@ -17,6 +17,8 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -62,10 +64,15 @@ class TrieEncoder:
         self.beside: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.letters = byte_letters()
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.is_special = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
         self.pieces: dict[str, bytes] = {"": b""}
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The tokenizer itself; few texts ask for it."""
+        return Tokenizer.from_file(self.path)
+
     def stays_apart(self, x: int, y: int, until: int | None = None) -> bool:
         """Whether no merge crosses the border of ``x`` and ``y`` (before merge ``until``).
 
@@ -242,6 +249,31 @@ def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+def bpe_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What :func:`digests` tells of encoded and decoded documents, in one pass and one process for each task.
+
+    Ids and decoded text of a document exist one at a time and do not leave the process.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer)
+        tokens = encoder.tokens
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for a, b in grouped_by_size(texts, BLOCK_CHARS):
+                rows = []
+                for found in encoder.encode(texts[a:b]):
+                    ids = array("i", found).tolist()
+                    decoded = " ".join(map(tokens.__getitem__, ids))
+                    rows.append((len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(decoded.encode()).hexdigest()))
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder.forget()
+        give_back()
+
+    return chosen_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``."""
     return decoded.select(

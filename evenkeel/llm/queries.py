@@ -61,8 +61,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("word_bpe_49k.json")
-    return bpe.digests(bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,14 @@ def test_fingerprints_and_groups(spark, texts):
     assert {d: (r.fingerprint, r.component_id) for d, r in got.items()} == {d: (f"{fp[d]:016x}", root[d]) for d in fp}
 
 
+def test_digests_in_one_pass(spark, texts, odd):
+    for docs in (odd, spark.createDataFrame([*texts.items(), (None, "<|endoftext|> Ünï 東京 <|x"), (1, None)], "doc_id long, text string")):
+        whole = bpe.digests(bpe.bpe_decode(bpe.bpe_encode(docs, WORD_BPE), WORD_BPE))
+        got = bpe.bpe_digests(docs, WORD_BPE)
+        assert got.schema.names == whole.schema.names
+        assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+
+
 def test_bit_planes_find_all_near():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
