@@ -42,8 +42,7 @@ def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, and digests of ids and decoded text."""
-    path = tokenizer_path("word_bpe_49k.json")
-    return bpe.digests(bpe.bpe_decode(bpe.bpe_encode(docs, path), path))
+    return bpe.bpe_digests(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES = [
