@@ -270,9 +270,37 @@ def state_relocate(spark: SparkSession, d: str) -> DataFrame:
     return routing.relocate(routing.keyed_state(routed), last, hashing.KeyHash(o.K), bound)
 
 
-def compile_stats(spark: SparkSession, d: str) -> DataFrame:
+def zipf_source_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Keys out of a billion; SQL can tell the first ones, and that the others lie beyond them."""
+    keys = generated.with_zipf_key(ev(spark, d).select("seq"), o.ZIPF_WIDE, o.ZIPF_Z, o.ZIPF_SEED)
+    known = F.col("key") <= zipf.HEAD_KEYS
+    return keys.select("seq", F.when(known, F.col("key")).alias("key"), F.col("key").between(1, o.ZIPF_WIDE).alias("valid"))
+
+
+def compile_stats(spark: SparkSession, d: str, timed: bool = False) -> DataFrame:
     stage, tables, _ = online_parts(spark, d)
-    return metrics.compile_stats(stage.select("period").distinct(), tables, routing.migration(tables))
+    built = ONLINE.place(ONLINE.items(stage), timed=True) if timed else None
+    return metrics.compile_stats(stage.select("period").distinct(), tables, routing.migration(tables), built)
+
+
+def sink_compile_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and build times written as CSV, and read again; the times differ from run to run."""
+    path = new_folder(spark, "compile-stats")
+    sinks.write_stats(compile_stats(spark, d, timed=True), path)
+    stats = spark.read.schema("period bigint, routing_size bigint, migration_size bigint, build_us bigint").csv(path)
+    return stats.select("period", "routing_size", "migration_size", (F.col("build_us") >= 0).alias("timed"))
+
+
+def space_saving_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Frequent words by exact count, and whether the merged summary of all words holds each within its bound."""
+    words = written_words(spark, d).select("key")
+    kept = sketches.merged_space_saving(words, 1 / o.WORD_COUNTERS)
+    exact = sketches.key_counts(words, ())
+    total = words.agg(F.count("*")).scalar()
+    frequent = exact.where(F.col("cnt") * o.WORD_COUNTERS > total)
+    low, high = F.col("count") - F.col("err"), F.col("count")
+    bound = (low <= F.col("cnt")) & (F.col("cnt") <= high) & (F.col("err") * o.WORD_COUNTERS <= total)
+    return frequent.join(kept, "key", "left").select("key", "cnt", F.coalesce(bound, F.lit(False)).alias("bounded"))
 
 
 def custom_ordered_grouping(spark: SparkSession, d: str) -> DataFrame:
@@ -343,6 +371,8 @@ def _grouping_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "stream_prefix": lambda s, d: shape.prefix(ev(s, d), o.LEARN),
         "sink_period_stats": sink_period_stats,
+        "sink_compile_stats": sink_compile_stats,
+        "zipf_source_wide": zipf_source_wide,
         "route_to_partitions": route_to_partitions,
         "route_to_split_partitions": lambda s, d: route_to_partitions(s, d, 3),
         # projections and filters
@@ -379,6 +409,7 @@ def _grouping_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "heavy_hitters": frequent("exact", o.EPS),
         "space_saving": frequent("space_saving", 1 / o.M),
         "space_saving_evicting": lambda s, d: sketches.space_saving(staged(s, d), 1 / o.COUNTERS),
+        "space_saving_merged": space_saving_merged,
         "frequent_sketch": frequent("sketch", 1 / o.M),
         "bucket_histogram": lambda s, d: sketch_of(staged(s, d))[1],
         "sparse_residual": lambda s, d: sketch_of(staged(s, d))[2],

@@ -116,14 +116,20 @@ def period_imbalance(routed: DataFrame, k: int) -> DataFrame:
     return balance(totals, k, ["period"]).select("period", "imbalance", "sigma")
 
 
-def compile_stats(periods: DataFrame, routing: DataFrame, migration: DataFrame) -> DataFrame:
-    """Size of routing and migration table per period; ``periods`` lists all of them."""
+def compile_stats(
+    periods: DataFrame, routing: DataFrame, migration: DataFrame, built: DataFrame | None = None
+) -> DataFrame:
+    """Size of routing and migration table per period; ``periods`` lists all of them.
+
+    ``built``, ``(period, build_us)``, adds how long building each routing table took.
+    """
     counted = (
         periods.select("period", F.lit(0).alias("r"), F.lit(0).alias("m"))
         .unionByName(routing.select("period", F.lit(1).alias("r"), F.lit(0).alias("m")))
         .unionByName(migration.select("period", F.lit(0).alias("r"), F.lit(1).alias("m")))
     )
-    return counted.groupBy("period").agg(F.sum("r").alias("routing_size"), F.sum("m").alias("migration_size"))
+    sizes = counted.groupBy("period").agg(F.sum("r").alias("routing_size"), F.sum("m").alias("migration_size"))
+    return sizes if built is None else sizes.join(built.select("period", "build_us"), "period", "left")
 
 
 def source_counts(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import time
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -95,7 +96,7 @@ def split_maps(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return heavy, buckets
 
 
-def _folded(k: int, initial: Sequence[int]):
+def _folded(k: int, initial: Sequence[int], timed: bool):
     """Fold periods in order: of each the sparse buckets, then the heavy keys as they are listed."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,12 +106,17 @@ def _folded(k: int, initial: Sequence[int]):
             items = heavy.flatten()
             fixed, added = (light.flatten().field(c).to_pylist() for c in ("bucket", "cnt"))
             amounts, sizes = items.field("cnt").to_pylist(), heavy.value_lengths().to_pylist()
-            workers, a, b = [], 0, 0
+            workers, micros, a, b = [], [], 0, 0
             for n_light, n_heavy in zip(light.value_lengths().to_pylist(), sizes):
+                start = time.perf_counter_ns()
                 for worker, amount in zip(fixed[a : a + n_light], added[a : a + n_light]):
                     loads[worker] += amount
                 workers += greedy(amounts[b : b + n_heavy], loads) if n_heavy else []
                 a, b = a + n_light, b + n_heavy
+                micros.append((time.perf_counter_ns() - start) // 1000)
+            if timed:
+                yield pa.RecordBatch.from_arrays([batch.column("period"), pa.array(sizes, pa.int64()), pa.array(micros, pa.int64())], names=["period", "routing_size", "build_us"])
+                continue
             period = batch.column("period").take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
             key = items.field("key")
             key = pc.if_else(items.field("null_key"), pa.scalar(None, key.type), key)
@@ -119,7 +125,9 @@ def _folded(k: int, initial: Sequence[int]):
     return fold
 
 
-def place_online(items: DataFrame, k: int, order: str = "key", initial: Sequence[int] | None = None) -> DataFrame:
+def place_online(
+    items: DataFrame, k: int, order: str = "key", initial: Sequence[int] | None = None, timed: bool = False
+) -> DataFrame:
     """Place merged heavy keys of successive periods; loads carry over and never decay.
 
     ``items`` is a list as of :func:`placement_items`, by period. Per period the sparse buckets
@@ -132,6 +140,8 @@ def place_online(items: DataFrame, k: int, order: str = "key", initial: Sequence
     be placed side by side. But the fold sees sketches, not rows: a period is one row with at most
     ``k`` buckets and its heavy keys. These rows stream through one task in order, which holds the
     loads and a batch, in one job whatever their number.
+
+    With ``timed`` the result is what building the tables took: ``(period, routing_size, build_us)``.
     """
     if order not in ("key", "load"):
         raise ValueError("order is 'key' or 'load'")
@@ -143,8 +153,10 @@ def place_online(items: DataFrame, k: int, order: str = "key", initial: Sequence
         F.collect_list(F.when(~is_heavy, F.struct("bucket", "cnt"))).alias("light"),
     )
     schema = T.StructType([items.schema["period"], items.schema["key"], T.StructField("worker", T.IntegerType()), T.StructField("cnt", T.LongType())])
+    if timed:
+        schema = "period long, routing_size long, build_us long"
     start = [0] * k if initial is None else [int(x) for x in initial]
-    return rows.repartition(1).sortWithinPartitions("period").mapInArrow(_folded(k, start), schema)
+    return rows.repartition(1).sortWithinPartitions("period").mapInArrow(_folded(k, start, timed), schema)
 
 
 def placement_loads(routing: DataFrame, sparse: DataFrame, k: int) -> DataFrame:

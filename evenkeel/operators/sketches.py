@@ -8,16 +8,15 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SKETCH_GROUP = ("source", "period")
-# A group handled row by row must fit one task; count windows are far below this.
-MAX_ORDERED_ROWS = 5_000_000
 # Largest precision the HyperLogLog aggregate accepts.
 HLL_PRECISION = 21
 
@@ -99,54 +98,126 @@ def estimate_top(states: DataFrame, eps: float, by: Sequence[str] = (), key: str
     )
 
 
-def _replay(keys, counters: int) -> dict:
-    """Counters after one pass: key -> [count, error]; the smallest (count, key) is evicted."""
-    kept: dict = {}
-    queue: list[tuple] = []  # one entry per kept key; counts in it may lag behind
-    for key in keys:
-        entry = kept.get(key)
+class SpaceSaving:
+    """Counters of at most ``counters`` keys; the smallest (count, key) makes room. Rows may come in numbers."""
+
+    def __init__(self, counters: int):
+        self.counters = counters
+        self.kept: dict = {}
+        # One entry per kept key; counts in it may lag behind. NULL sorts before all others.
+        self.queue: list[tuple] = []
+
+    def add(self, key, n: int = 1) -> None:
+        entry = self.kept.get(key)
         if entry is not None:
-            entry[0] += 1
-            continue
-        floor = 0
-        if len(kept) >= counters:
-            while kept[queue[0][1]][0] != queue[0][0]:
-                stale = queue[0][1]
-                heapq.heapreplace(queue, (kept[stale][0], stale))
-            floor, victim = heapq.heappop(queue)
-            del kept[victim]
-        kept[key] = [floor + 1, floor]
-        heapq.heappush(queue, (floor + 1, key))
-    return kept
-
-
-def space_saving(
-    df: DataFrame, eps: float, by: Sequence[str] = SKETCH_GROUP, key: str = "key", max_rows: int = MAX_ORDERED_ROWS
-) -> DataFrame:
+            entry[0] += n
+            return
+        below = 0
+        if len(self.kept) >= self.counters:
+            below = self.floor()
+            del self.kept[heapq.heappop(self.queue)[2]]
+        self.kept[key] = [below + n, below]
+        heapq.heappush(self.queue, (below + n, (key is not None, key if key is not None else 0), key))
+
+    def floor(self) -> int:
+        """The least count if all counters are taken, else zero."""
+        if len(self.kept) < self.counters:
+            return 0
+        queue, kept = self.queue, self.kept
+        while kept[queue[0][2]][0] != queue[0][0]:
+            _, order, stale = queue[0]
+            heapq.heapreplace(queue, (kept[stale][0], order, stale))
+        return queue[0][0]
+
+    def rows(self, group: tuple, empty: Sequence[pa.Array], names: Sequence[str], floor: int | None = None) -> pa.RecordBatch:
+        """The counters of a group, with ``floor`` beside each and once more alone."""
+        rows = [(*group, k, *e) for k, e in self.kept.items()]
+        if floor is not None:
+            rows = [(*r, floor, False) for r in rows] + [(*group, None, 0, 0, floor, True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, e.type) for c, e in zip(zip(*rows), empty)], names=list(names))
+
+
+def space_saving(df: DataFrame, eps: float, by: Sequence[str] = SKETCH_GROUP, key: str = "key") -> DataFrame:
     """Space-Saving counters ``(count, err)`` per group, rows taken in ``seq`` order.
 
-    Groups are count windows of known size. A larger group is refused: use ``sketch`` mode,
-    which merges partial sketches.
+    A group streams through one task in that order, which holds its counters and a batch. Where the
+    order does not matter, and a group is large, :func:`merged_space_saving` counts its parts side by side.
     """
     by = list(by)
     counters = capacity(eps)
-    fields = [df.schema[c] for c in by]
-    schema = T.StructType(
-        [*fields, df.schema[key], T.StructField("count", T.LongType()), T.StructField("err", T.LongType())]
-    )
-
-    def replay_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_rows:
-            raise ValueError(f"{len(pdf)} rows in one ordered group, more than {max_rows}: use mode='sketch'")
-        kept = _replay(pdf.sort_values("seq")[key].tolist(), counters)
-        out = pd.DataFrame(
-            {key: list(kept), "count": [e[0] for e in kept.values()], "err": [e[1] for e in kept.values()]}
-        )
-        for c in reversed(by):
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
-
-    return df.select(*by, "seq", key).groupBy(*by).applyInPandas(replay_group, schema)
+    schema = T.StructType([*(df.schema[c] for c in by), df.schema[key], T.StructField("count", T.LongType()), T.StructField("err", T.LongType())])
+    placed = df.select(*by, "seq", key).repartition(*by) if by else df.select("seq", key).repartition(1)
+    empty = [pa.array([], f.type) for f in to_arrow_schema(schema)]
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept = None, SpaceSaving(counters)
+        for batch in batches:
+            groups = list(zip(*(batch.column(c).to_pylist() for c in by))) if by else [()] * batch.num_rows
+            keys, at = batch.column(key).to_pylist(), 0
+            while at < len(groups):
+                end = at
+                while end < len(groups) and groups[end] == groups[at]:
+                    end += 1
+                if groups[at] != group:
+                    if group is not None:
+                        yield kept.rows(group, empty, schema.names)
+                    group, kept = groups[at], SpaceSaving(counters)
+                for k in keys[at:end]:
+                    kept.add(k)
+                at = end
+        if group is not None:
+            yield kept.rows(group, empty, schema.names)
+
+    return placed.sortWithinPartitions(*by, "seq").mapInArrow(replay, schema)
+
+
+def space_saving_parts(df: DataFrame, eps: float, by: Sequence[str] = (), key: str = "key") -> DataFrame:
+    """A summary of each partition and group: ``(*by, key, count, err, _floor, _part)``.
+
+    ``_floor`` is the least count of a full summary: no key that it lacks occurs more often there. The rows marked
+    ``_part`` give each summary's floor once.
+    """
+    by, counters = list(by), capacity(eps)
+    more = [T.StructField(c, T.LongType()) for c in ("count", "err", "_floor")]
+    schema = T.StructType([*(df.schema[c] for c in by), df.schema[key], *more, T.StructField("_part", T.BooleanType())])
+    empty = [pa.array([], f.type) for f in to_arrow_schema(schema)]
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, SpaceSaving] = {}
+        for batch in batches:
+            # Equal rows of a batch are counted first, natively.
+            counted = pa.Table.from_batches([batch]).group_by([*by, key]).aggregate([([], "count_all")])
+            columns = [counted.column(c).to_pylist() for c in (*by, key, "count_all")]
+            for *group, k, n in zip(*columns):
+                found.setdefault(tuple(group), SpaceSaving(counters)).add(k, n)
+        for group, kept in found.items():
+            yield kept.rows(group, empty, schema.names, kept.floor())
+
+    return df.select(*by, key).mapInArrow(summarise, schema)
+
+
+def merged_space_saving(df: DataFrame, eps: float, by: Sequence[str] = (), key: str = "key") -> DataFrame:
+    """Space-Saving counters ``(*by, key, count, err)`` from summaries of all partitions (Agarwal et al. 2012).
+
+    Counts and errors of a key are added up; a summary that lacks it adds its floor to both. Of the sums the
+    ``ceil(1/eps)`` largest stay. With ``n`` rows in a group the true number of a key lies between
+    ``count - err`` and ``count``, ``err`` is ``eps * n`` at most, and every key with more rows than that is there.
+    What is shuffled is ``1/eps`` rows for each partition and group, however many rows or keys there are.
+    """
+    by = list(by)
+    parts = space_saving_parts(df, eps, by, key)
+    floors = F.sum("_floor").alias("_floors")
+    sums = parts.where("NOT _part").groupBy(*by, key).agg(*(F.sum(c).alias(c) for c in ("count", "err", "_floor")))
+    if by:
+        joined = sums.join(parts.where("_part").groupBy(*by).agg(floors), by)
+    else:
+        joined = sums.withColumn("_floors", parts.where("_part").agg(floors).scalar())
+    missing = F.col("_floors") - F.col("_floor")
+    merged = joined.select(*by, key, (F.col("count") + missing).alias("count"), (F.col("err") + missing).alias("err"))
+    if not by:
+        return merged.orderBy(F.desc("count"), key).limit(capacity(eps))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), key))
+    return merged.withColumn("_rank", rank).where(F.col("_rank") <= capacity(eps)).drop("_rank")
 
 
 def bucket_hist(

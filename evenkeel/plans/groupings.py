@@ -238,8 +238,8 @@ class OnlineGrouping:
         merged = sketches.merge_sketches(heavy, sketches.sparse_buckets(hist, heavy, bucket_of))
         return placement.placement_items(*merged, by=["period"])
 
-    def place(self, items: DataFrame, initial: Sequence[int] | None = None) -> DataFrame:
-        return placement.place_online(items, self.k, self.order, initial)
+    def place(self, items: DataFrame, initial: Sequence[int] | None = None, timed: bool = False) -> DataFrame:
+        return placement.place_online(items, self.k, self.order, initial, timed)
 
     def routing(self, df: DataFrame) -> DataFrame:
         """The routing tables of all periods: ``(period, key, worker, cnt)``."""

@@ -11,7 +11,7 @@ S, K, M, THETA, EPS, FACTOR, LEARN, DKG_THETA = 4, 8, 130, 0.02, 0.01, 2.0, 2000
 # Rows that a discarding strategy leaves out besides the learned ones; many short periods.
 SKIP, SHORT_M, SHORT_THETA = 2, 25, 0.1
 # Too few counters for the keys of a window.
-COUNTERS = 20
+COUNTERS, WORD_COUNTERS = 20, 400
 # Configuration of the word stream.
 WS, WK, WM, WTHETA = 4, 32, 1000, 0.01
 # Two-choice with a key far above 2/k of the rows, over many chunks.
@@ -20,7 +20,7 @@ P = 10000019
 AB = ((3141593, 2718282), (5772157, 1618034))
 BUCKETS = 16
 MURMUR, MURMUR_PRIMES = 13, (31, 37)
-ZIPF_N, ZIPF_Z, ZIPF_SEED = 1000, 1.0, 1000
+ZIPF_N, ZIPF_Z, ZIPF_SEED, ZIPF_WIDE = 1000, 1.0, 1000, 1_000_000_000
 
 
 def h(x: str, k: int, member: int = 0) -> str:
@@ -285,6 +285,11 @@ FROM pages WHERE page_id % 7 <> 6""",
   / sum(pow(i, -{ZIPF_Z})) OVER () * 4503599627370496) AS BIGINT) AS up FROM range(1, {ZIPF_N + 1}) AS r(i)),
 u AS (SELECT event_id AS seq, CAST('0x' || substr(md5('{ZIPF_SEED}:' || event_id), 1, 13) AS BIGINT) AS x FROM events)
 SELECT seq, coalesce(t.i, 0) + 1 AS key FROM u ASOF LEFT JOIN t ON u.x >= t.up""",
+        "zipf_source_wide": f"""WITH hd AS (SELECT i, sum(1 / CAST(i AS DOUBLE)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM range(1, 1025) AS r(i)),
+tot AS (SELECT max(s) + (ln({ZIPF_WIDE}) + 0.5 / {ZIPF_WIDE} - pow({ZIPF_WIDE}, -2.0) / 12) - (ln(1024) + 0.5 / 1024 - pow(1024, -2.0) / 12) AS t FROM hd),
+th AS (SELECT i, CAST(floor(s / t * 4503599627370496) AS BIGINT) AS up FROM hd, tot),
+u AS (SELECT event_id AS seq, CAST('0x' || substr(md5('{ZIPF_SEED}:' || event_id), 1, 13) AS BIGINT) AS x FROM events)
+SELECT seq, CASE WHEN coalesce(th.i, 0) < 1024 THEN coalesce(th.i, 0) + 1 END AS key, true AS valid FROM u ASOF LEFT JOIN th ON u.x >= th.up""",
         "stream_prefix": f"SELECT event_id AS seq, user_id AS key FROM events WHERE event_id < {LEARN}",
         "sink_period_stats": w(*hash_stream, period_totals(), select=pm),
         "route_to_partitions": w(EV, hash_routed(src="ev", cols="seq, key"), select="SELECT worker, worker AS part, count(*) AS cnt FROM routed GROUP BY ALL"),
@@ -322,6 +327,8 @@ FROM events, (VALUES (CAST(1.0 AS DOUBLE)), (2.0), (3.0)) AS v(z) GROUP BY z""",
         "heavy_hitters": w(*sk, select="SELECT source, period, key, cnt FROM hv"),
         "space_saving": w(*sk, select="SELECT source, period, key, cnt FROM hv"),
         "frequent_sketch": w(*sk, select="SELECT source, period, key, cnt FROM hv"),
+        "space_saving_merged": w(WORDS, select=f"""SELECT key, count(*) AS cnt, true AS bounded FROM ev GROUP BY key
+HAVING count(*) * {WORD_COUNTERS} > (SELECT count(*) FROM ev)"""),
         "space_saving_evicting": w(EV, staged(), space_saving(COUNTERS), select='SELECT source, period, e.key AS key, e.cnt AS "count", e.err AS err FROM counters'),
         "bucket_histogram": w(*sk, select="SELECT source, period, bucket, cnt FROM hist"),
         "sparse_residual": w(*sk, select="SELECT source, period, bucket, cnt FROM sp"),
@@ -377,6 +384,8 @@ LEFT JOIN (SELECT * FROM mig WHERE period = (SELECT max(period) FROM mig)) m ON
         "period_worker_load": w(on, period_totals(), select="SELECT period, worker, load, total FROM pt"),
         "compile_stats": w(on, MIGRATION, select="""SELECT p.period, (SELECT count(*) FROM routing r WHERE r.period = p.period) AS routing_size,
 (SELECT count(*) FROM mig WHERE mig.period = p.period) AS migration_size FROM (SELECT DISTINCT period FROM st) p"""),
+        "sink_compile_stats": w(on, MIGRATION, select="""SELECT p.period, (SELECT count(*) FROM routing r WHERE r.period = p.period) AS routing_size,
+(SELECT count(*) FROM mig WHERE mig.period = p.period) AS migration_size, true AS timed FROM (SELECT DISTINCT period FROM st) p"""),
         "source_counts": w(EV, staged(), select="SELECT source, count(*) AS cnt FROM st GROUP BY source"),
         "source_delay": f"""SELECT count(*) AS sources, CAST(sum(mean_us) // count(*) AS BIGINT) AS delay_us FROM (
 SELECT source, sum(d) // count(*) AS mean_us FROM (

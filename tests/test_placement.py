@@ -194,3 +194,12 @@ def test_planted_mistakes_are_caught(keyed, monkeypatch):
         patch.setattr(sketches, "items_from_counts", threshold_again)
         assert routed() != want
     assert routed() == want
+
+
+def test_building_tables_is_timed(keyed):
+    g = OnlineGrouping(K, S, M, THETA)
+    rows = keyed(skewed(430))
+    built = g.place(g.items(g.stage(rows)), timed=True)
+    sizes = {r["period"]: r["routing_size"] for r in built.collect()}
+    assert sizes == {p: len(t) for p, t in online(skewed(430), K, S, M, THETA, flush=True)[0].items()}
+    assert built.where("build_us < 0").count() == 0

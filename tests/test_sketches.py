@@ -29,9 +29,37 @@ def test_space_saving_with_eviction(keyed, text):
             assert count - err <= true[key] <= count
 
 
-def test_space_saving_refuses_an_oversized_group(keyed):
-    with pytest.raises(Exception, match="use mode='sketch'"):
-        sketches.space_saving(stage(keyed(skewed(300))), 0.1, max_rows=10).collect()
+def test_space_saving_across_batches_and_null_keys(spark):
+    keys = [None if x == 7 else x for x in skewed(300, keys=40)]
+    rows = spark.createDataFrame(list(enumerate(keys)), "seq bigint, key bigint")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        whole = sketches.space_saving(rows, 0.2, by=()).collect()
+        parts = sketches.space_saving(stage(rows), 0.2).count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    named = [-1 if k is None else k for k in keys]
+    assert {-1 if r["key"] is None else r["key"]: [r["count"], r["err"]] for r in whole} == space_saving(named, 5)
+    assert parts == 5 * 2 * 3
+
+
+@pytest.mark.parametrize("by", [[], ["part"]])
+@pytest.mark.parametrize("eps", [0.02, 0.3])
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_merged_summaries_keep_their_bounds(spark, by, eps, partitions):
+    keys = skewed(4000, keys=900, every=5)
+    rows = spark.createDataFrame([(i % 2, None if k == 3 else k) for i, k in enumerate(keys)], "part long, key long")
+    found = sketches.merged_space_saving(rows.repartition(partitions), eps, by).collect()
+    for part in (0, 1) if by else (None,):
+        mine = [None if k == 3 else k for i, k in enumerate(keys) if part in (None, i % 2)]
+        true, n = Counter(mine), len(mine)
+        kept = {r["key"]: r for r in found if not by or r["part"] == part}
+        assert len(kept) <= sketches.capacity(eps)
+        for key, r in kept.items():
+            assert r["count"] - r["err"] <= true[key] <= r["count"] and r["err"] <= eps * n
+        assert all(key in kept for key, cnt in true.items() if cnt > eps * n)
+    assert sketches.merged_space_saving(rows.limit(0), eps, by).count() == 0
 
 
 @pytest.mark.parametrize("mode", ["exact", "sketch", "space_saving"])

@@ -74,7 +74,39 @@ def test_zipf_is_the_same_on_every_run(spark):
     a = generated.zipf(spark, 500, seed=3)
     assert a.exceptAll(generated.zipf(spark, 500, seed=3).repartition(3)).count() == 0
     with pytest.raises(ValueError):
-        generated.zipf(spark, 5, n=10_000_000)
+        generated.zipf(spark, 5, n=0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1023, 1024, 1025, 200_000])
+@pytest.mark.parametrize("z", [0.5, 1.0, 2.0])
+def test_zipf_inverts_the_whole_distribution(spark, n, z):
+    rows = spark.range(3000).select("id", zipf.uniform_integer(F.col("id"), 5).alias("u"), zipf.zipf_key(F.col("id"), n, z, 5).alias("key"))
+    got = rows.orderBy("id").toPandas()
+    sums = np.cumsum(np.arange(1, n + 1, dtype=float) ** -z)
+    bounds = np.floor(sums / sums[-1] * 2.0**52)
+    want = np.minimum(np.searchsorted(bounds, got["u"], side="right") + 1, n)
+    head = want <= zipf.HEAD_KEYS
+    assert (got["key"][head] == want[head]).mean() > 0.999
+    # Beyond the head both ways round differently, at the very border of two keys.
+    assert (abs(got["key"] - want) <= 1).all() and (got["key"] == want).mean() > 0.995
+
+
+@pytest.mark.parametrize("n", [10_000_000, 1_000_000_000])
+@pytest.mark.parametrize("z", [1.0, 1.2])
+def test_zipf_of_very_many_keys(spark, n, z):
+    rows = 100_000
+    keys = generated.zipf(spark, rows, n, z, 3)
+    total = np.sum(np.arange(1, 10**6, dtype=float) ** -z)
+    total += np.log(n / 10**6) if z == 1 else (n ** (1 - z) - (10.0**6) ** (1 - z)) / (1 - z)
+    counts = {r["key"]: r["count"] for r in keys.where("key <= 5").groupBy("key").count().collect()}
+    for key in range(1, 6):
+        share = key**-z / total
+        assert abs(counts[key] / rows - share) < 5 * (share / rows) ** 0.5
+    beyond = keys.where("key > 1000000").count() / rows
+    share = (np.log(n / 10**6) if z == 1 else (n ** (1 - z) - (10.0**6) ** (1 - z)) / (1 - z)) / total
+    assert abs(beyond - share) < 5 * (share / rows) ** 0.5
+    assert 10**6 < keys.agg(F.max("key")).first()[0] <= n
+    assert "Python" not in keys._jdf.queryExecution().executedPlan().toString()
 
 
 def test_harmonic_numbers(spark):
