@@ -2,229 +2,233 @@
 
 The score of a word after another is ``c(a b) / c(a)`` if the pair occurs ``least`` times or
 more in all documents, else ``alpha * c(b) / N``; a document's score is the mean of its words'
-logarithms. Words are lower-cased and stand for themselves by a hash of 63 bits; words and pairs
-are counted without bound, in tables dealt out by hash. ``cells`` other than zero takes words
-into so many cells instead, for tests.
-
-* A word is frequent if it makes up one word in ``frequent`` or more, so there are at most
-  ``frequent`` of them. They and the pairs of two of them are counted in tables of their own, whose
-  size has that bound squared, and every task looks them up in place. This takes what is common
-  out of the exchange, and leaves no word or pair in it with more than one word in ``frequent``.
-* All other words and pairs are exploded, made distinct within their document, and dealt out by
-  hash once. That one exchange serves the table of counts and the join with it: each stands once
-  for a document, so none holds more rows than there are documents.
-* A word adds what backoff gives it. Pairs that occur often enter the sum with what they change;
-  the counts of their two words are joined to the counted pairs, which are distinct.
+logarithms. Words are lower-cased; a word stands for itself by 64 bits of xxHash, a pair by
+64 bits mixed from both. Words and pairs are counted without bound.
+
+* **Blocks.** Neighbouring documents of some megabytes are one row: their words by number, and the hashes
+  of the words that occur. They are written once.
+* **Questions.** Each block makes its words and its pairs distinct, with how often it has them, and sends
+  them to tables dealt out by hash. A packed row holds all keys that go from one block to one
+  part of a table, sorted, as differences in planes of bytes, so a key takes about five bytes.
+* **Counts.** A part of a table adds up what all blocks sent. Parts follow the number of words, so each
+  has about a million; a key stands there once for a block, however frequent it is.
+* **Answers.** Pairs that reach ``least``, and all words, go back to the blocks that asked, by place and
+  total. A block then scores its words in place, and what it found is summed per document.
 
 Defined cases: a null or blank text has no words and score null; rows that repeat an id are one
-document, as are all rows with a null id; extra columns are ignored.
+document, as are all rows with a null id; extra columns are ignored; a table without rows gives none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.shared import chosen_columns, give_back, utf8_of
+from evenkeel.llm.ascii_words import byte_columns, pieces
+from evenkeel.llm.shared import give_back
 from evenkeel.scratch import pin
 
-CELLS = 0
 ALPHA = 0.4
 LEAST = 2
-FREQUENT = 1024
-BLOCK_BYTES = 1 << 20
-PRIME = 0x9E3779B97F4A7C15
-# Stands for the second word where a row is about one word.
-ALONE = 1 << 40
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the prime and of its inverse, modulo 2^64."""
-    out = []
-    for base in (PRIME, pow(PRIME, -1, 1 << 64)):
-        powers = np.full(n, base, np.uint64)
-        powers[0] = 1
-        out.append(np.cumprod(powers))
-    return out[0], out[1]
-
-
-def word_cells(data: np.ndarray, at: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of a byte buffer of texts, in ``cells`` if that is not zero, and the text it is in."""
-    space = _SPACE[data]
-    # Texts stand end to end, so a word also starts and ends where its text does.
-    edge = np.zeros(len(data) + 1, bool)
-    edge[at] = True
-    starts = np.flatnonzero(~space & (edge[:-1] | np.r_[True, space[:-1]]))
-    ends = np.flatnonzero(~space & (edge[1:] | np.r_[space[1:], True])) + 1
-    out = np.zeros(len(starts), np.int64)
-    i = 0
-    while i < len(starts):
-        # Sums over bytes times powers; a difference of two, shifted back to power 0, hashes a word.
-        j = max(int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, "right")), i + 1)
-        first, stop = starts[i], ends[j - 1]
-        power, inverse = _powers(BLOCK_BYTES) if stop - first <= BLOCK_BYTES else _powers.__wrapped__(int(stop - first))
-        sums = np.zeros(stop - first + 1, np.uint64)
-        np.cumsum((data[first:stop].astype(np.uint64) + np.uint64(1)) * power[: stop - first], out=sums[1:])
-        a, b = starts[i:j] - first, ends[i:j] - first
-        h = (sums[b] - sums[a]) * inverse[a]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        h = h ^ (h >> np.uint64(32))
-        out[i:j] = h % np.uint64(cells) if cells else h >> np.uint64(1)
-        i = j
-    return out, np.searchsorted(at, starts, "right") - 1
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """Ids, cells and text numbers of neighbouring texts of about a block, one text at least."""
-    for batch in batches:
-        data, at = utf8_of(batch.column("text"))
-        i = 0
-        while i < batch.num_rows:
-            j = max(int(np.searchsorted(at, at[i] + BLOCK_BYTES, "right")) - 1, i + 1)
-            yield batch.column("doc_id").slice(i, j - i), *word_cells(data[at[i] : at[j]], at[i : j + 1] - at[i], cells)
-            i = j
-    give_back()
-
-
-def _table(counts: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
-    """The counts that are not zero, some at a time."""
-    some = np.flatnonzero(counts)
-    for a in range(0, len(some), 1 << 16):
-        part = some[a : a + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=[name, "n"])
-
-
-def _counted(cells: int):
+BLOCK_BYTES = 16 << 20
+# Words of the corpus for one part of a table.
+PART_WORDS = 1 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, all lowest bytes first: high planes of small numbers are zeros."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64 bits that stand for two words in this order."""
+    h = (a * _ODD[0]) ^ (b + (a >> np.uint64(29)))
+    h = (h ^ (h >> np.uint64(32))) * _ODD[1]
+    h = (h ^ (h >> np.uint64(29))) * _ODD[0]
+    return h ^ (h >> np.uint64(32))
+
+
+class Block:
+    """Words of some documents: hashes of the distinct ones, the number of each word, where documents end."""
+
+    def __init__(self, vocabulary: np.ndarray, codes: np.ndarray, ends: np.ndarray):
+        self.vocabulary, self.codes, self.ends = vocabulary, codes.astype(np.int64), ends
+
+    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words (0) or pairs (1) in ascending order, how often each occurs, and the place of each occurrence."""
+        hashes = self.vocabulary[self.codes]
+        if kind:
+            hashes = pair_hashes(hashes[:-1], hashes[1:])[self.joined()]
+        keys, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
+        return keys, n, at
+
+    def joined(self) -> np.ndarray:
+        """Whether each word but the first stands after one of its own document."""
+        out = np.ones(max(len(self.codes) - 1, 0), bool)
+        cuts = self.ends[(self.ends > 0) & (self.ends < len(self.codes))]
+        out[cuts - 1] = False
+        return out
+
+
+def _numbered(texts: list[tuple[int | None, bytes]]) -> tuple[list[int | None], Block]:
+    number: dict[bytes, int] = {}
+    parts, ends, total = [np.zeros(0, np.uint32)], [], 0
+    for _, text in texts:
+        for piece in pieces(text, 1 << 20):
+            words = piece.split()
+            for w in dict.fromkeys(words):
+                number.setdefault(w, len(number))
+            parts.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
+            total += len(words)
+        ends.append(total)
+    codes = np.concatenate(parts)
+    # Frequent words get small numbers.
+    order = np.argsort(-np.bincount(codes, minlength=len(number)), kind="stable")
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+    return [doc_id for doc_id, _ in texts], Block(hashes[order], place[codes], np.asarray(ends, np.int64))
+
+
+def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(block, ids, ends, vocabulary, codes, n_words)``: neighbouring documents, one row for each block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, word, _ in _blocks(batches, cells):
-            word, n = np.unique(word, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n, pa.int64())], names=["word", "n"])
+        name = TaskContext.get().partitionId() << 32
+
+        def row(texts):
+            ids, b = _numbered(texts)
+            codes = b.codes.astype(np.uint32)
+            values = [[name], [ids], [b.ends], [planes(b.vocabulary)], [planes(codes)], [len(codes)]]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64())
+            names = ["block", "ids", "ends", "vocabulary", "codes", "n_words"]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=names)
 
-    return run
+        texts, size = [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                texts.append((doc_id, text.as_py()))
+                size += len(texts[-1][1])
+                if size >= block_bytes:
+                    yield row(texts)
+                    name, texts, size = name + 1, [], 0
+        if texts:
+            yield row(texts)
+        give_back()
 
+    return docs.mapInArrow(run, "block long, ids array<long>, ends array<long>, vocabulary binary, codes binary, n_words long")
 
-def _codes(word: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """A frequent word's place in ``often``, which is sorted; below zero for any other word."""
-    if not len(often):
-        return -1 - word
-    at = np.minimum(np.searchsorted(often, word), len(often) - 1)
-    return np.where(often[at] == word, at, -1 - word)
 
+def _block(batch, row: int = 0) -> Block:
+    value = lambda c: batch.column(c)[row].as_py()
+    return Block(from_planes(value("vocabulary"), np.uint64), from_planes(value("codes"), np.uint32), np.asarray(value("ends"), np.int64))
 
-def _common(code: np.ndarray, text: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each two words in a row: number of their pair of frequent words, else -1; whether they share a text."""
-    a, b = code[:-1], code[1:]
-    both = (a >= 0) & (b >= 0)
-    return np.where(both, np.where(both, a, 0) * frequent + np.where(both, b, 0), -1), text[1:] == text[:-1]
 
+def _questions(blocks: DataFrame, bits: int) -> DataFrame:
+    """``(kind, part, block, first, keys, n)``: a block's keys for one part of a table; ``first`` is the place of the first."""
 
-def _distinct(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each ``(text, a, b)`` once, and how often it occurs."""
-    order = np.lexsort((b, a, text))
-    text, a, b = text[order], a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (text[1:] != text[:-1])
-    new = np.flatnonzero(new)
-    return text[new], a[new], b[new], np.diff(np.r_[new, len(a)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, name = _block(batch, row), batch.column("block")[row].as_py()
+                for kind in (0, 1):
+                    keys, n, _ = block.keys(kind)
+                    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+                    for some in np.array_split(np.arange(len(starts)), max(len(starts) // 256, 1)):
+                        rows = [(a, b) for a, b in zip(starts[some], np.r_[starts, len(keys)][some + 1])] if len(some) else []
+                        if rows:
+                            columns = [
+                                pa.array([kind] * len(rows), pa.int32()),
+                                pa.array([part[a] for a, _ in rows], pa.int64()),
+                                pa.array([name] * len(rows), pa.int64()),
+                                pa.array([a for a, _ in rows], pa.int64()),
+                                pa.array([planes(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in rows], pa.binary()),
+                                pa.array([planes(n[a:b].astype(np.uint32)) for a, b in rows], pa.binary()),
+                            ]
+                            yield pa.RecordBatch.from_arrays(columns, names=["kind", "part", "block", "first", "keys", "n"])
+        give_back()
+
+    return blocks.select("block", "ends", "vocabulary", "codes").mapInArrow(run, "kind int, part long, block long, first long, keys binary, n binary")
+
+
+def _answers(questions: DataFrame, least: int) -> DataFrame:
+    """``(block, kind, at, n)``: places of a block's keys and their totals, of pairs only those that reach ``least``."""
+
+    def count(table: pa.Table) -> pa.Table:
+        kind, names, first = table.column("kind")[0].as_py(), table.column("block"), table.column("first").to_pylist()
+        keys = [np.cumsum(from_planes(k.as_py(), np.uint64), dtype=np.uint64) for k in table.column("keys")]
+        n = np.concatenate([from_planes(x.as_py(), np.uint32) for x in table.column("n")]).astype(np.int64)
+        _, which = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(which, n)[which].astype(np.int64)
+        at, totals, start = [], [], 0
+        for a, k in zip(first, keys):
+            mine = total[start : start + len(k)]
+            kept = np.flatnonzero(mine >= (least if kind else 1))
+            at.append(planes((a + kept).astype(np.uint32)))
+            totals.append(planes(mine[kept]))
+            start += len(k)
+        kinds = pa.array([kind] * table.num_rows, pa.int32())
+        return pa.table({"block": names, "kind": kinds, "at": pa.array(at, pa.binary()), "n": pa.array(totals, pa.binary())})
+
+    return questions.groupBy("kind", "part").applyInArrow(count, "block long, kind int, at binary, n binary")
 
 
 def lm_scores(
     docs: DataFrame,
-    cells: int = CELLS,
     alpha: float = ALPHA,
     least: int = LEAST,
-    frequent: int = FREQUENT,
+    block_bytes: int = BLOCK_BYTES,
+    part_words: int = PART_WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """``(doc_id, n_words, n_backoff, score)``, ``score`` being the mean natural logarithm."""
-    send = docs.sparkSession.sparkContext.broadcast
-    docs = chosen_columns(docs, id_col, text_col).withColumn("text", F.lower("text"))
-    words = docs.mapInArrow(_counted(cells), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = pin(words, "words")
-    total = int(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    # At most ``frequent`` words reach the driver.
-    common = words.where(F.col("n") * frequent >= total).orderBy("word").toArrow()
-    often, ln_often = common.column("word").to_numpy(), np.log(common.column("n").to_numpy().astype(np.float64))
-    often_of, ln_of = send(often), send(ln_often)
+    lowered = docs.select(docs[id_col].alias("doc_id"), F.lower(docs[text_col].cast("string")).alias("text"))
+    blocks = pin(blocks_of(byte_columns(lowered, "doc_id", "text"), block_bytes), "blocks")
+    total = int(blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0])
+    bits = max((total // part_words).bit_length(), 4)
+    answers = _answers(_questions(blocks, bits), least)
     start = float(np.log(alpha) - np.log(max(total, 1)))
 
-    def common_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(frequent * frequent, np.int64)
-        for _, word, text in _blocks(batches, cells):
-            pair, together = _common(_codes(word, often_of.value), text, frequent)
-            counts += np.bincount(pair[together & (pair >= 0)], minlength=len(counts))
-        yield from _table(counts, "pair")
-
-    table = docs.mapInArrow(common_counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    pair = table.column("pair").to_numpy()
-    a, b = np.divmod(pair, frequent)
-    # What a pair of frequent words adds to backoff; not a number if it occurs too rarely.
-    gain = np.full(frequent * frequent, np.nan)
-    gain[pair] = np.log(table.column("n").to_numpy()) - ln_often[a] - ln_often[b] - start
-    gain_of = send(gain)
-
-    def scored_in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, word, text in _blocks(batches, cells):
-            code = _codes(word, often_of.value)
-            n, known = np.bincount(text, minlength=len(ids)), code >= 0
-            # Without a word numpy counts in whole numbers.
-            value = np.bincount(text[known], ln_of.value[code[known]] + start, minlength=len(ids)).astype(np.float64)
-            pair, together = _common(code, text, frequent)
-            gain = gain_of.value[pair]
-            known = together & (pair >= 0) & ~np.isnan(gain)
-            value += np.bincount(text[1:][known], gain[known], minlength=len(ids))
-            found = np.bincount(text[1:][known], minlength=len(ids))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(value), pa.array(found)], names=["doc_id", "n_words", "value", "found"])
-
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, word, text in _blocks(batches, cells):
-            code = _codes(word, often_of.value)
-            pair, together = _common(code, text, frequent)
-            rest, rare = together & (pair < 0), code < 0
-            alone = np.full(int(rare.sum()), ALONE, np.int64)
-            for where, a, b in ((text[rare], code[rare], alone), (text[1:][rest], code[:-1][rest], code[1:][rest])):
-                where, a, b, times = _distinct(where, a, b)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(where)), pa.array(a), pa.array(b), pa.array(times, pa.int64())], names=["doc_id", "a", "b", "times"])
-
-    @F.pandas_udf("double")
-    def ln_frequent(code: pd.Series) -> pd.Series:
-        """Logarithm of a frequent word's count, zero for any other word."""
-        code, found = code.to_numpy(), np.zeros(len(code))
-        found[code >= 0] = ln_of.value[code[code >= 0]]
-        return pd.Series(found)
-
-    grams = docs.mapInArrow(exploded, "doc_id long, a long, b long, times long").repartition("a", "b")
-    # The count of documents, which always holds, keeps ``doc_id`` among the columns read here: the
-    # exchange is then the same as that of the join, and Spark runs it once.
-    counted = grams.groupBy("a", "b").agg(F.sum("times").alias("n"), F.count("doc_id").alias("docs"))
-    counted = counted.where(((F.col("n") >= least) | (F.col("b") == ALONE)) & (F.col("docs") >= 0)).select("a", "b", "n")
-    logs = words.where(F.col("n") * frequent < total).select((-1 - F.col("word")).alias("code"), F.ln("n").alias("ln"))
-    # Rows that need no count of a rare word get a key of their own above zero, which meets none.
-    away = F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 63) - 1))
-    alone = F.col("b") == ALONE
-    for end in ("a", "b"):
-        key = F.when((F.col(end) < 0) & ~alone, F.col(end)).otherwise(away)
-        side = logs.select(F.col("code").alias(f"key_{end}"), F.col("ln").alias(f"ln_{end}"))
-        counted = counted.withColumn(f"key_{end}", key).join(side, f"key_{end}", "left").drop(f"key_{end}")
-    ln = lambda end: F.coalesce(f"ln_{end}", ln_frequent(F.when(F.col("b") == ALONE, -1).otherwise(F.col(end))))
-    gain = counted.select("a", "b", F.when(alone, F.ln("n") + start).otherwise(F.ln("n") - ln("a") - ln("b") - start).alias("gain"))
-    gained = grams.join(gain.hint("shuffle_hash"), ["a", "b"]).groupBy("doc_id").agg(
-        F.sum(F.col("times") * F.col("gain")).alias("gained"), F.sum(F.when(alone, 0).otherwise(F.col("times"))).alias("joined")
-    )
-    gained = pin(gained, "gained")
-    base = docs.mapInArrow(scored_in_place, "doc_id long, n_words long, value double, found long")
-    base = base.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_words", "value", "found")))
-    joined = base.alias("b").join(gained.alias("g"), F.col("b.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
-    score = (F.col("value") + F.coalesce("gained", F.lit(0.0))) / F.when(F.col("n_words") > 0, F.col("n_words"))
-    backoff = F.col("n_words") - F.col("found") - F.coalesce("joined", F.lit(0))
-    return joined.select("b.doc_id", "n_words", backoff.alias("n_backoff"), F.round(score, 6).alias("score"))
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [(k.as_py(), from_planes(a.as_py(), np.uint32), from_planes(n.as_py(), np.int64)) for k, a, n in zip(*(right.column(c) for c in ("kind", "at", "n")))]
+        block, ids = _block(left), left.column("ids")[0].as_py()
+        logs, places = [], []
+        for kind in (0, 1):
+            keys, _, at = block.keys(kind)
+            # Zero for a pair that is too rare; a word always has a count.
+            counts = np.zeros(len(keys), np.int64)
+            for k, where, n in found:
+                if k == kind:
+                    counts[where] = n
+            places.append(counts[at] > 0)
+            logs.append(np.log(np.maximum(counts, 1))[at])
+        n = len(block.codes)
+        value, backed = logs[0] + start, np.ones(n, bool)
+        pairs = np.flatnonzero(block.joined())[places[1]]
+        value[pairs + 1] = logs[1][places[1]] - logs[0][pairs]
+        backed[pairs + 1] = False
+        text = np.searchsorted(block.ends, np.arange(n), "right")
+        per_doc = lambda x: np.bincount(text, x, minlength=len(ids))
+        sizes = np.diff(block.ends, prepend=0)
+        columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(per_doc(backed).astype(np.int64)), pa.array(per_doc(value).astype(np.float64))]
+        return pa.table(columns, names=["doc_id", "n_words", "n_backoff", "value"])
+
+    asked = blocks.groupBy("block").cogroup(answers.groupBy("block"))
+    rows = asked.applyInArrow(score, "doc_id long, n_words long, n_backoff long, value double")
+    rows = rows.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_words", "n_backoff", "value")))
+    mean = F.col("value") / F.when(F.col("n_words") > 0, F.col("n_words"))
+    return rows.select("doc_id", "n_words", "n_backoff", F.round(mean, 6).alias("score"))

@@ -41,7 +41,7 @@ def run_all(docs, spark, items, labels):
     """Every operator over one table, by name."""
     return {
         1: decontaminate.contaminated(docs, items), 3: simhash.simhash_groups(docs), 5: bpe.digests(bpe.bpe_decode(bpe.bpe_encode(docs, WORD_BPE), WORD_BPE)),
-        6: line_dedup.dedup_lines(docs), 7: langid.identify(docs), 8: toxicity.toxicity(docs, labels), 9: lm_score.lm_scores(docs, cells=1 << 12),
+        6: line_dedup.dedup_lines(docs), 7: langid.identify(docs), 8: toxicity.toxicity(docs, labels), 9: lm_score.lm_scores(docs, block_bytes=64),
         10: quality.quality_rules(docs, labels), "stage10": quality.keep_good(docs, labels), "stage3": simhash.keep_first(docs), "stage1": decontaminate.without_contaminated(docs, items),
     }
 
@@ -200,53 +200,40 @@ def test_held_out_accuracy(spark):
     assert good.get((1, False), 0) <= 0.005 * good[1, True] and good[0, False] > 0.9 * (good[0, False] + good.get((0, True), 0))
 
 
-def test_word_cells_hang_on_the_word_alone(monkeypatch):
-    words = ["a", "bb", "a" * 50, "é", "bb", "a", "x" * 9]
-    for block in (1 << 20, 16):
-        monkeypatch.setattr(lm_score, "BLOCK_BYTES", block)
-        texts = ["", " ".join(words), "", "a", "bb\t", "\n", "a" * 50]
-        data = np.frombuffer("".join(texts).encode(), np.uint8)
-        at = np.cumsum([0, *(len(t.encode()) for t in texts)])
-        cell, text = lm_score.word_cells(data, at, 1 << 40)
-        assert text.tolist() == [1] * 7 + [3, 4, 6]
-        seen = dict(zip(words, cell.tolist()))
-        assert len(set(seen.values())) == len(set(words))
-        assert cell.tolist() == [seen[w] for w in [*words, "a", "bb", "a" * 50]]
-
-
-@pytest.mark.parametrize("frequent", [1, 40, 1024])
-def test_lm_scores_by_brute_force(spark, texts, frequent):
-    cells = 1 << 14
-    got = {r.doc_id: r for r in lm_score.lm_scores(spark.read.parquet(f"{SF}/documents.parquet"), cells=cells, frequent=frequent).collect()}
+def backoff_by_brute_force(texts):
     from collections import Counter
 
-    cut = {}
-    for d, t in texts.items():
-        data = np.frombuffer((t or "").lower().encode(), np.uint8)
-        cut[d] = lm_score.word_cells(data, np.array([0, len(data)]), cells)[0].tolist()
+    cut = {d: (t or "").lower().encode().split() for d, t in texts.items()}
     one, two = Counter(w for c in cut.values() for w in c), Counter(p for c in cut.values() for p in zip(c, c[1:]))
     total = sum(one.values())
+    out = {}
     for d, c in cut.items():
         value = sum(np.log(two[a, b] / one[a]) if two.get((a, b), 0) >= 2 else np.log(0.4 * one[b] / total) for a, b in zip([None, *c], c))
-        assert got[d].n_words == len(c)
-        assert got[d].n_backoff == len(c) - sum(two[p] >= 2 for p in zip(c, c[1:]))
-        assert (got[d].score is None) if not c else abs(got[d].score - value / len(c)) < 1e-4
-
-
-def test_lm_scores_count_true_words(spark):
-    from collections import Counter
-
-    # More distinct words than a table of 2^21 cells holds apart, half of them twice.
-    docs = [(d, " ".join(f"{'wx'[i % 2]}{d * 300 + i // 2 * (i % 2)}y{i % 7}" for i in range(3000))) for d in range(40)]
-    docs += [(100, " ".join(f"z{i}" for i in range(60_000))), (101, "z5 z6 z7 " * 3 + "w0y0")]
-    got = {r.doc_id: r for r in lm_score.lm_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    cut = {d: t.split() for d, t in docs}
-    one, two = Counter(w for c in cut.values() for w in c), Counter(p for c in cut.values() for p in zip(c, c[1:]))
-    total = sum(one.values())
-    for d, c in cut.items():
-        value = sum(np.log(two[a, b] / one[a]) if two.get((a, b), 0) >= 2 else np.log(0.4 * one[b] / total) for a, b in zip([None, *c], c))
-        assert (got[d].n_words, got[d].n_backoff) == (len(c), len(c) - sum(two[p] >= 2 for p in zip(c, c[1:])))
-        assert abs(got[d].score - value / len(c)) < 1e-5
+        out[d] = (len(c), len(c) - sum(two[p] >= 2 for p in zip(c, c[1:])), value / len(c) if c else None)
+    return out
+
+
+@pytest.mark.parametrize("block_bytes, part_words", [(1, 1 << 20), (50_000, 3000), (16 << 20, 1 << 20)])
+def test_lm_scores_by_brute_force(spark, texts, block_bytes, part_words):
+    # Words whose letters follow the Thue-Morse sequence, which polynomials modulo 2^64 confuse.
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    pair = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    texts = {**texts, 10**6: " ".join(pair), 10**6 + 1: f"{pair[0]} {pair[0]} x", 10**6 + 2: "", 10**6 + 3: None, 10**6 + 4: "one"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm_score.lm_scores(docs, block_bytes=block_bytes, part_words=part_words).collect()}
+    want = backoff_by_brute_force(texts)
+    assert got.keys() == want.keys()
+    for d, (n, backoff, score) in want.items():
+        assert (got[d].n_words, got[d].n_backoff) == (n, backoff)
+        assert (got[d].score is None) if score is None else abs(got[d].score - score) < 1e-5
+
+
+def test_planes_give_numbers_back():
+    rng = np.random.default_rng(4)
+    for kind in (np.uint32, np.uint64, np.int64):
+        x = rng.integers(0, np.iinfo(kind).max, 300, dtype=kind)
+        assert lm_score.from_planes(lm_score.planes(x), kind).tolist() == x.tolist()
+        assert len(lm_score.from_planes(lm_score.planes(x[:0]), kind)) == 0
 
 
 def test_copies_with_short_lines_leave_no_husk(spark):
