@@ -29,8 +29,12 @@ from tokenizers import Tokenizer
 
 from evenkeel.llm.shared import chosen_columns, give_back, grouped_by_size, per_process
 
-BLOCK_CHARS = 2 << 20
-CACHED = 250_000
+# What a worker holds at once: a block of texts, pieces of texts with their ids, pairs of tokens.
+BLOCK_CHARS = 1 << 20
+CACHED = 100_000
+CACHED_PAIRS = 1 << 17
+# Rows of an Arrow batch that become Python texts at once.
+SOME_ROWS = 500
 END = "</w>"
 # The tokenizer file's splitting pattern; it must equal the file's.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -143,7 +147,7 @@ class TrieEncoder:
                 at -= len(tokens[t])
             out[word] = ids[::-1]
             before = word
-        if len(self.beside) > 1 << 19:
+        if len(self.beside) > CACHED_PAIRS:
             self.beside.clear()
         return out
 
@@ -258,16 +262,18 @@ def bpe_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         tokens = encoder.tokens
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in grouped_by_size(texts, BLOCK_CHARS):
+        for whole in batches:
+            for first in range(0, whole.num_rows, SOME_ROWS):
+                batch = whole.slice(first, SOME_ROWS)
+                texts = [t or "" for t in batch.column("text").to_pylist()]
                 rows = []
-                for found in encoder.encode(texts[a:b]):
-                    ids = array("i", found).tolist()
-                    decoded = " ".join(map(tokens.__getitem__, ids))
-                    rows.append((len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(decoded.encode()).hexdigest()))
+                for a, b in grouped_by_size(texts, BLOCK_CHARS):
+                    for found in encoder.encode(texts[a:b]):
+                        ids = array("i", found).tolist()
+                        decoded = " ".join(map(tokens.__getitem__, ids))
+                        rows.append((len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(decoded.encode()).hexdigest()))
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         encoder.forget()
         give_back()
 

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.llm.shared import fold_of, sample_rows, utf8_of, with_sample
+from evenkeel.llm.shared import fold_of, utf8_of, with_sample
+from evenkeel.scratch import pin
 
 BUCKETS = 1 << 16
 WIDTHS = (3, 4)
@@ -127,19 +128,25 @@ class Model:
         return self._softmax(total / np.maximum(number, 1)[:, None] / self.temperature)
 
 
-def fit(docs: DataFrame, per_lang: int = 500, most: int = 2000) -> Model | None:
-    """A model from about ``per_lang`` rows of each language, ``most`` in all, lowest hashes first.
+def fit(docs: DataFrame, per_lang: int = 500, most: int = 2000, least: int = 8) -> Model | None:
+    """A model from the rows of each language whose ids hash lowest, ``per_lang`` at most.
 
-    ``docs`` has ``doc_id``, ``text`` and ``lang``; rows without an id or language are left out.
+    If languages are many each has ``most`` divided by their number, but ``least`` at any rate, so none is
+    lost: the sample has at most ``most`` rows, or ``least`` for each language if that is more. ``docs`` has
+    ``doc_id``, ``text`` and ``lang``; rows without an id or language are left out.
     """
     known = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    # The hash as a number from 0 to 1 against the share of the language that is wanted.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.join(sizes, "lang").where(place < F.lit(float(per_lang)) / F.col("n")).select("doc_id")
-    rows = with_sample(docs, sample_rows(picked, most).distinct()).select("doc_id", "lang", "text")
-    found = rows.where("lang IS NOT NULL").mapInArrow(_features, "doc_id long, lang string, at array<int>, share array<float>")
-    pdf = found.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(most).toPandas()
+    sizes = pin(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    per = min(per_lang, max(most // max(sizes.count(), 1), least))
+    # The hash as a number from 0 to 1 against twice the share that is wanted, and some more; of those the lowest.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    picked = known.join(F.broadcast(sizes), "lang").withColumn("place", place).where(F.col("place") * F.col("n") < 2 * per + 50)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    picked = pin(picked.withColumn("rank", rank).where(F.col("rank") <= per).select("doc_id", "lang").distinct(), "sample")
+    rows = with_sample(docs, picked.withColumnRenamed("lang", "_lang")).where("lang = _lang").select("doc_id", "lang", "text")
+    found = rows.mapInArrow(_features, "doc_id long, lang string, at array<int>, share array<float>")
+    bound = per * max(sizes.count(), 1)
+    pdf = found.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(bound).toPandas()
     if not len(pdf):
         return None
     return Model([np.asarray(x, np.int64) for x in pdf["at"]], [np.asarray(x, np.float32) for x in pdf["share"]], list(pdf["lang"]))

@@ -24,7 +24,8 @@ another, so before variants are made lines whose halves are nobody else's are pu
 
 All of it is Columns and joins. Defined cases: null texts are empty and have no line; a null
 id is earlier than all others; rows that repeat id and text are one document, and rows that
-repeat an id with other text are told apart by their text; extra columns are ignored.
+repeat an id with other text are told apart by their text; extra columns are kept, whatever their
+names; a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -169,9 +170,17 @@ def _shadowed(rows: DataFrame, close: DataFrame) -> DataFrame:
     return pin(close.join(late, "id").join(theirs, "best").select(*_KEY, "n1", "n2"), "near-keys")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", context: bool = False) -> DataFrame:
-    """All columns of ``docs``, the text without the lines that go, and ``n_lines`` and ``n_removed``.
+def dedup_lines(
+    docs: DataFrame,
+    min_words: int = MIN_WORDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    context: bool = False,
+    counts: tuple[str, str] = ("n_lines", "n_removed"),
+) -> DataFrame:
+    """All columns of ``docs``, the text without the lines that go, and how many lines it had and lost.
 
+    The two numbers are named by ``counts``, and take the place of columns that have these names.
     Null texts stay null. With ``context`` short lines go with their long neighbours.
     """
     rows = _documents(docs, id_col, text_col)
@@ -185,14 +194,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     lists = F.broadcast(lists) if size <= 24 << 20 else lists
     text = docs[text_col].cast("string")
     version = F.xxhash64(F.coalesce(text, F.lit("")))
-    rows = docs.withColumn("_version", version)
-    same = rows[id_col].cast("bigint").eqNullSafe(lists["_gone_id"]) & (rows["_version"] == lists["_gone_version"])
-    joined = rows.join(lists, same, "left")
-    lines = F.split(rows[text_col].cast("string"), "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    kept = F.when(F.col("_gone").isNull(), rows[text_col].cast("string")).otherwise(left)
-    out = [kept.alias(c) if c == text_col else rows[c] for c in docs.columns]
-    return joined.select(*out, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    same = docs[id_col].cast("bigint").eqNullSafe(lists["_gone_id"]) & (version == lists["_gone_version"])
+    joined = docs.join(lists, same, "left")
+    numbers, lines = lists["_gone"], F.split(text, "\n")
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(numbers, i)), "\n")
+    kept = F.when(numbers.isNull(), text).otherwise(left)
+    out = [kept.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in counts]
+    return joined.select(*out, F.coalesce(F.size(lines), F.lit(0)).alias(counts[0]), F.coalesce(F.size(numbers), F.lit(0)).alias(counts[1]))
 
 
 SQL = rf"""

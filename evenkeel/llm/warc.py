@@ -3,7 +3,8 @@
 **Writing.** A record is one line of Spark's text writer whose line end is the blank line that
 ends a WARC record, so files are plain WARC on any file system and appear once. Of equal
 payloads that of the least id is a ``response``; the others are ``revisit`` records without a
-block, which name it.
+block, which name it. A record id is made of page id and payload digest, so pages that repeat an id have
+different ones; rows equal in both are equal records.
 
 **Reading.** The archives are split as Spark splits text, at every occurrence of the version
 line. Each occurrence is only a candidate: payloads may hold the same bytes. A task parses each
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,8 @@ from evenkeel.scratch import pin
 
 MAGIC = b"WARC/1.1\r\n"
 GAP = b"\r\n\r\n"
+# Fixed value: the profile of revisits whose payload is the same.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # Where payloads of several pieces are gathered, file ranges are matched in bins of so many bytes.
 BIN = 1 << 20
 
@@ -63,17 +67,21 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
     return joined.select("page_id", "url", "payload", "digest", again.alias("again"), F.when(again, F.col("first")).alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, path: str, **params) -> None:
+def write_warc(pages: DataFrame, path: str, date: str | None = None, **params) -> None:
+    """Write archives; ``date`` (UTC, ``2024-01-31T12:00:00Z``) stands in every record, the time of writing unless given."""
     rows = with_revisits(pages, **params)
-    named = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    # A revisit has another page id than its response, so page id and digest tell records apart.
+    named = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(":"), F.col("digest"), F.lit(">"))
     body = F.when(F.col("again"), "").otherwise(F.col("payload"))
     head = F.concat_ws(
         "\r\n",
         F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), F.when(F.col("again"), "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: "), named("page_id")),
+        F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
-        F.when(F.col("again"), F.concat(F.lit("WARC-Refers-To: "), named("refers_to"))),
+        F.when(F.col("again"), F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), named("refers_to"))),
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     )
     rows.select(F.concat(head, F.lit("\r\n\r\n"), body).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
@@ -229,7 +237,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     if broken.take(1):
         found = pin(_assembled(spark, path, broken, bases), "assembled")
         records = records.join(within(found.withColumnRenamed("sha1", "whole"), 200), ["file", "begin"], "left").withColumn("sha1", F.coalesce("sha1", "whole"))
-    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1)
+    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)[:>]", 1)
     rows = records.select(
         "file", "begin", F.when(number("id") != "", number("id").cast("bigint")).alias("page_id"), F.col("kind").alias("record_type"),
         F.when(number("refers") != "", number("refers").cast("bigint")).alias("refers_to"),

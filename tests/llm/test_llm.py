@@ -15,7 +15,7 @@ import corpus_pipeline
 from evenkeel.llm import bpe, components, copies, decontaminate, langid, line_dedup, lm_score, quality, queries, simhash, token_files, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, version string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, version string, n_removed string"
 WORD_BPE, BYTE_BPE = queries.tokenizer_path("word_bpe_49k.json"), queries.tokenizer_path("byte_bpe_50k.json")
 
 
@@ -34,15 +34,30 @@ def odd(spark):
         (3, words, "en", "s", 1, 0, "v"), (4, words, "en", "s", 1, 0, "v"), (5, "one two three", "fr", None, 3, 1, None),
         (5, "one two three", "fr", None, 3, 1, None), (6, "   \n\t ", "de", "s", 1, 1, "v"), (None, "a b c d e f g h i j", None, "s", 2, 0, "v"),
     ]
+    rows = [(*r, "mine") for r in rows]
     return spark.createDataFrame(rows, SCHEMA)
 
 
 def run_all(docs, spark, items, labels):
     """Every operator over one table, by name."""
+    from evenkeel.scratch import new_folder
+
+    def token_rows():
+        path = new_folder(spark, "odd-tokens")
+        token_files.write_token_files(docs, path, BYTE_BPE)
+        return token_files.checksums(token_files.read_token_files(spark, path))
+
+    def warc_rows():
+        path = new_folder(spark, "odd-warc")
+        warc.write_warc(docs, path, id_col="doc_id", payload_col="text")
+        return warc.read_warc(spark, path)
+
     return {
-        1: decontaminate.contaminated(docs, items), 3: simhash.simhash_groups(docs), 5: bpe.digests(bpe.bpe_decode(bpe.bpe_encode(docs, WORD_BPE), WORD_BPE)),
-        6: line_dedup.dedup_lines(docs), 7: langid.identify(docs), 8: toxicity.toxicity(docs, labels), 9: lm_score.lm_scores(docs, block_bytes=64),
-        10: quality.quality_rules(docs, labels), "stage10": quality.keep_good(docs, labels), "stage3": simhash.keep_first(docs), "stage1": decontaminate.without_contaminated(docs, items),
+        1: decontaminate.contaminated(docs, items), 2: token_rows(), 3: simhash.simhash_groups(docs), 4: warc_rows(),
+        5: bpe.digests(bpe.bpe_decode(bpe.bpe_encode(docs, WORD_BPE), WORD_BPE)), 6: line_dedup.dedup_lines(docs), 7: langid.identify(docs),
+        8: toxicity.toxicity(docs, labels), 9: lm_score.lm_scores(docs, block_bytes=64), 10: quality.quality_rules(docs, labels),
+        "stage10": quality.keep_good(docs, labels), "stage6": corpus_pipeline.line_stage(spark, docs, SF), "keep_first": simhash.keep_first(docs),
+        "stage3": copies.keep_first(docs), "stage1": decontaminate.without_contaminated(docs, items), "stage5": corpus_pipeline.tokens_stage(spark, docs, SF),
     }
 
 
@@ -50,8 +65,11 @@ def test_odd_and_empty_tables(spark, odd):
     items = spark.createDataFrame([(0, "one two"), (None, None), (1, "w1x w2x w3x w4x w5x w6x w7x w8x")], "item_id long, text string")
     labels = spark.createDataFrame([(1, 1), (None, 0), (3, 0), (5, None)], "doc_id long, label int")
     rows = {k: df.collect() for k, df in run_all(odd, spark, items, labels).items()}
-    assert {k: len(v) for k, v in rows.items()} == {1: 2, 3: 9, 5: 9, 6: 9, 7: 9, 8: 9, 9: 7, 10: 9, "stage10": 0, "stage3": 8, "stage1": 7}
-    assert {(r.doc_id, r.item_id) for r in rows[1]} == {(3, 1), (4, 1)}
+    counts = {1: 3, 2: 9, 3: 9, 4: 9, 5: 9, 6: 9, 7: 9, 8: 9, 9: 7, 10: 9, "stage10": 0, "stage6": 8, "keep_first": 8, "stage3": 8, "stage1": 5, "stage5": 9}
+    assert {k: len(v) for k, v in rows.items()} == counts
+    # Of two words only, an item is searched as it is.
+    assert {(r.doc_id, r.item_id) for r in rows[1]} == {(3, 1), (4, 1), (5, 0)}
+    assert {r.n_removed for r in rows["stage6"]} == {"mine"} and sorted(r.n_removed for r in rows[6]) == [0] * 8 + [1]
     assert {r.lang_pred for r in rows[7] if r.doc_id in (1, 2, 6)} == {"und"}
     for k, df in run_all(odd.limit(0), spark, items.limit(0), labels.limit(0)).items():
         assert df.count() == 0, k
@@ -188,6 +206,116 @@ def test_repeated_words_by_brute_force():
             assert quality.repeated_words(words) == len(hit)
 
 
+def test_short_items_and_texts_without_an_id(spark):
+    rows = [(None, "intro one two three four five six seven end"), (1, "it says alpha beta gamma delta twice"), (1, "clean"), (2, "alpha beta gamma"), (3, "Beta, gamma!"), (None, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(0, "one two three four five six seven"), (1, "alpha beta gamma delta"), (2, "gamma"), (3, "  ")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.n_shared, r.n_item, r.containment) for r in decontaminate.contaminated(docs, items).collect()}
+    assert found == {(1, 1, 1, 1, 1.0), (1, 2, 1, 1, 1.0), (2, 2, 1, 1, 1.0), (3, 2, 1, 1, 1.0)}
+    kept = decontaminate.without_contaminated(docs, items).collect()
+    assert [tuple(r) for r in kept] == [(1, "clean"), (None, "clean")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text TEXT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text TEXT)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", [tuple(r) for r in items.collect()])
+    assert set(con.sql(decontaminate.SQL).fetchall()) == found
+
+
+def test_no_language_is_lost(spark):
+    rng = random.Random(6)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 960)]
+    speak = lambda k: " ".join("".join(rng.choice(letters[8 * k : 8 * k + 8]) for _ in range(4)) for _ in range(12))
+    rows = [(k * 1000 + i, f"l{k}", speak(k)) for k in range(120) for i in range(200 if k < 100 else 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(docs)
+    assert set(model.langs) == {f"l{k}" for k in range(120)}
+    found = langid.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    right = {r.rare: r.right for r in found.groupBy(F.expr("CAST(substr(lang, 2) AS INT) >= 100").alias("rare")).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("right")).collect()}
+    assert right[False] > 0.8 and right[True] > 0.3
+
+
+def test_archives_have_the_mandatory_fields(spark, folder):
+    pages = spark.createDataFrame([(1, "http://a", "x"), (2, "http://b", "x"), (2, "http://c", "y"), (3, None, None)], "page_id long, url string, html string")
+    path = folder()
+    warc.write_warc(pages.coalesce(1), path, date="2024-01-31T12:00:00Z")
+    import glob
+    import re
+
+    data = b"".join(open(f, "rb").read() for f in sorted(glob.glob(f"{path}/part-*")))
+    heads = [h.split(b"\r\n\r\n")[0].decode().split("\r\n") for h in data.split(b"WARC/1.1\r\n")[1:]]
+    fields = [dict(line.split(": ", 1) for line in h) for h in heads]
+    ids = [f["WARC-Record-ID"] for f in fields]
+    assert len(set(ids)) == 4 and all(re.fullmatch(r"<urn:page:\d+:[A-Z2-7]{32}>", i) for i in ids)
+    assert {f["WARC-Date"] for f in fields} == {"2024-01-31T12:00:00Z"}
+    (again,) = [f for f in fields if f["WARC-Type"] == "revisit"]
+    assert again["WARC-Refers-To"] in ids and again["WARC-Profile"] == warc.PROFILE
+    rows = sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.intact) for r in warc.read_warc(spark, path).collect())
+    assert rows == [(1, "response", None, 1, True), (2, "response", None, 1, True), (2, "revisit", 1, 1, True), (3, "response", None, 0, True)]
+
+
+def test_base_counts_by_brute_force(spark, texts):
+    labels = quality.quality_labels(spark, SF)
+    got = {r.doc_id: r for r in quality.quality_rules(spark.read.parquet(f"{SF}/documents.parquet"), labels).collect()}
+    import re
+
+    for d, t in texts.items():
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        twice = {g for g in grams if grams.count(g) > 1} if len(grams) < 3000 else None
+        r = got[d]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t))
+        assert r.n_dup_lines == len(lines) - len(set(lines))
+        if twice is not None:
+            assert r.n_repeat_words == len({i + k for i, g in enumerate(grams) if g in twice for k in range(8)})
+        assert r.base_failed == (len(words) < 20 or 100 * r.n_repeat_words > 30 * len(words))
+        assert not (r.base_failed and r.kept)
+
+
+def test_path_lengths_by_brute_force():
+    rng = np.random.default_rng(1)
+    good, box = rng.normal(0, 1, (60, 3)), rng.normal(0, 4, (80, 3))
+    forest = quality.Forest(good, np.vstack([good, box]), trees=5, rows=32)
+    x = rng.normal(0, 5, (40, 3))
+    total = np.zeros(len(x))
+    for feature, cut, left, right, depth in forest.trees:
+        for i, row in enumerate(np.clip(x, forest.low, forest.high)):
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if row[feature[at]] <= cut[at] else right[at]
+            total[i] += depth[at]
+    assert np.allclose(forest.score(x), 2.0 ** (-total / 5 / forest.limit))
+
+
+def test_language_scores_by_brute_force():
+    texts = ["alpha beta gamma", "rot grün blau", "x", "", "alpha rot " * 50]
+    at, share = zip(*[brute_subwords(t) for t in texts[:2] * 8])
+    model = langid.Model(list(at), list(share), ["a", "b"] * 8, epochs=3)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    p = model.predict(data, np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    for i, t in enumerate(texts):
+        places, weights = brute_subwords(t)
+        z = (model.table[places] * np.asarray(weights)[:, None]).sum(0) / model.temperature
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert np.allclose(p[i], want, atol=1e-4)
+
+
+def brute_subwords(text):
+    """Buckets of all runs of three and four bytes, blanks for anything but letters, and their shares."""
+    data = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+    hits = []
+    for width in langid.WIDTHS:
+        for i in range(len(data) - width + 1):
+            h = 0
+            for b in data[i : i + width]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ b
+            hits.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> 16)
+    places = sorted(set(hits))
+    return np.array(places, np.int64), np.array([hits.count(p) / len(hits) for p in places], np.float32)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     langs = queries.op7_langid(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
