@@ -26,8 +26,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines with an earlier equal or nearly equal one go, and short lines with them; documents without lines left go too."""
-    done = line_dedup.dedup_lines(docs, context=True).where("n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
+    lines, removed = "_lines_of_text", "_lines_removed"
+    done = line_dedup.dedup_lines(docs, context=True, counts=(lines, removed)).where(F.col(removed).eqNullSafe(0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = F.when(F.col(removed) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", left).select(docs.columns)
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
