@@ -71,6 +71,8 @@ class TrieEncoder:
         self.path = path
         self.is_special = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
         self.pieces: dict[str, bytes] = {"": b""}
+        self.told: dict[str, tuple[int, str, str]] = {"": (0, "", "")}
+        self.words: dict[str, list[int]] = {}
 
     @cached_property
     def library(self) -> Tokenizer:
@@ -182,21 +184,43 @@ class TrieEncoder:
     def forget(self) -> None:
         """Give up what was kept of earlier texts; the vocabulary stays."""
         self.pieces = {"": b""}
+        self.told = {"": (0, "", "")}
+        self.words.clear()
         self.beside.clear()
 
+    def _fresh(self, cut: list[list[str]], known: dict) -> Iterator[tuple[str, list[int]]]:
+        """Ids of the pieces that are not known yet."""
+        fresh = {p: self._parts(p) for p in {p for c in cut for p in c} - known.keys()}
+        if len(self.words) > CACHED:
+            self.words.clear()
+        # The same word stands in pieces with and without marks.
+        found = self.words
+        found.update(self.encode_words([*{w for parts in fresh.values() for w in parts if isinstance(w, str)} - found.keys()]))
+        for p, parts in fresh.items():
+            yield p, [i for w in parts for i in (found[w] if isinstance(w, str) else (w,))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 4-byte integers."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.pieces) > CACHED:
             self.pieces = {"": b""}
         pieces = self.pieces
-        fresh = {p: self._parts(p) for p in {p for c in cut for p in c} - pieces.keys()}
-        found = self.encode_words([*{w for parts in fresh.values() for w in parts if isinstance(w, str)}])
-        for p, parts in fresh.items():
-            ids = [i for w in parts for i in (found[w] if isinstance(w, str) else (w,))]
+        for p, ids in self._fresh(cut, pieces):
             pieces[p] = array("i", ids).tobytes()
         return [b"".join(map(pieces.__getitem__, c)) for c in cut]
 
+    def tell(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text the number of its ids, the ids, and what they decode to, as texts with spaces between."""
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.told) > CACHED:
+            self.told = {"": (0, "", "")}
+        told, tokens = self.told, self.tokens
+        for p, ids in self._fresh(cut, told):
+            told[p] = (len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
+        for c in cut:
+            parts = [t for t in map(told.__getitem__, c) if t[0]]
+            yield sum([t[0] for t in parts]), " ".join([t[1] for t in parts]), " ".join([t[2] for t in parts])
+
 
 def _encoder(path: str) -> TrieEncoder:
     return per_process(("trie", path), lambda: TrieEncoder(path))
@@ -261,17 +285,15 @@ def bpe_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        tokens = encoder.tokens
         for whole in batches:
             for first in range(0, whole.num_rows, SOME_ROWS):
                 batch = whole.slice(first, SOME_ROWS)
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                rows = []
-                for a, b in grouped_by_size(texts, BLOCK_CHARS):
-                    for found in encoder.encode(texts[a:b]):
-                        ids = array("i", found).tolist()
-                        decoded = " ".join(map(tokens.__getitem__, ids))
-                        rows.append((len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(decoded.encode()).hexdigest()))
+                rows = [
+                    (n, sha256(ids.encode()).hexdigest(), sha256(decoded.encode()).hexdigest())
+                    for a, b in grouped_by_size(texts, BLOCK_CHARS)
+                    for n, ids, decoded in encoder.tell(texts[a:b])
+                ]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         encoder.forget()

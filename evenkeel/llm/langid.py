@@ -73,6 +73,11 @@ class Model:
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(y))
         held, train = order[: len(y) // 5], order[len(y) // 5 :]
+        # Rare languages are shown as often as others, and all of them longer if there are many.
+        shown = np.bincount(y[train], minlength=len(self.langs))
+        often = np.round(shown.max(initial=0) / np.maximum(shown, 1)).astype(np.int64)
+        train = np.repeat(train, np.clip(often[y[train]], 1, 8))
+        epochs = round(epochs * max(1.0, len(self.langs) / 16))
         emb = rng.normal(0, 1, (BUCKETS, dim)).astype(np.float32)
         layer = np.zeros((dim, len(self.langs)), np.float32)
         rate = 0.5
