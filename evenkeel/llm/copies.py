@@ -1,10 +1,14 @@
 """Near-duplicates by shingles: texts that share ``share`` of their five-word shingles or more.
 
-SimHash finds such texts only while few bits differ; here the similarity itself is what counts.
+SimHash links texts whose fingerprints differ in few bits, which is most copies, but misses many texts at a
+similarity of 0.8, and may link short texts that share less. Here its links are candidates, and the
+similarity itself is what counts.
 
 * **Texts.** Words are as in :mod:`evenkeel.llm.simhash`. Equal texts meet by a hash of 64 bits, and
   what follows sees each distinct text once. A shingle is a hash of 64 bits.
-* **Candidates.** A MinHash signature of ``BANDS`` bands of ``ROWS`` lowest hashes each; texts that
+* **SimHash.** Each text has a fingerprint of its set of shingles; the operator of :mod:`evenkeel.llm.simhash`
+  links equal ones and those within ``RADIUS`` bits by their bit planes.
+* **Candidates.** Besides these, a MinHash signature of ``BANDS`` bands of ``ROWS`` lowest hashes each; texts that
   agree on a whole band share its bucket. A pair of similarity ``s`` shares one at least with
   probability ``1 - (1 - s^ROWS)^BANDS``: 0.99978 at 0.8.
 * **Verification.** Shingle sets of both texts are compared in full; only pairs that have the share
@@ -26,11 +30,12 @@ from pyspark.sql import functions as F
 
 from evenkeel.llm.components import connected_components
 from evenkeel.llm.shared import give_back, within
-from evenkeel.llm.simhash import LOWER, SEED
+from evenkeel.llm.simhash import LOWER, SEED, near_links
 from evenkeel.scratch import pin
 
 WIDTH, SHARE = 5, 0.8
 BANDS, ROWS = 16, 4
+RADIUS = 3
 SMALL = 32
 _rng = np.random.default_rng(11)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,29 +65,50 @@ def signature(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(low.reshape(BANDS, ROWS))], np.uint64)
 
 
+def majority(found: np.ndarray) -> int:
+    """SimHash of a set: a bit for each place that over half the hashes have set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), _BLOCK):
+        part = found[at : at + _BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(found), bitorder="little").tobytes(), "little")
+
+
+def _simhash_pairs(signed: DataFrame, radius: int) -> DataFrame:
+    """``(a, na, b, nb)``: texts that SimHash links. Of each fingerprint the least text stands for the others."""
+    texts = pin(signed.select("fp", "t", "n").distinct(), "text-fingerprints")
+    first = texts.groupBy("fp").agg(F.min(F.struct("t", "n")).alias("first"))
+    equal = texts.join(first, "fp").where(F.col("t") != F.col("first.t")).select(F.col("first.t").alias("a"), F.col("first.n").alias("na"), F.col("t").alias("b"), F.col("n").alias("nb"))
+    close = near_links(first.select("fp"), radius)
+    ends = [first.select(F.col("fp").alias(e), F.col("first.t").alias(f"t_{e}"), F.col("first.n").alias(f"n{e}")) for e in ("a", "b")]
+    close = close.join(ends[0], "a").join(ends[1], "b").select(F.col("t_a").alias("a"), "na", F.col("t_b").alias("b"), "nb")
+    return pin(equal.unionByName(close), "simhash-pairs")
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
 def _signed(rows: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, version, t, n, bands)`` of texts with words; ``t`` stands for the words."""
+    """``(doc_id, version, t, n, fp, bands)`` of texts with words; ``t`` stands for the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, n, bands = (np.zeros(batch.num_rows, k) for k in (np.uint64, np.int64, f"({BANDS},)u8"))
+            t, n, fp, bands = (np.zeros(batch.num_rows, k) for k in (np.uint64, np.int64, np.uint64, f"({BANDS},)u8"))
             for i, text in enumerate(batch.column("text")):
                 t[i], found = shingles(text.as_py(), width)
                 n[i] = len(found)
                 if len(found):
-                    bands[i] = signature(found)
+                    bands[i], fp[i] = signature(found), majority(found)
             bands = pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("version"), pa.array(t.view(np.int64)), pa.array(n), bands], names=["doc_id", "version", "t", "n", "bands"]
+                [batch.column("doc_id"), batch.column("version"), pa.array(t.view(np.int64)), pa.array(n), pa.array(fp.view(np.int64)), bands],
+                names=["doc_id", "version", "t", "n", "fp", "bands"],
             )
         give_back()
 
-    return rows.mapInArrow(run, "doc_id long, version long, t long, n long, bands array<long>").where("n > 0")
+    return rows.mapInArrow(run, "doc_id long, version long, t long, n long, fp long, bands array<long>").where("n > 0")
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -111,20 +137,23 @@ def _links(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return pin(met.where(both * 1_000_000 >= (size("ha") + size("hb") - both) * million).select("a", "b"), "verified")
 
 
-def near_texts(rows: DataFrame, width: int = WIDTH, share: float = SHARE, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+def near_texts(rows: DataFrame, width: int = WIDTH, share: float = SHARE, small: int = SMALL, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, version, t)`` of rows with words, and ``(t, root)`` of texts that are near another."""
     signed = pin(_signed(rows, width), "signed")
     one = signed.select("t", "n", F.posexplode("bands").alias("band", "key")).distinct()
     sizes = one.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = pin(one.join(sizes, ["band", "key"]), "members")
-    wanted = signed.join(members.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.min("version").alias("version")).select("version")
+    linked = _simhash_pairs(signed, radius)
+    near = members.select("t").unionByName(linked.select(F.explode(F.array("a", "b")).alias("t"))).distinct()
+    wanted = signed.join(near, "t", "left_semi").groupBy("t").agg(F.min("version").alias("version")).select("version")
     texts = rows.join(within(pin(wanted, "wanted-texts"), 40), "version", "left_semi").dropDuplicates(["version"])
     sets = pin(_sets(texts, width), "shingle-sets")
 
     few = members.where(F.col("size") <= small)
     left = few.select("band", "key", F.col("t").alias("a"), F.col("n").alias("na"))
     right = few.select("band", "key", F.col("t").alias("b"), F.col("n").alias("nb"))
-    links = _links(left.join(right, ["band", "key"]).where("a < b").drop("band", "key"), sets, share)
+    banded = left.join(right, ["band", "key"]).where("a < b").drop("band", "key")
+    links = _links(banded.unionByName(linked), sets, share)
     roots = pin(connected_components(links, "a", "b"), "roots")
 
     many = members.where(F.col("size") > small)
