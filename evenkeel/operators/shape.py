@@ -150,9 +150,13 @@ def word_stream(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """One row per word as ``(seq, key, doc_id, pos)``, numbered densely over the whole table.
 
     Only (document, number of words) is ordered, from a written table, so that the range
-    sampling does not split the texts again; the words follow by adding their position.
+    sampling does not split the texts again; the words follow by adding their position. Documents are
+    ordered by their id, so an id that is missing or repeated fails.
     """
     sizes = pin(docs.select(doc_id, F.size(words(text)).alias("_words")), "sizes")
+    found = sizes.agg(F.count("*"), F.count_distinct(doc_id)).first()
+    if found[0] != found[1]:
+        raise ValueError(f"{found[0]} documents have {found[1]} different ids in {doc_id}")
     offsets = running_offset(sizes, [doc_id], {"_at": F.col("_words")}).select(doc_id, "_at")
     # The outer form keeps the planner from adding a filter that splits every text once more.
     return (

@@ -72,9 +72,9 @@ class _Runner:
             watch.finish()
         return self
 
-    def delays(self) -> DataFrame:
-        """How long each batch took: ``(source, period, delay_us)``."""
-        return batch_delays(self.spark, self.path(f"delays-{self._main}"))
+    def delays(self, table: str | None = None) -> DataFrame:
+        """How long each batch took that wrote a table (``routing``: building the tables): ``(source, period, delay_us)``."""
+        return batch_delays(self.spark, self.path(f"delays-{table or self._main}"))
 
 
 def stream_hash(stream: DataFrame, grouping: HashGrouping, root: str) -> DataFrame:

@@ -171,3 +171,10 @@ def test_streaming_readers(spark, tmp_path, folder):
     assert sorted(r["key"] for r in spark.read.parquet(f"{out}/rows").collect()) == [1, 2, 3]
     generator = generated.zipf_stream(spark, 10, 100, 2.0)
     assert generator.isStreaming and generator.columns == ["seq", "key"]
+
+
+def test_documents_need_ids_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c"), (2, "d")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="3 documents have 2 different ids"):
+        shape.word_stream(docs)
+    assert [r["key"] for r in shape.word_stream(docs.limit(2)).orderBy("seq").collect()] == ["a", "b", "c"]

@@ -97,6 +97,8 @@ def test_online(in_two_parts, keyed, tail):
     got = runner.migration().select(*plan.columns)
     assert plan.exceptAll(got).count() == 0 and got.exceptAll(plan).count() == 0
     assert streams.final_balance(drained, grouping).first()["total"] == len(want)
+    # Building tables was timed, batch by batch, over all runs.
+    assert runner.delays("routing").where("delay_us > 0").count() >= 1 and runner.delays().count() >= 4
 
 
 def test_two_choice(in_two_parts):
