@@ -320,3 +320,29 @@ def with_planted_tail(doc_id: int | None, ids: np.ndarray) -> np.ndarray:
     a = g % n
     p = 1 + (n - a) // (3 + g % 8)
     return np.r_[ids[:a], ids[a + np.arange(n - a) % p]]
+
+
+SQL = r"""
+WITH docw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, hex(encode(CAST(doc_id AS VARCHAR))) AS x FROM documents),
+bytetab AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY i) AS tab
+  FROM (SELECT CAST(i AS BIGINT) AS i FROM range(256) AS r(i))),
+hashed AS (SELECT doc_id, w, len(w) AS n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c // 256)), 4294967295) AS h FROM docw, bytetab),
+tail AS (SELECT doc_id, w, n, h, (h // 10) % greatest(n, 1) AS a, 3 + (h // 10) % 8 AS f FROM hashed),
+word AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // f) END]) ELSE w END AS w FROM tail),
+gram AS MATERIALIZED (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 8], ' ') AS s FROM (SELECT doc_id, n, w, unnest(range(n - 7)) AS i FROM word)),
+same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM gram x JOIN gram y ON x.doc_id = y.doc_id AND x.s = y.s AND y.i > x.i AND (y.i - x.i) * 3 <= x.n),
+island AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM same),
+found AS (SELECT doc_id, q, min(i) AS start, max(i) - min(i) + 8 + q AS length FROM island GROUP BY doc_id, q, g),
+run AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM found WHERE length >= 24 AND length >= 3 * q GROUP BY ALL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text FROM (SELECT doc_id, unnest(w) AS x, unnest(range(n)) AS i FROM word) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    first({'start': start, 'length': length, 'period': period} ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS best FROM run GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+  1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM docw LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

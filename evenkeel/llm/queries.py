@@ -109,4 +109,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL = {"op1_decontaminate": decontaminate.SQL, "op4_warc": warc.SQL, "op6_line_dedup": line_dedup.SQL, "op12_resample": resample.SQL}
+SQL = {
+    "op1_decontaminate": decontaminate.SQL,
+    "op4_warc": warc.SQL,
+    "op6_line_dedup": line_dedup.SQL,
+    "op12_resample": resample.SQL,
+    "op13_periodic": periodic.SQL,
+}
