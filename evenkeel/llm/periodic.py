@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm.ascii_words import byte_columns, pieces
+from evenkeel.llm.shared import per_process
 from evenkeel.scratch import pin
 
 LEAST = 24
@@ -64,7 +64,6 @@ def joined_sha256(words: list[bytes], ids: np.ndarray) -> str:
     return digest.hexdigest()
 
 
-@cache
 def gram_size(least: int, times: int) -> int:
     """Words from its first cut on that surely return one period later in a run of any octave."""
     if times < 3 or least < 1:
@@ -84,12 +83,11 @@ def gram_hashes(ids: np.ndarray, gram: int) -> np.ndarray:
     return out
 
 
-def tiles_of(ids: np.ndarray, least: int, times: int, tile_words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def tiles_of(ids: np.ndarray, least: int, times: int, tile_words: int, gram: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(octave, first word, cuts, words)`` of each tile that may hold a fragment."""
     n = len(ids)
     if n < least:
         return
-    gram = gram_size(least, times)
     grams = gram_hashes(ids, gram)
     octave = 1
     while times * octave <= n:
@@ -126,8 +124,8 @@ def z_function(x: list[int]) -> list[int]:
     return z
 
 
-@cache
-def _primes_of(n: int) -> tuple[int, ...]:
+def primes_of(n: int) -> tuple[int, ...]:
+    """The prime divisors of a number."""
     out, p = [], 2
     while p * p <= n:
         if n % p == 0:
@@ -140,7 +138,10 @@ def _primes_of(n: int) -> tuple[int, ...]:
 
 def is_primitive(z: list[int], q: int) -> bool:
     """Whether the first ``q`` items are no power of fewer, by the Z-function from there on."""
-    return not any(z[q // p] >= q - q // p for p in _primes_of(q))
+    known = per_process(("prime divisors",), dict)
+    if q not in known:
+        known[q] = primes_of(q)
+    return not any(z[q // p] >= q - q // p for p in known[q])
 
 
 def fragments_at(words: list[int], cut: int, octave: int, gram: int) -> Iterator[tuple[int, int, int]]:
@@ -190,6 +191,8 @@ def tiled(
     ``prepare`` may change a document's word numbers first. Documents with tiles keep their words.
     """
 
+    gram = gram_size(least, times)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, held = TaskContext.get().partitionId() << 40, [], 0
         for batch in batches:
@@ -198,7 +201,7 @@ def tiled(
                 words, ids = numbered(text.as_py())
                 if prepare:
                     ids = prepare(doc_id, ids)
-                tiles = list(tiles_of(ids, least, times, tile_words))
+                tiles = list(tiles_of(ids, least, times, tile_words, gram))
                 kept = b" ".join(map(words.__getitem__, ids.tolist())) if tiles else None
                 rows.append({"key": key, "doc_id": doc_id, "n_words": len(ids), "sha256": joined_sha256(words, ids), "words": kept})
                 rows += [{"key": key, "octave": o, "first": f, "cuts": c, "ids": i} for o, f, c, i in tiles]

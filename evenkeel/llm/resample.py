@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -32,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm.ascii_words import byte_columns, pieces, spaced
+from evenkeel.llm.shared import per_process
 from evenkeel.operators.shape import running_offset
 from evenkeel.scratch import pin
 
@@ -47,9 +47,12 @@ BIN = 100
 _LOW = 0xFFFFFFFF
 
 
-@cache
 def _moved(bit: int) -> np.ndarray:
-    """Four tables, one for each byte of a CRC, that move it on by ``2**bit`` zero bytes."""
+    """Four tables, one for each byte of a CRC, that move it on by ``2**bit`` zero bytes; made once for each process."""
+    return per_process(("crc", bit), lambda: _made(bit))
+
+
+def _made(bit: int) -> np.ndarray:
     value = np.arange(256, dtype=np.uint32)
     parts = np.stack([value << np.uint32(8 * place) for place in range(4)])
     if bit == 0:
