@@ -232,3 +232,17 @@ def lm_scores(
     rows = rows.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_words", "n_backoff", "value")))
     mean = F.col("value") / F.when(F.col("n_words") > 0, F.col("n_words"))
     return rows.select("doc_id", "n_words", "n_backoff", F.round(mean, 6).alias("score"))
+
+
+SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT doc_id, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+one AS (SELECT b AS word, count(*) AS n FROM t GROUP BY b),
+two AS (SELECT a, b, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY ALL HAVING count(*) >= {LEAST}),
+scored AS (SELECT doc_id, two.n IS NULL AS backed, CASE WHEN two.n IS NULL
+    THEN ln(CAST({ALPHA} AS DOUBLE) * cb.n / (SELECT count(*) FROM t)) ELSE ln(two.n::DOUBLE / ca.n) END AS value
+  FROM t JOIN one cb ON cb.word = t.b LEFT JOIN two ON two.a = t.a AND two.b = t.b LEFT JOIN one ca ON ca.word = t.a),
+summed AS (SELECT doc_id, count(*) FILTER (backed) AS n_backoff, avg(value) AS mean FROM scored GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_backoff, 0) AS n_backoff, round(mean, 6) AS score
+FROM d LEFT JOIN summed USING (doc_id)
+"""

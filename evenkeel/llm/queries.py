@@ -113,6 +113,7 @@ SQL = {
     "op1_decontaminate": decontaminate.SQL,
     "op4_warc": warc.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op9_lm_score": lm_score.SQL,
     "op12_resample": resample.SQL,
     "op13_periodic": periodic.SQL,
 }
