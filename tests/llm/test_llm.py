@@ -302,6 +302,48 @@ def test_language_scores_by_brute_force():
         assert np.allclose(p[i], want, atol=1e-4)
 
 
+def test_noisy_or_by_brute_force():
+    import re
+
+    rng = np.random.default_rng(3)
+    model = object.__new__(toxicity.Model)
+    model.weights, model.bias, model.slope, model.shift = rng.exponential(0.3, toxicity.BUCKETS), -3.0, 0.8, 0.2
+    full = (1 << 64) - 1
+
+    def mixed(letters, salt):
+        h = sum(b * pow(0x100000001B3, i, 1 << 64) for i, b in enumerate(letters)) & full
+        h = ((h ^ salt) * 0x9E3779B97F4A7C15) & full
+        return (((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & full) >> 46
+
+    texts = ["you are awful. a nice day, isn't it? yes", "", "...", "one", "böse wörter hier!\ngute wörter dort", "x. y. z " * 40]
+    got, place, worst = model.score(texts)
+    for i, t in enumerate(texts):
+        found = []
+        for m in re.finditer(rb"[^.!?\n]+", t.encode()):
+            words = [(w.start(), w.group()) for w in re.finditer(rb"[a-z\x80-\xff']+", m.group())]
+            if words:
+                hits = [mixed(w, 0) for _, w in words]
+                hits += [mixed(w[:n], n) if len(w) >= n else mixed(w, 0) for _, w in words for n in toxicity.PREFIXES]
+                z = sum(model.weights[h] for h in hits) + model.bias
+                found.append((1 / (1 + np.exp(-np.clip(z, -30, 12))), m.start() + words[0][0]))
+        either = 1 - np.prod([1 - p for p, _ in found]) if found else 0.0
+        x = np.clip(np.log(max(either, 1e-12)) - np.log(max(1 - either, 1e-300)), -25, 25)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(0.8 * x + 0.2))), rel=1e-6)
+        best = max(found, key=lambda f: (f[0], -f[1]), default=(0.0, -1))
+        assert (worst[i], place[i]) == (pytest.approx(best[0]), best[1])
+
+
+def test_documents_teach_their_sentences():
+    rng = random.Random(4)
+    clean = lambda: " ".join(rng.choice(["sun", "tree", "river", "stone", "house"]) for _ in range(6))
+    texts = [". ".join([clean(), "vile slur" if i % 2 else clean(), clean()]) for i in range(120)]
+    parts = [(f, sentence, len(owner)) for f, sentence, owner, _ in map(toxicity.sentence_words, [[t] for t in texts])]
+    model = toxicity.Model(parts, np.arange(120) % 2)
+    score, place, worst = model.score(texts)
+    assert (score[1::2] > 0.7).all() and (score[::2] < 0.3).all()
+    assert [texts[i][at:].startswith("vile") for i, at in enumerate(place)] == [bool(i % 2) for i in range(120)]
+
+
 def brute_subwords(text):
     """Buckets of all runs of three and four bytes, blanks for anything but letters, and their shares."""
     data = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
