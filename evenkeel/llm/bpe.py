@@ -30,9 +30,9 @@ from tokenizers import Tokenizer
 from evenkeel.llm.shared import chosen_columns, give_back, grouped_by_size, per_process
 
 # What a worker holds at once: a block of texts, pieces of texts with their ids, pairs of tokens.
-BLOCK_CHARS = 1 << 20
-CACHED = 100_000
-CACHED_PAIRS = 1 << 17
+BLOCK_CHARS = 2 << 20
+CACHED = 250_000
+CACHED_PAIRS = 1 << 19
 # Rows of an Arrow batch that become Python texts at once.
 SOME_ROWS = 500
 END = "</w>"
