@@ -39,6 +39,8 @@ LEAST = 2
 BLOCK_BYTES = 16 << 20
 # Words of the corpus for one part of a table.
 PART_WORDS = 1 << 20
+# Words of a block whose pairs are hashed at once.
+SOME_WORDS = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -64,15 +66,31 @@ class Block:
     """Words of some documents: hashes of the distinct ones, the number of each word, where documents end."""
 
     def __init__(self, vocabulary: np.ndarray, codes: np.ndarray, ends: np.ndarray):
-        self.vocabulary, self.codes, self.ends = vocabulary, codes.astype(np.int64), ends
-
-    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct words (0) or pairs (1) in ascending order, how often each occurs, and the place of each occurrence."""
-        hashes = self.vocabulary[self.codes]
+        self.vocabulary, self.codes, self.ends = vocabulary, codes, ends
+
+    def pairs(self) -> np.ndarray:
+        """Hashes of all neighbouring words of a document, in order; made some at a time, as each step makes an array."""
+        joined = self.joined()
+        parts = [np.zeros(0, np.uint64)]
+        for a in range(0, len(joined), SOME_WORDS):
+            hashes = self.vocabulary[self.codes[a : a + SOME_WORDS + 1]]
+            parts.append(pair_hashes(hashes[:-1], hashes[1:])[joined[a : a + SOME_WORDS]])
+        return np.concatenate(parts)
+
+    def counted(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words (0) or pairs (1) in ascending order, and how often each occurs."""
         if kind:
-            hashes = pair_hashes(hashes[:-1], hashes[1:])[self.joined()]
-        keys, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
-        return keys, n, at
+            return np.unique(self.pairs(), return_counts=True)
+        keys, place = np.unique(self.vocabulary, return_inverse=True)
+        each = np.bincount(self.codes, minlength=len(self.vocabulary))
+        return keys, np.bincount(place, each, len(keys)).astype(np.int64)
+
+    def places(self, kind: int) -> tuple[int, np.ndarray]:
+        """The number of distinct words or pairs, and the place of each occurrence among them."""
+        hashes = self.pairs() if kind else self.vocabulary
+        keys, at = np.unique(hashes, return_inverse=True)
+        at = at.astype(np.uint32)
+        return len(keys), at if kind else at[self.codes]
 
     def joined(self) -> np.ndarray:
         """Whether each word but the first stands after one of its own document."""
@@ -144,7 +162,7 @@ def _questions(blocks: DataFrame, bits: int) -> DataFrame:
             for row in range(batch.num_rows):
                 block, name = _block(batch, row), batch.column("block")[row].as_py()
                 for kind in (0, 1):
-                    keys, n, _ = block.keys(kind)
+                    keys, n = block.counted(kind)
                     part = (keys >> np.uint64(64 - bits)).astype(np.int64)
                     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
                     for some in np.array_split(np.arange(len(starts)), max(len(starts) // 256, 1)):
@@ -208,9 +226,9 @@ def lm_scores(
         block, ids = _block(left), left.column("ids")[0].as_py()
         logs, places = [], []
         for kind in (0, 1):
-            keys, _, at = block.keys(kind)
+            size, at = block.places(kind)
             # Zero for a pair that is too rare; a word always has a count.
-            counts = np.zeros(len(keys), np.int64)
+            counts = np.zeros(size, np.int64)
             for k, where, n in found:
                 if k == kind:
                     counts[where] = n
@@ -221,9 +239,9 @@ def lm_scores(
         pairs = np.flatnonzero(block.joined())[places[1]]
         value[pairs + 1] = logs[1][places[1]] - logs[0][pairs]
         backed[pairs + 1] = False
-        text = np.searchsorted(block.ends, np.arange(n), "right")
-        per_doc = lambda x: np.bincount(text, x, minlength=len(ids))
         sizes = np.diff(block.ends, prepend=0)
+        text = np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
+        per_doc = lambda x: np.bincount(text, x, minlength=len(ids))
         columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(per_doc(backed).astype(np.int64)), pa.array(per_doc(value).astype(np.float64))]
         return pa.table(columns, names=["doc_id", "n_words", "n_backoff", "value"])
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -469,3 +470,24 @@ def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_lm_block_counts_in_bounded_memory():
+    """A block is counted within a few arrays of its size; sorting with all places took 61 bytes a word."""
+    rng = np.random.default_rng(3)
+    vocabulary = rng.integers(0, 2**63, 20_000).astype(np.uint64)
+    codes = np.r_[np.arange(len(vocabulary)), rng.integers(0, len(vocabulary), 1_980_000)].astype(np.uint32)
+    block = lm_score.Block(vocabulary, codes, np.array([0, 1, 300_000, 300_000, len(codes)]))
+    words = vocabulary[codes]
+    together = lm_score.pair_hashes(words[:-1], words[1:])
+    together = np.delete(together, [0, 299_999])
+    tracemalloc.start()
+    found = [block.counted(kind) for kind in (0, 1)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for kind, want in enumerate((words, together)):
+        keys, at, n = np.unique(want, return_inverse=True, return_counts=True)
+        assert found[kind][0].tolist() == keys.tolist() and found[kind][1].tolist() == n.tolist()
+        size, places = block.places(kind)
+        assert size == len(keys) and places.tolist() == at.tolist()
+    assert peak < 45 * len(codes), peak / len(codes)
