@@ -50,7 +50,8 @@ def byte_letters() -> list[str]:
 class TrieEncoder:
     """Encoder for a vocabulary with word ends, read from a tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
+        self.cached = cached
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -191,7 +192,7 @@ class TrieEncoder:
     def _fresh(self, cut: list[list[str]], known: dict) -> Iterator[tuple[str, list[int]]]:
         """Ids of the pieces that are not known yet."""
         fresh = {p: self._parts(p) for p in {p for c in cut for p in c} - known.keys()}
-        if len(self.words) > CACHED:
+        if len(self.words) > self.cached:
             self.words.clear()
         # The same word stands in pieces with and without marks.
         found = self.words
@@ -202,7 +203,7 @@ class TrieEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 4-byte integers."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.pieces) > CACHED:
+        if len(self.pieces) > self.cached:
             self.pieces = {"": b""}
         pieces = self.pieces
         for p, ids in self._fresh(cut, pieces):
@@ -212,7 +213,7 @@ class TrieEncoder:
     def tell(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Of each text the number of its ids, the ids, and what they decode to, as texts with spaces between."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.told) > CACHED:
+        if len(self.told) > self.cached:
             self.told = {"": (0, "", "")}
         told, tokens = self.told, self.tokens
         for p, ids in self._fresh(cut, told):
@@ -222,8 +223,8 @@ class TrieEncoder:
             yield sum([t[0] for t in parts]), " ".join([t[1] for t in parts]), " ".join([t[2] for t in parts])
 
 
-def _encoder(path: str) -> TrieEncoder:
-    return per_process(("trie", path), lambda: TrieEncoder(path))
+def _encoder(path: str, cached: int = CACHED) -> TrieEncoder:
+    return per_process(("trie", path, cached), lambda: TrieEncoder(path, cached))
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,14 +278,15 @@ def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def bpe_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED) -> DataFrame:
     """What :func:`digests` tells of encoded and decoded documents, in one pass and one process for each task.
 
-    Ids and decoded text of a document exist one at a time and do not leave the process.
+    Ids and decoded text of a document exist one at a time and do not leave the process. ``cached`` pieces of text, or
+    a block's more, are kept with their ids: fewer take less memory and more time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, cached)
         for whole in batches:
             for first in range(0, whole.num_rows, SOME_ROWS):
                 batch = whole.slice(first, SOME_ROWS)

@@ -491,3 +491,14 @@ def test_lm_block_counts_in_bounded_memory():
         size, places = block.places(kind)
         assert size == len(keys) and places.tolist() == at.tolist()
     assert peak < 45 * len(codes), peak / len(codes)
+
+
+def test_bpe_caches_keep_to_their_size():
+    """A smaller cache holds no more than a block beyond its size, and changes no result."""
+    rng = random.Random(9)
+    blocks = [["".join(rng.choices("abcdé", k=rng.randint(1, 6))) + " " + "x" * i for i in range(40)] for _ in range(6)]
+    small, usual = bpe.TrieEncoder(WORD_BPE, cached=50), bpe.TrieEncoder(WORD_BPE)
+    for block in blocks:
+        assert list(small.tell(block)) == list(usual.tell(block)) and small.encode(block) == usual.encode(block)
+        assert max(map(len, (small.told, small.pieces, small.words))) <= 50 + 80
+    assert len(usual.told) > 150
