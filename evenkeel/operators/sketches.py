@@ -10,15 +10,21 @@ import heapq
 import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from evenkeel.scratch import pin
+
 SKETCH_GROUP = ("source", "period")
 # Largest precision the HyperLogLog aggregate accepts.
 HLL_PRECISION = 21
+# Rows that are counted at once for a summary.
+SUMMARY_ROWS = 1 << 17
 
 
 def capacity(epsilon: float) -> int:
@@ -99,7 +105,7 @@ def estimate_top(states: DataFrame, eps: float, by: Sequence[str] = (), key: str
 
 
 class SpaceSaving:
-    """Counters of at most ``counters`` keys; the smallest (count, key) makes room. Rows may come in numbers."""
+    """Counters of at most ``counters`` keys; the smallest (count, key) makes room."""
 
     def __init__(self, counters: int):
         self.counters = counters
@@ -107,33 +113,29 @@ class SpaceSaving:
         # One entry per kept key; counts in it may lag behind. NULL sorts before all others.
         self.queue: list[tuple] = []
 
-    def add(self, key, n: int = 1) -> None:
+    def add(self, key) -> None:
         entry = self.kept.get(key)
         if entry is not None:
-            entry[0] += n
+            entry[0] += 1
             return
         below = 0
         if len(self.kept) >= self.counters:
             below = self.floor()
             del self.kept[heapq.heappop(self.queue)[2]]
-        self.kept[key] = [below + n, below]
-        heapq.heappush(self.queue, (below + n, (key is not None, key if key is not None else 0), key))
+        self.kept[key] = [below + 1, below]
+        heapq.heappush(self.queue, (below + 1, (key is not None, key if key is not None else 0), key))
 
     def floor(self) -> int:
-        """The least count if all counters are taken, else zero."""
-        if len(self.kept) < self.counters:
-            return 0
+        """The least count."""
         queue, kept = self.queue, self.kept
         while kept[queue[0][2]][0] != queue[0][0]:
             _, order, stale = queue[0]
             heapq.heapreplace(queue, (kept[stale][0], order, stale))
         return queue[0][0]
 
-    def rows(self, group: tuple, empty: Sequence[pa.Array], names: Sequence[str], floor: int | None = None) -> pa.RecordBatch:
-        """The counters of a group, with ``floor`` beside each and once more alone."""
+    def rows(self, group: tuple, empty: Sequence[pa.Array], names: Sequence[str]) -> pa.RecordBatch:
+        """The counters of a group."""
         rows = [(*group, k, *e) for k, e in self.kept.items()]
-        if floor is not None:
-            rows = [(*r, floor, False) for r in rows] + [(*group, None, 0, 0, floor, True)]
         return pa.RecordBatch.from_arrays([pa.array(c, e.type) for c, e in zip(zip(*rows), empty)], names=list(names))
 
 
@@ -171,6 +173,41 @@ def space_saving(df: DataFrame, eps: float, by: Sequence[str] = SKETCH_GROUP, ke
     return placed.sortWithinPartitions(*by, "seq").mapInArrow(replay, schema)
 
 
+def _summed_up(kept: pa.Table | None, batches: list[pa.RecordBatch], by: list[str], key: str, counters: int) -> pa.Table:
+    """A summary ``(*by, key, count, err, _floor)``, and rows merged into it: they are counted, which is a summary without floor.
+
+    Counts add up, and a key that only the rows have may have been there as often as the floor says. Of each
+    group the ``counters`` largest stay; the least of them is the new floor, ``n / counters`` at most.
+    """
+    names, long = [*by, key], pa.int64()
+    new = pa.Table.from_batches(batches).group_by(names).aggregate([([], "count_all")])
+    parts = [pa.table([*(new.column(c) for c in names), new.column("count_all"), *[pa.array(np.zeros(len(new), np.int64))] * 3], names=[*names, "count", "err", "_floor", "_known"])]
+    if kept is not None:
+        parts.append(kept.append_column("_known", pa.array(np.ones(len(kept), np.int64))))
+    sums = [("count", "sum"), ("err", "sum"), ("_floor", "max"), ("_known", "max")]
+    found = pa.concat_tables(parts).group_by(names).aggregate(sums)
+    # Of equal counts the lower key stays.
+    found = found.take(pc.sort_indices(found, sort_keys=[(key, "ascending")]))
+    count, err, floor, known = (found.column(f"{c}_{how}").to_numpy().astype(np.int64) for c, how in sums)
+    group = np.zeros(len(found), np.int64)
+    for c in by:
+        codes = found.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        _, group = np.unique(group * (int(codes.max()) + 1) + codes, return_inverse=True)
+    below = np.zeros(int(group.max()) + 1, np.int64)
+    np.maximum.at(below, group, floor)
+    missed = np.where(known == 1, 0, below[group])
+    count, err = count + missed, err + missed
+    order = np.lexsort((-count, group))
+    first = np.searchsorted(group[order], np.arange(len(below)))
+    rank = np.arange(len(order)) - first[group[order]]
+    full = order[rank == counters - 1]
+    floor = np.zeros(len(below), np.int64)
+    floor[group[full]] = count[full]
+    stay = order[rank < counters]
+    columns = [count[stay], err[stay], floor[group[stay]]]
+    return pa.table([*(found.column(c).take(pa.array(stay)) for c in names), *(pa.array(c, long) for c in columns)], names=[*names, "count", "err", "_floor"])
+
+
 def space_saving_parts(df: DataFrame, eps: float, by: Sequence[str] = (), key: str = "key") -> DataFrame:
     """A summary of each partition and group: ``(*by, key, count, err, _floor, _part)``.
 
@@ -183,15 +220,22 @@ def space_saving_parts(df: DataFrame, eps: float, by: Sequence[str] = (), key: s
     empty = [pa.array([], f.type) for f in to_arrow_schema(schema)]
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple, SpaceSaving] = {}
+        kept, waiting, rows = None, [], 0
         for batch in batches:
-            # Equal rows of a batch are counted first, natively.
-            counted = pa.Table.from_batches([batch]).group_by([*by, key]).aggregate([([], "count_all")])
-            columns = [counted.column(c).to_pylist() for c in (*by, key, "count_all")]
-            for *group, k, n in zip(*columns):
-                found.setdefault(tuple(group), SpaceSaving(counters)).add(k, n)
-        for group, kept in found.items():
-            yield kept.rows(group, empty, schema.names, kept.floor())
+            waiting.append(batch)
+            rows += batch.num_rows
+            if rows >= SUMMARY_ROWS:
+                kept, waiting, rows = _summed_up(kept, waiting, by, key, counters), [], 0
+        if rows:
+            kept = _summed_up(kept, waiting, by, key, counters)
+        if kept is None:
+            return
+        floors = kept.group_by([*by, "_floor"]).aggregate([])
+        none = {key: pa.nulls(len(floors), kept.schema.field(key).type), "count": pa.array([0] * len(floors)), "err": pa.array([0] * len(floors))}
+        for part, marked in ((kept, False), (floors, True)):
+            columns = [none[c] if marked and c in none else part.column(c) for c in schema.names[:-1]]
+            columns.append(pa.array([marked] * len(part), pa.bool_()))
+            yield from pa.table([c.cast(e.type) for c, e in zip(columns, empty)], names=schema.names).combine_chunks().to_batches()
 
     return df.select(*by, key).mapInArrow(summarise, schema)
 
@@ -202,10 +246,11 @@ def merged_space_saving(df: DataFrame, eps: float, by: Sequence[str] = (), key:
     Counts and errors of a key are added up; a summary that lacks it adds its floor to both. Of the sums the
     ``ceil(1/eps)`` largest stay. With ``n`` rows in a group the true number of a key lies between
     ``count - err`` and ``count``, ``err`` is ``eps * n`` at most, and every key with more rows than that is there.
-    What is shuffled is ``1/eps`` rows for each partition and group, however many rows or keys there are.
+    What is shuffled is ``1/eps`` rows for each partition and group, however many rows or keys there are. The summaries
+    are written, so that the rows are read once.
     """
     by = list(by)
-    parts = space_saving_parts(df, eps, by, key)
+    parts = pin(space_saving_parts(df, eps, by, key), "summaries")
     floors = F.sum("_floor").alias("_floors")
     sums = parts.where("NOT _part").groupBy(*by, key).agg(*(F.sum(c).alias(c) for c in ("count", "err", "_floor")))
     if by:

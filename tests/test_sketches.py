@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,38 @@ def test_distinct_keys(spark):
 
 def test_threshold_is_rounded_up():
     assert math.ceil(0.02 * 125) == 3
+
+
+def test_merged_summaries_read_the_rows_once(spark):
+    rows, read = spark.range(30_000).select((F.col("id") % 700).alias("key")).repartition(3), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    found = sketches.merged_space_saving(rows.mapInArrow(seen, rows.schema), 0.01).collect()
+    assert len(found) == 100 and read.value == 30_000
+
+
+def test_rows_merged_into_a_summary_keep_its_bounds():
+    """Many small parts, one after another, with NULL keys and groups: true numbers lie within the bounds."""
+    keys = [None if k % 9 == 4 else f"k{k}" for k in skewed(6000, keys=300)]
+    groups = [i % 3 if i % 7 else None for i in range(len(keys))]
+    for by in ([], ["g"]):
+        kept, counters = None, 20
+        for a in range(0, len(keys), 150):
+            columns = {"key": pa.array(keys[a : a + 150], pa.string()), **({"g": pa.array(groups[a : a + 150], pa.int32())} if by else {})}
+            batch = pa.RecordBatch.from_pydict(columns)
+            kept = sketches._summed_up(kept, [batch.slice(0, 60), batch.slice(60)], by, "key", counters)
+        true = Counter(zip(groups, keys) if by else keys)
+        sizes = Counter(groups) if by else {None: len(keys)}
+        found = {((r["g"], r["key"]) if by else r["key"]): r for r in kept.to_pylist()}
+        distinct = Counter(k[0] if by else None for k in true)
+        assert len(found) == kept.num_rows == sum(min(counters, n) for n in distinct.values())
+        for key, r in found.items():
+            n = sizes[key[0] if by else None]
+            assert r["count"] - r["err"] <= true[key] <= r["count"] and r["err"] <= n / counters
+            assert r["_floor"] <= n / counters and r["count"] >= r["_floor"]
+        floors = {(k[0] if by else None): r["_floor"] for k, r in found.items()}
+        assert all(k in found or n <= floors[k[0] if by else None] for k, n in true.items())
