@@ -47,9 +47,9 @@ _LOOK, _REPLAY = 64, 1024
 _FLIP_SHARE = 64
 
 
-def pack_choice(offset: Column, first: Column, second: Column, k: int) -> Column:
-    """One number per row: its place in the chunk and its two candidate workers."""
-    return F.shiftleft(offset.cast("bigint"), _CODE_BITS) + first.cast("bigint") * k + second
+def pack_choice(offset: Column, code: Column) -> Column:
+    """One number per row: its place in the chunk and its two candidate workers, ``first*k + second``."""
+    return F.shiftleft(offset.cast("bigint"), _CODE_BITS) + code
 
 
 def two_choice_kernel(codes: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
@@ -197,7 +197,8 @@ def _arrays(batch: pa.RecordBatch, row: int, *names: str) -> list[np.ndarray | N
 def _one(batch: pa.RecordBatch, row: int, names: list[str], values: list) -> pa.RecordBatch:
     """A row with the source and chunk of ``row``; a numpy array becomes a list, None a null list."""
     columns = [batch.column(c).slice(row, 1) for c in ("source", "chunk")]
-    columns += [pa.array([v], pa.list_(pa.int32() if name in _INTS else pa.int64())) for name, v in zip(names, values)]
+    kind = lambda name, v: pa.int8() if v is not None and v.dtype == np.int8 else pa.int32() if name in _INTS else pa.int64()
+    columns += [pa.array([v], pa.list_(kind(name, v))) for name, v in zip(names, values)]
     return pa.RecordBatch.from_arrays(columns, names=["source", "chunk", *names])
 
 
@@ -238,6 +239,20 @@ def _with_first(df: DataFrame, k: int, initial: DataFrame | None) -> DataFrame:
     return df.join(given, "source", "left").withColumn("_first", F.coalesce("_first", zeros))
 
 
+def _ordered(chunks: DataFrame) -> DataFrame:
+    """``(source, chunk, place, code)``: the choices of each chunk in order; ``place`` is null where it is 0, 1, 2, ..."""
+
+    def work(batch: pa.RecordBatch, row: int) -> pa.RecordBatch:
+        (ops,) = _arrays(batch, row, "ops")
+        ops = np.sort(ops)
+        place, code = (ops >> _CODE_BITS).astype(np.int32), (ops & _CODE).astype(np.int32)
+        dense = len(place) == 0 or place[-1] == len(place) - 1
+        return _one(batch, row, ["place", "code"], [None if dense else place, code])
+
+    ints = T.ArrayType(T.IntegerType())
+    return _by_row(chunks.select("source", "chunk", "ops"), _fields(chunks, ("place", ints), ("code", ints)), work)
+
+
 def _guessed(chunks: DataFrame, k: int, initial: DataFrame | None) -> DataFrame:
     """``(source, chunk, start)``: pair counts of all chunks, folded once along each source.
 
@@ -245,22 +260,21 @@ def _guessed(chunks: DataFrame, k: int, initial: DataFrame | None) -> DataFrame:
     """
 
     def count(batch: pa.RecordBatch, row: int) -> pa.RecordBatch:
-        (ops,) = _arrays(batch, row, "ops")
+        (codes,) = _arrays(batch, row, "code")
         first = batch.column("chunk")[row].as_py() == 0
-        cells, counts = np.unique(ops & _CODE, return_counts=True)
-        return _one(batch, row, ["cells", "counts", "ops"], [cells, counts, np.sort(ops) if first else None])
+        cells, counts = np.unique(codes.astype(np.int64), return_counts=True)
+        return _one(batch, row, ["cells", "counts", "code"], [cells, counts, codes if first else None])
 
     def step(loads, batch: pa.RecordBatch, row: int):
-        cells, counts, ops, first = _arrays(batch, row, "cells", "counts", "ops", "_first")
+        cells, counts, codes, first = _arrays(batch, row, "cells", "counts", "code", "_first")
         loads = first if loads is None else loads
         out = _one(batch, row, ["start"], [loads])
-        if ops is None:
+        if codes is None:
             return foreseen(loads, cells, counts, k), out
-        codes = ops & _CODE
         return loads + np.bincount(chosen_of(codes, two_choice_kernel(codes, loads, k), k), minlength=k), out
 
-    fields = _fields(chunks, ("cells", _LONGS), ("counts", _LONGS), ("ops", _LONGS))
-    counted = _by_row(chunks.select("source", "chunk", "ops"), fields, count)
+    fields = _fields(chunks, ("cells", _LONGS), ("counts", _LONGS), ("code", T.ArrayType(T.IntegerType())))
+    counted = _by_row(chunks.select("source", "chunk", "code"), fields, count)
     return _in_order(_with_first(counted, k, initial), _fields(chunks, ("start", _LONGS)), step)
 
 
@@ -284,16 +298,13 @@ def _row_of(batch, row, start, place, code, gap, replays, k) -> pa.RecordBatch:
 
 
 def _replayed(chunks: DataFrame, starts: DataFrame, k: int) -> DataFrame:
-    """Each chunk from its start; ``place`` is null where rows have the places 0, 1, 2, ..."""
+    """Each chunk from its start."""
 
     def work(batch: pa.RecordBatch, row: int) -> pa.RecordBatch:
-        ops, start = _arrays(batch, row, "ops", "start")
-        ops = np.sort(ops)
-        place, code = (ops >> _CODE_BITS).astype(np.int32), (ops & _CODE).astype(np.int32)
-        dense = len(place) == 0 or place[-1] == len(place) - 1
-        return _row_of(batch, row, start, None if dense else place, code, two_choice_kernel(code, start, k), 1, k)
+        start, place, code = _arrays(batch, row, "start", "place", "code")
+        return _row_of(batch, row, start, place, code, two_choice_kernel(code, start, k), 1, k)
 
-    joined = chunks.join(starts, ["source", "chunk"]).select("source", "chunk", "start", "ops")
+    joined = chunks.join(starts, ["source", "chunk"]).select("source", "chunk", "start", "place", "code")
     return _by_row(joined, _fields(chunks, *_RUN), work)
 
 
@@ -364,8 +375,13 @@ def _walked(runs: DataFrame, k: int) -> DataFrame:
 
 
 def _answers(runs: DataFrame, k: int) -> DataFrame:
-    """``(source, chunk, chosen, added, replays)``; ``chosen`` goes by place, -1 where a number is missing."""
-    schema = _fields(runs, ("chosen", T.ArrayType(T.IntegerType())), ("added", _LONGS), ("replays", _LONGS))
+    """``(source, chunk, chosen, added, replays)``; ``chosen`` goes by place, -1 where a number is missing.
+
+    A worker's number takes one byte if that is enough.
+    """
+    small = k <= np.iinfo(np.int8).max + 1
+    kind = T.ArrayType(T.ByteType() if small else T.IntegerType())
+    schema = _fields(runs, ("chosen", kind), ("added", _LONGS), ("replays", _LONGS))
 
     def work(batch: pa.RecordBatch, row: int) -> pa.RecordBatch:
         place, code, gap, added, replays = _arrays(batch, row, "place", "code", "gap", "added", "replays")
@@ -374,6 +390,7 @@ def _answers(runs: DataFrame, k: int) -> DataFrame:
             chosen = np.full(int(place[-1]) + 1, -1, np.int32)
             chosen[place] = found
             found = chosen
+        found = found.astype(np.int8) if small else found
         return _one(batch, row, ["chosen", "added", "replays"], [found, added, replays])
 
     return _by_row(runs.select("source", "chunk", "place", "code", "gap", "added", "replays"), schema, work)
@@ -389,14 +406,15 @@ def carry_loads(chunks: DataFrame, k: int, chunk_count: int, initial: DataFrame
     Where chains are one chunk long the plan stays lazy. Longer ones take the same few jobs
     whatever their length.
     """
+    chunks = _ordered(chunks)
     if chunk_count <= 1:
         starts = _with_first(chunks.select("source", "chunk"), k, initial).withColumnRenamed("_first", "start")
         return _answers(_replayed(chunks, starts, k), k)
 
-    chunks = pin(chunks, "chunks")
+    chunks = pin(chunks, "chunks", codec="zstd")
     starts = pin(_guessed(chunks, k, initial), "starts")
-    runs = pin(_replayed(chunks, starts, k), "runs")
-    runs = pin(_moved(runs, pin(_targets(runs, k, initial), "targets"), k), "moved")
+    runs = pin(_replayed(chunks, starts, k), "runs", codec="zstd")
+    runs = pin(_moved(runs, pin(_targets(runs, k, initial), "targets"), k), "moved", codec="zstd")
     exact = pin(_exact_until(runs, k, initial), "exact")
     fine = exact.where(F.element_at("exact", -1) == 1)
     wrong = exact.where(F.element_at("exact", -1) == 0)
@@ -404,4 +422,4 @@ def carry_loads(chunks: DataFrame, k: int, chunk_count: int, initial: DataFrame
         return _answers(runs, k)
     on = ["source", "chunk"]
     late = runs.join(fine.select(*on), on, "left_anti").join(wrong, on, "left")
-    return _answers(runs.join(fine.select(*on), on, "left_semi").unionByName(pin(_walked(late, k), "walked")), k)
+    return _answers(runs.join(fine.select(*on), on, "left_semi").unionByName(pin(_walked(late, k), "walked", codec="zstd")), k)

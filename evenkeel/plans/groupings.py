@@ -73,39 +73,56 @@ class TwoChoiceGrouping:
         return key_hash(df, self.k)("key"), key_hash(df, self.k, member=1)("key")
 
     def assign(self, df: DataFrame, initial: DataFrame | None = None, first_pos: int = 0) -> DataFrame:
-        staged, chosen = self._run(df, initial, first_pos)
-        # Four bytes per row on the right: hashed per partition, and the rows need no sort.
-        answers = chosen.select("source", "chunk", "chosen").hint("shuffle_hash")
-        routed = staged.join(answers, ["source", "chunk"])
+        chosen = self._run(df, initial, first_pos)
+        source, chunk, offset = self._places(first_pos)
+        # A byte or four per row on the right: hashed per partition, and the rows need no sort. What is
+        # made of a row's number is made on both sides of the exchange and does not travel.
+        answers = chosen.select(F.col("source").alias("_source"), F.col("chunk").alias("_chunk"), F.col("chosen").alias("_chosen"))
+        routed = df.join(answers.hint("shuffle_hash"), (source == F.col("_source")) & (chunk == F.col("_chunk")))
         given = [c for c in df.columns if c != "source"]
-        return routed.select(*given, "source", F.col("chosen")[F.col("_offset")].alias("worker"))
+        return routed.select(*given, source.alias("source"), F.col("_chosen")[offset].cast("int").alias("worker"))
 
     def loads(self, df: DataFrame, initial: DataFrame | None = None, first_pos: int = 0) -> DataFrame:
         """Rows added to each worker by each source: ``(source, worker, load)``."""
-        _, chosen = self._run(df, initial, first_pos)
+        chosen = self._run(df, initial, first_pos)
         return (
             chosen.select("source", F.posexplode("added").alias("worker", "load"))
             .groupBy("source", "worker").agg(F.sum("load").alias("load"))
         )
 
-    def _run(self, df: DataFrame, initial: DataFrame | None, first_pos: int) -> tuple[DataFrame, DataFrame]:
+    def _places(self, first_pos: int, seq: Column | None = None) -> tuple[Column, Column, Column]:
+        """Source, chunk and place in the chunk of each row."""
+        seq = F.col("seq") if seq is None else seq
+        source = F.col("source") if self.s is None else F.pmod(seq, F.lit(self.s)).cast("int")
+        pos = F.col("pos") if self.s is None else shape.whole_div(seq, self.s)
+        place = pos - first_pos
+        return source, shape.whole_div(place, self.chunk_rows), F.pmod(place, F.lit(self.chunk_rows)).cast("int")
+
+    def _run(self, df: DataFrame, initial: DataFrame | None, first_pos: int) -> DataFrame:
         if self.s is None:
-            placed = df
             last_pos = int(df.agg(F.coalesce(F.max("pos"), F.lit(-1))).first()[0])
         else:
-            placed = shape.with_source(df, self.s).withColumn("pos", shape.whole_div("seq", self.s))
             last_pos = shape.last_seq(df) // self.s
-        place = F.col("pos") - first_pos
-        staged = placed.withColumn("chunk", shape.whole_div(place, self.chunk_rows)).withColumn(
-            "_offset", F.pmod(place, F.lit(self.chunk_rows)).cast("int")
-        )
         first, second = self.candidates(df)
-        packed = pack_choice(F.col("_offset"), first, second, self.k).alias("_op")
-        # Lists do not shrink before a shuffle, so single numbers are moved and listed after it.
-        moved = staged.select("source", "chunk", packed).repartition("source", "chunk")
+        # Lists do not shrink before a shuffle, so single numbers are moved and listed after it: one for each
+        # row, its number and its candidates, from which all else is made.
+        pairs = self.k * self.k
+        code = first.cast("bigint") * self.k + second
+        if self.s is None:
+            moved = df.select("source", "pos", code.alias("_code"))
+        else:
+            if last_pos >= (1 << 63) // pairs // self.s - 1:
+                raise ValueError(f"row numbers are too large for {self.k} workers")
+            both = F.col("_both")
+            moved = df.select((F.col("seq") * pairs + code).alias("_both"))
+            seq = shape.whole_div(both, pairs)
+        source, chunk, offset = self._places(first_pos, None if self.s is None else seq)
+        moved = moved.repartition(source, chunk)
+        code = F.col("_code") if self.s is None else F.pmod(both, F.lit(pairs))
+        moved = moved.select(source.alias("source"), chunk.alias("chunk"), pack_choice(offset, code).alias("_op"))
         chunks = moved.groupBy("source", "chunk").agg(F.collect_list("_op").alias("ops"))
         count = (last_pos - first_pos) // self.chunk_rows + 1
-        return staged, carry_loads(chunks, self.k, count, initial)
+        return carry_loads(chunks, self.k, count, initial)
 
 
 @dataclass(frozen=True)

@@ -131,3 +131,11 @@ def test_a_jump_of_the_stream_is_walked_through(spark):
     found = carry.carry_loads(chunks_of(spark, codes, k, size), k, n // size, initial).orderBy("chunk").collect()
     want = carry.chosen_of(codes, carry.two_choice_kernel(codes, np.array([0, 50] * 8), k), k)
     assert [w for r in found for w in r["chosen"]] == want.tolist()
+
+
+def test_exchanges_carry_few_columns(keyed):
+    """What follows from a row's number does not travel: one number to decide, then the row as it is."""
+    plan = TwoChoiceGrouping(4, 2).assign(keyed(["a", "b"] * 50))._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("pmod(seq#" in line for line in sent) and any("pmod((_both#" in line for line in sent)
+    assert not any("chunk#" in line and "_chunk#" not in line and "REPARTITION" in line for line in sent)
