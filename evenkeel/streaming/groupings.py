@@ -149,9 +149,10 @@ class OnlineStream(_Runner):
         staged = shape.with_period(shape.with_source(stream, g.s), g.s, g.m)
         bucket = key_hash(stream, g.k)("key").alias("bucket")
         gather = SketchedPeriods(g.s, g.m, g.k, math.ceil(g.theta * g.m), g.order == "load", carried)
+        block = shape.whole_div("period", SketchedPeriods.periods_together(g.s, g.m)).alias("_block")
         periods = (
-            carried.packed(staged, F.col("period"), F.col("source"), bucket)
-            .groupBy("period")
+            carried.packed(staged, block, F.col("period"), F.col("source"), bucket)
+            .groupBy("_block")
             .transformWithStateInPandas(
                 statefulProcessor=gather, outputStructType=SketchedPeriods.schema(carried), outputMode="Append", timeMode="None"
             )
@@ -229,7 +230,7 @@ class OnlineStream(_Runner):
             return self.result()
         last = self._last()
         names = ["seq", *carried.names, "source"]
-        rest = unfolded(waiting, "list_element", [F.col("key.period").alias("period")], names).select(*carried.restored(), "source", "period")
+        rest = unfolded(waiting, "user_map_value", [F.col("user_map_key.period").alias("period")], names).select(*carried.restored(), "source", "period")
         rest = rest.unionByName(self._gathered().where(F.col("period") > last))
         at = in_state(self.spark, self.path("checkpoint-routing"), "at")
         loads = at.select("value.loads").first() if at is not None else None

@@ -1,13 +1,17 @@
 """Streams give what the batch forms give, with files out of order and batches repeated."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brute import online, skewed, two_choice
 from evenkeel import HashGrouping, LearnedGrouping, OnlineGrouping, TwoChoiceGrouping
-from evenkeel.operators import metrics, routing
+from evenkeel.operators import carry, metrics, routing
 from evenkeel.streaming import groupings as streams
-from evenkeel.streaming.state import Carried
+from evenkeel.streaming import state
+from evenkeel.streaming.state import Carried, PlacedPeriods, SketchedPeriods, TwoChoiceRows
 from evenkeel.streaming.watch import watched
 
 K, S, M, THETA = 5, 3, 20, 0.1
@@ -200,3 +204,98 @@ def test_columns_that_cannot_wait_are_refused(spark):
     schema = spark.createDataFrame([], "seq bigint, key bigint, x array<int>").schema
     with pytest.raises(ValueError, match="column x"):
         Carried(schema)
+
+
+class CountedState:
+    """Stands for a processor's handle: states in memory, and the number of calls."""
+
+    def __init__(self):
+        self.calls, self.held = 0, {}
+
+    def getValueState(self, name, schema):
+        return self
+
+    getMapState = getValueState
+
+    def exists(self):
+        return self._call("value" in self.held)
+
+    def get(self):
+        return self._call(self.held.get("value"))
+
+    def update(self, value):
+        self._call(self.held.update(value=value))
+
+    def clear(self):
+        self._call(self.held.pop("value", None))
+
+    def containsKey(self, key):
+        return self._call(key in self.held)
+
+    def getValue(self, key):
+        return self._call(self.held[key])
+
+    def updateValue(self, key, value):
+        self._call(self.held.update({key: value}))
+
+    def removeKey(self, key):
+        self._call(self.held.pop(key))
+
+    def _call(self, out):
+        self.calls += 1
+        return out
+
+
+def processed(processor, batches, key):
+    """Rows that a processor gives for batches of one key, the calls to its state and the frames."""
+    handle, frames = CountedState(), []
+    values, maps = CountedState(), CountedState()
+    handle.getValueState, handle.getMapState = lambda *_: values, lambda *_: maps
+    processor.init(handle)
+    for batch in batches:
+        frames += list(processor.handleInputRows(key, iter(batch), None))
+    return pd.concat(frames, ignore_index=True), values.calls + maps.calls, len(frames), maps.held
+
+
+CARRIED = T.StructType([T.StructField("seq", T.LongType()), T.StructField("key", T.LongType())])
+
+
+def test_periods_in_order_are_placed_without_the_state():
+    sketches = pd.DataFrame({"period": range(1, 301), "light": [[1, 0]] * 300, "heavy": [["a"]] * 300, "counts": [[3]] * 300})
+    got, calls, frames, _ = processed(PlacedPeriods(2), [[sketches[:200], sketches[200:]]], (0,))
+    assert calls <= 4 and frames == 2 and len(got) == 600
+    late, calls, _, left = processed(PlacedPeriods(2), [[sketches[10:20]], [sketches[5:10]], [sketches[:5]]], (0,))
+    assert late["worker"].tolist()[::2] == got["worker"].tolist()[:40:2] and not left
+
+
+@pytest.mark.parametrize("limit", [10, 1 << 20])
+def test_windows_of_a_batch_are_replayed_without_the_state(monkeypatch, limit):
+    monkeypatch.setattr(state, "EARLY_ROWS", limit)
+    rng = np.random.default_rng(5)
+    n, k = 3000, 4
+    rows = pd.DataFrame({"seq": range(n), "key": "1", "pos": range(n), "code": rng.integers(0, k * k, n)})
+    codes = rows["code"].to_numpy()
+    want = carry.chosen_of(codes, carry.two_choice_kernel(codes, np.zeros(k, np.int64), k), k).tolist()
+    make = lambda: TwoChoiceRows(k, 30, Carried(CARRIED))
+    got, calls, _, _ = processed(make(), [[rows[:700], rows[700:]]], (0,))
+    assert got["worker"].tolist() == want and calls <= 4
+    # In any order, over several batches: the last rows come first.
+    mixed = rows.sample(frac=1, random_state=1)
+    got, _, _, left = processed(make(), [[rows[2000:]], [mixed[mixed["pos"] < 1500]], [rows[1500:1990], rows[1990:2000]]], (0,))
+    assert got["seq"].tolist() == list(range(n)) and got["worker"].tolist() == want and not left
+
+
+def test_whole_periods_of_a_batch_are_sketched_at_once():
+    s, m, k = 2, 10, 3
+    n = 12 * s * m
+    rows = pd.DataFrame({"seq": range(n), "key": [None if i % 7 == 0 else str(i % 5) for i in range(n)]})
+    rows["source"], rows["period"], rows["bucket"] = rows["seq"] % s, rows["seq"] // (s * m) + 1, rows["seq"] % 5 % k
+    make = lambda: SketchedPeriods(s, m, k, 2, False, Carried(CARRIED))
+    whole, calls, frames, _ = processed(make(), [[rows]], (0,))
+    assert calls <= 2 and frames == 1
+    mixed = rows.sample(frac=1, random_state=2)
+    parts, _, _, left = processed(make(), [[mixed[:100]], [mixed[100:130], mixed[130:200]], [mixed[200:]]], (0,))
+    show = lambda df: sorted(map(str, df.sort_values(["kind", "period"])[["period", "light", "heavy", "counts"]][df["kind"] == "sketch"].values.tolist()))
+    assert show(parts) == show(whole) and sorted(parts["seq"].dropna()) == list(range(n)) and not left
+    for period, light, counts in whole[whole["kind"] == "sketch"][["period", "light", "counts"]].values.tolist():
+        assert sum(light) + sum(counts) == s * m
