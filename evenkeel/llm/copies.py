@@ -11,11 +11,15 @@ similarity itself is what counts.
 * **Candidates.** Besides these, a MinHash signature of ``BANDS`` bands of ``ROWS`` lowest hashes each; texts that
   agree on a whole band share its bucket. A pair of similarity ``s`` shares one at least with
   probability ``1 - (1 - s^ROWS)^BANDS``: 0.99978 at 0.8.
+* **Bins.** Each text carries which of 1,024 ranges of hashes its set touches. A range that one text touches and the
+  other does not holds a shingle that they do not share, which bounds what two texts can share. Only pairs that
+  may have the share by that bound move on; none that has it is lost.
 * **Verification.** Shingle sets of both texts are compared in full; only pairs that have the share
   are links.
 * **Large buckets.** Up to ``SMALL`` texts all pairs are compared. In a larger one some texts, drawn
-  by hash and doubling each round, are compared with all that are not yet in their component, until
-  what is left to compare lies in one component. No pair is left out that could join two.
+  by hash, ``DRAWN`` at first and ``GROWTH`` times as many each round, are compared with all that are not yet in
+  their component, until what is left to compare lies in one component. No pair is left out that could join two.
+  A round links components, not texts, so its graph is as small as what it found.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm.components import connected_components
@@ -37,6 +41,8 @@ WIDTH, SHARE = 5, 0.8
 BANDS, ROWS = 16, 4
 RADIUS = 3
 SMALL = 32
+DRAWN, GROWTH = 4, 16
+BINS = 1 << 10
 _rng = np.random.default_rng(11)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDED = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -74,6 +80,20 @@ def majority(found: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(found), bitorder="little").tobytes(), "little")
 
 
+def touched(found: np.ndarray) -> np.ndarray:
+    """A bit for each range of hashes, by their high bits, that the set touches."""
+    bins = np.zeros(BINS, bool)
+    bins[(found >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(bins, bitorder="little").view("<u8")
+
+
+def _may_share(million: int) -> Column:
+    """Whether ``a`` and ``b`` may have the share, by sizes ``na``, ``nb`` and bins ``sa``, ``sb``."""
+    alone = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(BINS // 64)), F.lit(0))
+    most = F.least(F.col("na") - alone("sa", "sb"), F.col("nb") - alone("sb", "sa"))
+    return most * 1_000_000 >= (F.col("na") + F.col("nb") - most) * million
+
+
 def _simhash_pairs(signed: DataFrame, radius: int) -> DataFrame:
     """``(a, na, b, nb)``: texts that SimHash links. Of each fingerprint the least text stands for the others."""
     texts = pin(signed.select("fp", "t", "n").distinct(), "text-fingerprints")
@@ -91,24 +111,24 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _signed(rows: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, version, t, n, fp, bands)`` of texts with words; ``t`` stands for the words."""
+    """``(doc_id, version, t, n, fp, bands, bins)`` of texts with words; ``t`` stands for the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, n, fp, bands = (np.zeros(batch.num_rows, k) for k in (np.uint64, np.int64, np.uint64, f"({BANDS},)u8"))
+            t, n, fp, bands, bins = (np.zeros(batch.num_rows, k) for k in (np.uint64, np.int64, np.uint64, f"({BANDS},)u8", f"({BINS // 64},)u8"))
             for i, text in enumerate(batch.column("text")):
                 t[i], found = shingles(text.as_py(), width)
                 n[i] = len(found)
                 if len(found):
-                    bands[i], fp[i] = signature(found), majority(found)
-            bands = pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
+                    bands[i], fp[i], bins[i] = signature(found), majority(found), touched(found)
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1).view(np.int64)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (bands, bins)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("version"), pa.array(t.view(np.int64)), pa.array(n), pa.array(fp.view(np.int64)), bands],
-                names=["doc_id", "version", "t", "n", "fp", "bands"],
+                [batch.column("doc_id"), batch.column("version"), pa.array(t.view(np.int64)), pa.array(n), pa.array(fp.view(np.int64)), *lists],
+                names=["doc_id", "version", "t", "n", "fp", "bands", "bins"],
             )
         give_back()
 
-    return rows.mapInArrow(run, "doc_id long, version long, t long, n long, fp long, bands array<long>").where("n > 0")
+    return rows.mapInArrow(run, "doc_id long, version long, t long, n long, fp long, bands array<long>, bins array<long>").where("n > 0")
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -126,15 +146,23 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "t long, hs array<long>")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """Those of the pairs ``(a, na, b, nb)`` that have the share, as ``(a, b)``."""
-    million = round(share * 1_000_000)
+def _links(pairs: DataFrame, sets: DataFrame, million: int, *ends: str) -> DataFrame:
+    """Those of the pairs ``(a, na, b, nb)`` that have the share, as ``(a, b)``, with the ``ends`` that belong to a pair."""
     # Sets whose sizes lie further apart than the share cannot have it.
-    fit = pairs.where(F.least("na", "nb") * 1_000_000 >= F.greatest("na", "nb") * million).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fit = pairs.where(F.least("na", "nb") * 1_000_000 >= F.greatest("na", "nb") * million)
+    fit = fit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *ends).distinct()
     met = fit.join(sets.select(F.col("t").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("t").alias("b"), F.col("hs").alias("hb")), "b")
     size = lambda c: F.size(c).cast("bigint")
     both = size(F.array_intersect("ha", "hb"))
-    return pin(met.where(both * 1_000_000 >= (size("ha") + size("hb") - both) * million).select("a", "b"), "verified")
+    return pin(met.where(both * 1_000_000 >= (size("ha") + size("hb") - both) * million).select("a", "b", *ends), "verified")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots after links between components, ``(low, high)`` being two roots each."""
+    new = pin(connected_components(links, "low", "high"), "joined-roots")
+    every = roots.unionByName(new.select("node", F.col("node").alias("root"))).distinct()
+    moved = new.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return pin(every.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
 
 
 def near_texts(rows: DataFrame, width: int = WIDTH, share: float = SHARE, small: int = SMALL, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
@@ -145,24 +173,27 @@ def near_texts(rows: DataFrame, width: int = WIDTH, share: float = SHARE, small:
     members = pin(one.join(sizes, ["band", "key"]), "members")
     linked = _simhash_pairs(signed, radius)
     near = members.select("t").unionByName(linked.select(F.explode(F.array("a", "b")).alias("t"))).distinct()
-    wanted = signed.join(near, "t", "left_semi").groupBy("t").agg(F.min("version").alias("version")).select("version")
-    texts = rows.join(within(pin(wanted, "wanted-texts"), 40), "version", "left_semi").dropDuplicates(["version"])
+    wanted = signed.join(near, "t", "left_semi").groupBy("t").agg(F.min("version").alias("version"), F.first("bins").alias("bins"))
+    wanted = pin(wanted, "wanted-texts")
+    texts = rows.join(within(wanted.select("version"), 40), "version", "left_semi").dropDuplicates(["version"])
     sets = pin(_sets(texts, width), "shingle-sets")
 
-    few = members.where(F.col("size") <= small)
-    left = few.select("band", "key", F.col("t").alias("a"), F.col("n").alias("na"))
-    right = few.select("band", "key", F.col("t").alias("b"), F.col("n").alias("nb"))
-    banded = left.join(right, ["band", "key"]).where("a < b").drop("band", "key")
-    links = _links(banded.unionByName(linked), sets, share)
+    # Where a text stands among those that are drawn, from 0 to 1.
+    place = F.pmod(F.xxhash64("t"), F.lit(1 << 40)) / float(1 << 40)
+    members = pin(members.join(wanted.select("t", "bins"), "t").withColumn("place", place), "placed-members")
+    million = round(share * 1_000_000)
+    end = lambda df, x, *more: df.select("band", "key", F.col("t").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"s{x}"), *more)
+    # All pairs of small buckets; of large ones those with the texts that are drawn first.
+    leads = members.where((F.col("size") <= small) | (F.col("place") < F.lit(float(DRAWN)) / F.col("size")))
+    banded = end(leads, "a").join(end(members, "b", "size"), ["band", "key"]).where(F.expr(f"a < b OR a > b AND size > {small}") & _may_share(million))
+    links = _links(banded.select("a", "na", "b", "nb").unionByName(linked), sets, million)
     roots = pin(connected_components(links, "a", "b"), "roots")
 
     many = members.where(F.col("size") > small)
+    placed = signed.select("doc_id", "version", "t")
     if not many.take(1):
-        return signed.select("doc_id", "version", "t"), roots
-    # Where a text stands among those that are drawn, from 0 to 1.
-    place = F.pmod(F.xxhash64("t"), F.lit(1 << 40)) / float(1 << 40)
-    many = pin(many.withColumn("place", place), "large-buckets")
-    drawn = 0
+        return placed, roots
+    drawn = DRAWN
     while True:
         now = many.join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
         now = pin(now, "bucket-roots")
@@ -171,15 +202,15 @@ def near_texts(rows: DataFrame, width: int = WIDTH, share: float = SHARE, small:
         unsure = now.where(waiting).groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
         unsure = pin(unsure, "unsure")
         if not unsure.take(1):
-            return signed.select("doc_id", "version", "t"), roots
-        then = max(2 * drawn, 4)
+            return placed, roots
+        then = GROWTH * drawn
         open_now = now.join(within(unsure, 48), ["band", "key"], "left_semi")
         leads = open_now.where(waiting & (F.col("place") < F.lit(float(then)) / F.col("size")))
-        leads = leads.select("band", "key", F.col("t").alias("a"), F.col("n").alias("na"), F.col("root").alias("root_a"))
-        others = open_now.select("band", "key", F.col("t").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"))
-        pairs = others.join(within(pin(leads, "leads"), 64), ["band", "key"]).where("root_a <> root_b").select("a", "na", "b", "nb")
-        links = links.unionByName(_links(pairs, sets, share))
-        roots = pin(connected_components(links, "a", "b"), "roots")
+        leads = end(leads, "a", F.col("root").alias("root_a"))
+        others = end(open_now, "b", F.col("root").alias("root_b"))
+        pairs = others.join(within(pin(leads, "leads"), 256), ["band", "key"]).where((F.col("root_a") != F.col("root_b")) & _may_share(million))
+        pairs = pairs.select("a", "na", "b", "nb", F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high"))
+        roots = _joined(roots, _links(pairs, sets, million, "low", "high"))
         drawn = then
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from evenkeel import scratch
 from evenkeel.llm import bpe, components, copies, decontaminate, langid, line_dedup, lm_score, quality, queries, simhash, token_files, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
@@ -457,6 +458,36 @@ def test_copies_of_given_similarity_are_found(spark, small):
     assert (None, docs[0]) not in out and {(0, docs[0]), (0, "its id is repeated but the text is another")} <= out
 
 
+def test_large_buckets_of_unlike_texts_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(12)
+    # All texts fall into one bucket of each band; of ten there are near copies.
+    monkeypatch.setattr(copies, "signature", lambda found: np.full(16, 7, np.uint64))
+    written = []
+    monkeypatch.setattr(copies, "pin", lambda df, label: written.append(label) or scratch.pin(df, label))
+    docs = {i: [f"w{rng.randrange(10**6)}" for _ in range(40)] for i in range(150)}
+    docs |= {1000 + 10 * i + k: [*docs[i][:-1], f"end{k}"] for i in range(10) for k in range(3)}
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    assert sorted(r.doc_id for r in copies.keep_first(rows, small=2).collect()) == list(range(150))
+    # 4, 64 and 1,024 texts are drawn.
+    assert written.count("verified") <= 3
+
+
+def test_bins_lose_no_pair_that_has_the_share(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], []
+    for k in range(400):
+        n = int(rng.choice([1, 5, 40, 300, 2000]))
+        both = int(n * rng.choice([0, 0.5, 0.8, 0.9, 1]))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        b = np.unique(np.r_[a[:both], rng.integers(0, 1 << 63, len(a) - both, dtype=np.uint64) * np.uint64(2)])
+        rows.append((k, len(a), copies.touched(a).view(np.int64).tolist(), len(b), copies.touched(b).view(np.int64).tolist()))
+        want.append((both / (len(a) + len(b) - both), len(a)))
+    df = spark.createDataFrame(rows, "k long, na long, sa array<long>, nb long, sb array<long>")
+    got = {r.k for r in df.where(copies._may_share(800_000)).collect()}
+    assert all(k in got for k, (share, _) in enumerate(want) if share >= 0.8)
+    assert not any(k in got for k, (share, n) in enumerate(want) if share == 0 and 30 < n < 1000)
+
+
 def test_pipeline_keeps_clean_documents(spark, texts):
     out = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
     assert out and out <= set(texts)
