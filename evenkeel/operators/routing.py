@@ -53,7 +53,9 @@ def route_by_period(
 
     The table is folded to one row for each period: slots by hash, each a map of the few keys that
     fall into it. It joins on the period alone, so the rows stay where they are, and a lookup reads one slot.
+    A placement leaves one task, whose single partition would serve every grouping, so the table is dealt out before it is folded.
     """
+    routing = routing.repartition("period")
     slots = max(1, min(256, keys_per_period // 2))
     slot = F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
     entry = F.when(F.col(key).isNotNull(), F.struct(key, "worker"))

@@ -83,6 +83,20 @@ def test_sketch_and_lookup_share_one_exchange(spark):
             spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
+def test_tables_of_one_task_are_dealt_out_before_they_are_folded(spark):
+    rows = spark.range(100).selectExpr("id AS seq", "id % 7 AS key", "id DIV 10 AS period").repartition("period")
+    table = spark.range(10).selectExpr("id AS period", "id % 7 AS key", "1 AS worker").coalesce(1)
+    routed = routing.route_by_period(rows, table, KeyHash(4), 8)
+    lines = plan(routed).split("\n")
+    folds = [i for i, x in enumerate(lines) if "HashAggregate" in x]
+    dealt = [i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x and i > folds[0]]
+    assert dealt and max(folds) < max(dealt)
+    # Neither side moves again to be joined.
+    assert len([x for x in lines if "Exchange hashpartitioning" in x]) == 2
+    want = {r.seq: 1 if r.key == r.period % 7 else None for r in rows.collect()}
+    assert all(r.worker == want[r.seq] for r in routed.collect() if want[r.seq] is not None) and routed.count() == 100
+
+
 def test_broadcasts_are_bounded_in_bytes(spark):
     numbers = spark.range(100).selectExpr("id AS key", "CAST(id AS INT) AS worker")
     texts = numbers.withColumn("key", F.repeat(F.col("key").cast("string"), 400_000))
