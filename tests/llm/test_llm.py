@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -503,6 +504,32 @@ def test_stages_return_the_columns_of_documents(spark):
         assert stage(spark, docs, SF).columns == docs.columns
 
 
+def test_stages_send_small_batches_to_python(spark):
+    """Batches of 10,000 texts stayed in executors from stage to stage; a size that the session names itself holds."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = spark.range(0, 2_000, 1, 1)
+    sent = lambda: [r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+    spark.conf.unset(setting)
+    assert max(sent()) == 2_000
+    stages = dict(corpus_pipeline.STAGES)
+    try:
+        kept = {}
+        for name in ("quality_rules", "simhash", "bpe"):
+            spark.conf.set(setting, 10_000)
+            whole = sorted(map(str, stages[name](spark, docs, SF).collect()))
+            assert max(sent()) == 2_000, name
+            spark.conf.unset(setting)
+            small = sorted(map(str, stages[name](spark, docs, SF).collect()))
+            assert max(sent()) <= 500 and sum(sent()) == 2_000, name
+            kept[name] = whole, small
+        assert all(whole and whole == small for whole, small in kept.values())
+    finally:
+        spark.conf.unset(setting)
+    corpus_pipeline.run(spark, SF)
+    assert setting not in spark.conf.getAll
+
+
 def test_lm_block_counts_in_bounded_memory():
     """A block is counted within a few arrays of its size; sorting with all places took 61 bytes a word."""
     rng = np.random.default_rng(3)
