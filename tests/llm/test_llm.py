@@ -146,6 +146,57 @@ def test_token_files(spark, texts, folder):
     assert {r.doc_id: len(r.ids) for r in some} == {3: got[3].n_tokens, 10**6: 1}
 
 
+def test_token_files_hold_little(spark, folder, monkeypatch):
+    """Rows go to Python by the hundred, one process a task reads back, and caches are given up."""
+    path, setting, sent = folder("tokens"), "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = setting in spark.conf.getAll
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, kind, of=frame.mapInArrow: (sent.append(spark.conf.get(setting)), of(self, f, kind))[1])
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('word', id, ' of', char(97 + id % 26), ' ', id) AS text")
+    token_files.write_token_files(docs.coalesce(1), path, BYTE_BPE)
+    assert int(sent[-1]) <= 1000
+    assert (setting in spark.conf.getAll) == before
+    got = token_files.read_checksums(spark, path)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(got.collect()) == sorted(token_files.checksums(token_files.read_token_files(spark, path)).collect())
+    some = token_files.read_checksums(spark, path, spark.createDataFrame([(7,), (10**6,)], "doc_id long")).collect()
+    assert [r.doc_id for r in some] == [7] and some[0] in got.collect()
+
+
+def test_token_encoder_forgets_and_equals_the_library(texts, monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED", 2000)
+    library, encoder, rng = Tokenizer.from_file(BYTE_BPE), token_files.CachedEncoder(BYTE_BPE), random.Random(4)
+    strange = ["".join(rng.choice("aabcdeithnsrol'  \n\t.,é0ñ<|>/wÉßΣ\x00\x1c\x85\xa0\u2003\u3000中ก") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    words = [" ".join("".join(rng.choices("abcdeéñ", k=7)) + rng.choice(["", ".", "!,"]) for _ in range(100)) for _ in range(90)]
+    for some in (strange, [t or "" for t in texts.values()][:300], words[:30], words[30:60], words[60:], ["", "\n", " ", "a\n", "a ", "x<|endoftext|> y"], []):
+        for text, ids in zip(some, encoder.encode(pa.array(some, pa.string())), strict=True):
+            assert np.frombuffer(ids, encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    encoder.encode(pa.array(words[:30]))
+    assert len(encoder.cache) < 2000 + 2 * 3000
+    encoder.forget()
+    assert 2900 < len(encoder.cache) <= 3001
+    # Words are put together for the tokenizer only where its vocabulary keeps them apart.
+    apart, encoder.together = encoder.together, 1
+    encoder.cache.clear()
+    one_by_one = encoder.encode(pa.array(words))
+    encoder.together = apart
+    encoder.cache.clear()
+    assert apart > 1 and encoder.encode(pa.array(words)) == one_by_one
+
+
+def test_token_blocks_fill_across_batches(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 100)
+    rng = random.Random(6)
+    rows = [(i, "é" * rng.choice([0, 3, 20, 90])) for i in range(400)]
+    cuts = [0, 1, 1, 50, 51, 300, 400]
+    batches = [pa.record_batch([pa.array([d for d, _ in rows[a:b]], pa.int64()), pa.array([t for _, t in rows[a:b]], pa.string())], names=["doc_id", "text"]) for a, b in zip(cuts, cuts[1:])]
+    blocks = [list(zip(d.to_pylist(), t.to_pylist())) for d, t in token_files._filled(iter(batches))]
+    assert [r for b in blocks for r in b] == rows
+    sizes = [[len(t.encode()) for _, t in b] for b in blocks]
+    assert all(sum(x) >= 100 for x in sizes[:-1]) and all(sum(x[:-1]) < 200 for x in sizes)
+    assert list(token_files._filled(iter([]))) == []
+
+
 def test_warc_with_records_inside_payloads(spark, folder):
     inner = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.1\r\nx"
     rows = [(i, "u\r\nx", inner * (i % 4) if i % 3 else None) for i in range(30)] + [(50 + i, None, "é" * 90_000 + inner * 3000 + str(i)) for i in range(2)]
