@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel.scratch import pin
+from evenkeel.scratch import BROADCAST_BYTES, batches_of, pin
 
 # A choice is packed as (position in chunk) << 32 | (first * k + second).
 _CODE_BITS = 32
@@ -43,6 +43,8 @@ _CODE = (1 << _CODE_BITS) - 1
 _GUESS_CELLS = 1 << 18
 # Rows after a flip that are looked at first, and rows replayed first; doubled each time.
 _LOOK, _REPLAY = 64, 1024
+# Rows of chunk tables that are held at once: in a row group of a written table, and in a batch that goes to Python.
+_ROWS_AT_ONCE = 16
 # Visiting a row whose choice flips takes as long as replaying some tens; beyond one flip in so many rows the rest is replayed.
 _FLIP_SHARE = 64
 
@@ -180,8 +182,20 @@ def foreseen(loads: np.ndarray, cells: np.ndarray, counts: np.ndarray, k: int) -
 # ---------------------------------------------------------------- tables
 
 _LONGS = T.ArrayType(T.LongType())
-# Columns that hold arrays of 4-byte numbers.
-_INTS = ("place", "code", "chosen")
+# Columns with a number for each row of a chunk, as bytes: arrays would be read thousands at once, with levels for each number.
+_PACKED = ("place", "code", "gap")
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as hold them all; the first byte tells how many that are."""
+    low, high = (int(numbers.min()), int(numbers.max())) if len(numbers) else (0, 0)
+    size = next(n for n in (1, 2, 4, 8) if -(1 << 8 * n - 1) <= low and high < 1 << 8 * n - 1)
+    return bytes([size]) + numbers.astype(f"<i{size}").tobytes()
+
+
+def unpacked(data: bytes | memoryview) -> np.ndarray:
+    size = data[0]
+    return np.frombuffer(data, f"<i{size}", (len(data) - 1) // size, 1).astype(np.int64)
 
 
 def _fields(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
@@ -189,17 +203,39 @@ def _fields(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
 
 
 def _arrays(batch: pa.RecordBatch, row: int, *names: str) -> list[np.ndarray | None]:
-    """Array columns of one row, null as None."""
-    values = (batch.column(name)[row].values for name in names)
-    return [None if v is None else v.to_numpy(zero_copy_only=False) for v in values]
+    """Numbers in columns of one row, null as None."""
+    cells = ((name, batch.column(name)[row]) for name in names)
+    return [
+        None if not cell.is_valid
+        else unpacked(memoryview(cell.as_buffer())) if name in _PACKED
+        else cell.values.to_numpy(zero_copy_only=False)
+        for name, cell in cells
+    ]
+
+
+def _cells(names: list[str], values: list) -> list[pa.Array]:
+    """Columns of one row from numpy arrays, None as null."""
+    kind = lambda v: pa.list_(pa.int64() if v is None else pa.from_numpy_dtype(v.dtype))
+    return [
+        pa.array([None if v is None else packed(v)], pa.binary()) if name in _PACKED else pa.array([v], kind(v))
+        for name, v in zip(names, values)
+    ]
 
 
 def _one(batch: pa.RecordBatch, row: int, names: list[str], values: list) -> pa.RecordBatch:
-    """A row with the source and chunk of ``row``; a numpy array becomes a list, None a null list."""
+    """A row with the source and chunk of ``row``."""
     columns = [batch.column(c).slice(row, 1) for c in ("source", "chunk")]
-    kind = lambda name, v: pa.int8() if v is not None and v.dtype == np.int8 else pa.int32() if name in _INTS else pa.int64()
-    columns += [pa.array([v], pa.list_(kind(name, v))) for name, v in zip(names, values)]
-    return pa.RecordBatch.from_arrays(columns, names=["source", "chunk", *names])
+    return pa.RecordBatch.from_arrays([*columns, *_cells(names, values)], names=["source", "chunk", *names])
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """A table with chunks written in small row groups, which are what a reader holds at once."""
+    return pin(df, label, codec="zstd", group_rows=_ROWS_AT_ONCE)
+
+
+def _small(df: DataFrame, numbers: int) -> DataFrame:
+    """A written table of ``numbers`` numbers a row for a join with chunks, which must not be sorted: sent or hashed."""
+    return F.broadcast(df) if df.count() * numbers * 8 <= BROADCAST_BYTES else df.hint("shuffle_hash")
 
 
 def _by_row(df: DataFrame, schema: T.StructType, work: Callable[[pa.RecordBatch, int], pa.RecordBatch]) -> DataFrame:
@@ -239,18 +275,52 @@ def _with_first(df: DataFrame, k: int, initial: DataFrame | None) -> DataFrame:
     return df.join(given, "source", "left").withColumn("_first", F.coalesce("_first", zeros))
 
 
+_PARTS = (("place", T.BinaryType()), ("code", T.BinaryType()))
+
+
+def _in_places(ops: np.ndarray) -> list[np.ndarray | None]:
+    """Places and codes of a chunk's choices in order; no places where they are 0, 1, 2, ..."""
+    ops = np.sort(ops)
+    place, code = ops >> _CODE_BITS, ops & _CODE
+    return [None if len(place) == 0 or place[-1] == len(place) - 1 else place, code]
+
+
 def _ordered(chunks: DataFrame) -> DataFrame:
-    """``(source, chunk, place, code)``: the choices of each chunk in order; ``place`` is null where it is 0, 1, 2, ..."""
+    """``(source, chunk, place, code)`` of chunks that have their choices as arrays."""
 
     def work(batch: pa.RecordBatch, row: int) -> pa.RecordBatch:
-        (ops,) = _arrays(batch, row, "ops")
-        ops = np.sort(ops)
-        place, code = (ops >> _CODE_BITS).astype(np.int32), (ops & _CODE).astype(np.int32)
-        dense = len(place) == 0 or place[-1] == len(place) - 1
-        return _one(batch, row, ["place", "code"], [None if dense else place, code])
+        return _one(batch, row, ["place", "code"], _in_places(*_arrays(batch, row, "ops")))
 
-    ints = T.ArrayType(T.IntegerType())
-    return _by_row(chunks.select("source", "chunk", "ops"), _fields(chunks, ("place", ints), ("code", ints)), work)
+    given = chunks.where("source IS NOT NULL AND chunk IS NOT NULL").select("source", "chunk", "ops")
+    return _by_row(given, _fields(chunks, *_PARTS), work)
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """``(source, chunk, place, code)`` from one row ``(source, chunk, op)`` for each choice, none of them null.
+
+    All rows of a chunk must be in one partition, in any order. A task holds eight bytes for each row of its
+    partition, and a row for each chunk leaves it alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, list[np.ndarray]] = {}
+        kind = None
+        for batch in batches:
+            kind = batch.column("source").type
+            sources = batch.column("source").dictionary_encode()
+            names = sources.dictionary.to_pylist()
+            numbers, group = np.unique(batch.column("chunk").to_numpy(), return_inverse=True)
+            group = group * len(names) + sources.indices.to_numpy()
+            ops = batch.column("op").to_numpy()[np.argsort(group, kind="stable")]
+            groups, counts = np.unique(group, return_counts=True)
+            for g, part in zip(groups.tolist(), np.split(ops, np.cumsum(counts)[:-1])):
+                found.setdefault((names[g % len(names)], int(numbers[g // len(names)])), []).append(part)
+        while found:
+            (source, chunk), parts = found.popitem()
+            columns = [pa.array([source], kind), pa.array([chunk], pa.int64()), *_cells(["place", "code"], _in_places(np.concatenate(parts)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["source", "chunk", "place", "code"])
+
+    return rows.select("source", "chunk", "op").mapInArrow(run, _fields(rows, *_PARTS))
 
 
 def _guessed(chunks: DataFrame, k: int, initial: DataFrame | None) -> DataFrame:
@@ -262,7 +332,7 @@ def _guessed(chunks: DataFrame, k: int, initial: DataFrame | None) -> DataFrame:
     def count(batch: pa.RecordBatch, row: int) -> pa.RecordBatch:
         (codes,) = _arrays(batch, row, "code")
         first = batch.column("chunk")[row].as_py() == 0
-        cells, counts = np.unique(codes.astype(np.int64), return_counts=True)
+        cells, counts = np.unique(codes, return_counts=True)
         return _one(batch, row, ["cells", "counts", "code"], [cells, counts, codes if first else None])
 
     def step(loads, batch: pa.RecordBatch, row: int):
@@ -273,16 +343,15 @@ def _guessed(chunks: DataFrame, k: int, initial: DataFrame | None) -> DataFrame:
             return foreseen(loads, cells, counts, k), out
         return loads + np.bincount(chosen_of(codes, two_choice_kernel(codes, loads, k), k), minlength=k), out
 
-    fields = _fields(chunks, ("cells", _LONGS), ("counts", _LONGS), ("code", T.ArrayType(T.IntegerType())))
+    fields = _fields(chunks, ("cells", _LONGS), ("counts", _LONGS), ("code", T.BinaryType()))
     counted = _by_row(chunks.select("source", "chunk", "code"), fields, count)
     return _in_order(_with_first(counted, k, initial), _fields(chunks, ("start", _LONGS)), step)
 
 
 _RUN = (
     ("start", _LONGS),
-    ("place", T.ArrayType(T.IntegerType())),
-    ("code", T.ArrayType(T.IntegerType())),
-    ("gap", _LONGS),
+    *_PARTS,
+    ("gap", T.BinaryType()),
     ("added", _LONGS),
     ("cells", _LONGS),
     ("slack", _LONGS),
@@ -297,15 +366,14 @@ def _row_of(batch, row, start, place, code, gap, replays, k) -> pa.RecordBatch:
     return _one(batch, row, _NAMES, [start, place, code, gap, added, *room_of(code, gap, k), level_groups(code, gap, k), np.array([replays])])
 
 
-def _replayed(chunks: DataFrame, starts: DataFrame, k: int) -> DataFrame:
-    """Each chunk from its start."""
+def _replayed(started: DataFrame, k: int) -> DataFrame:
+    """Each chunk from its ``start``."""
 
     def work(batch: pa.RecordBatch, row: int) -> pa.RecordBatch:
         start, place, code = _arrays(batch, row, "start", "place", "code")
         return _row_of(batch, row, start, place, code, two_choice_kernel(code, start, k), 1, k)
 
-    joined = chunks.join(starts, ["source", "chunk"]).select("source", "chunk", "start", "place", "code")
-    return _by_row(joined, _fields(chunks, *_RUN), work)
+    return _by_row(started.select("source", "chunk", "start", "place", "code"), _fields(started, *_RUN), work)
 
 
 def _as_found(batch: pa.RecordBatch, row: int) -> pa.RecordBatch:
@@ -334,7 +402,7 @@ def _moved(runs: DataFrame, targets: DataFrame, k: int) -> DataFrame:
             return _as_found(batch, row)
         return _row_of(batch, row, to, place, code, replayed(code, gap, start, to, k), int(replays[0]) + 1, k)
 
-    return _by_row(runs.join(targets, ["source", "chunk"]), _fields(runs, *_RUN), work)
+    return _by_row(runs.join(_small(targets, k + 2), ["source", "chunk"]), _fields(runs, *_RUN), work)
 
 
 def _exact_until(runs: DataFrame, k: int, initial: DataFrame | None) -> DataFrame:
@@ -399,27 +467,29 @@ def _answers(runs: DataFrame, k: int) -> DataFrame:
 def carry_loads(chunks: DataFrame, k: int, chunk_count: int, initial: DataFrame | None = None) -> DataFrame:
     """Make the two-choice decisions of every source as if each source were one sequence.
 
-    ``chunks`` has one row ``(source, chunk, ops)`` per chunk, with packed choices in any order;
-    ``initial`` may give ``(source, loads)`` to start from. Returns ``(source, chunk, chosen, added,
+    ``chunks`` has one row ``(source, chunk, ops)`` per chunk, with packed choices in any order, or is a table of
+    :func:`gathered`; ``initial`` may give ``(source, loads)`` to start from. Returns ``(source, chunk, chosen, added,
     replays)``, the last as an array of one number: how often the chunk was replayed.
 
     Where chains are one chunk long the plan stays lazy. Longer ones take the same few jobs
-    whatever their length.
+    whatever their length. Readers, and Python workers, hold a few chunks at once, however many a task has.
     """
-    chunks = _ordered(chunks)
+    if "ops" in chunks.columns:
+        chunks = _ordered(chunks)
     if chunk_count <= 1:
-        starts = _with_first(chunks.select("source", "chunk"), k, initial).withColumnRenamed("_first", "start")
-        return _answers(_replayed(chunks, starts, k), k)
-
-    chunks = pin(chunks, "chunks", codec="zstd")
-    starts = pin(_guessed(chunks, k, initial), "starts")
-    runs = pin(_replayed(chunks, starts, k), "runs", codec="zstd")
-    runs = pin(_moved(runs, pin(_targets(runs, k, initial), "targets"), k), "moved", codec="zstd")
-    exact = pin(_exact_until(runs, k, initial), "exact")
-    fine = exact.where(F.element_at("exact", -1) == 1)
-    wrong = exact.where(F.element_at("exact", -1) == 0)
-    if wrong.isEmpty():
-        return _answers(runs, k)
+        return _answers(_replayed(_with_first(chunks, k, initial).withColumnRenamed("_first", "start"), k), k)
+
+    chunks = _written(chunks, "chunks")
     on = ["source", "chunk"]
-    late = runs.join(fine.select(*on), on, "left_anti").join(wrong, on, "left")
-    return _answers(runs.join(fine.select(*on), on, "left_semi").unionByName(pin(_walked(late, k), "walked", codec="zstd")), k)
+    with batches_of(chunks.sparkSession, _ROWS_AT_ONCE):
+        starts = pin(_guessed(chunks, k, initial), "starts")
+        runs = _written(_replayed(chunks.join(_small(starts, k + 2), on), k), "runs")
+        runs = _written(_moved(runs, pin(_targets(runs, k, initial), "targets"), k), "moved")
+        exact = pin(_exact_until(runs, k, initial), "exact")
+        fine = exact.where(F.element_at("exact", -1) == 1)
+        wrong = exact.where(F.element_at("exact", -1) == 0)
+        if not wrong.isEmpty():
+            fine = _small(fine.select(*on), 2)
+            late = runs.join(fine, on, "left_anti").join(_small(wrong, k + 3), on, "left")
+            runs = runs.join(fine, on, "left_semi").unionByName(_written(_walked(late, k), "walked"))
+        return _written(_answers(runs, k), "answers")

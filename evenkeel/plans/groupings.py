@@ -11,18 +11,20 @@ from dataclasses import dataclass, field
 from typing import Protocol, runtime_checkable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions.hashing import KeyHash, key_hash, murmur_candidates, murmur_hash
 from evenkeel.operators import placement, routing, shape, sketches
-from evenkeel.operators.carry import carry_loads, pack_choice
+from evenkeel.operators.carry import carry_loads, gathered, pack_choice
 from evenkeel.operators.metrics import balance, worker_load
 from evenkeel.scratch import BROADCAST_BYTES, pin
 
 # Rows of one source that one task replays in order.
 CHUNK_ROWS = 1 << 17
+# Rows, about, of all chunks that one task puts together; a worker holds eight bytes for each.
+GATHER_ROWS = 1 << 20
 
 
 @runtime_checkable
@@ -99,30 +101,33 @@ class TwoChoiceGrouping:
         return source, shape.whole_div(place, self.chunk_rows), F.pmod(place, F.lit(self.chunk_rows)).cast("int")
 
     def _run(self, df: DataFrame, initial: DataFrame | None, first_pos: int) -> DataFrame:
-        if self.s is None:
-            last_pos = int(df.agg(F.coalesce(F.max("pos"), F.lit(-1))).first()[0])
-        else:
-            last_pos = shape.last_seq(df) // self.s
+        number = F.col("pos") if self.s is None else F.col("seq")
+        last, rows = df.agg(F.coalesce(F.max(number), F.lit(-1)), F.count("*")).first()
+        last_pos = int(last) if self.s is None else int(last) // self.s
         first, second = self.candidates(df)
-        # Lists do not shrink before a shuffle, so single numbers are moved and listed after it: one for each
-        # row, its number and its candidates, from which all else is made.
+        # One number moves for each row, its number and its candidates, from which all else is made. A row
+        # without a number or a source has no place in a chunk, nor do rows meet it again.
         pairs = self.k * self.k
         code = first.cast("bigint") * self.k + second
         if self.s is None:
-            moved = df.select("source", "pos", code.alias("_code"))
+            moved = df.where("source IS NOT NULL AND pos IS NOT NULL").select("source", "pos", code.alias("_code"))
         else:
             if last_pos >= (1 << 63) // pairs // self.s - 1:
                 raise ValueError(f"row numbers are too large for {self.k} workers")
             both = F.col("_both")
-            moved = df.select((F.col("seq") * pairs + code).alias("_both"))
+            moved = df.where("seq IS NOT NULL").select((F.col("seq") * pairs + code).alias("_both"))
             seq = shape.whole_div(both, pairs)
         source, chunk, offset = self._places(first_pos, None if self.s is None else seq)
-        moved = moved.repartition(source, chunk)
+        moved = moved.repartition(self._tasks(df.sparkSession, rows), source, chunk)
         code = F.col("_code") if self.s is None else F.pmod(both, F.lit(pairs))
-        moved = moved.select(source.alias("source"), chunk.alias("chunk"), pack_choice(offset, code).alias("_op"))
-        chunks = moved.groupBy("source", "chunk").agg(F.collect_list("_op").alias("ops"))
+        moved = moved.select(source.alias("source"), chunk.alias("chunk"), pack_choice(offset, code).alias("op"))
         count = (last_pos - first_pos) // self.chunk_rows + 1
-        return carry_loads(chunks, self.k, count, initial)
+        return carry_loads(gathered(moved), self.k, count, initial)
+
+    def _tasks(self, spark: SparkSession, rows: int) -> int:
+        """Tasks that put chunks together: more where there are more rows, so that none of them grows, but not many more than chunks."""
+        usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return min(rows // self.chunk_rows + (self.s or 1) + 1, max(usual, math.ceil(rows / GATHER_ROWS)))
 
 
 @dataclass(frozen=True)

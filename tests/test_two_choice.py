@@ -139,3 +139,30 @@ def test_exchanges_carry_few_columns(keyed):
     sent = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert any("pmod(seq#" in line for line in sent) and any("pmod((_both#" in line for line in sent)
     assert not any("chunk#" in line and "_chunk#" not in line and "REPARTITION" in line for line in sent)
+
+
+def test_numbers_are_packed_and_unpacked():
+    for numbers in ([], [0], [-128, 127], [128], [-32769, 5], [2**31, -(2**40)]):
+        data = carry.packed(np.array(numbers, np.int64))
+        assert carry.unpacked(memoryview(data)).tolist() == numbers
+        assert len(data) == 1 + len(numbers) * data[0]
+    assert [carry.packed(np.array([n]))[0] for n in (0, 128, 1 << 15, 1 << 31)] == [1, 2, 4, 8]
+
+
+def test_what_is_held_at_once_does_not_grow_with_the_rows(keyed, spark, tmp_path, monkeypatch):
+    """Many chunks a task: readers hold small row groups of bytes, and no list of a chunk's rows is made in an aggregate."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr("evenkeel.scratch.shared_folder", lambda _: f"file://{tmp_path}")
+    keys = skewed(4000)
+    assert workers(TwoChoiceGrouping(5, 2, chunk_rows=10).assign(keyed(keys))) == two_choice(keys, 5, lambda i, _: i % 2)
+    for label in ("chunks", "runs", "moved", "answers"):
+        found = [pq.ParquetFile(f).metadata for f in tmp_path.glob(f"evenkeel-{label}-*/*.parquet")]
+        sizes = [m.row_group(i).num_rows for m in found for i in range(m.num_row_groups)]
+        assert sum(sizes) == 400 and max(sizes) <= 16
+        kinds = {m.schema.column(i).path.split(".")[0]: m.schema.column(i).physical_type for m in found for i in range(m.num_columns)}
+        assert all(kinds[c] == "BYTE_ARRAY" for c in ("code", "gap") if c in kinds)
+    plan = lambda: TwoChoiceGrouping(4, 2).assign(keyed(["a", "b"] * 3000))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan()
+    tasks = TwoChoiceGrouping(4, 2)._tasks
+    assert tasks(spark, 1 << 24) == 16 and tasks(spark, 1 << 30) == 1024 and tasks(spark, 1000) <= 4
