@@ -10,8 +10,9 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from evenkeel.llm import license_scan, periodic, queries, resample
+from evenkeel.llm import license_scan, periodic, quality, queries, resample
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, rank long, key long, score double, words string, start long"
@@ -256,3 +257,32 @@ def test_queries_cover_whole_tables(spark):
     n = duckdb.sql(f"SELECT count(*) FROM '{SF}/documents.parquet'").fetchall()[0][0]
     for name in ("op11_licenses", "op12_resample", "op13_periodic"):
         assert queries.QUERIES[name](spark, SF).count() == n
+
+
+def test_quality_is_fitted_on_all_labelled_rows(spark):
+    """Box, draws and cut are those of all rows, also of the one that hashes highest, and both ways in judge alike."""
+    rng = np.random.default_rng(4)
+    n = 6500
+    label = (rng.random(n) < 0.8).astype(int).tolist()
+    words = lambda i: " ".join(f"w{rng.integers(10**6)}" + ("#|!"[i % 3] * int(rng.integers(1, 9)) if not label[i] or rng.random() < 0.1 else "") for _ in range(25))
+    texts = [words(i) for i in range(n)]
+    ids = [r.id for r in spark.range(n).orderBy(F.xxhash64("id")).collect()]
+    last = ids[-1]
+    label[last], texts[last] = 1, texts[last] + " " + "MORE" * 90
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(enumerate(label)), "doc_id long, label int")
+    x = np.asarray([quality.statistics(texts[i])[1] for i in ids])
+    good = np.asarray([label[i] for i in ids]) > 0
+    want = quality.Forest(x[good], x)
+    score = want.score(x)
+    cut = np.sort(score[good])[::-1][int(0.01 * good.sum())]
+    cut = (cut + score[~good & (score > cut)].min()) / 2
+
+    forest, found = quality.fit(quality.pin(quality.described(docs), "test"), labels, max_false=0.01)
+    assert (forest.low == x.min(0)).all() and (forest.high == x.max(0)).all()
+    assert all((a == b).all() for one, two in zip(forest.trees, want.trees, strict=True) for a, b in zip(one, two))
+    assert found == cut
+    kept = {ids[i] for i in np.flatnonzero(score < cut)}
+    assert {r.doc_id for r in quality.quality_rules(docs, labels, max_false=0.01).where("kept").collect()} == kept
+    assert {r.doc_id for r in quality.keep_good(docs, labels, max_false=0.01).collect()} == kept
+    assert {r.doc_id for r in quality.keep_good(docs, labels.limit(0)).collect()} == set(ids)
