@@ -259,7 +259,8 @@ def test_queries_cover_whole_tables(spark):
         assert queries.QUERIES[name](spark, SF).count() == n
 
 
-def test_quality_is_fitted_on_all_labelled_rows(spark):
+@pytest.mark.parametrize("held", [25_600, 1000])
+def test_quality_is_fitted_on_all_labelled_rows(spark, monkeypatch, held):
     """Box, draws and cut are those of all rows, also of the one that hashes highest, and both ways in judge alike."""
     rng = np.random.default_rng(4)
     n = 6500
@@ -273,7 +274,8 @@ def test_quality_is_fitted_on_all_labelled_rows(spark):
     labels = spark.createDataFrame(list(enumerate(label)), "doc_id long, label int")
     x = np.asarray([quality.statistics(texts[i])[1] for i in ids])
     good = np.asarray([label[i] for i in ids]) > 0
-    want = quality.Forest(x[good], x)
+    monkeypatch.setattr(quality, "HELD_ROWS", held)
+    want = quality.Forest(x[good], x, drawn=quality.Forest.draws(int(good.sum())) if good.sum() > held else None)
     score = want.score(x)
     cut = np.sort(score[good])[::-1][int(0.01 * good.sum())]
     cut = (cut + score[~good & (score > cut)].min()) / 2
